@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     exact_dedup,
+    language_id,
     licenses,
+    lm_score,
     packing,
     pii,
     simhash,
@@ -75,10 +77,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.learn(docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
+    got = language_id.identified(docs, model)
+    return got.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -87,7 +100,9 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {
