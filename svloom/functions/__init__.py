@@ -1,0 +1 @@
+"""Column expressions: intervals, sequences, genotypes, variants; and their SQL names."""

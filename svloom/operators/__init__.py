@@ -1,0 +1 @@
+"""DataFrame operators over intervals, calls, genotypes and sequences."""
