@@ -26,9 +26,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from labelled documents outside the held-out quarter."""
-    docs = _documents(spark, sf_dir).select("doc_id", "text").where(crc_mod("doc_id", 4) != 2)
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.learn(docs.join(labels, "doc_id"))
+    learned = crc_mod("doc_id", 4) != 2
+    return toxicity.learn(_documents(spark, sf_dir).where(learned), table(spark, sf_dir, "labels").where(learned))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,14 +204,17 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """From sampled texts of either kind; share: of toxic rows among all labelled ones."""
+    """From sampled texts of either kind; share: of toxic rows among all labelled ones.
+
+    The curve is calibrated on the half of the sample that its dictionaries
+    haven't seen; the dictionaries that are then used come from all of it.
+    """
     half = Model(*train_dictionaries(toxic[::2], ordinary[::2]), np.zeros(0))
     x = np.array([half.features(t) for t in toxic[1::2] + ordinary[1::2]])
     n, m = len(toxic[1::2]), len(ordinary[1::2])
     y = np.repeat([1.0, 0.0], [n, m])
     w = np.repeat([share * (n + m) / n, (1 - share) * (n + m) / m], [n, m])
-    half.weights = _logistic(x, y, w)
-    return half
+    return Model(*train_dictionaries(toxic, ordinary), _logistic(x, y, w))
 
 
 def constant(share: float) -> Model:
@@ -221,20 +224,28 @@ def constant(share: float) -> Model:
     return Model(b" " * 64, b" " * 64, w)
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model from labelled rows; null labels are left out."""
-    y = F.col(label_col).cast("int")
-    totals = {r[0]: r[1] for r in labelled.where(y.isin(0, 1)).groupBy(y).count().collect()}
+def learn(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: tuple[int, int] = SAMPLE
+) -> Model:
+    """A model from the rows of ``docs`` that have a label 0 or 1; contradicting labels count as 1.
+
+    The sample is chosen among ids alone, twice as many as asked for since some
+    texts are too long; only the chosen rows' texts are then fetched, by a
+    broadcast of at most twice ``sample`` ids.
+    """
+    y = labels.where(F.col(label_col).cast("int").isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    totals = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(totals.values())
     share = totals.get(1, 0) / total if total else 0.0
-    picked = []
-    for kind, most in ((1, sample[0]), (0, sample[1])):
-        own = labelled.where((y == kind) & (F.length(text_col) <= SAMPLE_CHARS))
-        rows = own.select(F.xxhash64(F.col(id_col)).alias("o"), F.xxhash64(text_col).alias("p"), F.col(text_col).alias("t"))
-        ids = rows.select("o", "p").orderBy("o", "p").limit(most)  # bounded by ``most``
-        last = ids.agg(F.max("o")).first()[0]
-        got = rows.where(F.col("o") <= last).orderBy("o", "p").limit(most).collect() if last is not None else []
-        picked.append([r["t"].encode() for r in got])
+    order = F.xxhash64("i")
+    wanted = {r["i"]: kind for kind, most in ((1, sample[0]), (0, sample[1])) for r in y.where(F.col("y") == kind).orderBy(order, "i").limit(2 * most).collect()}
+    if not wanted:
+        return constant(share)
+    chosen = docs.sparkSession.createDataFrame(list(wanted.items()), "i long, y int")
+    rows = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    got = rows.join(F.broadcast(chosen), "i").select(order.alias("o"), "i", "y", "t").collect()
+    got.sort(key=lambda r: (r["o"], r["i"], r["t"]))
+    picked = [[r["t"].encode() for r in got if r["y"] == kind][:most] for kind, most in ((1, sample[0]), (0, sample[1]))]
     if min(map(len, picked)) < 8:
         return constant(share)
     return fit(*picked, share)
