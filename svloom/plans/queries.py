@@ -269,8 +269,8 @@ def fn_best_seqsim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {SEQUENCES}, l AS (SELECT id, seq, list_distinct(string_split(seq, '')) AS d FROM sq WHERE seq <> ''),
 f AS (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM sq WHERE seq <> ''),
-c AS (SELECT id, substr(seq, CAST(i AS BIGINT), 1) AS ch, min(i) AS at, count(*) AS n, max(length(seq)) AS len FROM f GROUP BY 1, 2),
-t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at) AS k FROM c)
+c AS (SELECT id, substr(seq, CAST(i AS BIGINT), 1) AS ch, min(i) AS pos, count(*) AS n, max(length(seq)) AS len FROM f GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM c)
 SELECT sq.id, CAST(floor((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) * 100 / CAST(length(seq) AS DOUBLE)) AS INT) AS gcpct, e.lcr,
   reverse(translate(seq, 'ATCG', 'TAGC')) AS revcomp
 FROM sq JOIN (SELECT id, round(sum(-(n / CAST(len AS DOUBLE)) * ln(n / CAST(len AS DOUBLE)) / ln(4.0)), 6) AS lcr FROM t WHERE k <= 4 GROUP BY id) e ON sq.id = e.id WHERE seq <> ''"""

@@ -77,7 +77,7 @@ def read_fasta(spark: SparkSession, path: str, tile: int = 100_000) -> DataFrame
 
 def fetch(spans: DataFrame, tiles: DataFrame, tile: int = 100_000, by: str = "id") -> DataFrame:
     """The sequence of each span (by, chrom, start, end), pieced together from the tiles it touches."""
-    need = spans.select(by, "chrom", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / tile))).cast("int").alias("tile"))
+    need = spans.select(by, "chrom", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / tile).cast("int"), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / tile).cast("int"))).alias("tile"))
     t = tiles.withColumnRenamed("start", "t0")
     part = F.substring(F.col("seq"), (F.greatest("s", "t0") - F.col("t0")).cast("int") + 1, (F.least(F.col("e"), F.col("t0") + F.length("seq")) - F.greatest("s", "t0")).cast("int"))
     pieces = need.join(t, ["chrom", "tile"]).select(by, "tile", part.alias("part"))
