@@ -11,26 +11,23 @@ from ..functions.variants import sv_size, sv_type
 from . import intervals
 
 
-def numbered(df: DataFrame, order: list[str], by: list[str] = (), name: str = "n") -> DataFrame:
-    """Numbers rows from 0 in the order given, without one task that sorts them all.
+def numbered(df: DataFrame, group: str, at: str, order: list[str] = (), name: str = "n", span: int = intervals.ISLAND_SPAN) -> DataFrame:
+    """Numbers rows from 0 by group, place and ``order``, without one task that sorts them all.
 
-    Rows are range-partitioned and sorted; a table of one row per partition
+    Rows are numbered within spans of the place; a table of one row per span
     carries the counts before it.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order) if not by else df
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return spread.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    tagged = spread.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    tagged = tagged.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = tagged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__past", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    return tagged.join(before, "__part").withColumn(name, F.col("__at") + F.col("__past")).drop("__part", "__at", "__past")
+    spread = df.withColumn("__span", F.floor(F.col(at) / span))
+    sizes = spread.groupBy(F.col(group).alias("__g"), F.col("__span").alias("__s")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__past", F.sum("__n").over(Window.orderBy("__g", "__s")) - F.col("__n")).drop("__n")
+    inner = F.row_number().over(Window.partitionBy(group, "__span").orderBy(at, *order))
+    joined = spread.withColumn("__at", inner).join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__span") == F.col("__s")))
+    return joined.withColumn(name, F.col("__past") + F.col("__at") - 1).drop("__span", "__g", "__s", "__past", "__at")
 
 
 def add_id(calls: DataFrame) -> DataFrame:
     """Ids of the chrom without its prefix and the running number in hexadecimal."""
-    n = numbered(calls, ["chrom", "start", "id"])
+    n = numbered(calls, "chrom", "start", ["id"])
     return n.withColumn("new_id", F.concat(F.regexp_replace("chrom", "^chr", ""), F.lit("0x"), F.lower(F.hex("n")))).drop("n")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as iv
 from ..functions import sequences as sq
 from ..functions.genotypes import alt_count, genotype, is_present
-from ..functions.variants import is_filtered, is_monref_or_star, is_single_bnd
+from ..functions.variants import bnd_direction, bnd_mate, decomposed, is_filtered, is_monref_or_star, is_single_bnd
 from ..params import Params
 from .intervals import with_islands
 
@@ -78,29 +78,39 @@ def same_type(b: Column, c: Column, p: Params) -> Column:
     return kind(b) == kind(c)
 
 
-def _bnd(p: Params) -> tuple[Column, Column, Column, Column]:
-    """State, score and the two distances of a pair of breakends."""
+def _bnd(p: Params, b: dict[str, Column], c: dict[str, Column]) -> Column:
+    """Struct of state, score, st_dist and ed_dist of two breakends: dicts of chrom, pos, chrom2, pos2, direction, strand, ci."""
     d = p.bnddist
 
-    def ci(x: str) -> Column:
-        # the second bound of either confidence interval widens both sides
-        return F.coalesce(F.abs(F.get(F.col(f"{x}.ci"), F.lit(1))), F.lit(0))
-
-    def near(a: Column, b: Column) -> Column:
-        return iv.overlaps(a - d - ci("b"), a + d + ci("b"), b - d - ci("c"), b + d + ci("c"))
-
-    st = F.col("b.pos") - F.col("c.pos")
-    ed = F.col("b.pos2") - F.col("c.pos2")
-    ok = (
-        (F.col("b.chrom") == F.col("c.chrom"))
-        & near(F.col("b.pos"), F.col("c.pos"))
-        & (F.col("b.chrom2") == F.col("c.chrom2"))
-        & near(F.col("b.pos2"), F.col("c.pos2"))
-        & (F.col("b.direction") == F.col("c.direction"))
-        & (F.col("b.strand") == F.col("c.strand"))
-    )
+    def ci(x: dict[str, Column]) -> Column:
+        # the second bound of the confidence interval widens both sides
+        return F.coalesce(F.abs(F.get(x["ci"], F.lit(1))), F.lit(0))
+
+    def near(at: str) -> Column:
+        return iv.overlaps(b[at] - d - ci(b), b[at] + d + ci(b), c[at] - d - ci(c), c[at] + d + ci(c))
+
+    st, ed = b["pos"] - c["pos"], b["pos2"] - c["pos2"]
+    ok = (b["chrom"] == c["chrom"]) & near("pos") & (b["chrom2"] == c["chrom2"]) & near("pos2") & (b["direction"] == c["direction"]) & (b["strand"] == c["strand"])
     score = F.greatest(F.lit(0.0), (1 - ((F.abs(st) + F.abs(ed)) / 2) / (d * 2)) * 100) if d > 0 else F.lit(0.0)
-    return F.coalesce(ok, F.lit(False)), F.when(ok, score), st, F.when(F.col("b.chrom2") == F.col("c.chrom2"), ed)
+    ok = F.coalesce(ok, F.lit(False))
+    return F.struct(ok.alias("state"), F.when(ok, score).alias("score"), st.alias("st_dist"), F.when(b["chrom2"] == c["chrom2"], ed).alias("ed_dist"))
+
+
+def _ends(x: str) -> dict[str, Column]:
+    return {n: F.col(f"{x}.{n}") for n in ("chrom", "pos", "chrom2", "pos2", "direction", "strand", "ci")}
+
+
+def _taken_apart(call: str, bnd: str, p: Params, call_first: bool) -> Column:
+    """The best match of one of a call's own breakends with a breakend of the other side."""
+    parts = decomposed(F.col(f"{call}.chrom"), F.col(f"{call}.pos"), F.col(f"{call}.end"), F.col(f"{call}.svtype"))
+
+    def one(part: Column) -> Column:
+        mate, turn = bnd_mate(part["alt"]), bnd_direction(part["alt"])
+        own = {"chrom": F.col(f"{call}.chrom"), "pos": part["pos"], "chrom2": mate["chrom2"], "pos2": mate["pos2"], "direction": turn["direction"], "strand": turn["strand"], "ci": F.col(f"{call}.ci")}
+        return _bnd(p, own, _ends(bnd)) if call_first else _bnd(p, _ends(bnd), own)
+
+    # structs compare by state, then score
+    return F.array_max(F.transform(parts, one))
 
 
 def compared(paired: DataFrame, p: Params) -> DataFrame:
@@ -130,7 +140,7 @@ def compared(paired: DataFrame, p: Params) -> DataFrame:
     cheap = F.col("type_ok") & F.col("near") & (F.col("sizesim") >= _threshold(p.pctsize, p, F.col("least"))) & (F.col("ovlpct") >= p.pctovl)
     first = first.withColumn("cheap", F.coalesce(cheap, F.lit(False)))
     if p.short_circuit:
-        first = first.where(F.col("cheap") | ((b("svtype") == "BND") & (c("svtype") == "BND"))) if "pos2" in cols else first.where("cheap")
+        first = first.where(F.col("cheap") | (b("svtype") == "BND") | (c("svtype") == "BND")) if "pos2" in cols else first.where("cheap")
     if p.pctseq > 0 and {"ref", "alt"} <= cols:
 
         def allele(x: str) -> Column:
@@ -150,11 +160,14 @@ def compared(paired: DataFrame, p: Params) -> DataFrame:
     out = first.withColumn("seqsim", seqsim).withColumns({"state": F.col("cheap") & seq_ok, "st_dist": st, "ed_dist": ed})
     out = out.withColumn("score", (F.col("seqsim") + F.col("sizesim") + F.col("ovlpct")) / 3 * 100)
     if {"pos", "pos2", "direction", "strand", "ci"} <= cols:
-        ok, score, bst, bed = _bnd(p)
-        both, either = (b("svtype") == "BND") & (c("svtype") == "BND"), (b("svtype") == "BND") | (c("svtype") == "BND")
-        for name, got in (("state", ok), ("score", score), ("st_dist", bst), ("ed_dist", bed)):
-            other = F.lit(False) if name == "state" else F.lit(None)
-            out = out.withColumn(name, F.when(both, got).when(either, other).otherwise(F.col(name)))
+        b_bnd, c_bnd = b("svtype") == "BND", c("svtype") == "BND"
+        both, either = b_bnd & c_bnd, b_bnd | c_bnd
+        got = F.when(both, _bnd(p, _ends("b"), _ends("c")))
+        if p.decompose:
+            got = got.when(c_bnd, _taken_apart("b", "c", p, True)).when(b_bnd, _taken_apart("c", "b", p, False))
+        out = out.withColumn("__bnd", got)
+        for name in ("state", "score", "st_dist", "ed_dist"):
+            out = out.withColumn(name, F.when(either, F.col(f"__bnd.{name}")).otherwise(F.col(name)))
         for name in ("seqsim", "sizesim", "ovlpct", "sizediff"):
             out = out.withColumn(name, F.when(~either, F.col(name)))
     if "alleles" in cols and not p.skip_gt:

@@ -193,7 +193,21 @@ def test_remap_and_masker(spark):
     assert [(r.id, r.repeat) for r in an.repeat_hits(rm).collect()] == [(1, "x")]
 
 
-def test_numbering_is_global(spark):
-    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1009).alias("k"))
-    got = {r.k: r.n for r in an.numbered(df, ["k"]).collect()}
-    assert [got[k] for k in sorted(got)] == list(range(1000))
+@pytest.mark.parametrize("span", [10, 10_000])
+def test_numbering_is_global(spark, span):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 3).cast("string").alias("g"))
+    rows = an.numbered(df, "g", "k", ["id"], span=span).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (r.g, r.k, r.id))] == list(range(1000))
+
+
+def test_breakends_match_decomposed_calls(spark):
+    cols = CALLS + ", ref string, alt string, chrom2 string, pos2 long, direction string, strand string, ci array<int>"
+    deletion = (1, "a", 100, 600, 101, "DEL", 500, [0, 1], "N", "<DEL>", None, None, None, None, None)
+    bnd = (2, "a", 110, 111, 111, "BND", 0, [0, 1], "N", "N[a:610[", "a", 610, "left", "direct", None)
+    far = (3, "a", 400, 401, 401, "BND", 0, [0, 1], "N", "N[a:610[", "a", 610, "left", "direct", None)
+    b = spark.createDataFrame([deletion], cols)
+    p = Params(pctseq=0)
+    got = {r.cid: (r.state, r.st_dist, r.ed_dist) for r in bn.bench(b, spark.createDataFrame([bnd, far], cols), p).matches.collect()}
+    assert got[2] == (True, -10, -9) and got[3][0] is False
+    off = bn.bench(b, spark.createDataFrame([bnd], cols), p.but(decompose=False)).matches.first()
+    assert off.state is False

@@ -79,3 +79,20 @@ def test_result_folder(spark, path, tmp_path):
     s = sinks.write_bench(b, str(tmp_path / "res"))
     assert s["tp_base"] == 1 and s["precision"] == 1.0
     assert sinks.read_states(spark, str(tmp_path / "res")).where(F.col("verdict") == "tp").count() == 1
+
+
+def test_commands(spark, path, tmp_path, capsys):
+    from svloom.__main__ import main
+
+    assert main(["version"]) == 0
+    assert main(["vcf2df", path, "-o", str(tmp_path / "flat"), "--info"]) == 0
+    assert spark.read.parquet(str(tmp_path / "flat")).count() == 3
+    assert main(["bench", "-b", path, "-c", path, "-o", str(tmp_path / "b"), "--pctseq", "0"]) == 0
+    states = sinks.read_states(spark, str(tmp_path / "b"))
+    assert {(r.svtype, r.verdict) for r in states.select("svtype", "verdict").collect()} == {("DEL", "tpbase"), ("DEL", "tp"), ("BND", "tpbase"), ("BND", "tp")}
+    bed = tmp_path / "s.bed"
+    bed.write_text("chr1\t0\t900\n")
+    assert main(["stratify", str(bed), str(tmp_path / "b"), "-o", str(tmp_path / "s")]) == 0
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "s")).first().tpbase == "2"
+    assert main(["anno", "numneigh", path, "-o", str(tmp_path / "n")]) == 0
+    assert main(["consistency", path, path, "-o", str(tmp_path / "c")]) == 0
