@@ -61,12 +61,22 @@ class Complements:
                     return (a, *rest)
         return None
 
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """At most ``most`` lengths that fill the gap, the fewest that can."""
+        return self.single(gap) or (self.pair(gap) if most > 1 else None) or (self.triple(gap) if most > 2 else None)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence's pieces, number of such sequences), for lengths 1..capacity with their counts."""
+    """(lengths of a sequence's pieces, number of such sequences), for lengths 1..capacity with their counts.
+
+    Filling a gap with two or three short pieces can leave too few of these for
+    the rest, so plans that use up to one, two and three are made, and the one
+    with the fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         have[size] = n
@@ -79,7 +89,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     for size in range(capacity - 1, 0, -1):
         while c.left[size]:
             c.left[size] -= 1
-            mates = c.exact(capacity - size)
+            mates = c.exact(capacity - size, most)
             c.left[size] += 1
             if mates is None:
                 stay[size] = int(c.left[size])
