@@ -142,10 +142,18 @@ def marks_of(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     n, m = len(toxic), len(ordinary)
+    # most fragments are in one text only: small counters by hash keep these from being stored
+    mask = (1 << 24) - 1
+    often = np.zeros(mask + 1, np.uint8)
+    for t in toxic:
+        at = np.unique(np.fromiter((hash(g) & mask for g in _grams(t)), np.int64))
+        often[at] = np.minimum(often[at] + 1, 3)
     held: dict[bytes, list[int]] = {}
     for i, t in enumerate(toxic):
         for g in _grams(t):
-            held.setdefault(g, []).append(i)
+            if often[hash(g) & mask] >= 3:
+                held.setdefault(g, []).append(i)
+    del often
     b: Counter = Counter()
     some = {g for g, at in held.items() if len(at) >= 3}
     for t in ordinary:
