@@ -107,9 +107,6 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(col).alias("max"))
 
 
-MIMS_FEATURES = ("svtype", "szbin", "TRF", "NumNeighbors", "SRMAPQ")
-
-
 def tandem_features(df: DataFrame) -> DataFrame:
     """Bins that the tandem-repeat preset stratifies by: type, size bin, repeat flag, neighbours up to 4 or more."""
     from ..functions.variants import size_bin
