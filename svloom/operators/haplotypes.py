@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reachable
 from . import intervals
 
 
@@ -140,6 +141,7 @@ def harmonise(calls: DataFrame, loci_: DataFrame, aligner: str = "affine", dedup
     alleles; a locus that fails gives one row with its error instead.  Equal
     haplotypes of a locus are aligned once.
     """
+    reachable(calls.sparkSession)
     rows = calls.groupBy("locus").agg(F.collect_list(F.struct("start", "ref", "alt", "sample", "alleles")).alias("calls"))
     table = loci_.select("locus", "chrom", F.col("start").alias("l_start"), "seq").join(rows, "locus")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 
 def equal_width(df: DataFrame, col: str, bins: int, name: str | None = None) -> DataFrame:
     """The number (0-based) of the equal-width bin between the column's extremes."""
@@ -49,6 +51,7 @@ def permutation(scores: DataFrame, feature: str, n_perm: int = 10_000, tail: str
     Runs on the table of strata, which the features' values bound, one value
     per group.
     """
+    reachable(scores.sparkSession)
     total = scores.agg(F.array_sort(F.collect_list("rank")).alias("__all"))
     groups = scores.groupBy(feature).agg(F.collect_list("rank").alias("mine"), F.sum("obs").alias("obs"), (F.sum("hits") / F.sum("obs")).alias("acc")).join(F.broadcast(total))
 
