@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 #: Rows in one Arrow batch handed to Python; with texts of a few KB a batch stays at some MB.
 BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, whichever limit comes first.
@@ -19,7 +21,8 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for two Python workers beside a small heap."""
+    """Keep Arrow batches small enough for two Python workers beside a small heap, and the package importable there."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
