@@ -14,6 +14,10 @@ from svloom.llm.common import table, written
 from svloom.llm.queries import toxicity_model
 
 
+#: Jaccard similarity of five-word shingles from which on texts are copies.
+NEAR = 0.8
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity_model(spark, sf_dir))
 
@@ -23,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(docs, similarity=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, jaccard
 from .common import arrow_map, text_of, tune, utf8, written
 
 BITS = 64
@@ -264,17 +264,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
+def joined_texts(docs: DataFrame, prints: DataFrame, text_col: str, radius: int, tile: int, similarity: float) -> DataFrame:
+    """(row_key, root): texts joined by fingerprints within the radius or by a Jaccard similarity of their five-word shingles."""
+    lead = written(prints.groupBy("fp").agg(F.min("row_key").alias("lead")), "leads")
+    same = prints.join(lead, "fp").where("row_key != lead").select(F.col("row_key").alias("u"), F.col("lead").alias("v"))
+    links = near_links(lead.select("fp"), radius, tile)
+    u, v = (lead.select(F.col("fp").alias(n), F.col("lead").alias(f"lead_{n}")) for n in "uv")
+    links = links.join(u, "u").join(v, "v").select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
+    body = text_of(text_col)
+    texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text")).dropDuplicates(["node"])
+    return jaccard.joined(texts, same.union(links), similarity).select(F.col("node").alias("row_key"), "root")
+
+
+def near_or_similar(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """As ``near_duplicates``, with texts of at least ``similarity`` linked too."""
+    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    roots = joined_texts(docs, prints, text_col, radius, tile, similarity)
+    rooted = written(prints.join(roots, "row_key", "left").withColumn("root", F.coalesce("root", "row_key")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(lowest, "root").select("doc_id", "row_key", "fp", "component_id")
+
+
 def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id.
 
+    With ``similarity``, texts whose five-word shingles have that Jaccard
+    similarity are linked as well, however many bits differ.
     Rows without an id can't be told apart by it, and all stay; of rows with
     the same id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle)
+    found = near_duplicates(docs, id_col, text_col, radius, shingle) if similarity is None else near_or_similar(docs, id_col, text_col, radius, shingle, similarity)
     keep = written(
         found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("row_key").alias("__row"), F.count("*").alias("same")),
         "stay",
