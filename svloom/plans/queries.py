@@ -639,7 +639,7 @@ def stratp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stratp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation tests of strata; the random draws have no SQL form."""
-    return stats.stratp(_strata(spark, sf_dir), ["f1", "f2"], F.col("ok"), n_perm=1000)
+    return stats.stratp(_strata(spark, sf_dir), ["f1", "f2"], F.col("ok"))
 
 
 @query(
