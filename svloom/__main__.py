@@ -17,6 +17,7 @@ from .operators import intervals, matching, sets, stats
 from .params import Params
 from .session import session
 from .sources import regions, sinks, vcf
+from .storage import release, stored
 
 VERSION = "0.1.0"
 
@@ -54,7 +55,7 @@ def consistency(spark, a) -> None:
     for k, path in enumerate(a.inputs):
         one = vcf.raw_keys(spark, path, k)
         keys = one if keys is None else keys.unionByName(one)
-    found = sets.presence(keys, n_files=len(a.inputs), no_dups=not a.keep_dups).persist()
+    found = stored(sets.presence(keys, n_files=len(a.inputs), no_dups=not a.keep_dups), "presence")
     sinks.write_tsv(sets.consistency(found, len(a.inputs)), a.output)
     sets.per_file(found, len(a.inputs)).show()
 
@@ -89,7 +90,7 @@ def _by_sample(calls: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def phab(spark, a) -> None:
-    loci = _loci(spark, a).persist()
+    loci = stored(_loci(spark, a), "loci")
     calls = None
     for k, path in enumerate(a.inputs):
         one = _by_sample(ha.eligible(_calls(spark, path), loci, a.maxsize, a.passonly), f"{k}:" if k else "")
@@ -99,24 +100,27 @@ def phab(spark, a) -> None:
 
 def refine(spark, a) -> None:
     """Harmonises the regions of a comparison that ask for it and compares them anew."""
-    states = sinks.read_states(spark, a.input).persist()
+    states = sinks.read_states(spark, a.input)
     names = ("tpbase", "tp", "fn", "fp")
     bed = regions.read_intervals(spark, a.regions).drop("fields")
     counted = sets.stratify(states, bed)
-    before = ha.needs_refinement(counted.select("region_id", "chrom", "start", "end", *[F.col(n).alias(f"in_{n}") for n in names])).persist()
+    before = stored(ha.needs_refinement(counted.select("region_id", "chrom", "start", "end", *[F.col(n).alias(f"in_{n}") for n in names])), "before")
     chosen = before.where("refined").select("chrom", "start", "end")
     loci = ha.loci(chosen, a.buffer)
     seq = regions.fetch(loci.withColumnRenamed("locus", "id"), regions.read_fasta(spark, a.reference)).withColumnRenamed("id", "locus")
-    loci = loci.join(seq, "locus").persist()
+    loci = stored(loci.join(seq, "locus"), "loci")
     calls = ha.eligible(states.withColumn("is_filtered", F.lit(False)), loci).select("locus", "start", "ref", "alt", F.col("side").alias("sample"), "alleles")
-    fresh = ha.harmonise(calls, loci, a.align).where("error is null").persist()
+    made = stored(ha.harmonise(calls, loci, a.align), "harmonised")
+    for r in made.where("error is not null").groupBy("error").agg(F.count_distinct("locus").alias("n")).orderBy(F.desc("n")).limit(20).collect():
+        print(f"{r['n']} loci keep their counts, as they could not be harmonised: {r['error']}", file=sys.stderr)
+    fresh = made.where("error is null")
     end = F.col("start") + F.length("ref")
     rows = fresh.select("chrom", "start", end.alias("end"), (F.col("start") + 1).alias("pos"), "ref", "alt", "alleles", "sample")
     rows = rows.withColumns({"svtype": F.when(F.length("ref") > F.length("alt"), "DEL").otherwise("INS"), "svlen": F.abs(F.length("ref") - F.length("alt")).cast("long")})
     rows = rows.withColumn("id", F.xxhash64("chrom", "start", "ref", "alt")).where("exists(alleles, x -> x = 1)")
     again = bn.bench(rows.where("sample = 'base'").drop("sample"), rows.where("sample = 'comp'").drop("sample"), Params(no_ref="a", short_circuit=True, sizemin=a.sizemin, sizefilt=a.sizemin))
     after = sets.stratify(again.states(), bed.select("region_id", "chrom", F.greatest(F.col("start") - a.buffer, F.lit(0)).alias("start"), (F.col("end") + a.buffer).alias("end")))
-    done = ha.refined_counts(before, after).persist()
+    done = stored(ha.refined_counts(before, after), "refined")
     sinks.write_tsv(done, f"{a.output}/regions")
     print(json.dumps(sinks.write_json(bn.region_report(done), f"{a.output}/report"), indent=1, default=str))
 
@@ -198,7 +202,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.run is None:
         print(VERSION)
         return 0
-    a.run(session(), a)
+    spark = session()
+    a.run(spark, a)
+    release(spark)
     return 0
 
 

@@ -8,37 +8,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 minus the edit distance over the summed lengths."""
+def similarity(a: Column, b: Column, least: float | None = None) -> Column:
+    """1 minus the edit distance over the summed lengths.
+
+    With ``least``, distances are only followed as far as such a similarity
+    allows, and what falls short of it is 0.
+    """
     x, y = F.upper(a), F.upper(b)
     total = F.length(x) + F.length(y)
-    return F.try_divide(total - F.levenshtein(x, y), total)
+    if least is None:
+        return F.try_divide(total - F.levenshtein(x, y), total)
+    furthest = F.ceil(total * (1 - least)).cast("int")
+    d = F.call_function("levenshtein", x, y, furthest)
+    return F.when(d < 0, 0.0).otherwise(F.try_divide(total - d, total))
 
 
 def smallest_rotation(seq: Column) -> Column:
-    n = F.length(seq)
-    turns = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.concat(seq, seq), i, n))
-    return F.array_min(turns)
+    """The first of a sequence's rotations in order; holds two of them at a time."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)))
+    # what each step needs is in the accumulator, so that it is computed once
+    begin = F.struct(seq.alias("best"), F.concat(seq, seq).alias("twice"), F.length(seq).alias("n"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.struct(F.least(acc["best"], F.substring(acc["twice"], i, acc["n"])).alias("best"), acc["twice"].alias("twice"), acc["n"].alias("n"))
+
+    return F.aggregate(starts, begin, step, lambda acc: acc["best"])
 
 
-def rolled_similarity(a: Column, b: Column) -> Column:
-    return similarity(smallest_rotation(F.upper(a)), smallest_rotation(F.upper(b)))
+def rolled_similarity(a: Column, b: Column, least: float | None = None) -> Column:
+    return similarity(smallest_rotation(F.upper(a)), smallest_rotation(F.upper(b)), least)
 
 
-def unrolled_similarity(a: Column, b: Column, shift: Column) -> Column:
+def unrolled_similarity(a: Column, b: Column, shift: Column, least: float | None = None) -> Column:
     """Similarity of ``a`` to ``b`` turned right by ``shift``."""
     n = F.length(b)
     f = F.when(n > 0, F.pmod(shift, F.greatest(n, F.lit(1)))).otherwise(F.lit(0))
     turned = F.concat(F.substring(b, n - f + 1, f), F.substring(b, F.lit(1), n - f))
-    return similarity(a, turned)
+    return similarity(a, turned, least)
 
 
-def best_similarity(a: Column, b: Column, distance: Column, roll_below: int = 500) -> Column:
+def best_similarity(a: Column, b: Column, distance: Column, roll_below: int = 500, least: float | None = None) -> Column:
     """The best of direct, unrolled either way from either side, and (for short sequences) rolled."""
-    ways = [unrolled_similarity(a, b, distance), unrolled_similarity(a, b, -distance)]
-    ways += [unrolled_similarity(b, a, distance), unrolled_similarity(b, a, -distance)]
+    ways = [unrolled_similarity(a, b, distance, least), unrolled_similarity(a, b, -distance, least)]
+    ways += [unrolled_similarity(b, a, distance, least), unrolled_similarity(b, a, -distance, least)]
     short = (F.length(a) < roll_below) & (F.length(b) < roll_below)
-    return F.greatest(similarity(a, b), *ways, F.when(short, rolled_similarity(a, b)).otherwise(F.lit(0.0)))
+    return F.greatest(similarity(a, b, least), *ways, F.when(short, rolled_similarity(a, b, least)).otherwise(F.lit(0.0)))
 
 
 def gc_percent(seq: Column) -> Column:

@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
+from ..storage import stored
 from . import intervals, matching
 from .pick import PICKERS
 
 
-@dataclass
 class Bench:
-    """Plans of one comparison; ``picked`` has one row per call, in a base or comp state."""
-
-    chunked: DataFrame
-    matches: DataFrame
-    picked: DataFrame
-    params: Params
+    """One comparison.  Its tables are made when they are first asked for, and stored, as several outputs read them."""
+
+    def __init__(self, calls: DataFrame, params: Params, own_regions: DataFrame | None = None):
+        self.calls, self.params, self._own = calls, params, own_regions
+
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        return matching.with_chunks(self.calls, self.params)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        """The match table: a row for each pair that was compared."""
+        return stored(matching.compared(matching.pairs(self._blocks, self.params), self.params), "matches")
+
+    @cached_property
+    def picked(self) -> DataFrame:
+        """One row per call that was compared, in a base or comp state."""
+        return stored(PICKERS[self.params.pick](self.matches), "picked")
+
+    @cached_property
+    def chunked(self) -> DataFrame:
+        """The calls that count, with their blocks; with widened regions, unmatched comp calls outside the regions as given are left out."""
+        if self._own is None:
+            return self._blocks
+        unmatched = self._blocks.where("side = 'comp'").join(self.picked.where("state").select("side", "id"), ["side", "id"], "left_anti")
+        inside = _inside(unmatched, self._own)
+        gone = unmatched.select("side", "id").join(inside.select("side", "id"), ["side", "id"], "left_anti")
+        return stored(self._blocks.join(gone, ["side", "id"], "left_anti"), "counted")
 
     def states(self) -> DataFrame:
         """Every call with its verdict: tpbase, fn, tp or fp.
@@ -96,17 +118,7 @@ def bench(base: DataFrame, comp: DataFrame, params: Params | None = None, region
         calls = inside_own.unionByName(_inside(calls.where("side = 'comp'"), wide))
     else:
         calls = calls.join(base.select("chrom").distinct(), "chrom", "left_semi")
-    # every output reads these; they spill to disk, and lost blocks are recomputed
-    chunked = matching.with_chunks(calls, p).persist()
-    matches = matching.compared(matching.pairs(chunked, p), p).persist()
-    picked = PICKERS[p.pick](matches).persist()
-    out = Bench(chunked, matches, picked, p)
-    if regions is not None and extend:
-        unmatched = chunked.where("side = 'comp'").join(picked.where("state").select("side", "id"), ["side", "id"], "left_anti")
-        inside = _inside(unmatched, own)
-        gone = unmatched.select("side", "id").join(inside.select("side", "id"), ["side", "id"], "left_anti")
-        out.chunked = chunked.join(gone, ["side", "id"], "left_anti")
-    return out
+    return Bench(calls, p, own if regions is not None and extend else None)
 
 
 def _inside(calls: DataFrame, regions: DataFrame) -> DataFrame:

@@ -28,21 +28,31 @@ def haplotype(reference: str, start: int, calls: list[tuple[int, str, str]]) ->
 def align(query: str, reference: str, match: int = 2, mismatch: int = -4, gap_open: int = -6, gap: int = -1) -> tuple[str, str]:
     """Global alignment with affine gaps: both sequences with gaps as dashes.
 
-    Rows are vectors: gaps along the row come from a running maximum, so the
-    work is one pass of numpy operations per query base.
+    Common ends are set aside, which keeps the best score.  Rows of the rest
+    are vectors: gaps along the row come from a running maximum, so the work is
+    one pass of numpy operations per query base.  Only every so many rows are
+    kept; the steps of the rows between are worked out again on the way back,
+    so memory grows with the reference's length times the root of the query's.
     """
+    head = next((i for i, (x, y) in enumerate(zip(query, reference, strict=False)) if x != y), min(len(query), len(reference)))
+    most = min(len(query), len(reference)) - head
+    tail = next((i for i in range(most) if query[-1 - i] != reference[-1 - i]), most)
+    q, r = query[head : len(query) - tail], reference[head : len(reference) - tail]
+    a, b = _aligned(q, r, match, mismatch, gap_open, gap) if q and r else (q + "-" * len(r), "-" * len(q) + r)
+    end = query[len(query) - tail :]
+    return query[:head] + a + end, reference[:head] + b + end
+
+
+def _aligned(query: str, reference: str, match: int, mismatch: int, gap_open: int, gap: int) -> tuple[str, str]:
     n, m = len(query), len(reference)
     q, r = np.frombuffer(query.encode(), np.uint8), np.frombuffer(reference.encode(), np.uint8)
     low = -(10**8)
     j = np.arange(m + 1)
-    h = np.where(j == 0, 0, gap_open + gap * j).astype(np.int64)
-    down = np.full(m + 1, low, np.int64)
-    back = np.zeros((n + 1, m + 1), np.uint8)  # 1 diagonal, 2 down, 3 along; +4 down extends; +8 along extends
-    back[0, 1:] = 3 + 8
-    for i in range(1, n + 1):
+
+    def row(i: int, h: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of row i from those before it, and its steps: 1 diagonal, 2 down, 3 along; +4 down extends; +8 along extends."""
         opened, extended = h + gap_open + gap, down + gap
         down = np.maximum(opened, extended)
-        ext_down = extended > opened
         diag = np.full(m + 1, low, np.int64)
         diag[1:] = h[:-1] + np.where(q[i - 1] == r, match, mismatch)
         best = np.maximum(diag, down)
@@ -52,31 +62,42 @@ def align(query: str, reference: str, match: int = 2, mismatch: int = -4, gap_op
         along[1:] = run[:-1] + gap_open + gap * j[1:]
         new = np.maximum(best, along)
         code = np.where(new == diag, 1, np.where(new == down, 2, 3)).astype(np.uint8)
-        ext_along = np.zeros(m + 1, bool)
-        ext_along[1:] = along[1:] != best[:-1] + gap_open + gap
-        back[i] = code + 4 * ext_down + 8 * ext_along
-        h = new
+        code += 4 * (extended > opened).astype(np.uint8)
+        code[1:] += 8 * (along[1:] != best[:-1] + gap_open + gap).astype(np.uint8)
+        return new, down, code
+
+    every = max(1, int(n**0.5))
+    h, down = np.where(j == 0, 0, gap_open + gap * j).astype(np.int64), np.full(m + 1, low, np.int64)
+    kept = []
+    for i in range(1, n + 1):
+        if (i - 1) % every == 0:
+            kept.append((h.astype(np.int32), down.astype(np.int32)))
+        h, down, _ = row(i, h, down)
     a, b = [], []
-    i, k = n, m
-    state = 0
+    i, k, state, codes, first = n, m, 0, [], n + 1
     while i or k:
-        code = int(back[i, k])
-        way = state or (code & 3)
-        if i == 0:
-            way = 3
-        elif k == 0:
-            way = 2
+        if i and i < first:
+            block = (i - 1) // every
+            first = block * every + 1
+            h, down = (x.astype(np.int64) for x in kept[block])
+            codes = []
+            for x in range(first, i + 1):
+                h, down, code = row(x, h, down)
+                codes.append(code)
+        code = int(codes[i - first][k]) if i else 3 + 8
+        way = 3 if i == 0 else 2 if k == 0 else state or (code & 3)
         if way == 1:
-            a.append(query[i - 1]); b.append(reference[k - 1])  # noqa: E702
             i, k, state = i - 1, k - 1, 0
+            a.append(query[i])
+            b.append(reference[k])
         elif way == 2:
-            a.append(query[i - 1]); b.append("-")  # noqa: E702
-            state = 2 if code & 4 else 0
-            i -= 1
+            i, state = i - 1, 2 if code & 4 else 0
+            a.append(query[i])
+            b.append("-")
         else:
-            a.append("-"); b.append(reference[k - 1])  # noqa: E702
-            state = 3 if code & 8 else 0
-            k -= 1
+            k, state = k - 1, 3 if code & 8 else 0
+            a.append("-")
+            b.append(reference[k])
     return "".join(reversed(a)), "".join(reversed(b))
 
 
@@ -161,7 +182,7 @@ def harmonise(calls: DataFrame, loci_: DataFrame, aligner: str = "affine", dedup
                     for (sample, copy), own in sorted(haps.items()):
                         h = haplotype(seq, int(l_start), own)
                         if h not in seen or not dedup:
-                            seen[h] = alignment_variants(*ALIGNERS[aligner](h, seq), int(l_start)) if h != seq else []
+                            seen[h] = alignment_variants(*ALIGNERS[aligner](h, seq), int(l_start), seq[:1] or "N") if h != seq else []
                         for var in seen[h]:
                             found.setdefault(var, {}).setdefault(sample, [0, 0])[copy] = 1
                     samples = sorted({s for s, _ in haps})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Width of the bins that a range join equates on.
 BIN = 10_000
 #: Intervals over more bins than this are joined on levels of wider bins.
@@ -23,7 +25,7 @@ def with_islands(
     island: str = "island",
     touching: bool = True,
     order: list[str] = (),
-    span: int = ISLAND_SPAN,
+    span: int | None = ISLAND_SPAN,
 ) -> DataFrame:
     """Numbers the transitively connected runs of intervals within each ``by`` group, from 1.
 
@@ -32,8 +34,14 @@ def with_islands(
 
     A group is not one task: rows are windowed within spans of ``span`` of their
     start, and a table of one row per span carries the furthest end and the
-    number of runs over from one span to the next.
+    number of runs over from one span to the next.  With ``span`` None groups
+    are windowed whole, which suits groups that are blocks already.
     """
+    if span is None:
+        whole = Window.partitionBy(*by).orderBy(start, *order, end)
+        limit = F.max(end).over(whole.rowsBetween(Window.unboundedPreceding, -1)) + gap
+        new = F.when(limit.isNull() | (limit < F.col(start) if touching else limit <= F.col(start)), 1).otherwise(0)
+        return df.withColumn("__new", new).withColumn(island, F.sum("__new").over(whole.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
     df = df.withColumn("__span", F.floor(F.col(start) / span))
     inner = Window.partitionBy(*by, "__span").orderBy(start, *order, end)
     over = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +61,8 @@ def with_islands(
     limit = before + gap
     new = F.when(before.isNull() | (limit < F.col(start) if touching else limit <= F.col(start)), 1).otherwise(0)
     marked = marked.withColumn("__new", new)
-    marked = marked.withColumn("__nth", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    # stored, since the table of spans and the result both read it: the input isn't planned and shuffled again for each
+    marked = stored(marked.withColumn("__nth", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, 0))), "islands")
     runs = marked.groupBy(*by, "__span").agg(F.sum("__new").alias("__runs"))
     runs = runs.withColumn("__past", F.coalesce(F.sum("__runs").over(over), F.lit(0))).drop("__runs")
     out = null_safe(marked, runs).withColumn(island, F.col("__nth") + F.col("__past"))

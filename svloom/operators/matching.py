@@ -15,7 +15,7 @@ from ..functions import sequences as sq
 from ..functions.genotypes import alt_count, genotype, is_present
 from ..functions.variants import bnd_direction, bnd_mate, decomposed, is_filtered, is_monref_or_star, is_single_bnd
 from ..params import Params
-from .intervals import with_islands
+from .intervals import BIN, range_join, with_islands
 
 
 def filter_calls(df: DataFrame, p: Params) -> DataFrame:
@@ -51,14 +51,31 @@ def with_chunks(df: DataFrame, p: Params) -> DataFrame:
 
 
 def pairs(chunked: DataFrame, p: Params) -> DataFrame:
-    """All base-comp pairs of each block, unless the block is over ``max_chunk`` calls and comparisons stop early."""
-    data = [c for c in chunked.columns if c not in ("side", "chunk_id")]
-    if p.short_circuit:
+    """All base-comp pairs of each block, unless the block is over ``max_chunk`` calls and comparisons stop early.
+
+    With ``max_chunk`` None no block is left out.
+    """
+    if p.short_circuit and p.max_chunk is not None:
         sizes = chunked.groupBy("chunk_id").agg(F.count("*").alias("__n")).where(F.col("__n") <= p.max_chunk)
         chunked = chunked.join(sizes.drop("__n"), "chunk_id", "left_semi")
-    b = chunked.where("side = 'base'").select("chunk_id", F.struct(*data).alias("b"))
-    c = chunked.where("side = 'comp'").select("chunk_id", F.struct(*data).alias("c"))
-    return b.join(c, "chunk_id")
+    return near_pairs(chunked.where("side = 'base'"), chunked.where("side = 'comp'"), p)
+
+
+def near_pairs(base: DataFrame, comp: DataFrame, p: Params) -> DataFrame:
+    """Pairs (chunk_id, b, c) of the calls of each block.
+
+    Where comparisons stop early, pairs whose places are too far apart fail at
+    once; then the join is one of ranges within blocks, so a dense block costs
+    what lies near each call and not all its pairs.  Breakends have distances
+    of their own, so tables that hold them are paired block by block.
+    """
+    data = [c for c in base.columns if c not in ("side", "chunk_id")]
+    b, c = base.select("chunk_id", F.struct(*data).alias("b")), comp.select("chunk_id", F.struct(*data).alias("c"))
+    if not p.short_circuit or "pos2" in base.columns:
+        return b.join(c, "chunk_id")
+    b = b.withColumns({"__bs": F.col("b.start") - p.refdist, "__be": F.col("b.end") + p.refdist})
+    c = c.withColumns({"__cs": F.col("c.start"), "__ce": F.col("c.end")})
+    return range_join(b, c, ["chunk_id"], ("__bs", "__be"), ("__cs", "__ce"), width=max(BIN, p.refdist)).select("chunk_id", "b", "c")
 
 
 def _threshold(flat: float, p: Params, size: Column) -> Column:
@@ -146,13 +163,15 @@ def compared(paired: DataFrame, p: Params) -> DataFrame:
         def allele(x: str) -> Column:
             return F.upper(F.when(F.col(f"{x}.svtype") == "DEL", F.col(f"{x}.ref")).otherwise(F.col(f"{x}.alt")))
 
+        # where failing pairs aren't shown, distances are only taken as far as they could still pass
+        least = p.pctseq if p.short_circuit and p.dynthresh is None else None
         both_inv = (b("svtype") == "INV") & (c("svtype") == "INV")
-        direct = sq.similarity(allele("b"), allele("c"))
-        rolled = direct if p.no_roll else F.when((st == 0) | (ed == 0), direct).otherwise(sq.best_similarity(allele("b"), allele("c"), st))
+        direct = sq.similarity(allele("b"), allele("c"), least)
+        rolled = direct if p.no_roll else F.when((st == 0) | (ed == 0), direct).otherwise(sq.best_similarity(allele("b"), allele("c"), st, least=least))
         sequence = ~F.col("b.alt").rlike(r"^<|[\[\]]") & ~F.col("c.alt").rlike(r"^<|[\[\]]")
         seqsim = F.when(
             sequence,
-            F.when((b("ref") == c("ref")) & (b("alt") == c("alt")), 1.0).when(both_inv, sq.similarity(b("alt"), c("alt"))).otherwise(rolled),
+            F.when((b("ref") == c("ref")) & (b("alt") == c("alt")), 1.0).when(both_inv, sq.similarity(b("alt"), c("alt"), least)).otherwise(rolled),
         ).otherwise(0.0)
         seq_ok = ~sequence | (F.col("seqsim") >= _threshold(p.pctseq, p, F.col("least")))
     else:

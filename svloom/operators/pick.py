@@ -1,17 +1,42 @@
 """Assignment of matches: one to one, up to allele counts, or many to many.
 
-The matches of a block are ordered from best to worst and walked once by an
-array fold inside the engine; blocks are as small as ``chunksize`` makes them.
+Matches are dealt by block and sorted from best to worst; a task walks them as
+they come and keeps only which calls of the present block are used, so a block
+costs its sort and the memory of its calls, not of its pairs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 LOW = -1e18
 
 
+def walk(edges: DataFrame, order: list[Column | str], asked: list[str], start: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """(chunk_id, *asked, taken) for each edge: ``start()`` gives a block's function, which is asked in order for each edge's columns."""
+    reachable(edges.sparkSession)
+    dealt = edges.repartition("chunk_id").sortWithinPartitions("chunk_id", *order).select("chunk_id", *[F.col(c).cast("long").alias(c) for c in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, take = object(), None
+        for batch in batches:
+            taken = []
+            for now, row in zip(batch.column(0).to_pylist(), zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
+                if now != chunk:
+                    chunk, take = now, start()
+                taken.append(take(*row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], ["chunk_id", *asked, "taken"])
+
+    return dealt.mapInArrow(run, f"chunk_id string, {', '.join(f'{c} long' for c in asked)}, taken boolean")
+
+
 def order_key(row: str | None = None, other: list[str] = ("bid", "cid")) -> Column:
     """A struct that sorts matches from worst to best: state, score, nearness of start and end, then ids descending."""
 
@@ -27,42 +52,28 @@ def order_key(row: str | None = None, other: list[str] = ("bid", "cid")) -> Colu
     )
 
 
-def _edges(matches: DataFrame) -> DataFrame:
-    e = F.struct(order_key().alias("key"), "bid", "cid", "state", "base_gt_count", "comp_gt_count")
-    return matches.groupBy("chunk_id").agg(F.reverse(F.array_sort(F.collect_list(e))).alias("edges"))
-
-
-def _ids(matches: DataFrame, side: str) -> DataFrame:
-    mine = "bid" if side == "base" else "cid"
-    return matches.select("chunk_id", F.col(mine).alias("id")).distinct()
-
-
-def _joined(matches: DataFrame, picked: DataFrame) -> DataFrame:
-    return picked.join(matches.drop("state"), ["chunk_id", "bid", "cid"])
-
-
 def pick_single(matches: DataFrame) -> DataFrame:
     """Each call in at most one pair, best pairs first; what is left over keeps its best pair's figures with state false.
 
     One row per call: side, id and the match's columns; multi marks left-over
     calls whose best pair would have matched.
     """
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(empty.alias("b"), empty.alias("c"), F.array().cast("array<struct<bid:bigint,cid:bigint>>").alias("used"))
-
-    def step(acc: Column, e: Column) -> Column:
-        free = ~F.array_contains(acc["b"], e["bid"]) & ~F.array_contains(acc["c"], e["cid"])
-        return F.when(
-            free,
-            F.struct(
-                F.array_append(acc["b"], e["bid"]).alias("b"),
-                F.array_append(acc["c"], e["cid"]).alias("c"),
-                F.array_append(acc["used"], F.struct(e["bid"].alias("bid"), e["cid"].alias("cid"))).alias("used"),
-            ),
-        ).otherwise(acc)
+
+    def start():
+        b_used: set[int] = set()
+        c_used: set[int] = set()
+
+        def take(bid: int, cid: int) -> bool:
+            if bid in b_used or cid in c_used:
+                return False
+            b_used.add(bid)
+            c_used.add(cid)
+            return True
+
+        return take
 
     typed = matches.withColumns({"bid": F.col("bid").cast("long"), "cid": F.col("cid").cast("long")})
-    used = _edges(typed).select("chunk_id", F.inline(F.aggregate("edges", start, step, lambda acc: acc["used"])))
+    used = walk(typed, [order_key().desc()], ["bid", "cid"], start).where("taken").drop("taken")
     paired = typed.join(used, ["chunk_id", "bid", "cid"])
     sides = []
     for side, mine, other in (("base", "bid", "cid"), ("comp", "cid", "bid")):
@@ -92,31 +103,22 @@ def pick_ac(matches: DataFrame) -> DataFrame:
     best failed one.
     """
     typed = matches.withColumns({"bid": F.col("bid").cast("long"), "cid": F.col("cid").cast("long")})
-    counts = F.create_map().cast("map<bigint,int>")
-    start = F.struct(counts.alias("b"), counts.alias("c"), F.array().cast("array<struct<bid:bigint,cid:bigint,ok:boolean>>").alias("out"))
-
-    def get(m: Column, k: Column) -> Column:
-        return F.coalesce(F.element_at(m, k), F.lit(0))
-
-    def put(m: Column, k: Column, v: Column) -> Column:
-        return F.map_concat(F.map_filter(m, lambda x, _: x != k), F.create_map(k, v))
 
-    def step(acc: Column, e: Column) -> Column:
-        full = (get(acc["b"], e["bid"]) >= e["base_gt_count"]) | (get(acc["c"], e["cid"]) >= e["comp_gt_count"])
+    def start():
+        b_spent: Counter = Counter()
+        c_spent: Counter = Counter()
 
-        def noted(ok: bool) -> Column:
-            return F.array_append(acc["out"], F.struct(e["bid"].alias("bid"), e["cid"].alias("cid"), F.lit(ok).alias("ok"))).alias("out")
+        def take(bid: int, cid: int, b_count: int, c_count: int) -> bool:
+            if b_spent[bid] >= b_count or c_spent[cid] >= c_count:
+                return False
+            b_spent[bid] += c_count
+            c_spent[cid] += b_count
+            return True
 
-        return F.when(full, F.struct(acc["b"].alias("b"), acc["c"].alias("c"), noted(False))).otherwise(
-            F.struct(
-                put(acc["b"], e["bid"], get(acc["b"], e["bid"]) + e["comp_gt_count"]).alias("b"),
-                put(acc["c"], e["cid"], get(acc["c"], e["cid"]) + e["base_gt_count"]).alias("c"),
-                noted(True),
-            )
-        )
+        return take
 
-    good = F.filter("edges", lambda e: e["state"])
-    walked = _edges(typed).select("chunk_id", F.inline(F.aggregate(good, start, step, lambda acc: acc["out"])))
+    walked = walk(typed.where("state"), [order_key().desc()], ["bid", "cid", "base_gt_count", "comp_gt_count"], start)
+    walked = walked.select("chunk_id", "bid", "cid", F.col("taken").alias("ok"))
     got = typed.join(walked, ["chunk_id", "bid", "cid"], "left")
     got = got.withColumns({"multi": F.coalesce(~F.col("ok"), F.lit(False)), "won": F.coalesce("ok", F.lit(False))})
     sides = []

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reachable
+from ..storage import stored
 
 
 def equal_width(df: DataFrame, col: str, bins: int, name: str | None = None) -> DataFrame:
@@ -77,14 +78,29 @@ def _rest(total, mine, n, m):
     return (total - mine) / max(1, n - m)
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "pval", alpha: float = 0.01, order: list[str] = ()) -> DataFrame:
-    """Adds adj_pval and reject, by the step-up procedure."""
-    n = df.agg(F.count("*").alias("__n"))
-    up = Window.orderBy(p, *order)
-    down = Window.orderBy(F.desc(p), *[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    raw = df.join(F.broadcast(n)).withColumn("__raw", F.col(p) * F.col("__n") / F.row_number().over(up))
-    adj = raw.withColumn("adj_pval", F.least(F.min("__raw").over(down), F.lit(1.0))).drop("__raw", "__n")
-    return adj.withColumn("reject", F.col("adj_pval") <= alpha)
+def benjamini_hochberg(df: DataFrame, p: str = "pval", alpha: float = 0.01, order: list[str] = (), bands: int = 4096) -> DataFrame:
+    """Adds adj_pval and reject, by the step-up procedure.
+
+    Rows are ranked and folded within bands of the p-value; a table of one row
+    per band carries the ranks before it and the least value after it, so no
+    task sorts all rows.  Rows without a p-value
+    aren't tests and get none.
+    """
+    banded = df.withColumn("__band", F.coalesce(F.floor(F.col(p) * bands), F.lit(-1)))
+    sizes = banded.groupBy("__band").agg(F.count(p).alias("__n"))
+    by_band = Window.orderBy("__band")
+    total = F.sum("__n").over(Window.partitionBy())
+    before = sizes.select("__band", (F.sum("__n").over(by_band) - F.col("__n")).alias("__past"), total.alias("__all"))
+    inner = Window.partitionBy("__band")
+    ranked = banded.join(before, "__band").withColumn("__rank", F.col("__past") + F.row_number().over(inner.orderBy(p, *order)))
+    raw = ranked.withColumn("__raw", F.col(p) * F.col("__all") / F.col("__rank"))
+    raw = stored(raw, "step-up")
+    after = Window.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = raw.groupBy("__band").agg(F.min("__raw").alias("__low")).select(F.col("__band").alias("__b"), F.min("__low").over(after).alias("__later"))
+    down = inner.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    adj = raw.join(lows, F.col("__band") == F.col("__b")).withColumn("adj_pval", F.least(F.min("__raw").over(down), "__later", F.lit(1.0)))
+    adj = adj.withColumn("adj_pval", F.when(F.col(p).isNotNull(), F.col("adj_pval")))
+    return adj.drop("__band", "__past", "__all", "__rank", "__raw", "__b", "__later").withColumn("reject", F.col("adj_pval") <= alpha)
 
 
 def stratp(df: DataFrame, features: list[str], ok: Column, min_obs: int = 10, n_perm: int = 10_000, tail: str = "left", alpha: float = 0.01, seed: int = 42) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import matching, sets, stats
 from ..params import Params
 from ..streaming.chunks import streamed_chunks
 from . import synth
-from .synth import CALLS, DAYS, GENOTYPES, SEQUENCES, table
+from .synth import ALLELES, CALLS, DAYS, GENOTYPES, SEQUENCES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,19 +191,19 @@ def match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SEQUENCES}, b AS (SELECT * FROM sq WHERE id % 2 = 0 AND length(seq) >= 10), c AS (SELECT * FROM sq WHERE id % 2 = 1 AND length(seq) >= 10)
+    f"""WITH {ALLELES}, b AS (SELECT * FROM sq WHERE id % 2 = 0 AND seq <> ''), c AS (SELECT * FROM sq WHERE id % 2 = 1 AND seq <> '')
 SELECT b.id AS bid, c.id AS cid, round((length(b.seq) + length(c.seq) - levenshtein(b.seq, c.seq)) / CAST(length(b.seq) + length(c.seq) AS DOUBLE), 6) AS seqsim
-FROM b JOIN c ON b.lang = c.lang AND c.id - b.id BETWEEN -5 AND 5"""
+FROM b JOIN c ON b.kind = c.kind AND c.id - b.id BETWEEN -5 AND 5"""
 )
 def sequence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of sequences as insertions at neighbouring places, by the comparison's own expressions."""
-    s = synth.sequences(spark, sf_dir).where(F.length("seq") >= 10)
+    s = synth.alleles(spark, sf_dir).where("seq <> ''")
     calls = s.select(
-        "id", F.col("lang").alias("chrom"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 1).alias("end"),
+        "id", F.col("kind").alias("chrom"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 1).alias("end"),
         F.lit("INS").alias("svtype"), F.length("seq").cast("long").alias("svlen"), F.lit("A").alias("ref"), F.col("seq").alias("alt"),
         F.when(F.col("id") % 2 == 0, "base").otherwise("comp").alias("side"),
     )
-    p = Params(sizemin=10, sizefilt=10, refdist=500, no_roll=True, pctseq=0.0001, pctsize=0, chunksize=500)
+    p = Params(sizemin=1, sizefilt=1, refdist=500, no_roll=True, pctseq=0.0001, pctsize=0, chunksize=500)
     near = op.range_join(
         calls.where("side = 'base'").select("id", "chrom", (F.col("start") - 500).alias("lo"), (F.col("start") + 501).alias("hi")),
         calls.where("side = 'comp'").select(F.col("id").alias("cid"), "chrom", "start", "end"), ["chrom"], ("lo", "hi"), ("start", "end"),
@@ -218,11 +218,11 @@ def sequence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = synth.sequences(spark, sf_dir).where(F.length("seq") >= 5)
+    s = synth.alleles(spark, sf_dir).where("seq <> ''")
     return s.select("id", F.col("seq").alias("a")).join(s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("b")), "id")
 
 
-_PAIRS = f"WITH {SEQUENCES}, pr AS (SELECT x.id, x.seq AS a, y.seq AS b FROM sq x JOIN sq y ON y.id = x.id + 1 WHERE length(x.seq) >= 5 AND length(y.seq) >= 5)"
+_PAIRS = f"WITH {ALLELES}, pr AS (SELECT x.id, x.seq AS a, y.seq AS b FROM sq x JOIN sq y ON y.id = x.id + 1 WHERE x.seq <> '' AND y.seq <> '')"
 
 
 def _sim(a: str, b: str) -> str:
@@ -258,8 +258,8 @@ def fn_unroll_seqsim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _PAIRS
     + f""", t AS (SELECT id, a, b, {_turn('b', 'id % 17 - 8')} AS b1, {_turn('b', '8 - id % 17')} AS b2, {_turn('a', 'id % 17 - 8')} AS a1, {_turn('a', '8 - id % 17')} AS a2,
- {_roll('a')} AS ra, {_roll('b')} AS rb FROM pr)
-SELECT id, round(greatest({_sim('a', 'b')}, {_sim('a', 'b1')}, {_sim('a', 'b2')}, {_sim('b', 'a1')}, {_sim('b', 'a2')}, {_sim('ra', 'rb')}), 6) AS best FROM t"""
+ length(a) < 500 AND length(b) < 500 AS short, {_roll('a')} AS ra, {_roll('b')} AS rb FROM pr)
+SELECT id, round(greatest({_sim('a', 'b')}, {_sim('a', 'b1')}, {_sim('a', 'b2')}, {_sim('b', 'a1')}, {_sim('b', 'a2')}, CASE WHEN short THEN {_sim('ra', 'rb')} ELSE 0 END), 6) AS best FROM t"""
 )
 def fn_best_seqsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
@@ -312,18 +312,18 @@ def fn_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), v.size_bin(F.col("p_partkey") % 7000).alias("szbin"), v.scale_bin(F.col("p_size"), 1, 41, 0, 100, 10)["bin"].alias("scalebin"))
 
 
-_RECORDS = f"""{SEQUENCES}, rec AS (SELECT id, id * 10 AS s, id * 10 + CASE WHEN id % 5 = 0 THEN 400 + id % 90 ELSE length(substr(seq, 1, CAST(1 + id % 7 AS BIGINT))) END AS e,
- substr(seq, 1, CAST(1 + id % 7 AS BIGINT)) AS ref,
- CASE id % 5 WHEN 0 THEN '<DEL>' WHEN 1 THEN 'N[chr2:' || CAST(id AS VARCHAR) || '[' WHEN 2 THEN substr(seq, 2, CAST(1 + id % 4 AS BIGINT)) WHEN 3 THEN '<DUP:TANDEM>' ELSE '*' END AS alt
- FROM sq WHERE length(seq) >= 10)"""
+_RECORDS = f"""{SEQUENCES}, al AS (SELECT id, CASE WHEN id % 3 = 0 THEN seq ELSE substr(seq, 1, 1) END AS ref, CASE WHEN id % 3 = 0 THEN substr(seq, 1, 1) ELSE seq END AS other FROM sq WHERE seq <> ''),
+ rec AS (SELECT id, id * 10 AS s, id * 10 + CASE WHEN id % 5 = 0 THEN 400 + id % 90 ELSE length(ref) END AS e, ref,
+ CASE id % 5 WHEN 0 THEN '<DEL>' WHEN 1 THEN 'N[chr2:' || CAST(id AS VARCHAR) || '[' WHEN 2 THEN other WHEN 3 THEN '<DUP:TANDEM>' ELSE '*' END AS alt FROM al)"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = synth.sequences(spark, sf_dir).where(F.length("seq") >= 10)
-    i = F.col("id")
-    ref = F.substring(F.col("seq"), F.lit(1), (1 + i % 7).cast("int"))
+    """Each document's letters as a deleted or an inserted sequence, or beside a symbolic allele, a breakend or a star."""
+    s = synth.sequences(spark, sf_dir).where("seq <> ''")
+    i, first = F.col("id"), F.substring("seq", 1, 1)
+    ref = F.when(i % 3 == 0, F.col("seq")).otherwise(first)
     alt = (
-        F.when(i % 5 == 0, "<DEL>").when(i % 5 == 1, F.concat(F.lit("N[chr2:"), i.cast("string"), F.lit("["))).when(i % 5 == 2, F.substring(F.col("seq"), F.lit(2), (1 + i % 4).cast("int")))
+        F.when(i % 5 == 0, "<DEL>").when(i % 5 == 1, F.concat(F.lit("N[chr2:"), i.cast("string"), F.lit("["))).when(i % 5 == 2, F.when(i % 3 == 0, first).otherwise(F.col("seq")))
         .when(i % 5 == 3, "<DUP:TANDEM>").otherwise("*")
     )
     end = i * 10 + F.when(i % 5 == 0, 400 + i % 90).otherwise(F.length(ref))
@@ -548,13 +548,13 @@ def hompct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- sets, metrics, statistics ---------------------------------------------------
 
-_SETS = "s AS (SELECT l_partkey AS key, CAST(bit_or(CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 2 ELSE 1 END) AS BIGINT) AS flag FROM lineitem WHERE l_quantity < 8 GROUP BY 1)"
+_SETS = "s AS (SELECT l_orderkey AS key, CAST(bit_or(CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 2 ELSE 1 END) AS BIGINT) AS flag FROM lineitem GROUP BY 1)"
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity < 8")
+    li = table(spark, sf_dir, "lineitem")
     no = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return sets.presence(li.select(F.col("l_partkey").alias("key"), no.alias("file_no")), n_files=3)
+    return sets.presence(li.select(F.col("l_orderkey").alias("key"), no.alias("file_no")), n_files=3)
 
 
 @query(f"WITH {_SETS} SELECT lpad(bin(flag), 3, '0') AS \"group\", CAST(bit_count(flag) AS INT) AS n_files, count(*) AS total, round(count(*) / CAST((SELECT count(*) FROM s) AS DOUBLE), 6) AS share FROM s GROUP BY flag")
@@ -643,12 +643,12 @@ def stratp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1009 + 1) / 1010.0 AS pval FROM part WHERE p_partkey <= 1000),
+    """WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1009 + 1) / 1010.0 AS pval FROM part),
 r AS (SELECT *, pval * (SELECT count(*) FROM p) / row_number() OVER (ORDER BY pval, id) AS raw FROM p),
 a AS (SELECT id, least(min(raw) OVER (ORDER BY pval DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS adj FROM r) SELECT id, round(adj, 6) AS adj_pval FROM a"""
 )
 def fdr_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 1000").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37 % 1009 + 1) / 1010.0).alias("pval"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37 % 1009 + 1) / 1010.0).alias("pval"))
     return stats.benjamini_hochberg(p, order=["id"]).select("id", *r6("adj_pval"))
 
 

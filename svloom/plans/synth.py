@@ -55,15 +55,26 @@ days AS (SELECT t || '_' || CAST(k AS VARCHAR) AS chrom, d * 86400 + CASE WHEN d
   FROM range(30) x(d), range(10) y(k), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) z(t))"""
 
 
-def sequences(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """Documents' letters A-Z as sequences of at most ``n``."""
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All letters A-Z of each document as a sequence."""
     d = table(spark, sf_dir, "documents")
-    seq = F.substring(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), 1, n)
-    return d.select(F.col("doc_id").alias("id"), "lang", seq.alias("seq"))
+    seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    return d.select(F.col("doc_id").alias("id"), seq.alias("seq"))
 
 
 SEQUENCES = """
-sq AS (SELECT doc_id AS id, lang, substr(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 1, 40) AS seq FROM documents)"""
+sq AS (SELECT doc_id AS id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents)"""
+
+
+def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All letters A-Z of each turn of a conversation as a sequence, of some hundreds of letters."""
+    d = table(spark, sf_dir, "conversations")
+    seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    return d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("k"), (F.col("conv_id") % 3).cast("string")).alias("kind"), seq.alias("seq"))
+
+
+ALLELES = """
+sq AS (SELECT conv_id * 1000 + turn AS id, 'k' || CAST(conv_id % 3 AS VARCHAR) AS kind, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM conversations)"""
 
 
 def genotype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
