@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what marks toxic training texts
-and one on ordinary text.  Overlapping windows of a text are compressed with
-both; a window that the toxic dictionary shortens more is evidence.  Counts of
-window differences at several levels are turned into a probability by a
-logistic curve that is calibrated on training rows the dictionaries haven't
-seen.
+Two zstandard dictionaries are trained by the library's own trainer, one on
+ordinary and one on toxic training texts.  A toxic text is ordinary for most of
+its length, so the toxic dictionary is trained on what is left of whole toxic
+texts once the stretches are taken out that ordinary texts have about as often.
+Overlapping windows of a text are compressed with both dictionaries; the counts
+of windows by how much shorter one of them makes them are turned into a
+probability by a logistic curve, calibrated on training rows that the
+dictionaries haven't seen.  How strict the contrast is, is chosen by the same
+rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,18 +26,21 @@ from .common import arrow_map, passed_through, text_of, tune, utf8
 
 #: Bytes of a window and of the step to the next.
 WINDOW, STEP = 48, 32
-#: Labelled rows to learn from at most: toxic, ordinary.  They are those with the smallest XXH64 of their id.
+#: Labelled rows to learn from at most: toxic, ordinary.  They are drawn by the XXH64 of their id.
 SAMPLE = (1600, 4000)
 #: Longer labelled texts aren't learned from (all are scored).
 SAMPLE_CHARS = 16_000
-#: Bytes of ordinary text in each dictionary, and of toxic segments in one of them.
-ORDINARY_BYTES, TOXIC_BYTES = 80_000, 8_000
-#: Bytes of the fragments of words that are weighed as toxic marks.
-GRAMS = (5, 6, 7, 8)
-#: A fragment is a mark if its likelihood ratio is this large and it is so many times as frequent in toxic texts.
-LEAST_RATIO, LEAST_TIMES = 18.0, 20.0
+#: Bytes of the trained dictionaries.
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
+#: Contrasts to choose from: bytes of a stretch, standard deviations that its toxic texts exceed the expected by, and times that they do.
+CONTRASTS = ((5, 8.0, 30.0), (6, 6.0, 4.0), (7, 7.0, 3.0))
+#: Toxic texts that a stretch must be in.
+LEAST_TEXTS = 3
 THRESHOLD = 0.3
-LEVELS = (1, 2, 3, 4, 5, 6)
+#: Differences, in bytes, that windows are counted by: toxic shorter, ordinary shorter.
+UP, DOWN = (1, 2, 3, 4, 5, 6, 7), (1, 2, 3, 4)
+#: Lower bits of stretch hashes that are told apart in counting.
+_BITS = 24
 
 
 def normal(text: bytes) -> bytes:
@@ -85,11 +90,10 @@ class Model:
     def features(self, text: bytes) -> np.ndarray:
         d = self.differences(text)
         n = len(d)
-        noise = (d < 0).sum()
-        up = [math.log1p((d >= k).sum()) for k in LEVELS]
+        up = [math.log1p((d >= k).sum()) for k in UP]
+        down = [math.log1p((d <= -k).sum()) for k in DOWN]
         dense = [10 * (d >= k).sum() / (n + 5) for k in (2, 4)]
-        extra = math.log1p(max(0, np.clip(d, 0, None).sum() - np.clip(-d, 0, None).sum()))
-        return np.array([1.0, *up, *dense, extra, math.log1p(noise), math.log(n), d.max()])
+        return np.array([1.0, *up, *down, *dense, math.log(n), d.max(), 4 * d.mean()])
 
     def score(self, text: bytes) -> float:
         return float(_sigmoid(self.features(text) @ self.weights))
@@ -115,119 +119,105 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1.0) -> n
     return b
 
 
-def _grams(text: bytes) -> set[bytes]:
-    out = set()
-    for w in set(normal(text).split()):
-        w = b" " + w + b" "
-        for n in GRAMS:
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
+def _stretches(body: bytes, size: int) -> np.ndarray:
+    """A hash for each place of a text's stretches of ``size`` bytes."""
+    n = len(body) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(body, np.uint8)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(257) + raw[k : k + n]
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _ratio(a: int, n: int, b: int, m: int) -> float:
-    p = (a + b) / (n + m)
+def _text_counts(bodies: list[bytes], size: int) -> np.ndarray:
+    """The number of texts that have each stretch."""
+    out = np.zeros(1 << _BITS, np.uint16)
+    for b in bodies:
+        out[np.unique(_stretches(b, size))] += 1
+    return out
 
-    def ll(k, n, p):
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k and p < 1 else 0.0)
 
-    return 2 * (ll(a, n, a / n) + ll(b, m, b / m) - ll(a, n, p) - ll(b, m, p))
+def contrast(toxic: np.ndarray, n: int, ordinary: np.ndarray, m: int, deviations: float, times: float) -> np.ndarray:
+    """The stretches that many more of ``n`` toxic texts have than the counts in ``m`` ordinary ones lead to expect."""
+    some = toxic >= LEAST_TEXTS
+    expected = (ordinary[some] + 1.0) * (n / m)
+    have = toxic[some]
+    out = np.zeros(len(toxic), bool)
+    out[some] = (have - expected > deviations * np.sqrt(expected)) & (have > times * expected)
+    return out
 
 
-def marks_of(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Word fragments that separate toxic from ordinary training texts, the strongest first.
+def remainder(body: bytes, keep: np.ndarray, size: int) -> bytes:
+    """What kept stretches cover of a text, one line each."""
+    on = np.flatnonzero(keep[_stretches(body, size)])
+    covered = np.zeros(len(body) + 2, bool)
+    for k in range(size):
+        covered[1 + on + k] = True
+    edge = np.flatnonzero(np.diff(covered.view(np.int8)))
+    return b"\n".join(body[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
 
-    Marks are chosen one after the other: the strongest on the toxic texts
-    that no earlier mark is in, until none is strong enough there.  Then come
-    the fragments that hold a mark and are as rare in ordinary texts.
-    """
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
-    n, m = len(toxic), len(ordinary)
-    # most fragments are in one text only: small counters by hash keep these from being stored
-    mask = (1 << 24) - 1
-    often = np.zeros(mask + 1, np.uint8)
-    for t in toxic:
-        at = np.unique(np.fromiter((hash(g) & mask for g in _grams(t)), np.int64))
-        often[at] = np.minimum(often[at] + 1, 3)
-    held: dict[bytes, list[int]] = {}
-    for i, t in enumerate(toxic):
-        for g in _grams(t):
-            if often[hash(g) & mask] >= 3:
-                held.setdefault(g, []).append(i)
-    del often
-    b: Counter = Counter()
-    some = {g for g, at in held.items() if len(at) >= 3}
-    for t in ordinary:
-        b.update(_grams(t) & some)
-    some = {g for g in some if len(held[g]) / n > LEAST_TIMES * (b[g] + 0.5) / m}
-    left = {g: len(held[g]) for g in some}
-    open_ = np.ones(n, bool)
-    chosen: list[bytes] = []
-    while left:
-        n_open = int(open_.sum())
-        # as strong, the longer one
-        g = max(left, key=lambda g: (round(_ratio(left[g], n_open, b[g], m), 6), len(g), g))
-        if left[g] < 3 or _ratio(left[g], n_open, b[g], m) < LEAST_RATIO:
-            break
-        chosen.append(g)
-        gone = [i for i in held[g] if open_[i]]
-        open_[gone] = False
-        texts = Counter()
-        for i in gone:
-            texts.update(_grams(toxic[i]) & some)
-        for x, c in texts.items():
-            if x in left:
-                left[x] -= c
-                if left[x] < 3:
-                    del left[x]
-        if open_.sum() < 3:
-            break
-    near = sorted((g for g in some if g not in chosen and any(c in g for c in chosen)), key=lambda g: (-_ratio(len(held[g]), n, b[g], m), g))
-    return chosen + near
 
+def train_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most ``size`` bytes by the library's trainer; too little for that to learn from is one as it is."""
+    samples = [x for x in samples if x]
+    if sum(map(len, samples)) > size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:  # too few samples
+            pass
+    return b"\n".join(samples)[-size:]
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary.
 
-    Both end in the same ordinary text, so ordinary stretches of a window cost
-    the same under either.  The toxic one begins with the marks, the strongest
-    last; the ordinary one has bytes there that no text has.
-    """
-    segments, size = [], 0
-    for g in marks_of(toxic, ordinary):
-        if size + len(g) + 1 > TOXIC_BYTES:
-            break
-        segments.append(g)
-        size += len(g) + 1
-    toxic_part = b"\n".join(reversed(segments))
-    base, size = [], 0
-    for t in ordinary:
-        part = normal(t)[: ORDINARY_BYTES // 40]
-        base.append(part)
-        size += len(part)
-        if size >= ORDINARY_BYTES:
-            break
-    base = b"".join(base)[:ORDINARY_BYTES]
-    filler = bytes(np.random.default_rng(5).integers(0xF8, 0x100, len(toxic_part), dtype=np.uint8))
-    return toxic_part + base, filler + base
+def dictionaries(toxic: list[bytes], base: bytes, keep: np.ndarray, size: int) -> tuple[bytes, bytes]:
+    """Contents for either side.  ``base``, trained on ordinary texts, ends both, so that ordinary stretches cost the same under either;
+    before it comes what was trained on toxic texts, or as many bytes as no text has."""
+    own = train_dictionary([remainder(b, keep, size) for b in toxic], TOXIC_BYTES, 16)
+    filler = bytes(np.random.default_rng(5).integers(0xF8, 0x100, len(own), dtype=np.uint8))
+    return own + base, filler + base
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     """From sampled texts of either kind; share: of toxic rows among all labelled ones.
 
-    The curve is calibrated on the half of the sample that its dictionaries
-    haven't seen; the dictionaries that are then used come from all of it.
+    The curve and the contrast are calibrated on the half of the sample that
+    its dictionaries haven't seen; the dictionaries that are then used come
+    from all of it.
     """
-    half = Model(*train_dictionaries(toxic[::2], ordinary[::2]), np.zeros(0))
-    x = np.array([half.features(t) for t in toxic[1::2] + ordinary[1::2]])
-    n, m = len(toxic[1::2]), len(ordinary[1::2])
+    toxic, ordinary = [normal(t) for t in toxic], [normal(t) for t in ordinary]
+    seen = (toxic[::2], ordinary[::2])
+    other = (toxic[1::2], ordinary[1::2])
+
+    def base_of(bodies: list[bytes]) -> bytes:
+        return train_dictionary([w for b in bodies for w in windows(b)], ORDINARY_BYTES, 64)
+
+    n, m = map(len, other)
     y = np.repeat([1.0, 0.0], [n, m])
     w = np.repeat([share * (n + m) / n, (1 - share) * (n + m) / m], [n, m])
-    return Model(*train_dictionaries(toxic, ordinary), _logistic(x, y, w))
+    base = base_of(seen[1])
+    best = None
+    for size, deviations, times in CONTRASTS:
+        counts = [_text_counts(x, size) for x in seen]
+        keep = contrast(counts[0], len(seen[0]), counts[1], len(seen[1]), deviations, times)
+        half = Model(*dictionaries(seen[0], base, keep, size), np.zeros(0))
+        x = np.array([half.features(b[1:-1]) for side in other for b in side])
+        loss = 0.0
+        for k in (0, 1):  # the curve of one half of these rows, judged by the other
+            p = np.clip(_sigmoid(x[1 - k :: 2] @ _logistic(x[k::2], y[k::2], w[k::2])), 1e-6, 1 - 1e-6)
+            yy = y[1 - k :: 2]
+            loss -= float((w[1 - k :: 2] * (yy * np.log(p) + (1 - yy) * np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = (loss, size, deviations, times, _logistic(x, y, w))
+    _, size, deviations, times, weights = best
+    counts = [_text_counts(x, size) for x in (toxic, ordinary)]
+    keep = contrast(counts[0], len(toxic), counts[1], len(ordinary), deviations, times)
+    return Model(*dictionaries(toxic, base_of(ordinary), keep, size), weights)
 
 
 def constant(share: float) -> Model:
     """For labels of one kind, or almost none: the share itself."""
-    w = np.zeros(len(LEVELS) + 7)
+    w = np.zeros(len(UP) + len(DOWN) + 6)
     w[0] = math.log(min(max(share, 1e-4), 1 - 1e-4)) - math.log(1 - min(max(share, 1e-4), 1 - 1e-4))
     return Model(b" " * 64, b" " * 64, w)
 
@@ -237,22 +227,28 @@ def learn(
 ) -> Model:
     """A model from the rows of ``docs`` that have a label 0 or 1; contradicting labels count as 1.
 
-    The sample is chosen among ids alone, twice as many as asked for since some
-    texts are too long; only the chosen rows' texts are then fetched, by a
-    broadcast of at most twice ``sample`` ids.
+    About ``sample`` ids of either label are drawn by hash among labelled ids
+    alone, twice as many as asked for since some texts are too long; only their
+    texts are then fetched, by a broadcast of these ids.  An id with several
+    texts gives the last of them in order.  Fewer than 8 texts of a label, or
+    no labels, give a model that knows only the labels' share.
     """
-    y = labels.where(F.col(label_col).cast("int").isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    y = labels.where(F.col(label_col).cast("int").isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     totals = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(totals.values())
     share = totals.get(1, 0) / total if total else 0.0
     order = F.xxhash64("i")
-    wanted = {r["i"]: kind for kind, most in ((1, sample[0]), (0, sample[1])) for r in y.where(F.col("y") == kind).orderBy(order, "i").limit(2 * most).collect()}
+    draw = F.pmod(order, F.lit(1 << 30))
+    part = {kind: min(1.0, 2 * most / max(1, totals.get(kind, 0))) for kind, most in ((1, sample[0]), (0, sample[1]))}
+    chosen = y.where(draw < F.when(F.col("y") == 1, int(part[1] * (1 << 30))).otherwise(int(part[0] * (1 << 30))))
+    # at most about twice ``sample`` ids, whatever the corpus holds
+    wanted = [(r["i"], r["y"]) for r in chosen.collect()]
     if not wanted:
         return constant(share)
-    chosen = docs.sparkSession.createDataFrame(list(wanted.items()), "i long, y int")
+    ids = docs.sparkSession.createDataFrame(wanted, "i long, y int")
     rows = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    got = rows.join(F.broadcast(chosen), "i").select(order.alias("o"), "i", "y", "t").collect()
-    got.sort(key=lambda r: (r["o"], r["i"], r["t"]))
+    got = rows.join(F.broadcast(ids), "i").groupBy(order.alias("o"), "i", "y").agg(F.max("t").alias("t")).collect()
+    got.sort(key=lambda r: (r["o"], r["i"]))
     picked = [[r["t"].encode() for r in got if r["y"] == kind][:most] for kind, most in ((1, sample[0]), (0, sample[1]))]
     if min(map(len, picked)) < 8:
         return constant(share)
@@ -260,7 +256,12 @@ def learn(
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of each row; a null text counts as empty, repeated rows are scored each."""
+    """(doc_id, score) of each row.
+
+    A null text counts as empty; an empty one is a single window and has a
+    score too.  Long texts are scored whole.  Repeated rows and equal texts have
+    equal scores; an empty table gives no rows.
+    """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -273,7 +274,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever these are called.
+
+    A score equal to the threshold goes.  Null and empty texts are scored as
+    empty; repeated rows stay or go together; an empty table stays empty.
+    """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return passed_through(docs, text_col, lambda texts: np.array([shared.value.score(t) < threshold for t in texts], bool))
