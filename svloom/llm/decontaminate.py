@@ -6,10 +6,15 @@ Hashes of all places of all training texts are joined with those of the test
 items; around each hit the whole diagonal of item and text is compared word
 for word, and a hit counts if a stretch of it matches in at least
 ``IDENTITY`` of its words and is long enough.
+
+Items of fewer than ``SHORT`` words have masks of their own, which ignore one
+word of the item each (none, where no substitution is allowed), so every place
+that counts has a hit.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +27,10 @@ from .words import Words, rolled, words_of
 
 #: Word positions that a seed looks at, five each.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
+#: Items of fewer words are looked for with masks of their whole length.
+SHORT = 7
+#: Pairs of places that are made of hits at a time.
+HITS = 1 << 20
 #: Share of equal words in a stretch that counts.
 IDENTITY = 0.8
 #: Equal words that a stretch needs; shorter items need ``IDENTITY`` of all their words.
@@ -31,12 +40,23 @@ BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
 
 
+def short_masks(size: int) -> dict[tuple[int, ...], list[int]]:
+    """Masks for items of ``size`` words, from 0 on, with the places in the item where they may begin."""
+    spare = size - math.ceil(IDENTITY * size)
+    kept = [tuple(range(size))] if not spare else [tuple(x for x in range(size) if x != k) for k in range(size)]
+    out: dict[tuple[int, ...], list[int]] = {}
+    for m in kept:
+        out.setdefault(tuple(x - m[0] for x in m), []).append(m[0])
+    return out
+
+
 @dataclass
 class Seeds:
     """Test items of one pass: their words, and for each mask the sorted seed hashes with item and place."""
 
     ids: list
     words: Words
+    mask: list[tuple[int, ...]]
     hash: list[np.ndarray]
     item: list[np.ndarray]
     place: list[np.ndarray]
@@ -45,20 +65,27 @@ class Seeds:
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Seeds:
         w = words_of(texts)
-        hashes, items, places = [], [], []
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        item_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
-        for k, mask in enumerate(MASKS):
-            h = rolled(w.hash, mask, k)
-            at = np.arange(len(h))
-            inside = at + mask[-1] < w.first[1:][item_of[: len(h)]]
-            h, at = h[inside], at[inside]
+        sizes = np.diff(w.first)
+        item_of = np.repeat(np.arange(len(texts)), sizes)
+        # (mask, places of all items' words where a seed begins)
+        plan: list[tuple[tuple[int, ...], np.ndarray]] = []
+        for mask in MASKS:
+            at = np.arange(max(0, len(w.hash) - mask[-1]))
+            plan.append((mask, at[(at + mask[-1] < w.first[1:][item_of[at]]) & (sizes[item_of[at]] >= SHORT)]))
+        for size in range(1, SHORT):
+            first = w.first[:-1][sizes == size]
+            if len(first):
+                plan += [(mask, np.concatenate([first + x for x in starts])) for mask, starts in short_masks(size).items()]
+        out = cls(ids, w, [], [], [], [], np.zeros(1 << _TABLE_BITS, bool))
+        for k, (mask, at) in enumerate(plan):
+            h = rolled(w.hash, mask, k)[at]
             order = np.argsort(h, kind="stable")
-            hashes.append(h[order])
-            items.append(item_of[at[order]])
-            places.append(at[order] - w.first[item_of[at[order]]])
-            table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        return cls(ids, w, hashes, items, places, table)
+            out.mask.append(mask)
+            out.hash.append(h[order])
+            out.item.append(item_of[at[order]])
+            out.place.append(at[order] - w.first[item_of[at[order]]])
+            out.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        return out
 
 
 def stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
@@ -78,7 +105,7 @@ def find(texts: list[bytes], seeds: Seeds, identity: float, least: int) -> list[
     """(text, item, equal words, words compared, start in the text, start in the item), the best of each text and item."""
     w = words_of(texts)
     found = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(seeds.mask):
         h = rolled(w.hash, mask, k)
         at = np.flatnonzero(seeds.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(seeds.hash[k]):
@@ -89,16 +116,22 @@ def find(texts: list[bytes], seeds: Seeds, identity: float, least: int) -> list[
         text = np.searchsorted(w.first, at, "right") - 1
         inside = at + mask[-1] < w.first[text + 1]
         at, lo, n, text = at[inside], lo[inside], n[inside], text[inside]
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
-        found.append(
-            np.stack([np.repeat(text, n), seeds.item[k][entry], np.repeat(at - w.first[text], n) - seeds.place[k][entry]], axis=1)
-        )
+        if not len(at):
+            continue
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1):
+            # a repetitive text with a repetitive item has many hits on few diagonals
+            c, base = n[part], lo[part]
+            entry = np.repeat(base - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            shift = np.repeat(at[part] - w.first[text[part]], c) - seeds.place[k][entry]
+            found.append(np.unique(np.stack([np.repeat(text[part], c), seeds.item[k][entry], shift], axis=1), axis=0))
     if not found:
         return []
     best: dict[tuple[int, int], tuple] = {}
     for t, i, shift in np.unique(np.concatenate(found), axis=0).tolist():
         a, b = w.of(t), seeds.words.of(i)
         size = b.stop - b.start
+        if best.get((t, i), (0,))[0] == size:  # there is no better one
+            continue
         lo, hi = max(0, -shift), min(size, a.stop - a.start - shift)
         equal = w.hash[a.start + shift + lo : a.start + shift + hi] == seeds.words.hash[b.start + lo : b.start + hi]
         s, e = stretch(equal, identity)
@@ -142,9 +175,13 @@ def contaminated(
     """One row per training row and test item that it contains, whole or in a stretch.
 
     doc_id, item_id, matched (equal words), compared (words of the stretch),
-    item_words, doc_start and item_start (word places of the stretch).  Null
-    and empty texts have no rows; repeated rows have theirs each; without test
-    items the result is empty.
+    item_words, doc_start and item_start (word places of the stretch).  A
+    stretch counts with ``least_words`` equal words, or ``identity`` of all
+    words of a shorter item: an item of one to four words must be there word
+    for word.  Of several stretches of one item in one text the one with the
+    most equal words is returned, the first diagonal among equals.  Null and
+    empty texts have no rows; repeated rows have theirs each; long texts are
+    read whole; an empty table, or one without test items, gives no rows.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -177,7 +214,11 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", identity: float = IDENTITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of ``docs`` that contain no test item, with all their columns."""
+    """The rows of ``docs`` that contain no test item by the rule of ``contaminated``, with all their columns, whatever these are called.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty
+    table stays empty, and without test items all rows stay.
+    """
     tune(docs.sparkSession)
     for seeds in passes(tests):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
