@@ -2,8 +2,8 @@
 
 Every word of a text is labelled: affixes, character n-grams and membership in
 the languages' lexicons give it a weight for each language, learned transitions
-tie neighbouring words together, and forward-backward gives each word's
-posterior.  So a text that switches languages is labelled stretch by stretch;
+tie neighbouring words together, and forward-backward over the whole text gives
+each word's posterior.  So a text that switches languages is labelled stretch by stretch;
 its own language is the one with the largest mean posterior.
 """
 
@@ -26,8 +26,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 160, 12_000
 LEXICON = 200
 #: Features that occur less often in the sample are left out.
 LEAST_COUNT = 3
-#: Words of a window that are labelled, and of context on either side of them.
-CORE, CONTEXT = 48, 8
+#: Words of a block; what blocks of a text pass on to each other makes the chain exact over the whole text.
+BLOCK = 48
 #: Word forms that a process remembers.
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
@@ -35,7 +35,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; signs that only count as a number, such as fractions, separate them."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def features(word: str) -> list[str]:
@@ -93,26 +97,13 @@ class Model:
         return np.fromiter(map(cache.__getitem__, tokens), np.int64, len(tokens))
 
     def posteriors(self, tokens: list[list[str]]) -> list[np.ndarray]:
-        """For each text the posteriors [words, languages]."""
+        """For each text the posteriors [words, languages] of the chain over all its words."""
         n_of = [len(t) for t in tokens]
         flat = self.rows([w for t in tokens for w in t])
+        if not len(flat):
+            return [np.zeros((0, len(self.langs)), np.float32)] * len(tokens)
+        out = chain_posteriors(self.table[flat], n_of, self.trans, self.start)
         first = np.concatenate([[0], np.cumsum(n_of)])
-        spans = [(int(first[i]), s, min(s + CORE, n), n) for i, n in enumerate(n_of) for s in range(0, n, CORE)]
-        out = np.empty((len(flat), len(self.langs)), np.float32)
-        width = CORE + 2 * CONTEXT
-        step = 4096
-        for lo in range(0, len(spans), step):
-            part = spans[lo : lo + step]
-            at = np.array(part)
-            left = np.maximum(at[:, 1] - CONTEXT, 0)
-            right = np.minimum(at[:, 2] + CONTEXT, at[:, 3])
-            grid = at[:, :1] + left[:, None] + np.arange(width)
-            valid = left[:, None] + np.arange(width) < right[:, None]
-            e = self.table[flat[np.where(valid, grid, 0)]]
-            e[~valid] = 1.0
-            post = forward_backward(e.transpose(1, 0, 2), self.trans, self.start, left == 0)
-            core = valid & (left[:, None] + np.arange(width) >= at[:, 1:2]) & (left[:, None] + np.arange(width) < at[:, 2:3])
-            out[grid[core]] = post.transpose(1, 0, 2)[core]
         return [out[first[i] : first[i + 1]] for i in range(len(tokens))]
 
     def languages(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -130,24 +121,64 @@ class Model:
         return names, scores
 
 
-def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Posteriors [words, windows, labels] from factors of the same shape; windows that don't begin a text start evenly."""
-    n = len(e)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def chain_posteriors(factors: np.ndarray, n_of: list[int], trans: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Posteriors [words, labels] of chains that lie one after the other in ``factors``, ``n_of`` words each; exact over whole chains.
+
+    Chains are cut in blocks.  A block's product of transitions and factors is
+    a small matrix; what comes before a block and after it passes through
+    these, block after block, and then all blocks go forward and backward at
+    once.
+    """
+    k = factors.shape[1]
     a = np.exp(trans - trans.max()).astype(np.float32)
-    first = np.where(begins[:, None], np.exp(start - start.max())[None, :], 1.0).astype(np.float32)
-    alpha = np.empty_like(e)
-    alpha[0] = first * e[0]
-    alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
-    for t in range(1, n):
-        x = (alpha[t - 1] @ a) * e[t]
-        alpha[t] = x / x.sum(axis=1, keepdims=True)
-    beta = np.ones_like(e[0])
-    for t in range(n - 2, -1, -1):
-        beta = (beta * e[t + 1]) @ a.T
-        beta /= beta.sum(axis=1, keepdims=True)
-        alpha[t] *= beta
-        alpha[t] /= alpha[t].sum(axis=1, keepdims=True)
-    return alpha
+    spans = [(i, s, min(block, n - s)) for i, n in enumerate(n_of) for s in range(0, n, block)]
+    chain, begin, size = np.array(spans).T
+    first = np.concatenate([[0], np.cumsum(n_of)])[chain] + begin
+    order = np.argsort(-size, kind="stable")  # longer blocks first: at each step those still running lie in front
+    at, size = first[order], size[order]
+    running = [int((size > t).sum()) for t in range(int(size[0]))]
+    opens = begin[order] == 0
+    step_in = np.where(opens[:, None, None], np.eye(k, dtype=np.float32), a)
+    product = step_in * factors[at][:, None, :]
+    for t in range(1, len(running)):
+        m = running[t]
+        x = (product[:m] @ a) * factors[at[:m] + t][:, None, :]
+        product[:m] = x / x.sum(axis=(1, 2), keepdims=True)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # before[b]: what reaches a block; after[b]: what follows it
+    before = np.empty((len(order), k), np.float32)
+    after = np.ones((len(order), k), np.float32) / k
+    before[place[begin == 0]] = _scaled(np.exp(start - start.max())).astype(np.float32)
+    last = np.append(chain[1:] != chain[:-1], True)
+    nth = begin // block
+    by_nth = [np.flatnonzero(nth == j) for j in range(int(nth.max()) + 1)]
+    for here in by_nth[1:]:
+        p = place[here - 1]
+        before[place[here]] = _scaled(np.einsum("bi,bij->bj", before[p], product[p]))
+    for here in reversed(by_nth):
+        inner = here[~last[here]]
+        p = place[inner + 1]
+        after[place[inner]] = _scaled(np.einsum("bij,bj->bi", product[p], after[p]))
+    out = np.empty_like(factors, dtype=np.float32)
+    alpha = np.where(opens[:, None], before, before @ a) * factors[at]
+    alpha = _scaled(alpha)
+    out[at] = alpha
+    for t in range(1, len(running)):
+        m = running[t]
+        alpha = _scaled((alpha[:m] @ a) * factors[at[:m] + t])
+        out[at[:m] + t] = alpha
+    beta = after
+    for t in range(len(running) - 1, -1, -1):
+        m = running[t]
+        here = at[:m] + t
+        out[here] = _scaled(out[here] * beta[:m])
+        beta[:m] = _scaled((beta[:m] * factors[here]) @ a.T)
+    return out
 
 
 def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15, l2: float = 1e-4) -> Model:
@@ -176,13 +207,14 @@ def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15,
     seqs, labels = [], []
     for t, x in zip(tokens, langs, strict=True):
         for lo in range(0, len(t), width):
-            if len(t) - lo >= 4:
-                seqs.append(t[lo : lo + width])
-                labels.append([names.index(x)] * len(seqs[-1]))
+            seqs.append(t[lo : lo + width])
+            labels.append([names.index(x)] * len(seqs[-1]))
     if not seqs:
         return Model([], {}, {}, np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
     order = rng.permutation(len(seqs))
     for i, j in zip(order[::4], order[1::4], strict=False):  # a quarter switches once
+        if min(len(seqs[i]), len(seqs[j])) < 2:
+            continue
         cut = int(rng.integers(1, min(len(seqs[i]), len(seqs[j]))))
         seqs[i], labels[i] = seqs[i][:cut] + seqs[j][cut:], labels[i][:cut] + labels[j][cut:]
     forms = sorted({w for s in seqs for w in s})
@@ -252,7 +284,11 @@ def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15,
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_DOCS) -> Model:
-    """A model from rows with a language; about ``per_lang`` of each are taken, by hash of id and text."""
+    """A model from rows with a language; about ``per_lang`` of each are taken, by hash of id and text, and repeated rows once.
+
+    Texts of any number of words are learned from.  Without labelled rows the
+    model knows no language.
+    """
     lang = F.col(lang_col).cast("string")
     rows = labelled.where(lang.isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(lang.alias("lang"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -260,13 +296,19 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         return fit([], [])
     share = F.create_map(*[F.lit(x) for kv in ((k, min(1.0, per_lang / n)) for k, n in sorted(counts.items())) for x in kv])
     draw = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(draw < share[F.col("lang")]).select("lang", "t").collect()
+    got = rows.where(draw < share[F.col("lang")]).select("lang", "t").distinct().collect()
     got.sort(key=lambda r: (r["lang"], r["t"]))
     return fit([r["t"] for r in got], [r["lang"] for r in got])
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row; ``und`` with score 0 where the text is null or has no letter."""
+    """(doc_id, lang_pred, score) of each row; ``und`` with score 0 where the text is null or has no letter.
+
+    The score is the mean posterior of the language over all words; of
+    languages with equal means the first by name is taken.  Long texts are
+    labelled whole; repeated rows have equal results; an empty table gives no
+    rows, and a model without languages calls every text ``und``.
+    """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
