@@ -18,18 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, tune, written
+from .common import fresh, own_columns, text_of, tune, written
 
 SLOTS = 4
 #: Entries in a task's index before the shuffle; when it is full its entries are passed on and it starts anew.
 PARTIAL_ENTRIES = 100_000
+#: A content that more than this part of all rows have is joined by broadcast; there can be no more than 1 / HOT of them.
+HOT = 1 / 1000
 
 
 class CuckooFilter:
     """Approximate set of 64-bit digests with insertion, lookup, deletion and growth.
 
     A digest has a 16-bit fingerprint and two buckets of four slots, each found
-    from the other by the fingerprint.  When an insertion has moved
+    from the other by the fingerprint.  Both come from a mixture of all bits of
+    the digest, so digests that were dealt by some of their bits stay apart.  When an insertion has moved
     ``max_kicks`` fingerprints the filter is full; the owner then builds a
     larger one from the digests it stores.
     """
@@ -41,13 +44,11 @@ class CuckooFilter:
         self.size = 0
         self.rng = random.Random(7)
 
-    @staticmethod
-    def fingerprint(digest: int) -> int:
-        return (digest >> 48 & 0xFFFF) or 1
-
     def places(self, digest: int) -> tuple[int, int, int]:
-        f = self.fingerprint(digest)
-        i = digest & self.mask
+        x = digest * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+        f = x >> 48 or 1
+        i = x & self.mask
         return f, i, self.other(i, f)
 
     def other(self, i: int, f: int) -> int:
@@ -219,8 +220,12 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the verdict of their id.  An empty table gives no rows.
     """
     digests = written(content_digests(docs, id_col, text_col), "digests")
-    groups = exact_groups(digests).select("content", "keep_id", F.col("rows").alias("group_size"))
-    return digests.join(groups, "content").select(
+    groups = written(exact_groups(digests).select("content", "keep_id", F.col("rows").alias("group_size")), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") > max(1.0, total * HOT)
+    hot = F.broadcast(groups.where(is_hot))  # at most 1 / HOT rows of 56 bytes
+    rare = digests.join(hot, "content", "left_anti").join(groups.where(~is_hot), "content")
+    return digests.join(hot, "content").unionByName(rare).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -230,18 +235,23 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a row repeated whole stays once, rows without id all stay."""
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    Of equal texts (null counts as empty) the row with the largest id stays; of
+    rows with the same id and text one stays, rows without an id all stay.  Ids
+    are compared as 64-bit integers.  An empty table stays empty.
+    """
     digests = written(content_digests(docs, id_col, text_col), "digests")
     groups = written(exact_groups(digests), "groups")
-    body = text_of(text_col)
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": F.xxhash64(body)})
+    n_id, n_digest, n_stay, n_same = fresh(docs, "kept_id", "kept_digest", "stays", "copies")
+    keyed = docs.withColumns({n_id: F.col(id_col).cast("long"), n_digest: F.xxhash64(text_of(text_col))})
     keys = groups.where(F.col("keep_id").isNotNull()).select(
-        F.col("keep_id").alias("__id"), F.col("digest").alias("__digest"), F.lit(True).alias("__stay"), "same"
+        F.col("keep_id").alias(n_id), F.col("digest").alias(n_digest), F.lit(True).alias(n_stay), F.col("same").alias(n_same)
     )
-    repeated = bool(groups.where("keep_id is not null and same > 1").limit(1).count())
-    found = keyed.join(keys, ["__id", "__digest"], "left")
-    kept = found.where(F.col("__stay") | F.col("__id").isNull())
+    repeated = bool(keys.where(F.col(n_same) > 1).limit(1).count())
+    found = keyed.join(keys, [n_id, n_digest], "left")
+    kept = found.where(F.col(n_stay) | F.col(n_id).isNull())
     if repeated:
-        once, more = kept.where("same is null or same = 1"), kept.where("same > 1").dropDuplicates(["__id", "__digest"])
-        kept = once.unionByName(more)
-    return kept.select(*docs.columns)
+        more = kept.where(F.col(n_same) > 1).dropDuplicates([n_id, n_digest])
+        kept = kept.where(F.col(n_same).isNull() | (F.col(n_same) == 1)).unionByName(more)
+    return kept.select(*own_columns(docs))
