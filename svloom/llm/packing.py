@@ -246,7 +246,8 @@ def pack(
         "length",
         (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"),
     )
-    ranked = cuts.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", payload, (F.col("before") + F.col("nth")).alias("rank"))
+    # it grows with the number of parts, so it is never broadcast
+    ranked = cuts.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", payload, (F.col("before") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
