@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, jaccard
-from .common import arrow_map, text_of, tune, utf8, written
+from .common import arrow_map, fresh, own_columns, text_of, tune, utf8, written
 
 BITS = 64
 RADIUS = 3
@@ -298,13 +298,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same id and text one stays.
     """
     found = near_duplicates(docs, id_col, text_col, radius, shingle) if similarity is None else near_or_similar(docs, id_col, text_col, radius, shingle, similarity)
+    n_id, n_row, n_stay, n_same = fresh(docs, "kept_id", "kept_row", "stays", "copies")
     keep = written(
-        found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("row_key").alias("__row"), F.count("*").alias("same")),
+        found.where(F.col("doc_id") == F.col("component_id"))
+        .groupBy(F.col("doc_id").alias(n_id))
+        .agg(F.min("row_key").alias(n_row), F.count("*").alias(n_same))
+        .withColumn(n_stay, F.lit(True)),
         "stay",
-    ).withColumnRenamed("doc_id", "__id")
-    repeated = bool(keep.where("same > 1").limit(1).count())
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__row": F.xxhash64(text_of(text_col))})
-    kept = keyed.join(keep.withColumn("__stay", F.lit(True)), ["__id", "__row"], "left").where(F.col("__stay") | F.col("__id").isNull())
+    )
+    repeated = bool(keep.where(F.col(n_same) > 1).limit(1).count())
+    keyed = docs.withColumns({n_id: F.col(id_col).cast("long"), n_row: F.xxhash64(text_of(text_col))})
+    kept = keyed.join(keep, [n_id, n_row], "left").where(F.col(n_stay) | F.col(n_id).isNull())
     if repeated:
-        kept = kept.where("same is null or same = 1").unionByName(kept.where("same > 1").dropDuplicates(["__id", "__row"]))
-    return kept.select(*docs.columns)
+        more = kept.where(F.col(n_same) > 1).dropDuplicates([n_id, n_row])
+        kept = kept.where(F.col(n_same).isNull() | (F.col(n_same) == 1)).unionByName(more)
+    return kept.select(*own_columns(docs))

@@ -176,15 +176,61 @@ def test_languages(spark, odd, odd_rows, none):
     assert {r.lang_pred for r in li.identified(df.limit(3), li.learn(df.limit(0))).collect()} == {"und"}
 
 
-def test_forward_backward_against_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 3, 48])
+def test_chain_against_enumeration(block):
     from itertools import product
 
     rng = np.random.default_rng(1)
-    e, a, s = rng.random((4, 1, 3)).astype(np.float32) + 0.1, rng.standard_normal((3, 3)), rng.standard_normal(3)
-    got = li.forward_backward(e.copy(), a, s, np.array([True]))[:, 0]
-    want = np.zeros((4, 3))
-    for y in product(range(3), repeat=4):
-        p = np.exp(s[y[0]] + sum(a[y[k], y[k + 1]] for k in range(3))) * np.prod([e[k, 0, y[k]] for k in range(4)])
-        for k in range(4):
-            want[k, y[k]] += p
-    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+    sizes = [4, 0, 1, 6, 3]
+    e, a, s = rng.random((sum(sizes), 3)).astype(np.float32) + 0.1, rng.standard_normal((3, 3)), rng.standard_normal(3)
+    got = li.chain_posteriors(e.copy(), sizes, a, s, block)
+    lo = 0
+    for n in sizes:
+        want = np.zeros((n, 3))
+        for y in product(range(3), repeat=n):
+            if n:
+                p = np.exp(s[y[0]] + sum(a[y[k], y[k + 1]] for k in range(n - 1))) * np.prod([e[lo + k, y[k]] for k in range(n)])
+                for k in range(n):
+                    want[k, y[k]] += p
+        assert np.allclose(got[lo : lo + n], want / want.sum(axis=1, keepdims=True), atol=1e-4)
+        lo += n
+
+
+def test_long_chains_are_exact_and_signs_are_no_letters():
+    rng = np.random.default_rng(2)
+    e, a, s = rng.random((5000, 4)).astype(np.float32) + 1e-4, rng.standard_normal((4, 4)), rng.standard_normal(4)
+    one, whole = li.chain_posteriors(e.copy(), [5000], a, s, 48), li.chain_posteriors(e.copy(), [5000], a, s, 5000)
+    assert np.allclose(one, whole, atol=1e-4)
+    assert li.words("½ ² Ⅷ 12_3") == [] and li.words("Ab½cd É") == ["ab", "cd", "é"]
+
+
+def test_languages_of_short_labelled_texts():
+    model = li.fit(["ba do ki"] * 50 + ["ster unk"] * 50 + ["bo"] * 3, ["aa"] * 50 + ["bb"] * 53)
+    assert model.languages(["do ba", "unk ster", "½"])[0] == ["aa", "bb", "und"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 8, 11, 13, 16, 24])
+def test_seeds_miss_no_allowed_substitution(size):
+    """Every pattern of substitutions that the rule allows (for long items, many drawn ones) is found, at a text's edges too."""
+    from itertools import combinations
+
+    rng = random.Random(size)
+    item = [f"w{k}" for k in range(size)]
+    seeds = de.Seeds.of([0], [" ".join(item).encode()])
+    spare = int(size * 0.2 + 1e-9)
+    patterns = list(combinations(range(size), spare))
+    if len(patterns) > 400:
+        patterns = rng.sample(patterns, 400)
+    for gone in patterns:
+        text = ["zz" if k in gone else w for k, w in enumerate(item)]
+        for pad in (0, 3):
+            assert de.find([" ".join(["y"] * pad + text + ["y"] * pad).encode()], seeds, 0.8, 13), gone
+    if size > 1:
+        assert not de.find([" ".join(reversed(item)).encode()], seeds, 0.8, 13)
+    assert not de.find([b"a b c d e f g h"], seeds, 0.8, 13)
+
+
+def test_repetitive_item_in_repetitive_text():
+    seeds = de.Seeds.of([0], [b"ha " * 60])
+    got = de.find([b"ha " * 30_000, b"ho " * 50], seeds, 0.8, 13)
+    assert [(x[0], x[2]) for x in got] == [(0, 60)]

@@ -20,14 +20,12 @@ from svloom.llm import tokens as tk
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizer_file(tokenizer, monkeypatch):
     rng = random.Random(1)
-    texts = ["", "a", " a  b\n\n c's <|endoftext|> é漢字 12345 !?", "".join(rng.choices("ab c'sé\n1!", k=3000)), " ".join("".join(rng.choices("abcdé", k=5)) for _ in range(900))]
+    texts = ["", "a", " a  b\n\n c's <|endoftext|> é漢字 12345 !?", "<|endoftext|><|endoftext|> x<|endoftext|>  y <|endoftext |>", "".join(rng.choices("ab c'sé\n1!", k=3000)), " ".join("".join(rng.choices("abcdé", k=5)) for _ in range(900))]
     for limit in (1 << 20, 200):
         monkeypatch.setattr(tk, "PART_CHARS", limit)
         for t in texts:
