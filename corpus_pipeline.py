@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from svloom.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from svloom.llm import decontaminate, exact_dedup, jaccard, packing, toxicity
 from svloom.llm.common import table, written
 from svloom.llm.queries import toxicity_model
 
@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs, similarity=NEAR)
+    return jaccard.near_dedup(docs, similarity=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,4 +97,6 @@ def passed_through(df: DataFrame, text_col: str, decide: Callable[[list[bytes]],
             if batch.num_rows:
                 yield batch.filter(pa.array(decide(utf8(batch.column(at))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    # plain names on the way, as column names may hold dots
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, jaccard
+from . import graph
 from .common import arrow_map, fresh, own_columns, text_of, tune, utf8, written
 
 BITS = 64
@@ -108,6 +108,61 @@ def near(query: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndar
     return out
 
 
+def _added(counters: list[np.ndarray], planes: list[np.ndarray]) -> list[np.ndarray]:
+    """Bit-sliced sums, the ones first, with more planes added to them by carry-save adders."""
+    out, pending, level = [], list(planes), 0
+    while pending or level < len(counters):
+        items = pending + counters[level : level + 1]
+        pending = []
+        while len(items) > 2:
+            a, b, c = items.pop(), items.pop(), items.pop()
+            u = a ^ b
+            pending.append((a & b) | (u & c))
+            items.append(u ^ c)
+        if len(items) == 2:
+            pending.append(items[0] & items[1])
+            items = [items[0] ^ items[1]]
+        out.append(items[0])
+        level += 1
+    return out
+
+
+def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Words with the bits of lanes whose sum is larger than the radius."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], _FULL)
+    for level in reversed(range(max(len(counters), radius.bit_length()))):
+        c = counters[level] if level < len(counters) else np.zeros_like(over)
+        if radius >> level & 1:
+            equal &= c
+        else:
+            over |= equal & c
+            equal &= ~c
+    return over
+
+
+def near_wide(query: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+    """As ``near`` for any radius and for fingerprints of several words: query [units, words], planes [64 * words, units]."""
+    out = np.zeros(len(query), np.uint64)
+    live = np.arange(len(query))
+    counters: list[np.ndarray] = []
+    words = query.shape[1]
+    for word in range(words):
+        q = query[:, word]
+        diff = [planes[64 * word + bit] ^ (np.uint64(0) - ((q >> np.uint64(bit)) & _ONE)) for bit in range(BITS)]
+        counters = _added(counters, diff)
+        over = _over(counters, radius)
+        if word == words - 1:
+            out[live] = ~over
+            return out
+        left = over != _FULL
+        if not left.any():
+            return out
+        if left.sum() < 0.7 * len(left):  # abandon units whose lanes all exceed the radius
+            live, query, planes = live[left], query[left], planes[:, left]
+            counters = [c[left] for c in counters]
+    return out
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component labels (smallest member) of n nodes joined by a-b."""
     label = np.arange(n)
@@ -127,12 +182,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_groups(fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(
+    fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links (places in fps) that join what is near within each group: a forest of stars per chunk of comparisons, not all pairs.
 
     fps: all groups' fingerprints; first: where each group begins, and the end;
     cross: for each group the number of its leading members to compare with
-    the rest only (0: compare all with all).
+    the rest only (0: compare all with all).  With ``root``, every near pair of
+    different roots is returned instead; fps then are [members, words].
     """
     n_of = np.diff(first)
     units_a, units_b, diag = [], [], []
@@ -150,6 +208,11 @@ def link_groups(fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: i
     if not units_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.array(units_a), np.array(units_b)
+    if root is not None:  # blocks within one root have nothing to compare; members come by root
+        ends = np.stack([a[:, 0], a[:, 0] + a[:, 1] - 1, b[:, 0], b[:, 0] + b[:, 1] - 1])
+        apart = (root[ends] != root[ends[0]]).any(axis=0)
+        a, b = a[apart], b[apart]
+        fps = fps.reshape(len(fps), -1)
     order = np.argsort(a[:, 1], kind="stable")  # units with as many lanes together
     a, b = a[order], b[order]
     lanes = np.arange(64)
@@ -158,13 +221,13 @@ def link_groups(fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: i
         at_a = np.minimum(ua[:, :1] + lanes, len(fps) - 1)
         at_b = np.minimum(ub[:, :1] + lanes, len(fps) - 1)
         lane_a, fb = fps[at_a], fps[at_b]
-        planes = vertical(fb)
+        planes = vertical(fb) if root is None else np.concatenate([vertical(np.ascontiguousarray(fb[:, :, x])) for x in range(fb.shape[2])])
         valid = np.where(ub[:, 1] == 64, _FULL, (_ONE << (ub[:, 1] % 64).astype(np.uint64)) - _ONE)
         same = ua[:, 0] == ub[:, 0]
         eu, ev = [], []
         for j in range(int(ua[:, 1].max())):
             on = np.flatnonzero(ua[:, 1] > j)
-            hit = near(lane_a[on, j], planes[:, on], radius) & valid[on]
+            hit = (near if root is None else near_wide)(lane_a[on, j], planes[:, on], radius) & valid[on]
             # within one block each pair once
             hit = np.where(same[on], hit & (_FULL << np.uint64(j) if j else _FULL) & ~(_ONE << np.uint64(j)), hit)
             some = np.flatnonzero(hit)
@@ -175,6 +238,11 @@ def link_groups(fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: i
                 ev.append(at_b[on[some[r]], lane])
         if eu:
             eu, ev = np.concatenate(eu), np.concatenate(ev)
+            if root is not None:
+                apart = root[eu] != root[ev]
+                us.append(eu[apart])
+                vs.append(ev[apart])
+                continue
             nodes, inv = np.unique(np.concatenate([eu, ev]), return_inverse=True)
             label = _forest(len(nodes), inv[: len(eu)], inv[len(eu) :])
             off = np.flatnonzero(label != np.arange(len(nodes)))
@@ -195,17 +263,18 @@ def _filed(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*entries)).alias("key"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, ta, tb, side, fp): links within each group, as fp pairs."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """From rows sorted by (key, ta, tb, side): columns of whole groups, where each begins (and the end), and ``cross`` of each."""
 
-    def links(key, ta, tb, side, fp):
+    def one(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        key, ta, tb, side = cols[:4]
         cut = np.flatnonzero((key[1:] != key[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1
         first = np.concatenate([[0], cut, [len(key)]])
         crossing = ta[first[:-1]] != tb[first[:-1]]
         lead = np.add.reduceat((side == 0).astype(np.int64), first[:-1])
-        u, v = link_groups(fp.view(np.uint64), first, np.where(crossing, lead, 0), radius)
         # a tile's partner may have stayed empty: then there is nothing across
-        return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
+        lead = np.where(crossing & (lead == 0), np.diff(first), lead)
+        return cols, first, np.where(crossing, lead, 0)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -219,28 +288,51 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         while last and key[last - 1] == key[-1] and ta[last - 1] == ta[-1] and tb[last - 1] == tb[-1]:
             last -= 1
         if last:
-            yield links(*(c[:last] for c in cols))
+            yield one([c[:last] for c in cols])
         held = [c[last:] for c in cols]
     if held is not None and len(held[0]):
-        yield links(*held)
+        yield one(held)
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (u, v) among distinct fingerprints ``fp``: enough to join all that lie within the radius, chain by chain."""
-    if not 0 <= radius <= 3:
-        raise ValueError("radius is 0 to 3: five blocks guarantee two equal ones up to three changes")
-    filed = _filed(prints)
+def in_tiles(filed: DataFrame, data: list[str], by: str, tile: int) -> DataFrame:
+    """(key, ta, tb, side, *data), dealt by bucket and sorted; larger buckets as pairs of tiles, so none is one task."""
     sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = (
         filed.join(sizes, "key")
-        .select("key", "fp", tiles.alias("k"))
-        .select("key", "fp", "k", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int").alias("t"))
-        .select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-        .select("key", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "fp")
+        .select("key", *data, tiles.alias("k"))
+        .select("key", *data, "k", F.pmod(F.xxhash64(by), F.col("k")).cast("int").alias("t"))
+        .select("key", *data, "t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+        .select("key", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), *data)
     )
-    grouped = placed.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "side", "fp")
-    return grouped.mapInArrow(lambda batches: _compare(batches, radius), "u long, v long")
+    return placed.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb", "side", *data)
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (u, v) among distinct fingerprints ``fp``: enough to join all that lie within the radius, chain by chain."""
+    if not 0 <= radius <= 3:
+        raise ValueError("radius is 0 to 3: five blocks guarantee two equal ones up to three changes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, first, cross in _groups(batches):
+            fp = cols[4]
+            u, v = link_groups(fp.view(np.uint64), first, cross, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
+
+    return in_tiles(_filed(prints), ["fp"], "fp", tile).mapInArrow(run, "u long, v long")
+
+
+def near_pairs(filed: DataFrame, words: list[str], radius: int, tile: int = TILE) -> DataFrame:
+    """(u, v), u < v: nodes of different roots in one bucket whose fingerprints, columns ``words``, are near; filed: key, root, node, words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, first, cross in _groups(batches):
+            root, node, fps = cols[4], cols[5], np.stack(cols[6:], axis=1).view(np.uint64)
+            u, v = link_groups(fps, first, cross, radius, root)
+            a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+    return in_tiles(filed, ["root", "node", *words], "node", tile).mapInArrow(run, "u long, v long")
 
 
 def clusters(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -264,40 +356,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
-def joined_texts(docs: DataFrame, prints: DataFrame, text_col: str, radius: int, tile: int, similarity: float) -> DataFrame:
-    """(row_key, root): texts joined by fingerprints within the radius or by a Jaccard similarity of their five-word shingles."""
-    lead = written(prints.groupBy("fp").agg(F.min("row_key").alias("lead")), "leads")
-    same = prints.join(lead, "fp").where("row_key != lead").select(F.col("row_key").alias("u"), F.col("lead").alias("v"))
-    links = near_links(lead.select("fp"), radius, tile)
-    u, v = (lead.select(F.col("fp").alias(n), F.col("lead").alias(f"lead_{n}")) for n in "uv")
-    links = links.join(u, "u").join(v, "v").select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
-    body = text_of(text_col)
-    texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text")).dropDuplicates(["node"])
-    return jaccard.joined(texts, same.union(links), similarity).select(F.col("node").alias("row_key"), "root")
-
-
-def near_or_similar(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """As ``near_duplicates``, with texts of at least ``similarity`` linked too."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    roots = joined_texts(docs, prints, text_col, radius, tile, similarity)
-    rooted = written(prints.join(roots, "row_key", "left").withColumn("root", F.coalesce("root", "row_key")), "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(lowest, "root").select("doc_id", "row_key", "fp", "component_id")
-
-
 def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component of near fingerprints the row with the smallest id.
 
-    With ``similarity``, texts whose five-word shingles have that Jaccard
-    similarity are linked as well, however many bits differ.
-    Rows without an id can't be told apart by it, and all stay; of rows with
-    the same id and text one stays.
+    Null text counts as empty.  Rows without an id can't be told apart by it,
+    and all stay; of rows with the same id and text one stays.  An empty table
+    stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle) if similarity is None else near_or_similar(docs, id_col, text_col, radius, shingle, similarity)
+    return representatives(docs, near_duplicates(docs, id_col, text_col, radius, shingle), id_col, text_col)
+
+
+def representatives(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their component; found: doc_id, row_key (XXH64 of the text), component_id of each row."""
     n_id, n_row, n_stay, n_same = fresh(docs, "kept_id", "kept_row", "stays", "copies")
     keep = written(
         found.where(F.col("doc_id") == F.col("component_id"))
