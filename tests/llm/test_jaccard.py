@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -12,7 +13,6 @@ import corpus_pipeline  # noqa: E402
 from svloom.llm import jaccard, simhash  # noqa: E402
 
 from .conftest import words  # noqa: E402
-from .test_dedup import fingerprint  # noqa: E402
 
 
 def shingles(text, k=5):
@@ -39,23 +39,30 @@ def planted():
     return rows
 
 
+def components(texts, least=0.8):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or alike(texts[i], texts[j]) >= least:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
 def test_stage_drops_planted_copies(spark):
     rows = planted()
     text = {i: t for i, t, _ in rows}
     similar = {i: alike(text[i], text[o]) for i, _, o in rows if o is not None}
     assert sum(0.8 <= s <= 0.95 for s in similar.values()) > 30 and min(similar.values()) < 0.8
-    near = lambda i, o: (fingerprint(text[i]) ^ fingerprint(text[o])).bit_count() <= 3
-    gone = {i for i, _, o in rows if o is not None and (similar[i] >= 0.8 or near(i, o))}
-    assert any(not near(i, i - 1000) for i in gone)
+    gone = {i for i, _, o in rows if o is not None and similar[i] >= 0.8}
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == {i for i, *_ in rows} - gone
 
 
-@pytest.mark.parametrize("small", [8, 1024])
-def test_components_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_components_against_brute_force(spark, monkeypatch, tile):
     """Chains of edits, a large group, and short texts; buckets of every size end in the same components."""
-    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(simhash.near_pairs, "__defaults__", (tile,))
     rng = random.Random(22)
     texts = ["", "a b", "A  b", "a c", "a b c d e", "a b c d e f"]
     for size in (40, 8, 8, 3):
@@ -64,18 +71,43 @@ def test_components_against_brute_force(spark, monkeypatch, small):
             texts.append(" ".join(w))
             w[(k * 41 + 7) % 200] = f"q{k}"
     texts = list(dict.fromkeys(texts))
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if alike(texts[i], texts[j]) >= 0.8:
-                root = [root[j] if r == root[i] else r for r in root]
+    root = components(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    got = {r.node: r.root for r in jaccard.joined(df, spark.createDataFrame([], "u long, v long"), 0.8).collect()}
+    got = {r.node: r.root for r in jaccard.joined(df, 0.8).collect()}
     groups = Counter((root[i], got.get(i, i)) for i in range(len(texts)))
     assert len(groups) == len(set(root)) == len({g for _, g in groups})
 
 
 def test_rows_that_stay_with_similarity(odd, none):
-    kept = simhash.near_dedup(odd, similarity=0.8)
-    assert kept.columns == odd.columns and simhash.near_dedup(none, similarity=0.8).count() == 0
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 6, 7, 8, None, None])
+    kept = jaccard.near_dedup(odd)
+    assert kept.columns == odd.columns and jaccard.near_dedup(none).count() == 0
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, 6, 7, 8, None, None])
+
+
+@pytest.mark.parametrize(("words_", "radius"), [(1, 26), (4, 62), (2, 0), (3, 191)])
+def test_wide_distances(words_, radius):
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 2**63, (30, 64, words_), dtype=np.uint64)
+    q = f[:, 0].copy()
+    for lane in range(1, 40):  # from equal to far
+        flips = rng.random((30, words_, 64)) < lane / 80
+        f[:, lane] = q ^ np.packbits(flips, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    planes = np.concatenate([simhash.vertical(np.ascontiguousarray(f[:, :, k])) for k in range(words_)])
+    got = simhash.near_wide(q, planes, radius)
+    want = np.bitwise_count(f ^ q[:, None]).sum(axis=2) <= radius
+    assert [[bool(int(w) >> lane & 1) for lane in range(64)] for w in got] == want.tolist()
+
+
+def test_similar_texts_are_within_the_radius():
+    rng = random.Random(6)
+    missed = seen = 0
+    for _ in range(300):
+        w = words(rng, rng.randint(6, 200)).split()
+        c = list(w)
+        for _ in range(rng.randint(0, 1 + len(w) // 40)):
+            c[rng.randrange(len(c))] = words(rng, 1)
+        if alike(" ".join(w), " ".join(c)) >= 0.8:
+            a, b = jaccard.fingerprints(jaccard.shingle_sets([" ".join(w).encode(), " ".join(c).encode()])).view(np.uint64)
+            seen += 1
+            missed += int(np.bitwise_count(a ^ b).sum()) > jaccard.RADIUS
+    assert seen > 100 and missed == 0

@@ -11,7 +11,7 @@ import corpus_pipeline  # noqa: E402
 from svloom.llm import toxicity  # noqa: E402
 from svloom.llm.queries import toxicity_model  # noqa: E402
 
-from .test_dedup import brute, fingerprint  # noqa: E402
+from .test_jaccard import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,7 +72,8 @@ def test_stages(spark, tables):
     docs = stage(1, docs)
     assert ids(docs) == sorted(r[0] for r in want)
     want.sort()
-    comp = brute([fingerprint(r[1]) for r in want])
+    comp = components([r[1] for r in want], corpus_pipeline.NEAR)
+    assert len(set(comp)) < len(want)
     want = [r for k, r in enumerate(want) if comp[k] == k]
     docs = stage(2, docs)
     assert ids(docs) == sorted(r[0] for r in want)
@@ -88,4 +89,6 @@ def test_run_on_an_empty_table(spark, tables):
     for name, _ in corpus_pipeline.STAGES[:4]:
         stage = dict(corpus_pipeline.STAGES)[name]
         assert stage(spark, spark.createDataFrame([], SCHEMA), sf).count() == 0
+    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
