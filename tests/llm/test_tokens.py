@@ -123,7 +123,9 @@ def test_attention_gradients_and_windows():
     shapes = {"token": (31, 16), "class": (64, 16), "place": (64, 16), "q": (16, 16), "k": (16, 16), "v": (16, 16), "o": (16, 16), "up": (16, 32), "up_b": (32,), "down": (32, 16), "out": (16, 64), "out_b": (64,)}
     w = {k: rng.standard_normal(s) * 0.2 for k, s in shapes.items()}
     ids, target, on = rng.integers(0, 31, (3, 12)), rng.integers(0, 64, (3, 12)), np.ones((3, 12))
-    _, g = at.gradients(w, cls, ids, target, on)
+    _, g, rows = at.gradients(w, cls, ids, target, on)
+    assert rows.tolist() == np.unique(ids).tolist()
+    g["token"] = np.stack([g["token"][rows.tolist().index(t)] if t in rows else np.zeros(16) for t in range(31)])
     for k, x in w.items():
         i = np.unravel_index(np.abs(g[k]).argmax(), x.shape)
         x[i] += 1e-5
@@ -142,8 +144,16 @@ def test_attention_learns_and_scores_each_token_once():
     rng = np.random.default_rng(1)
     vocab, end = 51, 50
     texts = [np.array([(7 * k + s) % 40 for k in range(int(rng.integers(5, 200)))], np.uint32) for s in range(60)]
-    m = at.train(texts[:40], vocab, end, steps=250)
     counts = np.bincount(np.concatenate(texts[:40]).astype(int), minlength=vocab)
+    around = np.zeros((vocab + 1, 2 * at.SLOTS))
+    slot = at.neighbour_slots(vocab + 1)
+    for t in texts[:40]:
+        for a, b in zip(t[:-1].tolist(), t[1:].tolist(), strict=True):
+            around[b, slot[a]] += 1
+            around[a, at.SLOTS + slot[b]] += 1
+    cls = at.classes(np.append(counts, 0), around, end)
+    windows = np.array([at.window_of(t, k, vocab, end) for t in texts[:40] for k in range(-(-(len(t) + 1) // at.WINDOW))])
+    m = at.Model(at.warm_up(windows, cls, vocab, end, passes=120), cls)
     m = at.with_counts(m, counts, end)
     got = m.score_ids(texts[40:], end)
     assert np.allclose(got, [m.score_ids([t], end)[0] for t in texts[40:]], atol=1e-3)
@@ -153,3 +163,51 @@ def test_attention_learns_and_scores_each_token_once():
     one = [m.score_ids([np.array([3, t], np.uint32)], end)[0] - m.score_ids([np.array([3], np.uint32)], end)[0] for t in (1, 2)]
     assert all(np.isfinite(one))
     assert sum(10 ** m.share[:50][m.cls[:50] == c].max() > 0 for c in set(m.cls[:50])) == len(set(m.cls[:50]))
+
+
+def test_training_windows_cover_a_text():
+    ids = np.arange(200, dtype=np.uint16)
+    seq = [500, *range(200), 499]
+    for n in (0, 1, 63, 64, 65, 200):
+        count = -(-(n + 1) // at.WINDOW)
+        got = [at.window_of(ids[:n], k, 500, 499) for k in range(count)]
+        own = [500, *seq[1 : n + 1], 499]
+        for k, w in enumerate(got):
+            part = own[k * 64 : k * 64 + 65]
+            assert w.tolist() == part + [499] * (65 - len(part))
+        assert len(lm_score._windows(ids[:n], 8, 500, 499)) == 1 and len(lm_score._windows(ids[:n], 1, 500, 499)) == count
+
+
+def test_what_the_model_takes_from_the_corpus(spark):
+    """Neighbour counts against plain ones; what tasks learn lowers the loss, and every training text is learned from."""
+    rng = random.Random(12)
+    vocab = 61
+    texts = [[rng.randrange(20) * 3 % 60 for _ in range(rng.randint(0, 150))] for _ in range(80)]
+    rows = [(bytearray(np.array(t, np.uint16).tobytes()),) for t in texts]
+    df = spark.createDataFrame(rows, "b binary").repartition(3)
+    table = lm_score.neighbour_counts(df, vocab)
+    slot = at.neighbour_slots(vocab + 1)
+    want = np.zeros((vocab + 1, 1 + 2 * at.SLOTS))
+    for t in texts:
+        for x in t:
+            want[x, 0] += 1
+        for a, b in zip(t[:-1], t[1:], strict=True):
+            want[b, 1 + slot[a]] += 1
+            want[a, 1 + at.SLOTS + slot[b]] += 1
+    assert (table == want).all()
+    cls = at.classes(table[:, 0], table[:, 1:], vocab - 1)
+    start = at.fresh_weights(vocab)
+    windows = np.array([w for t in texts for w in lm_score._windows(np.array(t, np.uint16), 1, vocab, vocab - 1)])
+    drawn = lm_score.start_windows(df, vocab, 1.0)
+    assert sorted(bytes(r.w) for r in drawn.collect()) == sorted(w.astype(np.int32).tobytes() for w in windows)
+
+    def loss(w):
+        on = np.cumsum(windows[:, :-1] == vocab - 1, axis=1) == 0
+        return at.gradients(w, cls, windows[:, :-1], cls[windows[:, 1:]], on.astype(np.float32))[0]
+
+    assert loss(lm_score.start_weights(drawn, cls, vocab)) < loss(start)
+    after = lm_score.learned_everywhere(df, start, cls, vocab)
+    assert loss(after) < loss(start)
+    used = {x for t in texts for w in lm_score._windows(np.array(t, np.uint16), lm_score.EVERY, vocab, vocab - 1) for x in w[:-1].tolist()}
+    moved = set(np.flatnonzero((after["token"] != start["token"]).any(axis=1)).tolist())
+    assert moved and moved <= used
