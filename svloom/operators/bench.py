@@ -101,9 +101,11 @@ def with_metrics(counts: DataFrame, tpbase: str = "tp_base", tp: str = "tp_comp"
     return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def bench(base: DataFrame, comp: DataFrame, params: Params | None = None, regions: DataFrame | None = None, extend: int = 0) -> Bench:
+def bench(base: DataFrame, comp: DataFrame, params: Params | None = None, regions: DataFrame | None = None, extend: int = 0, reference: DataFrame | None = None) -> Bench:
     """Plans the comparison of two call sets.
 
+    reference: tiles of ``read_fasta``, from which symbolic alleles are resolved.
+
     With regions, only calls within them count; ``extend`` widens them for comp
     calls, of which unmatched ones outside the regions as given are dropped.
     Otherwise the base's contigs bound the comparison.
@@ -118,6 +120,8 @@ def bench(base: DataFrame, comp: DataFrame, params: Params | None = None, region
         calls = inside_own.unionByName(_inside(calls.where("side = 'comp'"), wide))
     else:
         calls = calls.join(base.select("chrom").distinct(), "chrom", "left_semi")
+    if reference is not None and p.pctseq > 0:
+        calls = matching.resolve_symbolic(calls, reference, p, ["side", "id"])
     return Bench(calls, p, own if regions is not None and extend else None)
 
 

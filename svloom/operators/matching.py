@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import intervals as iv
 from ..functions import sequences as sq
 from ..functions.genotypes import alt_count, genotype, is_present
-from ..functions.variants import bnd_direction, bnd_mate, decomposed, is_filtered, is_monref_or_star, is_single_bnd
+from ..functions.variants import bnd_direction, bnd_mate, decomposed, is_filtered, is_monref_or_star, is_single_bnd, is_symbolic, resolved
 from ..params import Params
+from ..sources.regions import fetch
 from .intervals import BIN, range_join, with_islands
 
 
@@ -44,6 +45,25 @@ def filter_sizes(df: DataFrame, p: Params) -> DataFrame:
     return df.where((F.col("svtype") == "BND") | ok)
 
 
+def resolve_symbolic(calls: DataFrame, tiles: DataFrame, p: Params, by: list[str] = ("id",), tile: int = 100_000) -> DataFrame:
+    """Adds res_ref and res_alt, the sequences of symbolic deletions, inversions and (with ``dup_to_ins``) duplications.
+
+    tiles: the reference as ``regions.read_fasta`` reads it.  Calls over
+    ``max_resolve``, beyond their contig, or of another type get null.  A
+    resolved duplication ends one base behind its start, as an insertion does.
+    ``by`` identifies a call.
+    """
+    kinds = ("DEL", "INV", "DUP") if p.dup_to_ins else ("DEL", "INV")
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
+    able = calls.where(is_symbolic(F.col("alt")) & F.col("svtype").isin(*kinds) & (F.col("svlen") <= p.max_resolve) & (F.col("start") < F.col("end")))
+    spans = able.select(key.alias("__key"), "chrom", "start", "end")
+    found = fetch(spans, tiles, tile, "__key").withColumnRenamed("seq", "__span")
+    both = calls.withColumn("__key", key).join(found.where("__span != ''"), "__key", "left")
+    got = both.withColumn("__got", resolved(F.col("svtype"), F.col("__span"), F.col("svlen"), F.col("alt"), p.dup_to_ins, p.max_resolve))
+    end = F.when(F.col("__got").isNotNull() & (F.col("svtype") == "DUP"), F.col("start") + 1).otherwise(F.col("end"))
+    return got.withColumns({"res_ref": F.col("__got.ref"), "res_alt": F.col("__got.alt"), "end": end}).drop("__key", "__span", "__got")
+
+
 def with_chunks(df: DataFrame, p: Params) -> DataFrame:
     """``chunk_id`` as chrom:number: transitive blocks of calls closer than ``chunksize``, counted on each chrom."""
     marked = with_islands(df, ["chrom"], "start", "end", p.chunksize, "__chunk", order=["side", "id"])
@@ -160,18 +180,21 @@ def compared(paired: DataFrame, p: Params) -> DataFrame:
         first = first.where(F.col("cheap") | (b("svtype") == "BND") | (c("svtype") == "BND")) if "pos2" in cols else first.where("cheap")
     if p.pctseq > 0 and {"ref", "alt"} <= cols:
 
+        def own(x: str, name: str) -> Column:
+            return F.coalesce(F.col(f"{x}.res_{name}"), F.col(f"{x}.{name}")) if "res_ref" in cols else F.col(f"{x}.{name}")
+
         def allele(x: str) -> Column:
-            return F.upper(F.when(F.col(f"{x}.svtype") == "DEL", F.col(f"{x}.ref")).otherwise(F.col(f"{x}.alt")))
+            return F.upper(F.when(F.col(f"{x}.svtype") == "DEL", own(x, "ref")).otherwise(own(x, "alt")))
 
         # where failing pairs aren't shown, distances are only taken as far as they could still pass
         least = p.pctseq if p.short_circuit and p.dynthresh is None else None
         both_inv = (b("svtype") == "INV") & (c("svtype") == "INV")
         direct = sq.similarity(allele("b"), allele("c"), least)
         rolled = direct if p.no_roll else F.when((st == 0) | (ed == 0), direct).otherwise(sq.best_similarity(allele("b"), allele("c"), st, least=least))
-        sequence = ~F.col("b.alt").rlike(r"^<|[\[\]]") & ~F.col("c.alt").rlike(r"^<|[\[\]]")
+        sequence = ~own("b", "alt").rlike(r"^<|[\[\]]") & ~own("c", "alt").rlike(r"^<|[\[\]]")
         seqsim = F.when(
             sequence,
-            F.when((b("ref") == c("ref")) & (b("alt") == c("alt")), 1.0).when(both_inv, sq.similarity(b("alt"), c("alt"), least)).otherwise(rolled),
+            F.when((own("b", "ref") == own("c", "ref")) & (own("b", "alt") == own("c", "alt")), 1.0).when(both_inv, sq.similarity(own("b", "alt"), own("c", "alt"), least)).otherwise(rolled),
         ).otherwise(0.0)
         seq_ok = ~sequence | (F.col("seqsim") >= _threshold(p.pctseq, p, F.col("least")))
     else:

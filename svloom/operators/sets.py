@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reachable
 from . import intervals
 
 
@@ -48,17 +52,33 @@ def shards(calls: DataFrame, buffer: int = 1000, least: int = 50_000) -> DataFra
     Only islands (runs without such a gap) are walked in order, not calls.
     """
     marked = intervals.with_islands(calls, ["chrom"], "start", "end", buffer, "__island", touching=False, order=["id"])
-    sizes = marked.groupBy("chrom", "__island").agg(F.count("*").alias("n"))
-    folded = sizes.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("__island", "n"))).alias("s"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
+    sizes = marked.groupBy("chrom", "__island").agg(F.count("*").cast("long").alias("n"))
+    reachable(calls.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, held, no = object(), 0, 0
+        for batch in batches:
+            out = []
+            for c, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if c != chrom:
+                    chrom, held, no = c, 0, 0
+                elif held >= least:
+                    held, no = 0, no + 1
+                held += n
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["chrom", "__island", "shard"])
+
+    # islands are walked as they come, one by one; no row holds a contig's
+    ordered = sizes.repartition("chrom").sortWithinPartitions("chrom", "__island")
+    walked = ordered.mapInArrow(run, f"chrom string, __island {dict(sizes.dtypes)['__island']}, shard int")
+    return marked.join(walked, ["chrom", "__island"]).drop("__island").withColumn("shard", F.concat_ws("_", "chrom", F.col("shard").cast("string")))
 
-    def step(acc, x):
-        cut = acc["held"] >= least
-        no = acc["no"] + F.when(cut, 1).otherwise(0)
-        return F.struct(no.alias("no"), (F.when(cut, 0).otherwise(acc["held"]) + x["n"]).alias("held"), F.array_append(acc["out"], no).alias("out"))
 
-    walked = folded.select("chrom", F.inline(F.arrays_zip(F.col("s.__island").alias("__island"), F.aggregate("s", start, step, lambda a: a["out"]).alias("shard"))))
-    return marked.join(walked, ["chrom", "__island"]).drop("__island").withColumn("shard", F.concat_ws("_", "chrom", F.col("shard").cast("string")))
+def shard_sizes(sharded: DataFrame) -> DataFrame:
+    """One row: how many shards, and count, mean, deviation, least, quartiles and most of the calls in each."""
+    n = sharded.groupBy("shard").agg(F.count("*").alias("n"))
+    q = F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return n.agg(F.count("*").alias("shards"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("least"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max("n").alias("most"))
 
 
 def segments(calls: DataFrame) -> DataFrame:

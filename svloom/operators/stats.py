@@ -126,6 +126,27 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(col).alias("max"))
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: how many different values each column has, nulls apart."""
+    return df.agg(*[F.count_distinct(c).alias(c) for c in cols])
+
+
+def downcast(df: DataFrame) -> DataFrame:
+    """Whole-number columns in the smallest type that holds all their values."""
+    sizes = (("tinyint", 7), ("smallint", 15), ("int", 31))
+    wide = [c for c, t in df.dtypes if t in ("bigint", "int", "smallint")]
+    if not wide:
+        return df
+    lim = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(wide)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(wide)]).first()
+
+    def fit(i: int, now: str) -> str:
+        lo, hi = lim[f"lo{i}"] or 0, lim[f"hi{i}"] or 0
+        return next((t for t, bits in sizes if -(1 << bits) <= lo and hi < 1 << bits), now)
+
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast(fit(i, kinds[c])) for i, c in enumerate(wide)})
+
+
 def tandem_features(df: DataFrame) -> DataFrame:
     """Bins that the tandem-repeat preset stratifies by: type, size bin, repeat flag, neighbours up to 4 or more."""
     from ..functions.variants import size_bin

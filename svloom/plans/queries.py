@@ -748,6 +748,83 @@ def collapse_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where("svlen <= 600").select("id", "num_collapsed")
 
 
+@query(_collapse_sql("CASE WHEN a1 = 0 THEN 1 ELSE 0 END + CASE WHEN a2 = 0 THEN 1 ELSE 0 END, CASE WHEN a1 = 1 THEN 1 ELSE 0 END + CASE WHEN a2 = 1 THEN 1 ELSE 0 END, s, svlen DESC, id"))
+def collapse_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, keep="common")[1].select("id", "keeper")
+
+
+@query(
+    "WITH k AS (" + _collapse_sql("s, svlen DESC, id") + """), m AS (SELECT id, id AS keeper FROM (SELECT DISTINCT keeper AS id FROM k) UNION ALL SELECT id, keeper FROM k),
+x AS (SELECT m.keeper, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS s, 50 + CAST(floor(value) AS BIGINT) AS n FROM m JOIN events ON event_id = m.id)
+SELECT keeper AS id, CAST(floor(quantile_cont(s, 0.5)) AS BIGINT) AS collapse_start, CAST(floor(quantile_cont(s + n, 0.5)) AS BIGINT) AS collapse_end, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS collapse_size FROM x GROUP BY keeper"""
+)
+def collapse_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians over each call that replaced others, and what it replaced."""
+    kept, removed = co.collapse(_collapsing(spark, sf_dir), COLLAPSE)
+    return co.median_info(kept.where("num_collapsed > 0"), removed).select("id", "collapse_start", "collapse_end", "collapse_size")
+
+
+@query(
+    f"""WITH {CALLS}, g AS (SELECT side, id, chrom, s, s + 1 AS e, s + svlen * 10 AS p2, CASE WHEN id % 3 = 0 THEN 'right' ELSE 'left' END AS d FROM iv WHERE chrom IN (SELECT chrom FROM iv WHERE side = 'base')),
+w AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, side, id, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM g),
+k AS (SELECT *, sum(CASE WHEN far IS NULL OR far + 1000 < s THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, side, id, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM w),
+p AS (SELECT b.id AS bid, c.id AS cid, b.s - c.s AS st_dist, b.p2 - c.p2 AS ed_dist, b.d = c.d AND abs(b.s - c.s) < 200 AND abs(b.p2 - c.p2) < 200 AS state
+  FROM k b JOIN k c ON b.chrom = c.chrom AND b.no = c.no AND b.side = 'base' AND c.side = 'comp')
+SELECT bid, cid, state, CASE WHEN state THEN round(greatest(0, (1 - ((abs(st_dist) + abs(ed_dist)) / 2.0) / 200) * 100), 6) END AS score, st_dist, ed_dist FROM p"""
+)
+def bnd_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakends of both sides compared by both places and by their turn."""
+    c = synth.calls(spark, sf_dir)
+    mate = F.col("start") + F.col("svlen") * 10
+    right = F.col("id") % 3 == 0
+    alt = F.when(right, F.concat(F.lit("N]"), "chrom", F.lit(":"), mate.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("N["), "chrom", F.lit(":"), mate.cast("string"), F.lit("[")))
+    c = c.withColumns({"ref": F.lit("N"), "alt": alt, "end": F.col("start") + 1, "svtype": F.lit("BND"), "svlen": F.lit(0).cast("long"), "ci": F.lit(None).cast("array<int>")})
+    place, turn = v.bnd_mate(F.col("alt")), v.bnd_direction(F.col("alt"))
+    c = c.withColumns({"chrom2": place["chrom2"], "pos2": place["pos2"], "direction": turn["direction"], "strand": turn["strand"]})
+    b = bn.bench(c.where("side = 'base'").drop("side"), c.where("side = 'comp'").drop("side"), Params(pctseq=0))
+    return b.matches.select("bid", "cid", "state", *r6("score"), "st_dist", "ed_dist")
+
+
+@query(
+    f"""WITH {SEQUENCES}, k AS (SELECT id, seq, id % 5 AS s, id % 5 + greatest(length(seq) // 2, 1) AS e, CASE id % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INV' WHEN 2 THEN 'DUP' ELSE 'CNV' END AS t FROM sq),
+x AS (SELECT *, substr(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS span FROM k), y AS (SELECT *, t <> 'CNV' AND e - s <= 5000 AND span <> '' AS ok FROM x)
+SELECT id, CASE WHEN ok THEN CASE WHEN t = 'DUP' THEN substr(span, 1, 1) ELSE span END END AS res_ref,
+  CASE WHEN ok THEN CASE t WHEN 'DEL' THEN substr(span, 1, 1) WHEN 'INV' THEN reverse(translate(span, 'ATCG', 'TAGC')) ELSE span END END AS res_alt, CASE WHEN ok AND t = 'DUP' THEN s + 1 ELSE e END AS "end" FROM y"""
+)
+def resolve_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbolic alleles over half of each document's letters, looked up in the documents as contigs."""
+    s = synth.sequences(spark, sf_dir)
+    i, n, tile = F.col("id"), F.length("seq"), 1000
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / tile).cast("int")))
+    tiles = s.select(i.cast("string").alias("chrom"), "seq", at.alias("tile")).select("chrom", "tile", (F.col("tile").cast("long") * tile).alias("start"), F.substring(F.col("seq"), F.col("tile") * tile + 1, F.lit(tile)).alias("seq"))
+    kind = F.when(i % 4 == 0, "DEL").when(i % 4 == 1, "INV").when(i % 4 == 2, "DUP").otherwise("CNV")
+    end = i % 5 + F.greatest(F.floor(n / 2), F.lit(1))
+    calls = s.select("id", i.cast("string").alias("chrom"), (i % 5).alias("start"), end.alias("end"), F.lit("N").alias("ref"), F.concat(F.lit("<"), kind, F.lit(">")).alias("alt"), kind.alias("svtype"), (end - i % 5).alias("svlen"))
+    got = matching.resolve_symbolic(calls, tiles, Params(dup_to_ins=True, max_resolve=5000), tile=tile)
+    return got.select("id", "res_ref", "res_alt", "end")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS id, p_size % 7 AS a, p_size + 3 AS m, p_size % 4 AS i, p_size % 5 AS d, p_partkey % 6 AS z FROM part)
+SELECT id, CAST(m + m AS INT) AS matched, CAST(i + d AS INT) AS missed, CAST(a AS INT) AS before, CAST(z AS INT) AS behind, CAST(1000 + m + d + m AS BIGINT) AS stop FROM c"""
+)
+def fn_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of alignment strings made of parts' sizes."""
+    from ..functions import cigar as cg
+
+    p = table(spark, sf_dir, "part")
+    size, k = F.col("p_size"), F.col("p_partkey")
+    bits = [(size % 7, "S"), (size + 3, "M"), (size % 4, "I"), (size % 5, "D"), (size + 3, "="), (k % 6, "H")]
+    c = F.concat(*[x for n, op_ in bits for x in (n.cast("string"), F.lit(op_))])
+    ends = cg.clipped(c)
+    return p.select(k.alias("id"), cg.matched(c).alias("matched"), cg.missed(c).alias("missed"), ends["before"].alias("before"), ends["behind"].alias("behind"), cg.end_on_reference(F.lit(1000).cast("long"), c).alias("stop"))
+
+
+@query("SELECT count(DISTINCT o_orderpriority) AS o_orderpriority, count(DISTINCT o_orderstatus) AS o_orderstatus, count(DISTINCT o_custkey) AS o_custkey FROM orders")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_counts(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus", "o_custkey"])
+
+
 @query(
     """SELECT l_orderkey AS pos, 'chr' || CAST(l_suppkey % 5 AS VARCHAR) AS chrom, CASE WHEN l_returnflag = 'N' THEN 'DEL' ELSE 'INS' END AS svtype, CAST(l_quantity AS BIGINT) AS svlen,
  l_linestatus = 'O' AS is_pass, CAST(l_linenumber AS INT) AS dp, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6"""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.bench import Bench, annotations
+from ..params import Params
+from .vcf import Header, with_figures, write_vcf
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -26,16 +29,77 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
     df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
-def write_bench(result: Bench, path: str) -> dict:
-    """States by verdict, candidates for refinement, parameters and summary under ``path``; returns the summary."""
-    spark = result.picked.sparkSession
-    annotations(result.states()).write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/states")
+#: Figures that a call's record gets, with their number, type and text; the names are fixed values.
+FIGURES = {
+    "PctSeqSimilarity": ("1", "Float", "Similarity of the two calls' sequences"),
+    "PctSizeSimilarity": ("1", "Float", "Smaller size over larger size"),
+    "PctRecOverlap": ("1", "Float", "Shared span over the longer span"),
+    "SizeDiff": ("1", "Integer", "Base size less comparison size"),
+    "StartDistance": ("1", "Integer", "Base start less comparison start"),
+    "EndDistance": ("1", "Integer", "Base end less comparison end"),
+    "GTMatch": ("1", "Integer", "How far the allele counts differ"),
+    "TruScore": ("1", "Integer", "Mean of the similarities, of 100"),
+    "MatchId": (".", "String", "Block and number of either call"),
+    "Multi": ("0", "Flag", "The best match was taken by another call"),
+}
+#: Names of the outputs by verdict.
+VERDICTS = {"tpbase": "tp-base", "tp": "tp-comp", "fn": "fn", "fp": "fp"}
+
+
+def with_declared(header: Header) -> Header:
+    for name, (number, kind, text) in FIGURES.items():
+        header = header.with_info(name, number, kind, text)
+    return header
+
+
+def write_bench(result: Bench, path: str, headers: tuple[Header, Header] | None = None) -> dict:
+    """States by verdict, candidates for refinement, parameters and summary under ``path``; returns the summary.
+
+    With the headers of base and comp, each verdict's calls also as records
+    with their figures: tp-base.vcf, tp-comp.vcf, fn.vcf and fp.vcf.
+    """
+    spark = result.calls.sparkSession
+    states = annotations(result.states())
+    states.write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/states")
+    if headers is not None:
+        again = read_states(spark, path)
+        marked = with_figures(again.withColumns({"Multi": F.when(F.col("Multi"), ""), "MatchId": F.when(F.size(F.filter("MatchId", lambda x: x.isNotNull())) > 0, F.col("MatchId"))}), list(FIGURES))
+        marked = marked.withColumn("info", F.transform_values("info", lambda k, v: F.when(k != "Multi", v)))
+        for verdict, name in VERDICTS.items():
+            head = headers[0] if verdict in ("tpbase", "fn") else headers[1]
+            write_vcf(marked.where(F.col("verdict") == verdict), f"{path}/{name}.vcf", with_declared(head), result.params.write_resolved)
     write_tsv(result.refine_candidates(), f"{path}/candidate.refine.bed", header=False)
     settings = json.dumps(result.params.__dict__, default=str)
     spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
     return write_json(result.summary(), f"{path}/summary")
 
 
+def read_params(spark: SparkSession, path: str) -> Params:
+    """The parameters of a result folder."""
+    found = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/params").collect()))
+    if isinstance(found.get("dynthresh"), list):
+        found["dynthresh"] = tuple(found["dynthresh"])
+    return Params(**found)
+
+
+def read_refined_regions(spark: SparkSession, path: str) -> DataFrame:
+    """The regions of a refinement, with typed counts and whether each was refined."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(f"{path}/regions")
+    kinds = {c: "boolean" if c == "refined" else "long" for c in rows.columns if c in ("start", "end", "refined") or c.startswith(("in_", "out_"))}
+    return rows.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+
+
+def concatenated(spark: SparkSession, path: str, verdicts: list[str]) -> DataFrame:
+    """The record lines of several outputs of a result folder in one table: chrom, pos, value, verdict."""
+    out = None
+    for v in verdicts:
+        lines = spark.read.text(f"{path}/{VERDICTS[v]}.vcf").where(~F.col("value").startswith("#"))
+        f = F.split("value", "\t", 3)
+        one = lines.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), "value", F.lit(v).alias("verdict"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_states(spark, path: str) -> DataFrame:
     """The states of a result folder, with the verdict as a column."""
     return spark.read.parquet(f"{path}/states")

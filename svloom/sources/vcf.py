@@ -179,13 +179,15 @@ def lines_of(variants: DataFrame, resolved: bool = False) -> DataFrame:
         body = F.when(s["phased"], F.translate(body, "/", "|")).otherwise(body)
         return F.array_join(F.transform("fmt_keys", lambda k: F.when(k == "GT", body).otherwise(F.coalesce(s["fmt"].getItem(k), F.lit(".")))), ":")
 
-    ref, alts = ("res_ref", F.array("res_alt")) if resolved else ("ref", F.col("alts"))
+    ref, alts = F.col("ref"), F.col("alts")
+    if resolved and "res_ref" in variants.columns:
+        ref, alts = F.coalesce("res_ref", "ref"), F.when(F.col("res_alt").isNotNull(), F.array("res_alt")).otherwise(F.col("alts"))
 
     def dot(c: Column) -> Column:
         return F.when(c.isNull() | (c == ""), ".").otherwise(c)
 
     cols = [
-        F.col("chrom"), F.col("pos").cast("string"), dot(F.col("vid")), F.col(ref), dot(F.array_join(alts, ",")),
+        F.col("chrom"), F.col("pos").cast("string"), dot(F.col("vid")), ref, dot(F.array_join(alts, ",")),
         dot(F.col("qual").cast("string")), dot(F.array_join("filters", ";")), dot(info),
     ]
     tail = F.when(F.size("samples") > 0, F.concat(F.lit("\t"), F.array_join("fmt_keys", ":"), F.lit("\t"), F.array_join(F.transform("samples", gt), "\t"))).otherwise("")
@@ -193,16 +195,48 @@ def lines_of(variants: DataFrame, resolved: bool = False) -> DataFrame:
 
 
 def write_vcf(variants: DataFrame, path: str, header: Header, resolved: bool = False, compression: str | None = None) -> None:
-    """Sorted record lines as text files under ``path``, the header as a file of its own that sorts first."""
+    """Text files under ``path`` that make one sorted file in the order of their names: the header, then records by contig and place.
+
+    Contigs come in the header's order, others behind them by name.
+    """
     spark = variants.sparkSession
     head = [*header.lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *header.samples] if header.samples else [])])]
-    body = lines_of(variants, resolved).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").select("value")
-    writer = body.write.mode("overwrite")
+    top = spark.createDataFrame([(-1, "", i, x) for i, x in enumerate(head)], "rank int, chrom string, pos long, value string")
+    ranks = spark.createDataFrame(list(enumerate(header.contigs)), "rank int, chrom string")
+    body = lines_of(variants, resolved).join(ranks, "chrom", "left").select(F.coalesce("rank", F.lit(len(header.contigs))).alias("rank"), "chrom", "pos", "value")
+    writer = top.unionByName(body).orderBy("rank", "chrom", "pos", "value").select("value").write.mode("overwrite")
     (writer.option("compression", compression) if compression else writer).text(path)
-    spark.createDataFrame([(i, x) for i, x in enumerate(head)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("append").text(path)
 
 
 def raw_keys(spark: SparkSession, path: str, file_no: int) -> DataFrame:
     """(key, file_no): the first five columns of every record line, nothing more parsed."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     return lines.select(F.substring_index("value", "\t", 5).alias("key"), F.lit(file_no).alias("file_no"))
+
+
+def light_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, end, ref, alt, info) of record lines; the end is that of the reference allele, whatever INFO says."""
+    f = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    start = F.get(f, F.lit(1)).cast("long") - 1
+    info = F.str_to_map(F.get(f, F.lit(7)), F.lit(";"), F.lit("="))
+    return lines.select(F.get(f, F.lit(0)).alias("chrom"), start.alias("start"), (start + F.length(F.get(f, F.lit(3)))).alias("end"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), info.alias("info"))
+
+
+def lines_within(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
+    """Record lines whose place lies in [start, end) of a contig; only the first two fields are looked at."""
+    lines = spark.read.text(path).where(F.col("value").startswith(chrom + "\t"))
+    at = F.get(F.split("value", "\t", 3), F.lit(1)).cast("long") - 1
+    return lines.where((at >= start) & (at < end))
+
+
+def with_figures(states: DataFrame, names: list[str]) -> DataFrame:
+    """The given columns, where they aren't null, as entries of the info map; entries of the same names are replaced."""
+
+    def text(n: str) -> Column:
+        c = F.col(n)
+        return F.array_join(c, ",") if dict(states.dtypes)[n].startswith("array") else c.cast("string")
+
+    own = F.map_filter("info", lambda k, _: ~k.isin(*names))
+    new = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), text(n).alias("value")) for n in names]), lambda e: e["value"].isNotNull()))
+    return states.withColumn("info", F.map_concat(own, new))
