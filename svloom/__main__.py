@@ -36,12 +36,24 @@ def _params(a: argparse.Namespace) -> Params:
 def bench(spark, a) -> None:
     base, comp = _calls(spark, a.base, a.bsample), _calls(spark, a.comp, a.csample)
     bed = regions.read_intervals(spark, a.includebed) if a.includebed else None
-    print(json.dumps(sinks.write_bench(bn.bench(base, comp, _params(a), bed, a.extend), a.output), indent=1, default=str))
+    reference = stored(regions.read_fasta(spark, a.reference), "reference") if a.reference else None
+    heads = vcf.header_of(spark, a.base), vcf.header_of(spark, a.comp)
+    a.decompose = not a.no_decompose
+    a.dynthresh = tuple(int(x) if x else None for x in (a.dynthresh.split(",") + [""] * 2)[:4]) if a.dynthresh else None
+    print(json.dumps(sinks.write_bench(bn.bench(base, comp, _params(a), bed, a.extend, reference), a.output, heads), indent=1, default=str))
 
 
 def collapse(spark, a) -> None:
     p = co.DEFAULTS.but(pctseq=a.pctseq, pctsize=a.pctsize, refdist=a.refdist, chunksize=a.refdist, sizemin=a.sizemin, sizemax=a.sizemax, sizefilt=a.sizemin)
-    kept, removed = co.collapse(_calls(spark, a.input), p, a.keep, a.chain, None, a.hap, a.gt, not a.no_consolidate)
+    head = vcf.header_of(spark, a.input)
+    kept, removed = co.collapse(_calls(spark, a.input), p, a.keep, a.chain or a.chain_depth is not None, a.chain_depth, a.hap, a.gt, not a.no_consolidate)
+    if not a.intra and not a.median_info:
+        names = {"NumCollapsed": "num_collapsed", "NumConsolidated": "num_consolidated", "CollapseId": "collapse_id"}
+        for n in names:
+            head = head.with_info(n, "1", "String" if n == "CollapseId" else "Integer", "Of collapsing")
+        for rows, name in ((vcf.with_alleles(kept), "kept"), (removed, "removed")):
+            have = {n: c for n, c in names.items() if c in rows.columns}
+            vcf.write_vcf(vcf.with_figures(rows.withColumnsRenamed({c: n for n, c in have.items()}), list(have)), f"{a.output}/{name}.vcf", head)
     if a.intra:
         kept = co.intra_merge(kept, removed)
     if a.median_info:
@@ -145,7 +157,10 @@ def anno(spark, a) -> None:
         "density": lambda: an.density(calls, intervals.tiles(vcf.header_of(spark, a.input).contig_table(spark), a.window).select("chrom", "start", "end")),
         "gcpct": lambda: an.gc_content(calls.withColumn("seq", F.when(F.length("alt") > F.length("ref"), F.col("alt")).otherwise(F.col("ref")))),
         "gtcnt": lambda: an.genotype_counts(calls),
-        "grpaf": lambda: an.allele_frequencies(calls),
+        "dpcnt": lambda: an.depth_counts(calls.withColumn("depths", F.transform("samples", lambda x: x["fmt"].getItem("DP").try_cast("int"))), alt_depth=None),
+        "grpaf": lambda: an.group_frequencies(calls.select("id", F.inline("samples")).select("id", F.col("name").alias("sample"), "alleles"), regions.read_labels(spark, a.extra)) if a.extra else an.allele_frequencies(calls),
+        "remap": lambda: an.remapped(spark.read.parquet(a.extra), calls),
+        "repmask": lambda: an.repeat_hits(regions.read_masker_output(spark, a.extra).withColumn("seq_len", F.col("span"))),
         "hompct": lambda: an.hom_percent(calls, calls),
         "lcr": lambda: an.low_complexity(calls.withColumn("seq", F.when(F.length("alt") > F.length("ref"), F.col("alt")).otherwise(F.col("ref")))),
         "numneigh": lambda: an.neighbors(calls),
@@ -177,11 +192,11 @@ def _parser() -> argparse.ArgumentParser:
 
     d = Params()
     out = req("-o", "--output", required=True)
-    add(bench, req("-b", "--base", required=True), req("-c", "--comp", required=True), out, opt("--includebed", None), opt("--extend", 0), opt("--bsample", None), opt("--csample", None),
+    add(bench, req("-b", "--base", required=True), req("-c", "--comp", required=True), out, opt("--includebed", None), opt("--extend", 0), opt("--bsample", None), opt("--csample", None), opt("--dynthresh", None), (("-f", "--reference"), {"default": None}),
         *[opt(f"--{n}", getattr(d, n)) for n in ("refdist", "pctseq", "pctsize", "pctovl", "chunksize", "bnddist", "sizemin", "sizemax", "max_resolve", "pick")],
-        opt("--sizefilt", None, type=int), opt("--no_ref", None), *[flag(f"--{n}") for n in ("typeignore", "no_roll", "passonly", "dup_to_ins", "short_circuit")])
+        opt("--sizefilt", None, type=int), opt("--no_ref", None), *[flag(f"--{n}") for n in ("typeignore", "no_roll", "passonly", "dup_to_ins", "short_circuit", "write_resolved", "no_decompose")])
     add(collapse, req("-i", "--input", required=True), out, opt("--keep", "first"), opt("--gt", "off"), opt("--refdist", 500), opt("--pctseq", 0.95), opt("--pctsize", 0.95), opt("--sizemin", 50),
-        opt("--sizemax", 50_000), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info")])
+        opt("--sizemax", 50_000), opt("--chain_depth", None, type=int), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info")])
     add(consistency, req("inputs", nargs="+"), out, flag("--keep_dups"))
     add(stratify, req("regions"), req("input"), out)
     add(vcf2df, req("input"), out, flag("--info"), flag("--format"), req("--sample", nargs="*"), flag("--no_prefix"), flag("--alleles"))

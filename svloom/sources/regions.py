@@ -29,6 +29,13 @@ def preset(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_intervals(spark, path, (c, s, e), one)
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, group) of a tab-separated file of samples and their groups."""
+    f = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return lines.select(F.get(f, F.lit(0)).alias("sample"), F.get(f, F.lit(1)).alias("group"))
+
+
 def parse_regions(spark: SparkSession, text: str) -> DataFrame:
     """Regions written as chrom:start-end, separated by commas."""
     rows = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", ",")).alias("r"))

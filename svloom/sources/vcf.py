@@ -240,3 +240,9 @@ def with_figures(states: DataFrame, names: list[str]) -> DataFrame:
     own = F.map_filter("info", lambda k, _: ~k.isin(*names))
     new = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), text(n).alias("value")) for n in names]), lambda e: e["value"].isNotNull()))
     return states.withColumn("info", F.map_concat(own, new))
+
+
+def with_alleles(variants: DataFrame) -> DataFrame:
+    """The samples' alleles as ``gts`` has them, where something changed these."""
+    same = F.transform("samples", lambda s, i: s.withField("alleles", F.coalesce(F.get("gts", i), s["alleles"])))
+    return variants.withColumn("samples", same)

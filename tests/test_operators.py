@@ -211,3 +211,100 @@ def test_breakends_match_decomposed_calls(spark):
     assert got[2] == (True, -10, -9) and got[3][0] is False
     off = bn.bench(b, spark.createDataFrame([bnd], cols), p.but(decompose=False)).matches.first()
     assert off.state is False
+
+
+def affine_score(a, b):
+    total, last = 0, 0
+    for x, y in zip(a, b, strict=True):
+        now = 1 if x == "-" else 2 if y == "-" else 0
+        total += (2 if x == y else -4) if not now else -1 if now == last else -7
+        last = now
+    return total
+
+
+def best_score(q, r):
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def f(i, j, last):
+        if not i and not j:
+            return 0
+        gap = lambda now: 1 if now == last else 7
+        out = -(10**6)
+        if i and j:
+            out = f(i - 1, j - 1, 0) + (2 if q[i - 1] == r[j - 1] else -4)
+        if j:
+            out = max(out, f(i, j - 1, 1) - gap(1))
+        if i:
+            out = max(out, f(i - 1, j, 2) - gap(2))
+        return out
+
+    return f(len(q), len(r), 0)
+
+
+def test_alignments_have_the_best_score():
+    rng = random.Random(14)
+    for _ in range(400):
+        q, r = ("".join(rng.choices("ACG", k=rng.randint(0, 12))) for _ in range(2))
+        a, b = ha.align(q, r)
+        assert a.replace("-", "") == q and b.replace("-", "") == r
+        assert affine_score(a, b) == best_score(q, r)
+
+
+def test_a_gap_at_the_first_base_is_anchored_by_the_reference(spark):
+    loci = spark.createDataFrame([("l", "c", 10, "GACGTACGT")], "locus string, chrom string, start long, seq string")
+    calls = spark.createDataFrame([("l", 10, "G", "TTTTG", "s", [0, 1])], "locus string, start long, ref string, alt string, sample string, alleles array<int>")
+    r = ha.harmonise(calls, loci).first()
+    assert (r.start, r.ref, r.alt, r.error) == (9, "G", "GTTTT", None)
+
+
+def test_symbolic_calls_are_compared_by_their_sequence(spark):
+    rng = random.Random(15)
+    contig = "".join(rng.choices("ACGT", k=4000))
+    tiles = spark.createDataFrame([("c", k, k * 500, contig[k * 500 : k * 500 + 500]) for k in range(8)], "chrom string, tile int, start long, seq string")
+    cols = "id long, chrom string, start long, end long, pos long, svtype string, svlen long, ref string, alt string"
+    base = spark.createDataFrame([(1, "c", 1000, 1100, 1001, "DEL", 100, "N", "<DEL>"), (2, "c", 3000, 3080, 3001, "DUP", 80, "N", "<DUP>")], cols)
+    spelled = [(11, "c", 1000, 1100, 1001, "DEL", 100, contig[1000:1100], contig[1000]), (12, "c", 3000, 3001, 3001, "INS", 80, contig[3000], contig[3000:3080])]
+    comp = spark.createDataFrame(spelled, cols)
+    p = Params(pctseq=0.9, dup_to_ins=True)
+    got = {(r.bid, r.cid): (r.state, r.seqsim) for r in bn.bench(base, comp, p, reference=op_tiles(tiles)).matches.where("state").collect()}
+    assert got == {(1, 11): (True, 1.0), (2, 12): (True, 1.0)}
+    none = bn.bench(base, comp, p).matches.where("seqsim > 0").count()
+    assert none == 0
+
+
+def op_tiles(tiles):
+    from svloom.sources import regions
+
+    whole = tiles.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    assert regions.fetch(whole.select(F.lit(1).alias("id"), "chrom", F.lit(700).alias("start"), F.lit(1300).alias("end")), tiles, 500).first().seq == whole.first().seq[700:1300]
+    return whole.select("chrom", F.lit(0).alias("tile"), F.lit(0).cast("long").alias("start"), "seq")
+
+
+def test_distances_stop_where_they_cannot_pass(spark):
+    rng = random.Random(16)
+    seqs = ["".join(rng.choices("ACGT", k=300)) for _ in range(6)]
+    seqs += [s[:150] + "".join(rng.choices("ACGT", k=20)) + s[160:] for s in seqs]
+    cols = "id long, chrom string, start long, end long, pos long, svtype string, svlen long, ref string, alt string"
+    rows = [(i, "c", 1000 + i, 1001 + i, 1001 + i, "INS", len(s), "A", s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, cols)
+    full = Params(pctseq=0.9, no_roll=True)
+    found = [{(r.bid, r.cid): round(r.seqsim, 9) for r in bn.bench(df, df, p).matches.where("state").collect()} for p in (full, full.but(short_circuit=True), full.but(short_circuit=True, max_chunk=None))]
+    assert len(found[0]) == 24 and found[0] == found[1] == found[2]
+
+
+def test_alignment_strings(spark):
+    from svloom.functions import cigar as cg
+
+    df = spark.createDataFrame([("ACGTTT", "ACAAGTT", "2M2D2M1I1M")], "seq string, ref string, cigar string")
+    r = df.select(cg.expanded(F.col("seq"), F.col("ref"), F.col("cigar")).alias("x"), cg.clipped(F.lit("3S4M2H")).alias("c"), cg.missed(F.lit("2M2D1I3X")).alias("m")).first()
+    assert (r.x.seq, r.x.ref) == ("AC--GTTT", "ACAAGT-T") and (r.c.before, r.c.behind, r.m) == (3, 2, 6)
+
+
+def test_shards_and_small_types(spark):
+    rows = [(i, "ab"[i % 2], 10_000 * i, 10_000 * i + 10) for i in range(60)]
+    s = sets.shards(spark.createDataFrame(rows, "id long, chrom string, start long, end long"), 1000, 7)
+    sizes = sets.shard_sizes(s).first()
+    assert (sizes.shards, sizes.most, sizes.least) == (10, 7, 2)
+    d = stats.downcast(spark.createDataFrame([(1, 70_000, 2**40), (-5, 3, None)], "a long, b long, c long"))
+    assert dict(d.dtypes) == {"a": "tinyint", "b": "int", "c": "bigint"}

@@ -96,3 +96,34 @@ def test_commands(spark, path, tmp_path, capsys):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "s")).first().tpbase == "2"
     assert main(["anno", "numneigh", path, "-o", str(tmp_path / "n")]) == 0
     assert main(["consistency", path, path, "-o", str(tmp_path / "c")]) == 0
+    for name, n in (("tp-base", 2), ("tp-comp", 2), ("fn", 0), ("fp", 0)):
+        out = str(tmp_path / "b" / f"{name}.vcf")
+        head = vcf.header_of(spark, out)
+        again = vcf.read_vcf(spark, out, head)
+        assert again.count() == n and "TruScore" in head.info and len(head.samples) == len(vcf.header_of(spark, path).samples)
+        if n:
+            assert all("MatchId" in r.info and "Multi" not in r.info for r in again.select("info").collect())
+    assert sinks.concatenated(spark, str(tmp_path / "b"), ["tpbase", "tp"]).count() == 4
+    assert sinks.read_params(spark, str(tmp_path / "b")).pctseq == 0
+    assert main(["collapse", "-i", path, "-o", str(tmp_path / "k")]) == 0
+    kept = vcf.read_vcf(spark, str(tmp_path / "k" / "kept.vcf"))
+    assert kept.count() + spark.read.parquet(str(tmp_path / "k" / "removed")).count() == 3
+    labels = tmp_path / "groups.tsv"
+    labels.write_text("".join(f"{x}\tg\n" for x in vcf.header_of(spark, path).samples))
+    assert main(["anno", "grpaf", path, "-o", str(tmp_path / "g"), "--extra", str(labels)]) == 0
+    assert {r.group for r in spark.read.parquet(str(tmp_path / "g")).collect()} == {"g"}
+
+
+def test_written_records_are_in_order(spark, tmp_path):
+    lines = ["##contig=<ID=chr2,length=99>", "##contig=<ID=chr10,length=99>", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])]
+    rows = [(c, p) for c in ("chr10", "chr2", "zz") for p in (30, 4, 200)]
+    src = tmp_path / "x.vcf"
+    src.write_text("\n".join([*lines, *[f"{c}\t{p}\t.\tA\tAT\t.\tPASS\tSVLEN=1" for c, p in rows]]) + "\n")
+    head = vcf.header_of(spark, str(src))
+    vcf.write_vcf(vcf.read_vcf(spark, str(src), head), str(tmp_path / "y"), head)
+    parts = sorted(x for x in (tmp_path / "y").iterdir() if x.name.startswith("part"))
+    got = "".join(x.read_text() for x in parts).splitlines()
+    assert got[:3] == lines
+    assert [tuple(x.split("\t")[:2]) for x in got[3:]] == [(c, str(p)) for c in ("chr2", "chr10", "zz") for p in (4, 30, 200)]
+    assert [r.end - r.start for r in vcf.light_rows(spark, str(src)).collect()] == [1] * 9
+    assert vcf.lines_within(spark, str(src), "chr2", 3, 29).count() == 1 and vcf.lines_within(spark, str(src), "chr2", 3, 30).count() == 2
