@@ -7,6 +7,9 @@ template's shingles is retrieved with a chance of at least 0.9995 (its Jaccard
 similarity to the template is 0.19 or more, since a window is at most four
 times as long).  A retrieved template counts if the window and its
 surroundings contain at least ``CONTAINMENT`` of its shingles exactly.
+
+A template of fewer words than a shingle is one shingle of its own length,
+whose MinHash is itself: it is found where it stands word for word.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_of, tune, utf8
-from .words import mixed, rolled, words_of
+from .words import Words, mixed, rolled, words_of
 
 SHINGLE = 5
 BANDS = 40
@@ -45,6 +48,7 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("All-rights-reserved", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -62,17 +66,26 @@ class Index:
     half: list[int]
     values: dict[int, list[dict[int, list[int]]]]
     filters: dict[int, np.ndarray]
+    short: dict[int, dict[int, list[int]]]
 
     @classmethod
     def of(cls, templates) -> Index:
         names, shingles, halves = [], [], []
         values: dict[int, list[dict[int, list[int]]]] = {}
         filters: dict[int, np.ndarray] = {}
+        short: dict[int, dict[int, list[int]]] = {}
         for name, text in templates:
             h = words_of([text.encode()], bare=True).hash
+            if not len(h):
+                raise ValueError(f"template {name} has no words")
+            if len(h) < SHINGLE:
+                key = int(rolled(h, tuple(range(len(h))))[0])
+                short.setdefault(len(h), {}).setdefault(key, []).append(len(names))
+                names.append(name)
+                shingles.append(np.zeros(0, np.uint64))
+                halves.append(0)
+                continue
             g = np.unique(rolled(h, tuple(range(SHINGLE))))
-            if not len(g):
-                raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             half = max(LEAST_HALF, 1 << (len(g) - 1).bit_length())
             t = len(names)
             names.append(name)
@@ -84,15 +97,34 @@ class Index:
                 v = int(_rows(g, band).min())
                 own[band].setdefault(v, []).append(t)
                 bits[band, v >> (64 - _FILTER_BITS)] = True
-        return cls(names, shingles, halves, values, filters)
+        return cls(names, shingles, halves, values, filters, short)
+
+
+def _short_places(w: Words, index: Index) -> list[tuple[int, int, float, int, int]]:
+    """The first place of each short template in each text."""
+    best: dict[tuple[int, int], int] = {}
+    for size, keys in index.short.items():
+        g = rolled(w.hash, tuple(range(size)))
+        at = np.flatnonzero(np.isin(g, np.array(list(keys), np.uint64)))
+        text = np.searchsorted(w.first, at, "right") - 1
+        inside = at + size <= w.first[text + 1]
+        for place, i in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
+            for t in keys[int(g[place])]:
+                best.setdefault((i, t), place - int(w.first[i]))
+    return [(i, t, 1.0, at, at + len_) for (i, t), at in best.items() for len_ in (_size_of(index, t),)]
+
+
+def _size_of(index: Index, template: int) -> int:
+    return next(size for size, keys in index.short.items() if any(template in ts for ts in keys.values()))
 
 
 def scan(texts: list[bytes], index: Index, containment: float) -> list[tuple[int, int, float, int, int]]:
     """(text, template, containment, first word, end word), the best place of each text and template."""
     w = words_of(texts, bare=True)
+    found = _short_places(w, index)
     g = rolled(w.hash, tuple(range(SHINGLE)))
-    if not len(g):
-        return []
+    if not len(g) or not index.values:
+        return sorted(found)
     n_of = np.maximum(np.diff(w.first) - SHINGLE + 1, 0)  # shingles of each text
     top = max(index.values)
     room = -(-n_of // (2 * top)) * (2 * top)  # each text begins at a window's edge of every size
@@ -135,15 +167,17 @@ def scan(texts: list[bytes], index: Index, containment: float) -> list[tuple[int
             got = (share, -(begin + int(on[0])), begin + int(on[-1]) + SHINGLE)
             if share >= containment and got > best.get((text, t), (0.0,)):
                 best[text, t] = got
-    return [(text, t, s, -a, b) for (text, t), (s, a, b) in sorted(best.items())]
+    return sorted([*found, *((text, t, s, -a, b) for (text, t), (s, a, b) in best.items())])
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row per input row and template found: doc_id, license, containment, word_start, word_end.
 
     Words are runs of letters, digits and non-ASCII signs, lower-cased; the
-    places are those of the best match.  Null and short texts have no rows;
-    repeated rows have theirs each.
+    places are those of the best match, the first among equals.  Null and
+    empty texts have no rows; long texts are scanned whole; repeated rows have
+    their rows each; an empty table gives no rows.  Extra columns of any names
+    are ignored.
     """
     tune(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(Index.of(templates))  # as large as the templates given

@@ -88,7 +88,32 @@ def test_licenses_are_found_wherever_they_stand(spark, odd, none):
     assert got == want
     assert ls.scan_licenses(odd).count() == 0 and ls.scan_licenses(none).count() == 0
     with pytest.raises(ValueError):
-        ls.Index.of([("short", "too short")])
+        ls.Index.of([("none", " . ")])
+    short = ls.Index.of([("short", "too short"), ("one", "Word")])
+    assert ls.scan([b"it is Too short, a word", b"short", b"too", b"word too short"], short, 0.8) == [(0, 0, 1.0, 2, 4), (0, 1, 1.0, 5, 6), (3, 0, 1.0, 1, 3), (3, 1, 1.0, 0, 1)]
+
+
+def test_partial_licenses_against_brute_force():
+    """Every template with each one of its words, or its first or last few, replaced: found just if enough shingles are left."""
+    rng = random.Random(17)
+    index = ls.Index.of(ls.TEMPLATES)
+    texts, want = [], set()
+
+    def grams(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    plain = {name: re.findall(r"[a-z0-9]+", text.lower()) for name, text in ls.TEMPLATES}
+    for name, own in plain.items():
+        for gone in [{k} for k in range(len(own))] + [set(range(n)) for n in (2, 3)] + [set(range(len(own) - n, len(own))) for n in (2, 3)]:
+            w = ["zq" if k in gone else x for k, x in enumerate(own)]
+            texts.append(" ".join([*filler(rng, rng.randint(0, 40)).split(), *w, *filler(rng, rng.randint(0, 40)).split()]))
+            for t, words_ in plain.items():
+                if len(words_) >= 5:
+                    share = len(grams(words_) & grams(w)) / len(grams(words_))
+                    if share >= 0.8:
+                        want.add((len(texts) - 1, t))
+    got = {(i, index.names[t]) for i, t, *_ in ls.scan([x.encode() for x in texts], index, 0.8)}
+    assert {x for x in got if x[1] != "All-rights-reserved"} == want and len(want) > 50
 
 
 def test_contamination(spark, odd, none):
