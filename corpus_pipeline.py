@@ -19,22 +19,27 @@ NEAR = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at the threshold or above go; null and empty texts are scored as empty, repeated rows go or stay together."""
     return toxicity.without_toxic(docs, toxicity_model(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null as empty) the row with the largest doc_id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts at a five-word similarity of NEAR or more the row with the smallest doc_id stays."""
     return jaccard.near_dedup(docs, similarity=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go; without benchmark items all stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of the documents' ids, with its sequence and place; an empty table gives none."""
     got = packing.pack(docs, payload="ids_crc32")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -31,6 +31,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; null texts count as empty, an empty table gives no rows."""
     got = toxicity.scored(_documents(spark, sf_dir), toxicity_model(spark, sf_dir))
     return got.select(
         "doc_id",
@@ -41,10 +42,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and notice found in it: doc_id, license, containment, word_start, word_end."""
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base kinds, the digest of base spans, and all spans of every document."""
     found = pii.find_pii(_documents(spark, sf_dir))
     base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
 
@@ -59,24 +62,34 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_documents(spark, sf_dir))
+    """A row for each encoded length that occurs, with the suffix sums and the quantile that it is.
+
+    Any other limit L is answered by the row of the next longer length:
+    total_tokens - tokens_at_least + docs_at_least * L tokens stay.
+    """
+    got = token_counts.token_counts(_documents(spark, sf_dir))
+    return got.withColumn("quantile", F.col("docs_up_to") / F.col("total_docs"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     got = packing.pack(_documents(spark, sf_dir), payload="ids_crc32")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
     got = simhash.near_duplicates(_documents(spark, sf_dir))
     return got.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     return exact_dedup.dedup_report(_documents(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; learned from labelled documents outside the held-out quarter."""
     docs = _documents(spark, sf_dir)
     model = language_id.learn(docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
     got = language_id.identified(docs, model)
@@ -84,10 +97,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it contains, with the places of the stretch."""
     return decontaminate.contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, word counts, base_score and the model's score of every document."""
     return lm_score.lm_scores(_documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
 
 
