@@ -573,14 +573,14 @@ def consistency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT count_if(quality = 1 AND toxic = 0) AS tp_base, count_if(quality = 1 AND toxic = 0) AS tp_comp, count_if(quality = 1 AND toxic = 1) AS fn, count_if(quality = 0 AND toxic = 0) AS fp FROM labels)
-SELECT tp_base, fn, fp, round(tp_comp / CAST(tp_comp + fp AS DOUBLE), 6) AS precision, round(tp_base / CAST(tp_base + fn AS DOUBLE), 6) AS recall,
+    """WITH n AS (SELECT count_if(quality = 1 AND toxic = 0) AS tp_base, count_if(toxic = 0) AS tp_comp, count_if(quality = 1 AND toxic = 1) AS fn, count_if(quality = 0 AND toxic = 0) AS fp FROM labels)
+SELECT tp_base, tp_comp, fn, fp, round(tp_comp / CAST(tp_comp + fp AS DOUBLE), 6) AS precision, round(tp_base / CAST(tp_base + fn AS DOUBLE), 6) AS recall,
  round(2 * (tp_comp / CAST(tp_comp + fp AS DOUBLE)) * (tp_base / CAST(tp_base + fn AS DOUBLE)) / ((tp_comp / CAST(tp_comp + fp AS DOUBLE)) + (tp_base / CAST(tp_base + fn AS DOUBLE))), 6) AS f1 FROM n"""
 )
 def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = F.col("quality") == 1, F.col("toxic") == 0
-    n = table(spark, sf_dir, "labels").agg(F.count_if(q & t).alias("tp_base"), F.count_if(q & t).alias("tp_comp"), F.count_if(q & ~t).alias("fn"), F.count_if(~q & t).alias("fp"))
-    return bn.with_metrics(n).select("tp_base", "fn", "fp", *r6("precision", "recall", "f1"))
+    n = table(spark, sf_dir, "labels").agg(F.count_if(q & t).alias("tp_base"), F.count_if(t).alias("tp_comp"), F.count_if(q & ~t).alias("fn"), F.count_if(~q & t).alias("fp"))
+    return bn.with_metrics(n).select("tp_base", "tp_comp", "fn", "fp", *r6("precision", "recall", "f1"))
 
 
 _STATE = "CASE WHEN tpbase = 0 AND tp = 0 AND fn = 0 AND fp = 0 THEN 'TN' WHEN fn = 0 AND fp = 0 AND tpbase > 0 AND tp > 0 THEN 'TP' WHEN fn > 0 AND fp > 0 THEN 'FN,FP' WHEN fp > 0 THEN 'FP' WHEN fn > 0 THEN 'FN' ELSE 'UNK' END"
