@@ -736,9 +736,13 @@ def collapse_maxqual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, keep="maxqual")[1].select("id", "keeper")
 
 
-@query()
+@query(
+    _collapse_sql("s, svlen DESC, id").split("\ng AS (")[0].rstrip(",").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, y AS (SELECT i AS a, j AS b FROM e UNION ALL SELECT j, i FROM e), r(a, b) AS (SELECT a, b FROM y UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a),
+m AS (SELECT a, min(rk) AS rk FROM r JOIN f ON f.id = r.b GROUP BY a) SELECT f.id AS id, k.id AS keeper FROM m JOIN f ON f.id = m.a JOIN f k ON k.rk = m.rk WHERE m.rk < f.rk"""
+)
 def collapse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chained collapsing; the walk has no SQL form."""
+    """Chained collapsing: all that hangs together goes to its first call."""
     return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, chain=True)[1].select("id", "keeper")
 
 

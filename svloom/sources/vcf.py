@@ -103,16 +103,25 @@ def parse_lines(lines: DataFrame, samples: list[str], value: str = "value") -> D
         }
     )
 
+    names = F.array(*[F.lit(x) for x in samples]) if samples else F.array().cast("array<string>")
+
+    def bound(x: Column, fn) -> Column:
+        """``fn`` of a value that is worked out once, however often ``fn`` uses it."""
+        return F.get(F.transform(F.array(x), fn), F.lit(0))
+
     def sample(s: Column, i: Column) -> Column:
-        fmt = F.map_from_arrays(F.slice("fmt_keys", 1, F.least(F.size("fmt_keys"), F.size(F.split(s, ":")))), F.slice(F.split(s, ":"), 1, F.least(F.size("fmt_keys"), F.size(F.split(s, ":")))))
-        g = fmt.getItem("GT")
-        names = F.array(*[F.lit(x) for x in samples]) if samples else F.array().cast("array<string>")
-        return F.struct(
-            F.get(names, i).alias("name"),
-            F.transform(F.split(g, r"[/|]"), lambda x: x.try_cast("int")).alias("alleles"),
-            g.contains("|").alias("phased"),
-            fmt.alias("fmt"),
-        )
+        def of(fmt: Column) -> Column:
+            def with_gt(g: Column) -> Column:
+                alleles = F.transform(F.split(g, r"[/|]"), lambda x: x.try_cast("int"))
+                return F.struct(F.get(names, i).alias("name"), alleles.alias("alleles"), g.contains("|").alias("phased"), fmt.alias("fmt"))
+
+            return bound(fmt.getItem("GT"), with_gt)
+
+        def fields(parts: Column) -> Column:
+            n = F.least(F.size("fmt_keys"), F.size(parts))
+            return bound(F.map_from_arrays(F.slice("fmt_keys", 1, n), F.slice(parts, 1, n)), of)
+
+        return bound(F.split(s, ":"), fields)
 
     out = out.withColumn("samples", F.transform("__samples", sample)).drop("__samples")
     out = out.withColumns({"alleles": F.get("samples", F.lit(0))["alleles"], "gts": F.transform("samples", lambda s: s["alleles"])})
