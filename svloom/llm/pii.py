@@ -8,7 +8,6 @@ right by fixed rules, decides the boundaries and validates what lies between.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import ahocorasick
@@ -234,7 +233,3 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return {"doc_id": batch.column(0), "found": pa.array(out, pa.list_(item))}
 
     return arrow_map(rows, run, "doc_id long, found array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-
-
-def digest(texts: list[str]) -> list[str]:
-    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
