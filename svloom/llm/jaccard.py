@@ -25,6 +25,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 5
 #: Words of 64 bits of a fingerprint, and differing bits beyond which texts aren't compared.
 WORDS, RADIUS = 4, 62
+#: The radius, and the most rounds, in which each text is compared with one partner before all that are left are.
+NEAR_RADIUS, ROUNDS = 44, 6
 _SALT = np.random.default_rng(7).integers(1, 2**63, WORDS, dtype=np.uint64)
 _FACTOR = np.random.default_rng(2024).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -116,27 +118,42 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int = SH
 def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) for each linked node of distinct (node, text).
 
-    First every member of a bucket is set beside the bucket's smallest, which
-    joins large groups of copies at one comparison a member.  Then members of
-    one bucket that are still apart are compared bit-sliced, all with all, and
-    what is within the radius is verified.
+    First every member of a bucket is set beside the bucket's smallest.  Then,
+    as long as that joins any, each member that is apart from others of its
+    bucket is set beside one of those that lie nearer; so a large group of copies
+    is joined at a few comparisons a member.  At last all pairs of a bucket
+    that are still apart and within the radius are verified.
     """
     tune(texts.sparkSession)
     live = filed(texts, shingle)
     hub = live.groupBy("key").agg(F.min(F.struct("node", *_FP)).alias("hub"))
     distance = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"hub.{n}"))) for n in _FP), F.lit(0))
-    tried = live.join(hub, "key").where((F.col("node") != F.col("hub.node")) & (distance <= RADIUS))
-    tried = written(tried.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    links = written(verified(tried, texts, least, shingle), "links")
-    roots = written(graph.components(links), "roots")
-    rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.select("key", "root", "node", *_FP), "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    pairs = near_pairs(rooted.join(apart, "key"), _FP, RADIUS).distinct().join(tried, ["u", "v"], "left_anti")
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return roots
-    return graph.components(written(links.union(verified(pairs, texts, least, shingle)), "links"))
+    pairs = live.join(hub, "key").where((F.col("node") != F.col("hub.node")) & (distance <= RADIUS))
+    pairs = written(pairs.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    tried, links, nth = pairs, None, 0
+    while True:
+        good = written(verified(pairs, texts, least, shingle), "verified")
+        found = not good.isEmpty()
+        if links is None or found:
+            links = good if links is None else written(links.union(good), "links")
+            roots = written(graph.components(links), "roots")
+        if nth > ROUNDS:  # those were all
+            return roots
+        rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        live = written(rooted.join(apart, "key").select("key", "root", "node", *_FP), "apart")
+        near, live = live, live.drop("root")
+        nth += 1
+        if nth > 1 and not found:
+            nth = ROUNDS + 1
+        new = near_pairs(near, _FP, NEAR_RADIUS, nth=nth) if nth <= ROUNDS else near_pairs(near, _FP, RADIUS)
+        pairs = written(new.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        if nth <= ROUNDS and pairs.isEmpty():
+            nth = ROUNDS + 1
+            pairs = written(near_pairs(near, _FP, RADIUS).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return roots
+        tried = tried.union(pairs)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import arrow_map, fresh, own_columns, text_of, tune, utf8, written
+from .common import arrow_map, fresh, own_columns, stable_seed, text_of, tune, utf8, written
+from .words import mixed
 
 BITS = 64
 RADIUS = 3
@@ -183,14 +184,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link_groups(
-    fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None
+    fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None, rank: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links (places in fps) that join what is near within each group: a forest of stars per chunk of comparisons, not all pairs.
 
     fps: all groups' fingerprints; first: where each group begins, and the end;
     cross: for each group the number of its leading members to compare with
     the rest only (0: compare all with all).  With ``root``, every near pair of
-    different roots is returned instead; fps then are [members, words].
+    different roots is returned instead; fps then are [members, words].  With
+    ``rank`` too, only each member's partner of the smallest rank, in each chunk.
     """
     n_of = np.diff(first)
     units_a, units_b, diag = [], [], []
@@ -240,8 +242,14 @@ def link_groups(
             eu, ev = np.concatenate(eu), np.concatenate(ev)
             if root is not None:
                 apart = root[eu] != root[ev]
-                us.append(eu[apart])
-                vs.append(ev[apart])
+                eu, ev = eu[apart], ev[apart]
+                if rank is not None and len(eu):
+                    eu, ev = np.concatenate([eu, ev]), np.concatenate([ev, eu])
+                    by = np.lexsort((rank[ev], eu))
+                    by = by[np.append(True, eu[by][1:] != eu[by][:-1])]
+                    eu, ev = eu[by], ev[by]
+                us.append(eu)
+                vs.append(ev)
                 continue
             nodes, inv = np.unique(np.concatenate([eu, ev]), return_inverse=True)
             label = _forest(len(nodes), inv[: len(eu)], inv[len(eu) :])
@@ -322,13 +330,18 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return in_tiles(_filed(prints), ["fp"], "fp", tile).mapInArrow(run, "u long, v long")
 
 
-def near_pairs(filed: DataFrame, words: list[str], radius: int, tile: int = TILE) -> DataFrame:
-    """(u, v), u < v: nodes of different roots in one bucket whose fingerprints, columns ``words``, are near; filed: key, root, node, words."""
+def near_pairs(filed: DataFrame, words: list[str], radius: int, tile: int = TILE, nth: int | None = None) -> DataFrame:
+    """(u, v), u < v: nodes of different roots in one bucket whose fingerprints, columns ``words``, are near; filed: key, root, node, words.
+
+    With ``nth``, one partner for each node in each chunk of comparisons, drawn
+    anew for every ``nth``: a few pairs a node instead of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, first, cross in _groups(batches):
             root, node, fps = cols[4], cols[5], np.stack(cols[6:], axis=1).view(np.uint64)
-            u, v = link_groups(fps, first, cross, radius, root)
+            rank = None if nth is None else mixed(node.view(np.uint64) ^ np.uint64(stable_seed("partner", nth)))
+            u, v = link_groups(fps, first, cross, radius, root, rank)
             a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 

@@ -62,7 +62,7 @@ def test_stage_drops_planted_copies(spark):
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_components_against_brute_force(spark, monkeypatch, tile):
     """Chains of edits, a large group, and short texts; buckets of every size end in the same components."""
-    monkeypatch.setattr(simhash.near_pairs, "__defaults__", (tile,))
+    monkeypatch.setattr(simhash.near_pairs, "__defaults__", (tile, None))
     rng = random.Random(22)
     texts = ["", "a b", "A  b", "a c", "a b c d e", "a b c d e f"]
     for size in (40, 8, 8, 3):
@@ -84,6 +84,32 @@ def test_rows_that_stay_with_similarity(odd, none):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, 6, 7, 8, None, None])
 
 
+def test_a_large_group_of_copies_costs_few_comparisons(spark, monkeypatch):
+    """Copies of one text that are often less than 0.8 alike among themselves: joined without comparing all with all."""
+    rng = random.Random(23)
+    base = words(rng, 120).split()
+    texts = [" ".join(base)]
+    for k in range(220):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"q{k}" + words(rng, 1)
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    seen = []
+    plain = jaccard.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r.node: r.root for r in jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 0.8).collect()}
+    root = components(texts)
+    groups = Counter((root[i], got.get(i, i)) for i in range(len(texts)))
+    assert len(groups) == len(set(root)) == len({g for _, g in groups})
+    assert sum(seen) < 20 * len(texts)
+
+
 @pytest.mark.parametrize(("words_", "radius"), [(1, 26), (4, 62), (2, 0), (3, 191)])
 def test_wide_distances(words_, radius):
     rng = np.random.default_rng(5)
