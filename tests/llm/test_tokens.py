@@ -211,3 +211,9 @@ def test_what_the_model_takes_from_the_corpus(spark):
     used = {x for t in texts for w in lm_score._windows(np.array(t, np.uint16), lm_score.EVERY, vocab, vocab - 1) for x in w[:-1].tolist()}
     moved = set(np.flatnonzero((after["token"] != start["token"]).any(axis=1)).tolist())
     assert moved and moved <= used
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [0, 0, 7], [5, 65_540, 65_541], [1, 70_000, 3_000_000]])
+def test_word_numbers_as_steps(numbers):
+    raw = lm_score._steps(np.array(numbers, np.int32))
+    assert lm_score._from_steps(raw).tolist() == numbers and raw[0] == (4 if max(np.diff(numbers, prepend=0), default=0) > 65_535 else 2)
