@@ -33,7 +33,7 @@ def test_against_sql(spark, name):
     import __spark_entry__ as e
 
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "documents", "labels"):
+    for t in ("part", "orders", "lineitem", "events", "documents", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = e.queries()[name](spark, SF)
     cur = con.execute(e.oracle_sql()[name])
