@@ -27,6 +27,8 @@ BANDS, ROWS = 20, 5
 WORDS, RADIUS = 4, 62
 #: The radius, and the most rounds, in which each text is compared with one partner before all that are left are.
 NEAR_RADIUS, ROUNDS = 44, 6
+#: Another such round follows if so large a part of the last one's pairs were links.
+WORTH = 0.1
 _SALT = np.random.default_rng(7).integers(1, 2**63, WORDS, dtype=np.uint64)
 _FACTOR = np.random.default_rng(2024).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -119,7 +121,7 @@ def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) for each linked node of distinct (node, text).
 
     First every member of a bucket is set beside the bucket's smallest.  Then,
-    as long as that joins any, each member that is apart from others of its
+    as long as that joins many, each member that is apart from others of its
     bucket is set beside one of those that lie nearer; so a large group of copies
     is joined at a few comparisons a member.  At last all pairs of a bucket
     that are still apart and within the radius are verified.
@@ -133,7 +135,7 @@ def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
     tried, links, nth = pairs, None, 0
     while True:
         good = written(verified(pairs, texts, least, shingle), "verified")
-        found = not good.isEmpty()
+        found = good.count()
         if links is None or found:
             links = good if links is None else written(links.union(good), "links")
             roots = written(graph.components(links), "roots")
@@ -144,7 +146,7 @@ def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
         live = written(rooted.join(apart, "key").select("key", "root", "node", *_FP), "apart")
         near, live = live, live.drop("root")
         nth += 1
-        if nth > 1 and not found:
+        if nth > 1 and found < WORTH * pairs.count():
             nth = ROUNDS + 1
         new = near_pairs(near, _FP, NEAR_RADIUS, nth=nth) if nth <= ROUNDS else near_pairs(near, _FP, RADIUS)
         pairs = written(new.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
