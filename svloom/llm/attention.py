@@ -83,7 +83,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray):
-    """Log probabilities [windows, places, classes] of the next token's class, and what the backward pass needs."""
+    """Log probabilities [windows, places, classes] of the next token's class, and the values on the way to them."""
     n = ids.shape[1]
     x = w["token"][ids] + w["class"][cls[ids]] + w["place"][:n]
     q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
@@ -146,45 +146,113 @@ def class_logp(w: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
     return (got - np.log(z @ np.ones(z.shape[1], np.float32))) / math.log(10)
 
 
+#: Windows whose gradients are worked out together: what they need stays in a core's cache.
+_PART = 16
+
+
 def gradients(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray, target: np.ndarray, on: np.ndarray):
     """Mean loss over the places that are on, its gradients, and the token ids that the rows of the tokens' gradient are for."""
-    logp, (x, q, k, v, a, o, y, h, z, low, free) = forward(w, cls, ids)
     n = max(1, int(on.sum()))
-    picked = np.take_along_axis(logp, target[:, :, None], axis=2)[:, :, 0]
-    loss = float(-(picked * on).sum() / n)
-    d = np.exp(logp)
-    np.put_along_axis(d, target[:, :, None], np.take_along_axis(d, target[:, :, None], axis=2) - 1, axis=2)
-    d *= (on / n)[:, :, None]
-    d *= free
-    g = {}
-
-    def outer(p, r):
-        return p.reshape(-1, p.shape[-1]).T @ r.reshape(-1, r.shape[-1])
-
-    g["out"], g["out_b"] = outer(z, d), d.sum(axis=(0, 1))
-    dz = d @ w["out"].T
-    g["down"] = outer(h, dz)
-    dh = (dz @ w["down"].T) * (h > 0)
-    g["up"], g["up_b"] = outer(y, dh), dh.sum(axis=(0, 1))
-    dy = dz + dh @ w["up"].T
-    g["o"] = outer(o, dy)
-    do = dy @ w["o"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(q.shape[2])) * low
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = outer(x, dq), outer(x, dk), outer(x, dv)
-    dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["place"] = np.zeros_like(w["place"])
-    g["place"][: ids.shape[1]] = dx.sum(axis=0)
-    flat = dx.reshape(-1, dx.shape[2])
-    rows, inverse = np.unique(ids, return_inverse=True)
-    inverse = inverse.ravel()
-    for name, at, size in (("token", inverse, len(rows)), ("class", cls[ids].ravel(), len(w["class"]))):
-        g[name] = np.stack([np.bincount(at, flat[:, j], size) for j in range(flat.shape[1])], axis=1)
+    d, places = w["q"].shape[0], ids.shape[1]
+    scale = w["q"].dtype.type(1 / math.sqrt(d))
+    qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+    back = {k: np.ascontiguousarray(w[k].T) for k in ("out", "down", "up", "o")} | {"qkv": np.ascontiguousarray(qkv.T)}
+    seen = np.tril(np.ones((places, places), w["q"].dtype))
+    share = (on / n).astype(w["q"].dtype)
+    g = {k: np.zeros(x.shape, x.dtype) for k, x in w.items() if k not in ("token", "class", "q", "k", "v")}
+    g_qkv, flat, loss = np.zeros_like(qkv), np.empty((ids.size, d), w["q"].dtype), 0.0
+    for lo in range(0, len(ids), _PART):
+        part = slice(lo, lo + _PART)
+        got, dx = _backward(w, cls, ids[part], target[part], share[part], qkv, back, seen, g, g_qkv)
+        loss += got
+        flat[lo * places : (lo + _PART) * places] = dx
+    g["q"], g["k"], g["v"] = g_qkv[:, :d] * scale, g_qkv[:, d : 2 * d], g_qkv[:, 2 * d :]
+    every = ids.ravel()
+    order = np.argsort(every, kind="stable")
+    by = every[order]
+    first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    rows = by[first]
+    g["token"] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
+    of = np.zeros((len(w["class"]), len(rows)), flat.dtype)
+    of[cls[rows], np.arange(len(rows))] = 1
+    g["class"] = of @ g["token"]
     return loss, g, rows
 
 
+def _backward(w, cls, ids, target, share, qkv, back, seen, g, g_qkv) -> tuple[float, np.ndarray]:
+    """Adds the gradients of some windows to ``g`` and ``g_qkv``; returns their loss, each place weighted by its share, and the inputs' gradient.
+
+    The same function as ``forward``, whose maxima are only taken off where exponentials could get out of range.
+    """
+    many, places = ids.shape
+    d = w["q"].shape[0]
+    x = w["token"].take(ids, axis=0)
+    x += w["class"].take(cls.take(ids), axis=0)
+    x += w["place"][:places]
+    x = x.reshape(-1, d)
+    three = (x @ qkv).reshape(many, places, 3 * d)
+    q, k, v = (np.ascontiguousarray(three[:, :, lo : lo + d]) for lo in (0, d, 2 * d))
+    a = q @ k.transpose(0, 2, 1)
+    low = None
+    if a.max() >= MOST_SCORE or a.min() <= -MOST_SCORE:
+        low = a < MOST_SCORE
+        a = np.where(seen > 0, np.minimum(a, MOST_SCORE), -np.inf)
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= seen
+    a *= 1 / (a @ np.ones((places, 1), a.dtype))
+    o = (a @ v).reshape(-1, d)
+    y = x + o @ w["o"]
+    h = y @ w["up"]
+    h += w["up_b"]
+    np.maximum(h, 0, out=h)
+    z = h @ w["down"]
+    z += y
+    e = z @ w["out"]
+    e += w["out_b"]
+    free = None
+    if e.max() >= MOST_LOGIT or e.min() <= -MOST_LOGIT:
+        free = e < MOST_LOGIT
+        e = np.minimum(e, MOST_LOGIT)
+        e -= e.max(axis=1, keepdims=True)
+    at, want, part = np.arange(len(e)), target.ravel(), share.ravel()
+    picked = e[at, want]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    loss = float(((np.log(total) - picked) * part).sum())
+    e *= (part / total)[:, None]
+    e[at, want] -= part
+    if free is not None:
+        e *= free
+    ones = np.ones(len(e), e.dtype)
+    g["out"] += z.T @ e
+    g["out_b"] += ones @ e
+    dy = e @ back["out"]
+    g["down"] += h.T @ dy
+    dh = dy @ back["down"]
+    dh *= h > 0
+    g["up"] += y.T @ dh
+    g["up_b"] += ones @ dh
+    dy += dh @ back["up"]
+    g["o"] += o.T @ dy
+    do = dy @ back["o"]
+    mixed = np.einsum("ij,ij->i", do, o).reshape(many, places, 1)
+    do = do.reshape(many, places, d)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= mixed
+    ds *= a
+    if low is not None:
+        ds *= low
+    three[:, :, :d] = ds @ k
+    three[:, :, d : 2 * d] = ds.transpose(0, 2, 1) @ q
+    three[:, :, 2 * d :] = a.transpose(0, 2, 1) @ do
+    three = three.reshape(-1, 3 * d)
+    g_qkv += x.T @ three
+    dy += three @ back["qkv"]
+    g["place"][:places] += dy.reshape(many, places, d).sum(axis=0)
+    return loss, dy
+
+
 def neighbour_slots(size: int, seed: int = 11) -> np.ndarray:
     """The slot that each token's neighbours are counted under."""
     return np.random.default_rng(seed).integers(0, SLOTS, size)
@@ -271,7 +339,7 @@ class Trainer:
             two += 0.02 * (gk * gk - two)
             self.one[k][at], self.two[k][at] = one, two
             x[at] -= rate * (one / fix_one) / (np.sqrt(two / fix_two) + 1e-8)
-        self.seen += np.bincount(ids[on], minlength=len(self.seen))
+        np.add.at(self.seen, ids[on], 1)
         return loss
 
 

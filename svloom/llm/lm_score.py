@@ -3,7 +3,7 @@
 Texts are encoded once and kept as blocks of ids and words.  The model takes
 from all training texts: token counts, the neighbours by which tokens are put
 in classes, and its weights.  These start from a bounded random draw of
-windows of the whole corpus; then every task goes on from there with windows
+windows of the whole corpus; then every task goes on from there with all windows
 of every training text of its own, and what the tasks have learned is averaged,
 a token's weights by how often each task saw it.
 
@@ -34,8 +34,8 @@ from .words import words_of
 
 #: Windows that the weights are started from, drawn from all training texts alike, and passes over them.
 START_WINDOWS, START_PASSES = 16_000, 2
-#: One of so many windows of each training text is learned from, and at least one of each text.
-EVERY = 8
+#: One of so many windows of each training text is learned from: all of them.
+EVERY = 1
 #: Step size of what tasks learn on their own.
 RATE = 1e-3
 #: Parts that tables over the vocabulary are summed up in.
@@ -184,7 +184,7 @@ def start_weights(windows: DataFrame, cls: np.ndarray, vocab: int) -> dict[str,
 
 
 def learned_everywhere(learned: DataFrame, start: dict[str, np.ndarray], cls: np.ndarray, vocab: int) -> dict[str, np.ndarray]:
-    """The weights after every task has gone on with windows of all its training texts, averaged."""
+    """The weights after every task has gone on with all windows of all its training texts, averaged."""
     begin, end = vocab, vocab - 1
     shared = learned.sparkSession.sparkContext.broadcast((start, cls))
     dense = [k for k in start if k != "token"]
@@ -197,9 +197,10 @@ def learned_everywhere(learned: DataFrame, start: dict[str, np.ndarray], cls: np
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 held += _windows(_ids(raw, vocab), EVERY, begin, end)
-                while len(held) >= attention.TRAIN_BATCH:
-                    t.step(np.stack(held[: attention.TRAIN_BATCH]), RATE * min(1.0, (t.steps + 1) / 20))
-                    held = held[attention.TRAIN_BATCH :]
+                full = len(held) - len(held) % attention.TRAIN_BATCH
+                for lo in range(0, full, attention.TRAIN_BATCH):
+                    t.step(np.stack(held[lo : lo + attention.TRAIN_BATCH]), RATE * min(1.0, (t.steps + 1) / 20))
+                held = held[full:]
         if held:
             t.step(np.stack(held), RATE * len(held) / attention.TRAIN_BATCH)
         if not t.steps:

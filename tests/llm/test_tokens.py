@@ -213,6 +213,31 @@ def test_what_the_model_takes_from_the_corpus(spark):
     assert moved and moved <= used
 
 
+def test_every_window_of_every_training_text_is_learned_from(spark):
+    vocab = 900
+    texts = [np.arange(600, dtype=np.uint16), np.arange(600, 663, dtype=np.uint16), np.arange(700, 830, dtype=np.uint16), np.zeros(0, np.uint16)]
+    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "b binary").repartition(2)
+    start = at.fresh_weights(vocab)
+    after = lm_score.learned_everywhere(df, start, np.arange(vocab + 1) % at.CLASSES, vocab)
+    moved = np.flatnonzero((after["token"] != start["token"]).any(axis=1)).tolist()
+    assert moved == sorted({x for t in texts for x in t.tolist()} | {vocab})
+
+
+@pytest.mark.parametrize("size", [1, 30])
+def test_gradients_take_the_same_loss_as_the_plain_model(size):
+    """Several parts of windows, and values beyond what exponentials can take."""
+    rng = np.random.default_rng(8)
+    w = {k: x.astype(np.float64) * size for k, x in at.fresh_weights(80).items()}
+    w["token"] = rng.standard_normal(w["token"].shape) * 0.3 * size
+    cls, ids, target = rng.integers(0, at.CLASSES, 81), rng.integers(0, 81, (37, 64)), rng.integers(0, at.CLASSES, (37, 64))
+    on = (rng.random(ids.shape) < 0.8).astype(float)
+    logp = at.forward(w, cls, ids)[0]
+    want = -(np.take_along_axis(logp, target[:, :, None], axis=2)[:, :, 0] * on).sum() / on.sum()
+    loss, g, rows = at.gradients(w, cls, ids, target, on)
+    assert loss == pytest.approx(want, rel=1e-6) and rows.tolist() == np.unique(ids).tolist()
+    assert all(np.isfinite(x).all() and x.shape == (w[k].shape if k != "token" else (len(rows), at.WIDTH)) for k, x in g.items())
+
+
 @pytest.mark.parametrize("numbers", [[], [0], [0, 0, 7], [5, 65_540, 65_541], [1, 70_000, 3_000_000]])
 def test_word_numbers_as_steps(numbers):
     raw = lm_score._steps(np.array(numbers, np.int32))
