@@ -3,7 +3,8 @@
 Every text has a SimHash fingerprint of four times 64 bits over its shingles.
 Bands of MinHash rows file it in buckets; within a bucket fingerprints are
 compared bit-sliced, and what lies within the radius is a link if the exact
-similarity of the two texts reaches the bound.  With ``BANDS`` bands of
+similarity of the two texts reaches the bound.  Before texts are fetched for
+that, counts of their shingles by class give an upper limit of the similarity.  With ``BANDS`` bands of
 ``ROWS`` rows a pair at 0.8 is filed together with a chance of 0.9996; about 15
 of 100 fingerprint bits of such a pair differ, and the radius of 24 of 100 is
 four standard deviations further.
@@ -11,6 +12,8 @@ four standard deviations further.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ WORDS, RADIUS = 4, 62
 NEAR_RADIUS, ROUNDS = 44, 6
 #: Another such round follows if so large a part of the last one's pairs were links.
 WORTH = 0.1
+#: Classes that a text's shingles are counted by, and pairs whose counts are compared at once.
+CLASSES, AT_ONCE = 512, 4096
 _SALT = np.random.default_rng(7).integers(1, 2**63, WORDS, dtype=np.uint64)
 _FACTOR = np.random.default_rng(2024).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,6 +71,40 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
+def class_counts(sets: list[np.ndarray]) -> list[bytes]:
+    """How many shingles of each set fall in each class, a byte each; empty, so without a limit, where a class has more."""
+    out = []
+    for s in sets:
+        n = np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES)
+        out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else b"")
+    return out
+
+
+def may_reach(least: float) -> Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Of members' class counts the test whether pairs (places, places) can be as similar as ``least``.
+
+    Two sets share at most the smaller count of each class, so no pair that is
+    similar enough is left out.
+    """
+
+    def of(counts: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        known = np.array([len(c) > 0 for c in counts], bool)
+        table = np.frombuffer(b"".join(c or bytes(CLASSES) for c in counts), np.uint8).reshape(-1, CLASSES)
+        size = table.sum(axis=1, dtype=np.int64)
+
+        def may(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(u), bool)
+            for lo in range(0, len(u), AT_ONCE):
+                a, b = u[lo : lo + AT_ONCE], v[lo : lo + AT_ONCE]
+                both = np.minimum(table.take(a, axis=0), table.take(b, axis=0)).sum(axis=1, dtype=np.int64)
+                ok[lo : lo + AT_ONCE] = ~(known[a] & known[b]) | (both / np.maximum(size[a] + size[b] - both, 1) >= least)
+            return ok
+
+        return may
+
+    return of
+
+
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """SimHash of ``WORDS`` times 64 bits of sets that aren't empty: a bit is 1 if set in over half the hashes."""
     out = np.empty((len(sets), WORDS), np.uint64)
@@ -82,8 +121,8 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 _FP = [f"fp{k}" for k in range(WORDS)]
 
 
-def filed(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(key, node, fingerprint words) of each band of each (node, text) that shares the band."""
+def filed(texts: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(key, node, fingerprint words) of each band of each (node, text) that shares the band, and (node, counts) of each text."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         sets = shingle_sets(utf8(batch.column(1)), shingle)
@@ -94,13 +133,14 @@ def filed(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         fps = fingerprints(sets)
         return {"node": batch.column(0).take(pa.array(some)), "keys": pa.array(list(band_keys(sets)), pa.list_(pa.int64()))} | {
             n: pa.array(fps[:, k]) for k, n in enumerate(_FP)
-        }
+        } | {"counts": pa.array(class_counts(sets), pa.binary())}
 
-    schema = "node long, keys array<long>, " + ", ".join(f"{n} long" for n in _FP)
+    schema = "node long, keys array<long>, " + ", ".join(f"{n} long" for n in _FP) + ", counts binary"
     sketches = written(arrow_map(texts.select("node", "text"), run, schema), "sketches")
     rows = sketches.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return written(rows.join(shared, "key").join(sketches.drop("keys"), "node").select("key", "node", *_FP), "shared")
+    live = written(rows.join(shared, "key").join(sketches.drop("keys", "counts"), "node").select("key", "node", *_FP), "shared")
+    return live, sketches.select("node", "counts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
@@ -124,15 +164,18 @@ def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
     as long as that joins many, each member that is apart from others of its
     bucket is set beside one of those that lie nearer; so a large group of copies
     is joined at a few comparisons a member.  At last all pairs of a bucket
-    that are still apart and within the radius are verified.
+    that are still apart and within the radius are verified.  Only pairs that
+    can be similar enough by their class counts are drawn or verified, so texts
+    that are near without being similar cost no row.
     """
     tune(texts.sparkSession)
-    live = filed(texts, shingle)
+    live, counts = filed(texts, shingle)
     hub = live.groupBy("key").agg(F.min(F.struct("node", *_FP)).alias("hub"))
     distance = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"hub.{n}"))) for n in _FP), F.lit(0))
     pairs = live.join(hub, "key").where((F.col("node") != F.col("hub.node")) & (distance <= RADIUS))
     pairs = written(pairs.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     tried, links, nth = pairs, None, 0
+    limit = {"sketch": "counts", "may": may_reach(least)}
     while True:
         good = written(verified(pairs, texts, least, shingle), "verified")
         found = good.count()
@@ -148,11 +191,12 @@ def joined(texts: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
         nth += 1
         if nth > 1 and found < WORTH * pairs.count():
             nth = ROUNDS + 1
-        new = near_pairs(near, _FP, NEAR_RADIUS, nth=nth) if nth <= ROUNDS else near_pairs(near, _FP, RADIUS)
+        near = near.join(counts, "node")
+        new = near_pairs(near, _FP, NEAR_RADIUS, nth=nth, **limit) if nth <= ROUNDS else near_pairs(near, _FP, RADIUS, **limit)
         pairs = written(new.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         if nth <= ROUNDS and pairs.isEmpty():
             nth = ROUNDS + 1
-            pairs = written(near_pairs(near, _FP, RADIUS).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+            pairs = written(near_pairs(near, _FP, RADIUS, **limit).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return roots
         tried = tried.union(pairs)

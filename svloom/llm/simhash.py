@@ -11,7 +11,7 @@ distances exceed the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -184,7 +184,13 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link_groups(
-    fps: np.ndarray, first: np.ndarray, cross: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None, rank: np.ndarray | None = None
+    fps: np.ndarray,
+    first: np.ndarray,
+    cross: np.ndarray,
+    radius: int = RADIUS,
+    root: np.ndarray | None = None,
+    rank: np.ndarray | None = None,
+    may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links (places in fps) that join what is near within each group: a forest of stars per chunk of comparisons, not all pairs.
 
@@ -193,6 +199,7 @@ def link_groups(
     the rest only (0: compare all with all).  With ``root``, every near pair of
     different roots is returned instead; fps then are [members, words].  With
     ``rank`` too, only each member's partner of the smallest rank, in each chunk.
+    With ``may`` (places, places -> booleans) pairs for which it is false are left out.
     """
     n_of = np.diff(first)
     units_a, units_b, diag = [], [], []
@@ -243,6 +250,9 @@ def link_groups(
             if root is not None:
                 apart = root[eu] != root[ev]
                 eu, ev = eu[apart], ev[apart]
+                if may is not None and len(eu):
+                    ok = may(eu, ev)
+                    eu, ev = eu[ok], ev[ok]
                 if rank is not None and len(eu):
                     eu, ev = np.concatenate([eu, ev]), np.concatenate([ev, eu])
                     by = np.lexsort((rank[ev], eu))
@@ -330,22 +340,33 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return in_tiles(_filed(prints), ["fp"], "fp", tile).mapInArrow(run, "u long, v long")
 
 
-def near_pairs(filed: DataFrame, words: list[str], radius: int, tile: int = TILE, nth: int | None = None) -> DataFrame:
+def near_pairs(
+    filed: DataFrame,
+    words: list[str],
+    radius: int,
+    tile: int = TILE,
+    nth: int | None = None,
+    *,
+    sketch: str | None = None,
+    may: Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None,
+) -> DataFrame:
     """(u, v), u < v: nodes of different roots in one bucket whose fingerprints, columns ``words``, are near; filed: key, root, node, words.
 
     With ``nth``, one partner for each node in each chunk of comparisons, drawn
-    anew for every ``nth``: a few pairs a node instead of all.
+    anew for every ``nth``: a few pairs a node instead of all.  With a column
+    ``sketch``, ``may`` makes of the members' sketches the test (places,
+    places -> booleans) that pairs have to pass as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, first, cross in _groups(batches):
-            root, node, fps = cols[4], cols[5], np.stack(cols[6:], axis=1).view(np.uint64)
+            root, node, fps = cols[4], cols[5], np.stack(cols[6 : 6 + len(words)], axis=1).view(np.uint64)
             rank = None if nth is None else mixed(node.view(np.uint64) ^ np.uint64(stable_seed("partner", nth)))
-            u, v = link_groups(fps, first, cross, radius, root, rank)
+            u, v = link_groups(fps, first, cross, radius, root, rank, may and may(cols[-1]))
             a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
-    return in_tiles(filed, ["root", "node", *words], "node", tile).mapInArrow(run, "u long, v long")
+    return in_tiles(filed, ["root", "node", *words, *([sketch] if sketch else [])], "node", tile).mapInArrow(run, "u long, v long")
 
 
 def clusters(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

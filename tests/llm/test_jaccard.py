@@ -110,6 +110,52 @@ def test_a_large_group_of_copies_costs_few_comparisons(spark, monkeypatch):
     assert sum(seen) < 20 * len(texts)
 
 
+def test_near_texts_that_are_not_similar_cost_no_rows(spark, monkeypatch):
+    """Variants of one text, each a little less than 0.8 like any other, beside a few that are: all with all isn't verified."""
+    rng = random.Random(24)
+    base = words(rng, 150).split()
+    texts = [" ".join(base)]
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(25), 4 + k % 3):
+            w[6 * at] = f"q{k}" + words(rng, 1)
+        texts.append(" ".join(w))
+    texts += [t + " more" for t in texts[100:110]]
+    seen = []
+    plain = jaccard.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r.node: r.root for r in jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 0.8).collect()}
+    root = components(texts)
+    groups = Counter((root[i], got.get(i, i)) for i in range(len(texts)))
+    assert len(groups) == len(set(root)) == len({g for _, g in groups}) and len(set(root)) > 50
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_class_counts_leave_out_no_similar_pair():
+    rng = random.Random(25)
+    texts = []
+    for size in (6, 40, 300, 3000):
+        w = words(rng, size).split()
+        for _ in range(25):
+            c = list(w[rng.randrange(3) :])
+            for _ in range(rng.randint(0, 1 + size // 30)):
+                c[rng.randrange(len(c))] = words(rng, 1)
+            texts.append(" ".join(c).encode())
+    sets = jaccard.shingle_sets(texts) + [np.arange(1, 1 << 18, dtype=np.uint64) << np.uint64(20)]
+    sets.append(sets[-1][5:])
+    counts = jaccard.class_counts(sets)
+    assert counts[-1] == counts[-2] == b"" and all(len(c) == jaccard.CLASSES for c in counts[:-2])
+    u, v = np.triu_indices(len(sets), 1)
+    may = jaccard.may_reach(0.8)(np.array(counts, object))(u, v)
+    similar = np.array([jaccard.similarity_of(sets[a], sets[b]) >= 0.8 for a, b in zip(u, v, strict=True)])
+    assert similar.sum() > 100 and may[similar].all() and not may.all()
+
+
 @pytest.mark.parametrize(("words_", "radius"), [(1, 26), (4, 62), (2, 0), (3, 191)])
 def test_wide_distances(words_, radius):
     rng = np.random.default_rng(5)
