@@ -9,6 +9,7 @@ the window before it hasn't.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ import numpy as np
 
 WINDOW, FRESH = 64, 48
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
-#: Windows that one batch scores, and that one step of training takes.
-BATCH, TRAIN_BATCH = 256, 32
+#: Windows that one batch scores (what they need stays near the core), and that one step of training takes.
+BATCH, TRAIN_BATCH = 96, 32
 #: Attention scores and logits stop here, in training as in scoring, so that their exponentials stay finite.
 MOST_SCORE, MOST_LOGIT = np.float32(60), np.float32(80)
 #: Neighbours are counted by so many hashed slots on either side.
@@ -34,11 +35,12 @@ class Model:
     ready: dict[str, np.ndarray] | None = None
 
     def joined(self) -> dict[str, np.ndarray]:
-        """The weights as scoring uses them: embeddings added up, projections side by side."""
+        """The weights as scoring uses them, embeddings added up, a one behind them."""
         if self.ready is None:
             w = self.weights
-            scale = np.float32(1 / math.sqrt(WIDTH))
-            self.ready = {**w, "both": w["token"] + w["class"][self.cls], "qkv": np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)}
+            both = np.ones((len(w["token"]), WIDTH + 1), np.float32)
+            both[:, :WIDTH] = w["token"] + w["class"][self.cls]
+            self.ready = _joined(w, WIDTH, both.dtype) | {"both": both}
         return self.ready
 
     def __getstate__(self):
@@ -46,32 +48,26 @@ class Model:
 
     def score_ids(self, texts: list[np.ndarray], end: int) -> list[float]:
         """log10 probability of each text's ids and its end; needs ``share``, log10 of each token's part of its class."""
-        begin = len(self.cls) - 1
-        spans, ins, outs = [], [], []
-        for i, ids in enumerate(texts):
-            ins.append(np.concatenate([[begin], ids]))
-            outs.append(np.append(ids, end))
-            n = len(ids) + 1
-            spans += [(i, 0, 0, min(n, WINDOW))]
-            spans += [(i, s, s + WINDOW - FRESH, min(n, s + WINDOW)) for s in range(FRESH, n - WINDOW + FRESH, FRESH)]
-        total = np.zeros(len(texts))
-        if not spans:
+        if not texts:
             return []
-        first = np.concatenate([[0], np.cumsum([len(x) for x in ins])])
-        all_in = np.concatenate(ins).astype(np.int64)
-        all_out = np.concatenate(outs).astype(np.int64)
-        sp = np.array(spans)
-        for lo in range(0, len(sp), BATCH):
-            p = sp[lo : lo + BATCH]
-            at = first[p[:, 0]][:, None] + p[:, 1:2] + np.arange(WINDOW)
-            place = p[:, 1:2] + np.arange(WINDOW)
-            at = np.minimum(at, len(all_in) - 1)  # behind the end comes padding that nothing before it sees
-            want = all_out[at]
-            fresh = (place >= p[:, 2:3]) & (place < p[:, 3:4])
-            want = want[fresh]
-            got = class_logp(self.joined(), all_in[at], fresh, self.cls[want]) + self.share[want]
-            total += np.bincount(np.repeat(p[:, 0], fresh.sum(axis=1)), got, len(texts))
-        return total.tolist()
+        begin = len(self.cls) - 1
+        size = np.array([len(x) + 1 for x in texts])
+        first = np.cumsum(size) - size
+        all_in, all_out = np.full((2, size.sum()), end)
+        all_out[:-1] = all_in[1:] = np.concatenate([y for x in texts for y in (x, [end])])[:-1]
+        all_in[first] = begin
+        windows = 1 + np.maximum(0, -(-(size - WINDOW) // FRESH))
+        of = np.repeat(np.arange(len(texts)), windows)
+        start = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * FRESH
+        got = []
+        for lo in range(0, len(of), BATCH):
+            text, s = of[lo : lo + BATCH, None], start[lo : lo + BATCH, None]
+            place = s + np.arange(WINDOW)
+            fresh = (place < size[text]) & ((place >= s + WINDOW - FRESH) | (s == 0))
+            at = np.minimum(first[text] + place, len(all_in) - 1)  # behind the end comes padding that nothing before it sees
+            want = all_out.take(at[fresh])
+            got.append(class_logp(self.joined(), all_in.take(at), fresh, self.cls.take(want)) + self.share.take(want))
+        return np.add.reduceat(np.concatenate(got), first).tolist()
 
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
@@ -103,154 +99,212 @@ def forward(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray):
 
 #: Places whose queries are taken together: they look at the keys up to their own last place only.
 _STEP = 16
-_SEEN = np.tril(np.ones((_STEP, _STEP), np.float32))
+_SEEN = [np.tril(np.ones((_STEP, lo + _STEP), np.float32), lo) for lo in range(0, WINDOW, _STEP)]
+#: Rows that are taken to the classes together.
+_CHUNK = 768
+_NONE = np.zeros((_CHUNK, HIDDEN), np.float32)
+_LEAST = {x: math.exp(-x) for x in (MOST_SCORE, MOST_LOGIT)}
+
 
+def _summable(total: np.ndarray, most: np.float32) -> bool:
+    """Whether sums of exponentials show that no term exceeds ``most`` and that none of the sums has lost its digits."""
+    return total.min() > _LEAST[most] and total.max() < 1 / _LEAST[most]
 
-def class_logp(w: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, want: np.ndarray) -> np.ndarray:
+
+@np.errstate(over="ignore", invalid="ignore")
+def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, want: np.ndarray) -> np.ndarray:
     """log10 probability of class ``want`` after each fresh place [windows, places], in row order.
 
     The same as ``forward``, without what only training needs: queries of
-    places that another window scores and keys that lie ahead are left out.
+    places that another window scores and keys that lie ahead are left out, and
+    maxima are only taken off where exponentials get out of range.
     """
     d, flat = WIDTH, np.flatnonzero(fresh)
-    x = w["both"].take(ids, axis=0)
-    x += w["place"]
-    qkv = x @ w["qkv"]
-    keys = np.ascontiguousarray(qkv[:, :, d : 2 * d].transpose(0, 2, 1))
-    values = np.ones((len(ids), WINDOW, d + 1), np.float32)  # the last column adds up the weights
-    values[:, :, :d] = qkv[:, :, 2 * d :]
-    mixed = np.zeros((len(ids), WINDOW, d + 1), np.float32)
-    for lo in range(0, WINDOW, _STEP):
+    x = m["both"].take(ids, axis=0)
+    x += m["place"]
+    qk, values = x @ m["qk"], x @ m["v"]  # the last column of values adds up the weights
+    keys = np.ascontiguousarray(qk[:, :, d:].transpose(0, 2, 1))
+    mixed = np.ones_like(values)
+    for lo, seen in zip(range(0, WINDOW, _STEP), _SEEN, strict=True):
         hi = lo + _STEP
         rows = np.flatnonzero(fresh[:, lo:hi].any(axis=1))
         if not len(rows):
             continue
-        pick = slice(None) if len(rows) == len(ids) else rows
-        s = qkv[pick, lo:hi, :d] @ keys[pick, :, :hi]
-        np.minimum(s, MOST_SCORE, out=s)
+        most = len(rows) * 2 > len(ids)
+        pick = slice(None) if most else rows
+        s = qk[pick, lo:hi, :d] @ keys[pick, :, :hi]
         np.exp(s, out=s)
-        s[:, :, lo:] *= _SEEN
-        mixed[pick, lo:hi] = s @ values[pick, :hi]
-    o = mixed.reshape(-1, d + 1).take(flat, axis=0)
-    y = x.reshape(-1, d).take(flat, axis=0)
-    y += (o[:, :d] / o[:, d:]) @ w["o"]
-    h = y @ w["up"]
-    h += w["up_b"]
-    np.maximum(h, 0, out=h)
-    y += h @ w["down"]
-    z = y @ w["out"]
-    z += w["out_b"]
-    np.minimum(z, MOST_LOGIT, out=z)
-    got = z[np.arange(len(z)), want].astype(np.float64)
-    np.exp(z, out=z)
-    return (got - np.log(z @ np.ones(z.shape[1], np.float32))) / math.log(10)
+        s *= seen
+        got = np.matmul(s, values[pick, :hi], out=mixed[:, lo:hi] if most else None)
+        if not _summable(got[:, :, d], MOST_SCORE):
+            s = np.minimum(qk[pick, lo:hi, :d] @ keys[pick, :, :hi], MOST_SCORE)
+            s = np.where(seen > 0, s, -np.inf)
+            s -= s.max(axis=2, keepdims=True)
+            got = np.exp(s, out=s) @ values[pick, :hi]
+            most = False
+        if not most:
+            mixed[pick, lo:hi] = got
+    mixed = mixed.reshape(-1, d + 1).take(flat, axis=0)
+    mixed *= np.repeat(1 / mixed[:, d], d + 1).reshape(mixed.shape)
+    x = x.reshape(-1, d + 1).take(flat, axis=0)
+    got, sums = np.empty((2, len(flat)), np.float32)
+    for lo in range(0, len(flat), _CHUNK):
+        part = slice(lo, lo + _CHUNK)
+        y = mixed[part] @ m["o"]
+        y += x[part]
+        h = y @ m["up"]
+        np.maximum(h, _NONE[: len(h)], out=h)  # much faster than with a single zero
+        y += h @ m["down"]
+        z = y @ m["out"]
+        at, ones = np.arange(len(z)) * z.shape[1] + want[part], np.ones(z.shape[1], np.float32)
+        got[part] = z.take(at)
+        np.matmul(np.exp(z, out=z), ones, out=sums[part])
+        if not _summable(sums[part], MOST_LOGIT):
+            z = np.minimum(y @ m["out"], MOST_LOGIT)
+            z -= z.max(axis=1, keepdims=True)
+            got[part] = z.take(at)
+            sums[part] = np.exp(z, out=z) @ ones
+    return (got.astype(np.float64) - np.log(sums)) / math.log(10)
 
 
 #: Windows whose gradients are worked out together: what they need stays in a core's cache.
 _PART = 16
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def gradients(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray, target: np.ndarray, on: np.ndarray):
     """Mean loss over the places that are on, its gradients, and the token ids that the rows of the tokens' gradient are for."""
-    n = max(1, int(on.sum()))
+    kind = w["q"].dtype
     d, places = w["q"].shape[0], ids.shape[1]
-    scale = w["q"].dtype.type(1 / math.sqrt(d))
-    qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
-    back = {k: np.ascontiguousarray(w[k].T) for k in ("out", "down", "up", "o")} | {"qkv": np.ascontiguousarray(qkv.T)}
-    seen = np.tril(np.ones((places, places), w["q"].dtype))
-    share = (on / n).astype(w["q"].dtype)
-    g = {k: np.zeros(x.shape, x.dtype) for k, x in w.items() if k not in ("token", "class", "q", "k", "v")}
-    g_qkv, flat, loss = np.zeros_like(qkv), np.empty((ids.size, d), w["q"].dtype), 0.0
-    for lo in range(0, len(ids), _PART):
-        part = slice(lo, lo + _PART)
-        got, dx = _backward(w, cls, ids[part], target[part], share[part], qkv, back, seen, g, g_qkv)
-        loss += got
-        flat[lo * places : (lo + _PART) * places] = dx
-    g["q"], g["k"], g["v"] = g_qkv[:, :d] * scale, g_qkv[:, d : 2 * d], g_qkv[:, 2 * d :]
     every = ids.ravel()
-    order = np.argsort(every, kind="stable")
-    by = every[order]
-    first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-    rows = by[first]
+    order = np.argsort(every.astype(np.min_scalar_type(len(cls))), kind="stable")
+    by = every.take(order)
+    new = np.append(True, by[1:] != by[:-1])
+    first = np.flatnonzero(new)
+    rows = by.take(first)
+    nth = np.empty(len(every), np.int64)
+    nth[order] = np.cumsum(new) - 1
+    m, fixed = _joined(w, d, kind), _fixed(places, w["out"].shape[1], w["up"].shape[1], kind)
+    both = np.ones((len(rows), d + 1), kind)
+    both[:, :d] = w["token"].take(rows, axis=0) + w["class"].take(cls.take(rows), axis=0)
+    share = (on / max(1, int(on.sum()))).astype(kind)
+    add = {"out": np.zeros_like(m["out"]), "up": np.zeros_like(m["up"]), "down": np.zeros_like(w["down"]), "o": np.zeros_like(w["o"]), "qkv": np.zeros((d, 3 * d), kind)}
+    flat, loss = np.empty((ids.size, d), kind), 0.0
+    for lo in range(0, len(ids), _PART):
+        part, at = slice(lo, lo + _PART), slice(lo * places, (lo + _PART) * places)
+        x = both.take(nth[at], axis=0)
+        x.reshape(-1, places, d + 1)[...] += m["place"][:places]
+        loss += _backward(m, x, target[part], share[part].ravel(), fixed, add, flat[at])
+    g = {"out": add["out"][:d], "out_b": add["out"][d], "up": add["up"][:d], "up_b": add["up"][d], "down": add["down"], "o": add["o"]}
+    g["q"], g["k"], g["v"] = add["qkv"][:, :d] * kind.type(1 / math.sqrt(d)), add["qkv"][:, d : 2 * d], add["qkv"][:, 2 * d :]
+    g["place"] = np.zeros_like(w["place"])
+    g["place"][:places] = flat.reshape(len(ids), -1).sum(axis=0).reshape(places, d)
     g["token"] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
-    of = np.zeros((len(w["class"]), len(rows)), flat.dtype)
+    of = np.zeros((len(w["class"]), len(rows)), kind)
     of[cls[rows], np.arange(len(rows))] = 1
     g["class"] = of @ g["token"]
     return loss, g, rows
 
 
-def _backward(w, cls, ids, target, share, qkv, back, seen, g, g_qkv) -> tuple[float, np.ndarray]:
-    """Adds the gradients of some windows to ``g`` and ``g_qkv``; returns their loss, each place weighted by its share, and the inputs' gradient.
+@functools.cache
+def _fixed(places: int, many: int, hidden: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places that each place sees, where the rows of a part's logits begin, and zeros."""
+    return np.tril(np.ones((places, places), kind)), np.arange(_PART * places) * many, np.zeros((_PART * places, hidden), kind)
+
+
+def _joined(w: dict[str, np.ndarray], d: int, kind: np.dtype) -> dict[str, np.ndarray]:
+    """The weights for rows that carry a one behind their values: biases are a matrix' last row, and the one is handed on by a last column."""
+    m = {"qk": np.zeros((d + 1, 2 * d), kind), "v": np.zeros((d + 1, d + 1), kind)}
+    m["qk"][:d, :d], m["qk"][:d, d:] = w["q"] * kind.type(1 / math.sqrt(d)), w["k"]
+    m["v"][:d, :d], m["v"][d, d] = w["v"], 1
+    for name, size in (("place", len(w["place"])), ("o", d + 1), ("down", len(w["down"]))):
+        m[name] = np.zeros((size, d + 1), kind)
+        m[name][: len(w[name]), :d] = w[name]
+    m["up"], m["out"] = np.vstack([w["up"], w["up_b"]]), np.vstack([w["out"], w["out_b"]])
+    m["back_out"], m["back_down"], m["back_up"] = (np.ascontiguousarray(w[k].T) for k in ("out", "down", "up"))
+    m["back_o"] = np.zeros((d, d + 1), kind)
+    m["back_o"][:, :d] = w["o"].T
+    m["back_qkv"] = np.concatenate([m["qk"][:d].T, w["v"].T])
+    return m
+
+
+def _backward(m, x, target, share, fixed, g, dx) -> float:
+    """Adds the gradients of some windows to ``g``; returns their loss, each place weighted by its share, and puts the inputs' gradient in ``dx``.
 
-    The same function as ``forward``, whose maxima are only taken off where exponentials could get out of range.
+    The same function as ``forward``, whose maxima are only taken off where exponentials get out of range.
     """
-    many, places = ids.shape
-    d = w["q"].shape[0]
-    x = w["token"].take(ids, axis=0)
-    x += w["class"].take(cls.take(ids), axis=0)
-    x += w["place"][:places]
-    x = x.reshape(-1, d)
-    three = (x @ qkv).reshape(many, places, 3 * d)
-    q, k, v = (np.ascontiguousarray(three[:, :, lo : lo + d]) for lo in (0, d, 2 * d))
-    a = q @ k.transpose(0, 2, 1)
+    many, places = target.shape
+    d, (seen, at_class, none) = x.shape[1] - 1, fixed
+    qk, v = (x @ m["qk"]).reshape(many, places, 2 * d), (x @ m["v"]).reshape(many, places, d + 1)
+    q, k = qk[:, :, :d], qk[:, :, d:]
+    keys, values = (np.ascontiguousarray(t.transpose(0, 2, 1)) for t in (k, v))
+    a = q @ keys
     low = None
-    if a.max() >= MOST_SCORE or a.min() <= -MOST_SCORE:
+    np.exp(a, out=a)
+    a *= seen
+    mixed = (a @ v).reshape(-1, d + 1)
+    if not _summable(mixed[:, d], MOST_SCORE):
+        a = q @ keys
         low = a < MOST_SCORE
         a = np.where(seen > 0, np.minimum(a, MOST_SCORE), -np.inf)
         a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a *= seen
-    a *= 1 / (a @ np.ones((places, 1), a.dtype))
-    o = (a @ v).reshape(-1, d)
-    y = x + o @ w["o"]
-    h = y @ w["up"]
-    h += w["up_b"]
-    np.maximum(h, 0, out=h)
-    z = h @ w["down"]
+        np.exp(a, out=a)
+        mixed = (a @ v).reshape(-1, d + 1)
+    inverse = np.repeat(1 / mixed[:, d], d + 1).reshape(mixed.shape)
+    o = mixed * inverse
+    y = o @ m["o"]
+    y += x
+    h = y @ m["up"]
+    np.maximum(h, none[: len(h)], out=h)  # much faster than with a single zero
+    z = h @ m["down"]
     z += y
-    e = z @ w["out"]
-    e += w["out_b"]
-    free = None
-    if e.max() >= MOST_LOGIT or e.min() <= -MOST_LOGIT:
+    by_window = z.reshape(many, places, d + 1) @ m["out"]
+    e, free = by_window.reshape(many * places, -1), None
+    at, ones = at_class[: len(e)] + target.ravel(), np.ones(e.shape[1], e.dtype)
+    picked = e.take(at)
+    np.exp(e, out=e)
+    total = e @ ones
+    if not _summable(total, MOST_LOGIT):
+        np.matmul(z, m["out"], out=e)
         free = e < MOST_LOGIT
-        e = np.minimum(e, MOST_LOGIT)
+        np.minimum(e, MOST_LOGIT, out=e)
         e -= e.max(axis=1, keepdims=True)
-    at, want, part = np.arange(len(e)), target.ravel(), share.ravel()
-    picked = e[at, want]
-    np.exp(e, out=e)
-    total = e @ np.ones(e.shape[1], e.dtype)
-    loss = float(((np.log(total) - picked) * part).sum())
-    e *= (part / total)[:, None]
-    e[at, want] -= part
+        picked = e.take(at)
+        np.exp(e, out=e)
+        total = e @ ones
+    flat = e.reshape(-1)
+    loss = float(((np.log(total) - picked) * share).sum())
+    flat[at] -= total  # from here on a row times its weight is the gradient
     if free is not None:
         e *= free
-    ones = np.ones(len(e), e.dtype)
-    g["out"] += z.T @ e
-    g["out_b"] += ones @ e
-    dy = e @ back["out"]
+    weight = (share / total)[:, None]
+    z *= weight
+    g["out"] += (z.reshape(many, places, d + 1).transpose(0, 2, 1) @ by_window).sum(axis=0)
+    dy = (by_window @ m["back_out"]).reshape(-1, d)
+    dy *= weight
     g["down"] += h.T @ dy
-    dh = dy @ back["down"]
+    dh = dy @ m["back_down"]
     dh *= h > 0
     g["up"] += y.T @ dh
-    g["up_b"] += ones @ dh
-    dy += dh @ back["up"]
-    g["o"] += o.T @ dy
-    do = dy @ back["o"]
-    mixed = np.einsum("ij,ij->i", do, o).reshape(many, places, 1)
-    do = do.reshape(many, places, d)
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= mixed
+    dy += dh @ m["back_up"]
+    g["o"] += o[:, :d].T @ dy
+    do = dy @ m["back_o"]
+    do *= inverse
+    do[:, d] = (do * o) @ np.full(d + 1, -1, do.dtype)
+    do = do.reshape(many, places, d + 1)
+    three = np.empty((many, places, 3 * d), x.dtype)
+    ds = do @ values
     ds *= a
     if low is not None:
         ds *= low
-    three[:, :, :d] = ds @ k
-    three[:, :, d : 2 * d] = ds.transpose(0, 2, 1) @ q
-    three[:, :, 2 * d :] = a.transpose(0, 2, 1) @ do
+    np.matmul(ds, k, out=three[:, :, :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=three[:, :, d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), do[:, :, :d], out=three[:, :, 2 * d :])
     three = three.reshape(-1, 3 * d)
-    g_qkv += x.T @ three
-    dy += three @ back["qkv"]
-    g["place"][:places] += dy.reshape(many, places, d).sum(axis=0)
-    return loss, dy
+    g["qkv"] += x[:, :d].T @ three
+    np.matmul(three, m["back_qkv"], out=dx)
+    dx += dy
+    return loss
 
 
 def neighbour_slots(size: int, seed: int = 11) -> np.ndarray:
@@ -315,33 +369,53 @@ def window_of(ids: np.ndarray, nth: int, begin: int, end: int) -> np.ndarray:
     return out
 
 
+def windows_of(ids: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """All training windows of a text, as ``window_of`` has them."""
+    n = -(-(len(ids) + 1) // WINDOW)
+    row = np.full(n * WINDOW + 1, end, np.int64)
+    row[0], row[1 : len(ids) + 1] = begin, ids
+    return np.lib.stride_tricks.sliding_window_view(row, WINDOW + 1)[::WINDOW]
+
+
 class Trainer:
     """Adam on batches of windows; rows of tokens that a batch hasn't are left alone.  ``seen`` counts what was learned from, by token."""
 
     def __init__(self, weights: dict[str, np.ndarray], cls: np.ndarray, end: int):
-        self.w = {k: x.copy() for k, x in weights.items()}
         self.cls, self.end, self.steps = cls, end, 0
-        self.one, self.two = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
-        self.seen = np.zeros(len(weights["token"]), np.int64)
+        # all but the tokens' weights lie in one row; the moments lie below
+        self.dense = [k for k in weights if k != "token"]
+        token = weights["token"]
+        self.flat = np.zeros((3, sum(weights[k].size for k in self.dense)), np.float32)
+        self.flat[0] = np.concatenate([weights[k].ravel() for k in self.dense])
+        self.tokens = token.copy(), np.zeros_like(token), np.zeros_like(token)
+        cut = np.cumsum([weights[k].size for k in self.dense])[:-1]
+        self.w = {k: x.reshape(weights[k].shape) for k, x in zip(self.dense, np.split(self.flat[0], cut), strict=True)} | {"token": self.tokens[0]}
+        self.seen = np.zeros(len(token), np.int64)
 
     def step(self, windows: np.ndarray, rate: float) -> float:
         ids, after = windows[:, :-1], windows[:, 1:]
-        # places behind the first end are padding
-        on = np.cumsum(ids == self.end, axis=1) == 0
-        loss, g, rows = gradients(self.w, self.cls, ids, self.cls[after], on.astype(np.float32))
+        # places from the first end on are padding, and texts hold no end
+        loss, g, rows = gradients(self.w, self.cls, ids, self.cls.take(after), (ids != self.end).astype(np.float32))
         self.steps += 1
-        fix_one, fix_two = 1 - 0.9**self.steps, 1 - 0.98**self.steps
-        for k, x in self.w.items():
-            at = rows if k == "token" else slice(None)
-            gk = g[k].astype(np.float32)
-            one, two = self.one[k][at], self.two[k][at]
-            one += 0.1 * (gk - one)
-            two += 0.02 * (gk * gk - two)
-            self.one[k][at], self.two[k][at] = one, two
-            x[at] -= rate * (one / fix_one) / (np.sqrt(two / fix_two) + 1e-8)
-        np.add.at(self.seen, ids[on], 1)
+        self._move(*self.flat, np.concatenate([g[k].ravel() for k in self.dense]), rate)
+        held = [x.take(rows, axis=0) for x in self.tokens]
+        self._move(*held, g["token"], rate)
+        for x, moved in zip(self.tokens, held, strict=True):
+            x[rows] = moved
+        np.add.at(self.seen, ids.ravel(), 1)
+        self.seen[self.end] = 0
         return loss
 
+    def _move(self, x: np.ndarray, one: np.ndarray, two: np.ndarray, g: np.ndarray, rate: float) -> None:
+        one += 0.1 * (g - one)
+        two += 0.02 * (g * g - two)
+        root = math.sqrt(1 - 0.98**self.steps)
+        by = np.sqrt(two)
+        by += 1e-8 * root
+        np.divide(one, by, out=by)
+        by *= rate * root / (1 - 0.9**self.steps)
+        x -= by
+
 
 def warm_up(windows: np.ndarray, cls: np.ndarray, vocab: int, end: int, passes: int = 1, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
     """Weights after so many passes over windows, in a random order."""

@@ -121,32 +121,32 @@ def _table(sums: dict[int, tuple[np.ndarray, np.ndarray]], rows: int, columns: i
 def neighbour_counts(learned: DataFrame, vocab: int) -> np.ndarray:
     """[vocab + 1, 1 + 2 * SLOTS] over the training rows' ids (column b): a token's count, and its neighbours' on either side by slot."""
     size, slots = vocab + 1, attention.SLOTS
-    slot = attention.neighbour_slots(size)
+    slot, wide = attention.neighbour_slots(size), 1 + 2 * slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((size, 1 + 2 * slots))
+        table = np.zeros(size * wide)
         for batch in batches:
             texts = [_ids(x, vocab) for x in batch.column(0).to_pylist()]
             ids = np.concatenate(texts).astype(np.int64)
             if not len(ids):
                 continue
-            table[:, 0] += np.bincount(ids, minlength=size)
+            np.add.at(table, ids * wide, 1.0)
             inner = np.ones(len(ids), bool)  # not the last of its text
             ends = np.cumsum([len(t) for t in texts]) - 1
             inner[ends[ends >= 0]] = False
             a, b = ids[:-1][inner[:-1]], ids[1:][inner[:-1]]
-            table[:, 1 : 1 + slots] += np.bincount(b * slots + slot[a], minlength=size * slots).reshape(size, slots)
-            table[:, 1 + slots :] += np.bincount(a * slots + slot[b], minlength=size * slots).reshape(size, slots)
-        yield _parts(TaskContext.get().partitionId(), table)
+            np.add.at(table, b * wide + 1 + slot[a], 1.0)
+            np.add.at(table, a * wide + 1 + slots + slot[b], 1.0)
+        yield _parts(TaskContext.get().partitionId(), table.reshape(size, wide))
 
     return _table(_summed(learned.select("b").mapInArrow(run, _PARTS)), size, 1 + 2 * slots)
 
 
-def _windows(ids: np.ndarray, every: int, begin: int, end: int) -> list[np.ndarray]:
+def _windows(ids: np.ndarray, every: int, begin: int, end: int) -> np.ndarray:
     """One of ``every`` windows of a text, from a place that the text decides on."""
-    n = -(-(len(ids) + 1) // attention.WINDOW)
-    first = zlib.crc32(ids.tobytes()) % every
-    return [attention.window_of(ids, k, begin, end) for k in (range(first, n, every) if first < n else (first % n,))]
+    got = attention.windows_of(ids, begin, end)
+    first = zlib.crc32(ids.tobytes()) % every if every > 1 else 0
+    return got[first::every] if first < len(got) else got[first % len(got)][None]
 
 
 def start_windows(learned: DataFrame, vocab: int, total: float, wanted: int = START_WINDOWS) -> DataFrame:
@@ -193,16 +193,15 @@ def learned_everywhere(learned: DataFrame, start: dict[str, np.ndarray], cls: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, classes = shared.value
         t = attention.Trainer(first, classes, end)
-        held: list[np.ndarray] = []
+        held = np.zeros((0, attention.WINDOW + 1), np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                held += _windows(_ids(raw, vocab), EVERY, begin, end)
-                full = len(held) - len(held) % attention.TRAIN_BATCH
-                for lo in range(0, full, attention.TRAIN_BATCH):
-                    t.step(np.stack(held[lo : lo + attention.TRAIN_BATCH]), RATE * min(1.0, (t.steps + 1) / 20))
-                held = held[full:]
-        if held:
-            t.step(np.stack(held), RATE * len(held) / attention.TRAIN_BATCH)
+            held = np.concatenate([held, *(_windows(_ids(raw, vocab), EVERY, begin, end) for raw in batch.column(0).to_pylist())])
+            full = len(held) - len(held) % attention.TRAIN_BATCH
+            for lo in range(0, full, attention.TRAIN_BATCH):
+                t.step(held[lo : lo + attention.TRAIN_BATCH], RATE * min(1.0, (t.steps + 1) / 20))
+            held = held[full:]
+        if len(held):
+            t.step(held, RATE * len(held) / attention.TRAIN_BATCH)
         if not t.steps:
             return
         part = TaskContext.get().partitionId()
@@ -240,7 +239,8 @@ def learn(learned: DataFrame, vocab: int) -> attention.Model:
 
 def _steps(sorted_: np.ndarray) -> bytes:
     """Ascending numbers as their steps, in two bytes each where all fit."""
-    d = np.diff(sorted_, prepend=0)
+    d = sorted_.copy()
+    d[1:] -= sorted_[:-1]
     return b"\2" + d.astype(np.uint16).tobytes() if not len(d) or d.max() < 1 << 16 else b"\4" + d.astype(np.uint32).tobytes()
 
 
@@ -260,8 +260,12 @@ def _blocks(rows: DataFrame, ranks: str, ranges: int) -> DataFrame:
         size = np.array([len(h) for h in hashes])
         first = np.concatenate([[0], np.cumsum(size)])
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        words, number = np.unique(every, return_inverse=True)
-        number = number.astype(np.int32)
+        found = pa.array(every).dictionary_encode()  # faster than sorting all
+        words = found.dictionary.to_numpy()
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        words, number = words[order], place[found.indices.to_numpy()]
         learned = np.repeat([not d[1] for d in docs], size)
         train = np.bincount(number[learned], minlength=len(words)).astype(np.int32)
         out = []

@@ -49,8 +49,7 @@ def _parts(text: str) -> Iterator[str]:
 
 
 def _ids(enc, text: str) -> np.ndarray:
-    got = enc.encode(text, allowed_special="all") if any(x in text for x in ADDED) else enc.encode_ordinary(text)
-    return np.array(got, np.uint32)
+    return enc.encode_to_numpy(text, allowed_special="all")
 
 
 def encode(text: str, path: str) -> np.ndarray:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -242,3 +243,48 @@ def test_gradients_take_the_same_loss_as_the_plain_model(size):
 def test_word_numbers_as_steps(numbers):
     raw = lm_score._steps(np.array(numbers, np.int32))
     assert lm_score._from_steps(raw).tolist() == numbers and raw[0] == (4 if max(np.diff(numbers, prepend=0), default=0) > 65_535 else 2)
+
+
+@pytest.mark.parametrize("size", [1, 8])
+def test_scores_are_those_of_the_plain_model(size):
+    """Texts of all lengths, all windows of them, and values whose exponentials are out of range."""
+    rng = np.random.default_rng(5)
+    vocab, end = 81, 80
+    w = {k: x * np.float32(size) for k, x in at.fresh_weights(vocab).items()}
+    w["token"] = (rng.standard_normal(w["token"].shape) * 0.3 * size).astype(np.float32)
+    m = at.with_counts(at.Model(w, rng.integers(0, at.CLASSES, vocab + 1)), rng.integers(0, 9, vocab), end)
+    texts = [rng.integers(0, 80, n).astype(np.uint16) for n in (0, 1, 62, 63, 64, 65, 110, 111, 112, 113, 5000)]
+    wide = {k: x.astype(np.float64) for k, x in w.items()}
+    for ids, got in zip(texts, m.score_ids(texts, end), strict=True):
+        seq, want = [vocab, *ids.tolist(), end], 0.0
+        for lo in range(0, max(1, len(ids) + 1 - at.WINDOW + at.FRESH), at.FRESH):
+            x = np.array(seq[lo : lo + at.WINDOW + 1])
+            logp = at.forward(wide, m.cls, x[None, :-1])[0][0]
+            fresh = range(0 if lo == 0 else at.WINDOW - at.FRESH, len(x) - 1)
+            want += sum(logp[p, m.cls[x[p + 1]]] / math.log(10) + m.share[x[p + 1]] for p in fresh)
+        assert got == pytest.approx(want, rel=1e-4)
+    assert m.score_ids([], end) == []
+
+
+def test_scoring_stays_near_the_core():
+    """Tables that a batch of windows needs beside the model's; page faults for larger ones took over a third of the time."""
+    vocab = 81
+    m = at.with_counts(at.Model(at.fresh_weights(vocab), np.arange(vocab + 1) % at.CLASSES), np.ones(vocab), vocab - 1)
+    text = [np.arange(48 * 600, dtype=np.uint16) % 80]
+    m.score_ids(text, vocab - 1)
+    tracemalloc.start()
+    try:
+        m.score_ids(text, vocab - 1)
+        assert tracemalloc.get_traced_memory()[1] < 5e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("words", [[], [b"a"], [b"b", b"a", b"b", b"c", b"a"]])
+def test_blocks_number_words_in_the_order_of_hashes(spark, words):
+    rows = spark.createDataFrame([(1, b" ".join(words).decode(), False)], "doc_id long, text string, held_out boolean")
+    got = lm_score._blocks(rows, tk.default_ranks(), 1).collect()
+    sent = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.a, np.uint64) for r in got if r.kind == lm_score._WORDS)])
+    (own,) = (lm_score._from_steps(bytes(r.a)) for r in got if r.kind == lm_score._DOC)
+    assert (np.diff(sent.astype(object)) > 0).all() and len(sent) == len(set(words))
+    assert sorted(Counter(own.tolist()).values()) == sorted(Counter(words).values())
