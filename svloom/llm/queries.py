@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     decontaminate,
     exact_dedup,
     language_id,
@@ -106,6 +107,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; null and empty texts have zeros and an empty digest."""
+    got = alignment.align(_documents(spark, sf_dir).select("doc_id", "text"))
+    # only the digest is kept for the second pass, as groups are several times as long as texts
+    got = got.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+    got = alignment.with_counts(got)
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -117,6 +127,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
