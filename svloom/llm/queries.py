@@ -14,6 +14,7 @@ from . import (
     lm_score,
     packing,
     pii,
+    prefix_trie,
     simhash,
     token_counts,
     toxicity,
@@ -107,6 +108,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each node of the trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    conv = F.col("conv")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared, conv - conv % 5, 8)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; null and empty texts have zeros and an empty digest."""
     got = alignment.align(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -127,10 +135,35 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        z AS (SELECT c, count(*) AS n, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+                lambda crc, b: list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END, xor(crc, b)),
+                CAST(4294967295 AS BIGINT)) AS crc FROM t GROUP BY c),
+        v AS (SELECT z.c, z.n, xor(z.crc, CAST(4294967295 AS BIGINT)) % 9 AS h, z.c - z.c % 5 AS b FROM z),
+        m AS (SELECT v.*, least(v.h, coalesce(o.n, 0)) AS k FROM v LEFT JOIN v o ON o.c = v.b),
+        w AS (SELECT m.c, t.i AS nth, t.r, t.x FROM m JOIN t ON t.c = m.b AND t.i <= m.k
+              UNION ALL SELECT m.c, t.i - m.h + m.k, t.r, t.x FROM m JOIN t ON t.c = m.c AND t.i > m.h),
+        p AS (SELECT c, nth, x, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w),
+        e AS (SELECT m.c, coalesce(max(nth), 0) AS size FROM m LEFT JOIN w ON w.c = m.c GROUP BY m.c),
+        a AS (SELECT c, nth, strlen(x) AS bytes, sha256(CAST(k AS VARCHAR) || len(k)) AS id,
+                CASE WHEN nth = 1 THEN 'root' ELSE sha256(CAST(k[1:nth - 1] AS VARCHAR) || (nth - 1)) END AS up FROM p
+              UNION ALL SELECT c, 0, 0, 'root', NULL FROM e),
+        n AS (SELECT id, min(up) AS up, max(nth) AS depth, max(bytes) AS bytes, min(a.c) AS c, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(a.c AS VARCHAR), ',' ORDER BY a.c) FILTER (WHERE a.nth = e.size), '')) AS ends FROM a JOIN e ON e.c = a.c GROUP BY id),
+        g AS (SELECT n.*, (SELECT count(*) FROM n y WHERE y.up = n.id) AS n_children FROM n),
+        s AS (SELECT o.id, count(*) FILTER (WHERE g.n_children = 0) AS n_leaves, CAST(sum((g.n_convs - 1) * g.bytes) AS BIGINT) AS saved
+              FROM g JOIN a d ON d.id = g.id AND d.c = g.c JOIN a o ON o.c = g.c AND o.nth <= g.depth GROUP BY o.id)
+        SELECT g.c AS conv_id, g.depth, o.c AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved AS saved_tokens, g.ends AS ends_sha256
+        FROM g JOIN s ON s.id = g.id LEFT JOIN g o ON o.id = g.up
+    """,
     "op7_exact_dedup": """
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, g.text_sha256
         FROM documents d
