@@ -12,6 +12,7 @@ from . import (
     language_id,
     licenses,
     lm_score,
+    multi_index,
     packing,
     pii,
     prefix_trie,
@@ -115,6 +116,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared, conv - conv % 5, 8)
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector; vectors that can't be compared have no links and are kept."""
+    got = multi_index.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return got.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; null and empty texts have zeros and an empty digest."""
     got = alignment.align(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -136,6 +143,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_alignment": op13_alignment,
 }
 
@@ -171,4 +179,11 @@ ORACLES = {
                      sha256(coalesce(text, '')) AS text_sha256
               FROM documents GROUP BY 1) g ON coalesce(d.text, '') = g.body
     """,
+    "op12_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = v.vec_id
+    """,
 }
