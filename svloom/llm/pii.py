@@ -143,16 +143,19 @@ def phone_at(text: str, plus: int) -> int | None:
 
 
 def url_at(text: str, colon: int, floor: int) -> tuple[int, int] | None:
+    """Around ``://``: a scheme before it, no further left than ``floor``, and what follows; without a scheme nothing is read on."""
     start, end, n = colon, colon + 3, len(text)
     while start > floor and text[start - 1] in _SCHEME:
         start -= 1
     while start < colon and text[start] not in _LETTERS:
         start += 1
+    if start == colon:
+        return None
     while end < n and text[end] not in _STOP:
         end += 1
     while end > colon + 3 and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return (start, end) if start < colon and end > colon + 3 else None
+    return (start, end) if end > colon + 3 else None
 
 
 def account_at(text: str, cue: int, end: int) -> tuple[int, int] | None:

@@ -259,3 +259,19 @@ def test_repetitive_item_in_repetitive_text():
     seeds = de.Seeds.of([0], [b"ha " * 60])
     got = de.find([b"ha " * 30_000, b"ho " * 50], seeds, 0.8, 13)
     assert [(x[0], x[2]) for x in got] == [(0, 60)]
+
+
+@pytest.mark.parametrize("unit", ["://", "a://", "+1 (", "a@", "1.2.", "iban ", "IBAN: a", "12-"])
+def test_personal_data_of_adversarial_texts(unit):
+    """A megabyte of anchors that lead nowhere takes time in proportion."""
+    import time
+
+    from svloom.llm.pii import spans_of
+
+    def seconds(n):
+        begun = time.process_time()
+        spans_of(unit * (n // len(unit)))
+        return time.process_time() - begun
+
+    seconds(1000)
+    assert seconds(1_000_000) < 40 * max(seconds(100_000), 0.02)
