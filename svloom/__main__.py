@@ -40,7 +40,16 @@ def bench(spark, a) -> None:
     heads = vcf.header_of(spark, a.base), vcf.header_of(spark, a.comp)
     a.decompose = not a.no_decompose
     a.dynthresh = tuple(int(x) if x else None for x in (a.dynthresh.split(",") + [""] * 2)[:4]) if a.dynthresh else None
-    print(json.dumps(sinks.write_bench(bn.bench(base, comp, _params(a), bed, a.extend, reference), a.output, heads), indent=1, default=str))
+    made = bn.bench(base, comp, _params(a), bed, a.extend, reference)
+    _say_left_out(made)
+    print(json.dumps(sinks.write_bench(made, a.output, heads), indent=1, default=str))
+
+
+def _say_left_out(made: bn.Bench) -> None:
+    if made.params.short_circuit and made.params.max_chunk is not None:
+        n, calls = made.left_out.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if n:
+            print(f"{n} blocks of more than {made.params.max_chunk} calls are left out, with {calls} calls", file=sys.stderr)
 
 
 def collapse(spark, a) -> None:
@@ -130,7 +139,8 @@ def refine(spark, a) -> None:
     rows = fresh.select("chrom", "start", end.alias("end"), (F.col("start") + 1).alias("pos"), "ref", "alt", "alleles", "sample")
     rows = rows.withColumns({"svtype": F.when(F.length("ref") > F.length("alt"), "DEL").otherwise("INS"), "svlen": F.abs(F.length("ref") - F.length("alt")).cast("long")})
     rows = rows.withColumn("id", F.xxhash64("chrom", "start", "ref", "alt")).where("exists(alleles, x -> x = 1)")
-    again = bn.bench(rows.where("sample = 'base'").drop("sample"), rows.where("sample = 'comp'").drop("sample"), Params(no_ref="a", short_circuit=True, sizemin=a.sizemin, sizefilt=a.sizemin))
+    again = bn.bench(rows.where("sample = 'base'").drop("sample"), rows.where("sample = 'comp'").drop("sample"), Params(no_ref="a", short_circuit=True, sizemin=a.sizemin, sizefilt=a.sizemin, max_chunk=a.max_chunk))
+    _say_left_out(again)
     after = sets.stratify(again.states(), bed.select("region_id", "chrom", F.greatest(F.col("start") - a.buffer, F.lit(0)).alias("start"), (F.col("end") + a.buffer).alias("end")))
     done = stored(ha.refined_counts(before, after), "refined")
     sinks.write_tsv(done, f"{a.output}/regions")
@@ -194,7 +204,7 @@ def _parser() -> argparse.ArgumentParser:
     out = req("-o", "--output", required=True)
     add(bench, req("-b", "--base", required=True), req("-c", "--comp", required=True), out, opt("--includebed", None), opt("--extend", 0), opt("--bsample", None), opt("--csample", None), opt("--dynthresh", None), (("-f", "--reference"), {"default": None}),
         *[opt(f"--{n}", getattr(d, n)) for n in ("refdist", "pctseq", "pctsize", "pctovl", "chunksize", "bnddist", "sizemin", "sizemax", "max_resolve", "pick")],
-        opt("--sizefilt", None, type=int), opt("--no_ref", None), *[flag(f"--{n}") for n in ("typeignore", "no_roll", "passonly", "dup_to_ins", "short_circuit", "write_resolved", "no_decompose")])
+        opt("--sizefilt", None, type=int), opt("--max_chunk", None, type=int), opt("--no_ref", None), *[flag(f"--{n}") for n in ("typeignore", "no_roll", "passonly", "dup_to_ins", "short_circuit", "write_resolved", "no_decompose")])
     add(collapse, req("-i", "--input", required=True), out, opt("--keep", "first"), opt("--gt", "off"), opt("--refdist", 500), opt("--pctseq", 0.95), opt("--pctsize", 0.95), opt("--sizemin", 50),
         opt("--sizemax", 50_000), opt("--chain_depth", None, type=int), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info")])
     add(consistency, req("inputs", nargs="+"), out, flag("--keep_dups"))
@@ -204,7 +214,7 @@ def _parser() -> argparse.ArgumentParser:
     add(segment, req("input"), out)
     place = (req("-r", "--regions", required=True), req("-f", "--reference", required=True), out, opt("--buffer", 100), opt("--align", "affine"))
     add(phab, req("inputs", nargs="+"), *place, opt("--maxsize", 50_000), flag("--passonly"))
-    add(refine, req("input"), *place, opt("--sizemin", 5))
+    add(refine, req("input"), *place, opt("--sizemin", 5), opt("--max_chunk", None, type=int))
     add(ga4gh, req("-i", "--input", required=True), out)
     add(stratp, req("input"), req("--features", required=True), out, opt("--states", "base"), opt("--min_obs", 10), opt("--nperm", 10_000), opt("--tail", "left"), opt("--alpha", 0.01), opt("--seed", 42))
     add(anno, req("kind"), req("input"), out, opt("--extra", None), opt("--window", 10_000))

@@ -20,9 +20,20 @@ class Bench:
         self.calls, self.params, self._own = calls, params, own_regions
 
     @cached_property
-    def _blocks(self) -> DataFrame:
+    def _all_blocks(self) -> DataFrame:
         return matching.with_chunks(self.calls, self.params)
 
+    @cached_property
+    def left_out(self) -> DataFrame:
+        """(chunk_id, n) of blocks over ``max_chunk`` calls, none unless comparisons stop early and the limit is set: their calls count nowhere."""
+        return matching.oversize_blocks(self._all_blocks, self.params)
+
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        if not self.params.short_circuit or self.params.max_chunk is None:
+            return self._all_blocks
+        return stored(self._all_blocks.join(self.left_out, "chunk_id", "left_anti"), "blocks")
+
     @cached_property
     def matches(self) -> DataFrame:
         """The match table: a row for each pair that was compared."""

@@ -12,6 +12,8 @@ BIN = 10_000
 #: Intervals over more bins than this are joined on levels of wider bins.
 LEVEL_FACTOR = 16
 LEVELS = 5
+#: Levels of bins of joins on two places.
+PLACE_LEVELS = 4
 #: Width of the spans that islands are numbered in.
 ISLAND_SPAN = 1_000_000
 
@@ -141,6 +143,40 @@ def range_join(
     return left.alias("x").join(hits.alias("y"), test, how)
 
 
+def two_place_join(left: DataFrame, right: DataFrame, keys: list[str], left_places: list[tuple[str, str]], right_places: list[tuple[str, str]], width: int = BIN) -> DataFrame:
+    """Pairs with equal ``keys`` of which both the first and the second interval overlap, as an equi-join on bins of both places.
+
+    A row is filed in the bins of both its intervals on the level that suits the
+    longer one, and on all wider levels; a pair meets on the wider one of its
+    two levels, in its first common bin of either place.  So rows that share
+    one place alone, such as the breakends around a busy spot, don't meet.
+    """
+
+    def level(bounds: list[tuple[str, str]]) -> Column:
+        longest = F.greatest(*[F.col(b) - F.col(a) for a, b in bounds])
+        out = F.lit(PLACE_LEVELS - 1)
+        for k in reversed(range(PLACE_LEVELS - 1)):
+            out = F.when(longest <= width * LEVEL_FACTOR**k, k).otherwise(out)
+        return out
+
+    def filed(df: DataFrame, bounds: list[tuple[str, str]]) -> DataFrame:
+        out = df.withColumn("__own", level(bounds)).withColumn("__level", F.explode(F.sequence("__own", F.lit(PLACE_LEVELS - 1))))
+        w = F.lit(width) * F.pow(F.lit(LEVEL_FACTOR), F.col("__level")).cast("long")
+        for k, (a, b) in enumerate(bounds):
+            out = out.withColumn(f"__bin{k}", F.explode(F.sequence(F.floor(F.col(a) / w), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / w))))
+        return out
+
+    w = F.lit(width) * F.pow(F.lit(LEVEL_FACTOR), F.col("l.__level")).cast("long")
+    cond = F.col("l.__level") == F.greatest("l.__own", "r.__own")
+    for k in [*keys, "__level", *[f"__bin{k}" for k in range(len(left_places))]]:
+        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    for k, ((a, b), (c, d)) in enumerate(zip(left_places, right_places, strict=True)):
+        first = F.greatest(f"l.{a}", f"r.{c}")
+        cond = cond & (first < F.least(f"l.{b}", f"r.{d}")) & (F.floor(first / w) == F.col(f"l.__bin{k}"))
+    joined = filed(left, left_places).alias("l").join(filed(right, right_places).alias("r"), cond)
+    return joined.select(*[F.col(f"l.{x}") for x in left.columns], *[F.col(f"r.{x}") for x in right.columns if x not in keys])
+
+
 def count_within(rows: DataFrame, regions: DataFrame, by: list[str] = ("chrom",), end_within: Column | None = None, name: str = "count") -> DataFrame:
     """Each region with the number of rows that lie within it; regions without rows count 0.
 

@@ -16,7 +16,7 @@ from ..functions.genotypes import alt_count, genotype, is_present
 from ..functions.variants import bnd_direction, bnd_mate, decomposed, is_filtered, is_monref_or_star, is_single_bnd, is_symbolic, resolved
 from ..params import Params
 from ..sources.regions import fetch
-from .intervals import BIN, range_join, with_islands
+from .intervals import BIN, range_join, two_place_join, with_islands
 
 
 def filter_calls(df: DataFrame, p: Params) -> DataFrame:
@@ -70,14 +70,14 @@ def with_chunks(df: DataFrame, p: Params) -> DataFrame:
     return marked.withColumn("chunk_id", F.concat_ws(":", "chrom", "__chunk")).drop("__chunk")
 
 
-def pairs(chunked: DataFrame, p: Params) -> DataFrame:
-    """All base-comp pairs of each block, unless the block is over ``max_chunk`` calls and comparisons stop early.
+def oversize_blocks(chunked: DataFrame, p: Params) -> DataFrame:
+    """(chunk_id, n) of the blocks over ``max_chunk`` calls, which comparisons that stop early leave out; none where no such limit is set."""
+    sizes = chunked.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return sizes.where(F.col("n") > p.max_chunk) if p.short_circuit and p.max_chunk is not None else sizes.where(F.lit(False))
 
-    With ``max_chunk`` None no block is left out.
-    """
-    if p.short_circuit and p.max_chunk is not None:
-        sizes = chunked.groupBy("chunk_id").agg(F.count("*").alias("__n")).where(F.col("__n") <= p.max_chunk)
-        chunked = chunked.join(sizes.drop("__n"), "chunk_id", "left_semi")
+
+def pairs(chunked: DataFrame, p: Params) -> DataFrame:
+    """The base-comp pairs of each block: all, or where comparisons stop early those near enough to match."""
     return near_pairs(chunked.where("side = 'base'"), chunked.where("side = 'comp'"), p)
 
 
@@ -85,19 +85,72 @@ def near_pairs(base: DataFrame, comp: DataFrame, p: Params) -> DataFrame:
     """Pairs (chunk_id, b, c) of the calls of each block.
 
     Where comparisons stop early, pairs whose places are too far apart fail at
-    once; then the join is one of ranges within blocks, so a dense block costs
-    what lies near each call and not all its pairs.  Breakends have distances
-    of their own, so tables that hold them are paired block by block.
+    once; then the joins are of ranges within blocks, so a dense block costs
+    what lies near each call and not all its pairs: calls by their place,
+    breakends by both their places and their turn, and with ``decompose`` calls
+    taken apart with breakends in the same way.
     """
     data = [c for c in base.columns if c not in ("side", "chunk_id")]
     b, c = base.select("chunk_id", F.struct(*data).alias("b")), comp.select("chunk_id", F.struct(*data).alias("c"))
-    if not p.short_circuit or "pos2" in base.columns:
+    if not p.short_circuit:
         return b.join(c, "chunk_id")
+    if not {"pos", "pos2", "direction", "strand", "ci"} <= set(data):
+        return _near_calls(b, c, p)
+
+    def split(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
+        bnd = F.coalesce(F.col(f"{x}.svtype") == "BND", F.lit(False))
+        return df.where(~bnd), df.where(bnd)
+
+    (b_calls, b_ends), (c_calls, c_ends) = split(b, "b"), split(c, "c")
+    out = _near_calls(b_calls, c_calls, p).unionByName(_near_ends(_placed(b_ends, "b", p), _placed(c_ends, "c", p), p))
+    if not p.decompose:
+        return out
+    mixed = _near_ends(_parts_placed(b_calls, "b", p), _placed(c_ends, "c", p), p).unionByName(_near_ends(_placed(b_ends, "b", p), _parts_placed(c_calls, "c", p), p))
+    # several parts of a call may lie near one breakend
+    once = mixed.groupBy("chunk_id", F.col("b.id").alias("__b"), F.col("c.id").alias("__c")).agg(F.first("b").alias("b"), F.first("c").alias("c"))
+    return out.unionByName(once.select("chunk_id", "b", "c"))
+
+
+def _near_calls(b: DataFrame, c: DataFrame, p: Params) -> DataFrame:
     b = b.withColumns({"__bs": F.col("b.start") - p.refdist, "__be": F.col("b.end") + p.refdist})
     c = c.withColumns({"__cs": F.col("c.start"), "__ce": F.col("c.end")})
     return range_join(b, c, ["chunk_id"], ("__bs", "__be"), ("__cs", "__ce"), width=max(BIN, p.refdist)).select("chunk_id", "b", "c")
 
 
+def _reach(ci: Column, p: Params) -> Column:
+    """How far a breakend reaches to either side: the second bound of its confidence interval widens both."""
+    return p.bnddist + F.coalesce(F.abs(F.get(ci, F.lit(1))), F.lit(0))
+
+
+def _with_places(df: DataFrame, x: str, pos: Column, mate: Column, turn: Column, p: Params) -> DataFrame:
+    far = _reach(F.col(f"{x}.ci"), p)
+    return df.withColumns(
+        {
+            "__chrom2": mate["chrom2"], "__direction": turn["direction"], "__strand": turn["strand"],
+            f"__{x}s1": pos - far, f"__{x}e1": pos + far, f"__{x}s2": mate["pos2"] - far, f"__{x}e2": mate["pos2"] + far,
+        }
+    )
+
+
+def _placed(df: DataFrame, x: str, p: Params) -> DataFrame:
+    """Breakends with the spans around both their places."""
+    whole = F.col(x)
+    return _with_places(df, x, whole["pos"], whole, whole, p)
+
+
+def _parts_placed(df: DataFrame, x: str, p: Params) -> DataFrame:
+    """The breakends that calls are taken apart into, with the spans around both their places."""
+    parts = decomposed(F.col(f"{x}.chrom"), F.col(f"{x}.pos"), F.col(f"{x}.end"), F.col(f"{x}.svtype"))
+    apart = df.withColumn("__part", F.explode(parts))
+    return _with_places(apart, x, F.col("__part.pos"), bnd_mate(F.col("__part.alt")), bnd_direction(F.col("__part.alt")), p).drop("__part")
+
+
+def _near_ends(b: DataFrame, c: DataFrame, p: Params) -> DataFrame:
+    keys = ["chunk_id", "__chrom2", "__direction", "__strand"]
+    joined = two_place_join(b, c, keys, [("__bs1", "__be1"), ("__bs2", "__be2")], [("__cs1", "__ce1"), ("__cs2", "__ce2")], width=max(1024, 4 * p.bnddist))
+    return joined.select("chunk_id", "b", "c")
+
+
 def _threshold(flat: float, p: Params, size: Column) -> Column:
     if p.dynthresh is None:
         return F.lit(flat)
@@ -119,12 +172,9 @@ def _bnd(p: Params, b: dict[str, Column], c: dict[str, Column]) -> Column:
     """Struct of state, score, st_dist and ed_dist of two breakends: dicts of chrom, pos, chrom2, pos2, direction, strand, ci."""
     d = p.bnddist
 
-    def ci(x: dict[str, Column]) -> Column:
-        # the second bound of the confidence interval widens both sides
-        return F.coalesce(F.abs(F.get(x["ci"], F.lit(1))), F.lit(0))
-
     def near(at: str) -> Column:
-        return iv.overlaps(b[at] - d - ci(b), b[at] + d + ci(b), c[at] - d - ci(c), c[at] + d + ci(c))
+        r, s = _reach(b["ci"], p), _reach(c["ci"], p)
+        return iv.overlaps(b[at] - r, b[at] + r, c[at] - s, c[at] + s)
 
     st, ed = b["pos"] - c["pos"], b["pos2"] - c["pos2"]
     ok = (b["chrom"] == c["chrom"]) & near("pos") & (b["chrom2"] == c["chrom2"]) & near("pos2") & (b["direction"] == c["direction"]) & (b["strand"] == c["strand"])

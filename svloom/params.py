@@ -31,7 +31,7 @@ class Params:
     dup_to_ins: bool = False
     short_circuit: bool = False
     skip_gt: bool = False
-    max_chunk: int | None = 5_000
+    max_chunk: int | None = None
     bsample: str | None = None
     csample: str | None = None
     dynthresh: tuple[int, int, int | None, int | None] | None = None

@@ -789,6 +789,34 @@ def bnd_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.matches.select("bid", "cid", "state", *r6("score"), "st_dist", "ed_dist")
 
 
+@query(
+    f"""WITH {CALLS}, x AS (SELECT side, id, chrom, s, e, svlen, CASE WHEN id // 2 % 4 = 0 THEN 'BND' ELSE svtype END AS t, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS turn FROM iv
+  WHERE id // 2 % 4 = 0 OR (svlen <= 600 AND svlen >= CASE WHEN side = 'base' THEN 60 ELSE 50 END)),
+ends AS (SELECT side, id, chrom, s + 1 AS p, s + svlen AS p2, turn, true AS own FROM x WHERE t = 'BND'
+  UNION ALL SELECT side, id, chrom, s + 1, e + 1, 0, false FROM x WHERE t = 'DEL' UNION ALL SELECT side, id, chrom, e + 1, s + 1, 1, false FROM x WHERE t = 'DEL'
+  UNION ALL SELECT side, id, chrom, s + 2, e, 1, false FROM x WHERE t = 'DUP' UNION ALL SELECT side, id, chrom, e, s + 2, 0, false FROM x WHERE t = 'DUP'),
+m AS (SELECT b.id AS bid, c.id AS cid, max(greatest(0, (1 - ((abs(b.p - c.p) + abs(b.p2 - c.p2)) / 2.0) / 200) * 100)) AS score FROM ends b JOIN ends c
+  ON b.chrom = c.chrom AND b.side = 'base' AND c.side = 'comp' AND b.turn = c.turn AND (b.own OR c.own) AND abs(b.p - c.p) < 200 AND abs(b.p2 - c.p2) < 200 GROUP BY 1, 2),
+k AS (SELECT *, s - CASE WHEN t = 'INS' THEN svlen // 2 ELSE 0 END AS lo, e + CASE WHEN t = 'INS' THEN svlen // 2 ELSE 0 END AS hi FROM x WHERE t <> 'BND'),
+n AS (SELECT b.id AS bid, c.id AS cid, least(b.svlen, c.svlen) / CAST(greatest(b.svlen, c.svlen) AS DOUBLE) AS sizesim,
+  greatest(least(b.hi, c.hi) - greatest(b.lo, c.lo), 0) / CAST(greatest(b.hi - b.lo, c.hi - c.lo) AS DOUBLE) AS ovl FROM k b JOIN k c
+  ON b.chrom = c.chrom AND b.side = 'base' AND c.side = 'comp' AND b.t = c.t AND greatest(b.s - 500, c.s) < least(b.e + 500, c.e))
+SELECT bid, cid, round(score, 6) AS score FROM m UNION ALL SELECT bid, cid, round((sizesim + ovl) / 3 * 100, 6) FROM n WHERE sizesim >= 0.7"""
+)
+def bench_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of tables that hold calls and breakends: each kind by its own range join, and calls taken apart with breakends."""
+    c = synth.calls(spark, sf_dir)
+    bnd = F.floor(F.col("id") / 2) % 4 == 0
+    mate = F.concat("chrom", F.lit(":"), (F.col("start") + F.col("svlen")).cast("string"))
+    alt = F.when(F.col("id") % 3 == 0, F.concat(F.lit("]"), mate, F.lit("]N"))).otherwise(F.concat(F.lit("N["), mate, F.lit("[")))
+    c = c.withColumns({"ref": F.lit("N"), "alt": F.when(bnd, alt).otherwise(F.concat(F.lit("<"), "svtype", F.lit(">"))), "ci": F.lit(None).cast("array<int>")})
+    c = c.withColumns({"end": F.when(bnd, F.col("start") + 1).otherwise(F.col("end")), "svtype": F.when(bnd, "BND").otherwise(F.col("svtype")), "svlen": F.when(bnd, 0).otherwise(F.col("svlen"))})
+    place, turn = v.bnd_mate(F.col("alt")), v.bnd_direction(F.col("alt"))
+    c = c.withColumns({n: F.when(bnd, x) for n, x in (("chrom2", place["chrom2"]), ("pos2", place["pos2"]), ("direction", turn["direction"]), ("strand", turn["strand"]))})
+    b = bn.bench(c.where("side = 'base'").drop("side"), c.where("side = 'comp'").drop("side"), BENCH.but(short_circuit=True))
+    return b.matches.where("state").select("bid", "cid", *r6("score"))
+
+
 @query(
     f"""WITH {SEQUENCES}, k AS (SELECT id, seq, id % 5 AS s, id % 5 + greatest(length(seq) // 2, 1) AS e, CASE id % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INV' WHEN 2 THEN 'DUP' ELSE 'CNV' END AS t FROM sq),
 x AS (SELECT *, substr(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS span FROM k), y AS (SELECT *, t <> 'CNV' AND e - s <= 5000 AND span <> '' AS ok FROM x)

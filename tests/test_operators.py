@@ -12,6 +12,7 @@ from svloom.operators import haplotypes as ha
 from svloom.operators import intervals as op
 from svloom.operators import sets, stats
 from svloom.params import Params
+from svloom.storage import stored
 
 CALLS = "id long, chrom string, start long, end long, pos long, svtype string, svlen long, alleles array<int>"
 
@@ -308,3 +309,57 @@ def test_shards_and_small_types(spark):
     assert (sizes.shards, sizes.most, sizes.least) == (10, 7, 2)
     d = stats.downcast(spark.createDataFrame([(1, 70_000, 2**40), (-5, 3, None)], "a long, b long, c long"))
     assert dict(d.dtypes) == {"a": "tinyint", "b": "int", "c": "bigint"}
+
+
+PLACES = "chrom2 string, pos2 long, direction string, strand string, ci array<int>"
+
+
+def mixed_calls(rng, n, first):
+    out = []
+    for i in range(first, first + n):
+        s, size = rng.randint(0, 3000), rng.randint(50, 150)
+        kind = rng.choice(["DEL", "DUP", "INV", "INS", "BND", "BND"])
+        if kind == "BND":
+            place = (rng.choice(["a", "b"]), s + rng.choice([size, -size, 50_000]), rng.choice(["left", "right"]), rng.choice(["direct", "complement"]), rng.choice([None, [-5, 30], [0, 3000]]))
+            out.append((i, "a", s, s + 1, s + 1, "BND", 0, [0, 1], *place))
+        else:
+            out.append((i, "a", s, s + size, s + 1, kind, size, [0, 1], None, None, None, None, rng.choice([None, [0, 20]])))
+    return out
+
+
+@pytest.mark.parametrize("decompose", [True, False])
+def test_calls_and_breakends_in_one_table(spark, decompose):
+    """Range joins of calls and of both places of breakends find what all pairs of a block hold."""
+    rng = random.Random(12)
+    base, comp = (spark.createDataFrame(mixed_calls(rng, 150, first), f"{CALLS}, {PLACES}") for first in (0, 1000))
+    p = Params(pctseq=0, sizemin=50, decompose=decompose)
+    shown = ["bid", "cid", "score", "st_dist", "ed_dist"]
+    all_pairs, near = (sorted(map(tuple, bn.bench(base, comp, q).matches.where("state").select(shown).collect())) for q in (p, p.but(short_circuit=True)))
+    assert near == all_pairs and len(near) > 50
+
+
+def test_files_are_paired_by_ranges(spark, tmp_path):
+    """A plan over parsed lines joins on bins: calls on one place, breakends on two; nothing joins blocks whole."""
+    from svloom.operators import matching
+    from svloom.sources.vcf import read_vcf
+
+    lines = ["##contig=<ID=c,length=9000>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", "c\t10\t.\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;END=90;SVLEN=80", "c\t10\t.\tN\tN[c:91[\t.\tPASS\tSVTYPE=BND"]
+    (tmp_path / "x.vcf").write_text("\n".join(lines) + "\n")
+    calls = read_vcf(spark, str(tmp_path / "x.vcf"))
+    chunked = stored(matching.with_chunks(calls.withColumn("side", F.lit("base")), Params()))
+    for p in (co.DEFAULTS, Params(short_circuit=True)):
+        plan = matching.near_pairs(chunked, chunked, p)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join" in x]
+        assert len(joins) == 4 and all("__bin" in x for x in joins) and sum("__bin1" in x for x in joins) == 3
+
+
+def test_blocks_that_are_too_large_count_nowhere(spark):
+    rows = [(i, "a", 100 + 9 * i, 180 + 9 * i, 101 + 9 * i, "DEL", 80, [0, 1]) for i in range(4)] + [(9, "a", 90_000, 90_080, 90_001, "DEL", 80, [0, 1])]
+    df = spark.createDataFrame(rows, CALLS)
+    cut = bn.bench(df, df, Params(pctseq=0, short_circuit=True, max_chunk=2))
+    s = cut.summary().first()
+    assert (s.tp_base, s.tp_comp, s.fn, s.fp, s.f1) == (1, 1, 0, 0, 1.0)
+    assert [r.n for r in cut.left_out.collect()] == [8] and cut.refine_candidates().count() == 0
+    for p in (Params(pctseq=0, short_circuit=True), Params(pctseq=0, max_chunk=2)):
+        whole = bn.bench(df, df, p)
+        assert whole.summary().first().tp_base == 5 and whole.left_out.count() == 0
