@@ -55,7 +55,7 @@ def _say_left_out(made: bn.Bench) -> None:
 def collapse(spark, a) -> None:
     p = co.DEFAULTS.but(pctseq=a.pctseq, pctsize=a.pctsize, refdist=a.refdist, chunksize=a.refdist, sizemin=a.sizemin, sizemax=a.sizemax, sizefilt=a.sizemin)
     head = vcf.header_of(spark, a.input)
-    kept, removed = co.collapse(_calls(spark, a.input), p, a.keep, a.chain or a.chain_depth is not None, a.chain_depth, a.hap, a.gt, not a.no_consolidate)
+    kept, removed = co.collapse(_calls(spark, a.input), p, a.keep, a.chain or a.chain_depth is not None, a.chain_depth, a.hap, a.gt, not a.no_consolidate, a.fast_cluster)
     if not a.intra and not a.median_info:
         names = {"NumCollapsed": "num_collapsed", "NumConsolidated": "num_consolidated", "CollapseId": "collapse_id"}
         for n in names:
@@ -163,7 +163,7 @@ def anno(spark, a) -> None:
     made = {
         "addid": lambda: an.add_id(calls),
         "bpovl": lambda: an.breakpoint_overlap(calls, extra),
-        "chunks": lambda: an.chunk_census(matching.with_chunks(calls.withColumn("side", F.lit("base")), Params())),
+        "chunks": lambda: an.chunk_subcounts(matching.with_chunks(calls.withColumn("side", F.lit("base")), Params()), Params()),
         "density": lambda: an.density(calls, intervals.tiles(vcf.header_of(spark, a.input).contig_table(spark), a.window).select("chrom", "start", "end")),
         "gcpct": lambda: an.gc_content(calls.withColumn("seq", F.when(F.length("alt") > F.length("ref"), F.col("alt")).otherwise(F.col("ref")))),
         "gtcnt": lambda: an.genotype_counts(calls),
@@ -206,7 +206,7 @@ def _parser() -> argparse.ArgumentParser:
         *[opt(f"--{n}", getattr(d, n)) for n in ("refdist", "pctseq", "pctsize", "pctovl", "chunksize", "bnddist", "sizemin", "sizemax", "max_resolve", "pick")],
         opt("--sizefilt", None, type=int), opt("--max_chunk", None, type=int), opt("--no_ref", None), *[flag(f"--{n}") for n in ("typeignore", "no_roll", "passonly", "dup_to_ins", "short_circuit", "write_resolved", "no_decompose")])
     add(collapse, req("-i", "--input", required=True), out, opt("--keep", "first"), opt("--gt", "off"), opt("--refdist", 500), opt("--pctseq", 0.95), opt("--pctsize", 0.95), opt("--sizemin", 50),
-        opt("--sizemax", 50_000), opt("--chain_depth", None, type=int), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info")])
+        opt("--sizemax", 50_000), opt("--chain_depth", None, type=int), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info", "fast_cluster")])
     add(consistency, req("inputs", nargs="+"), out, flag("--keep_dups"))
     add(stratify, req("regions"), req("input"), out)
     add(vcf2df, req("input"), out, flag("--info"), flag("--format"), req("--sample", nargs="*"), flag("--no_prefix"), flag("--alleles"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as gt
 from ..functions import sequences as sq
 from ..functions.variants import sv_size, sv_type
+from ..params import Params
+from ..storage import stored
 from . import intervals
+from .collapse import SUB_BLOCK, distance_runs, size_runs
 
 
 def numbered(df: DataFrame, group: str, at: str, order: list[str] = (), name: str = "n", span: int = intervals.ISLAND_SPAN) -> DataFrame:
@@ -56,6 +59,25 @@ def chunk_census(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("chunk_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
 
 
+def chunk_subcounts(chunked: DataFrame, p: Params, least: int = SUB_BLOCK) -> DataFrame:
+    """The census with what large chunks are cut into: size_counts of calls by size, and dist_counts of these parts cut by place, comma-joined in order of chunk and run."""
+    sized = size_runs(chunked.withColumn("chunk", F.col("chunk_id")), p, least)
+    placed = distance_runs(stored(sized.withColumn("size_run", F.col("chunk_id")), "size-runs"), p, least=least)
+    cells = placed.groupBy("chunk", "size_run", F.col("chunk_id").alias("dist_run")).agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+    def number(c: str, sep: str) -> Column:
+        return F.coalesce(F.element_at(F.split(c, sep), -1).try_cast("long"), F.lit(0))
+
+    cells = stored(cells.withColumns({"a": number("size_run", "[.]"), "b": F.when(F.col("dist_run").contains("/"), number("dist_run", "/")).otherwise(0)}), "cells")
+
+    def line(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        return rows.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "n"))), lambda x: x["n"].cast("string")), ",").alias(name))
+
+    sizes = line(cells.groupBy("chunk", "a").agg(F.sum("n").alias("n")), "size_counts", "a")
+    whole = cells.groupBy("chunk").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return whole.join(sizes, "chunk").join(line(cells, "dist_counts", "a", "b"), "chunk").withColumnRenamed("chunk", "chunk_id")
+
+
 def density(calls: DataFrame, windows: DataFrame, threshold: float = 3) -> DataFrame:
     """Calls per window (chrom, start, end), and a label: dense beyond mean + threshold * std, sparse below mean - threshold * std."""
     w = windows.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end"))

@@ -768,6 +768,53 @@ def collapse_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.median_info(kept.where("num_collapsed > 0"), removed).select("id", "collapse_start", "collapse_end", "collapse_size")
 
 
+def _islands(source: str, name: str, by: str, lo: str, hi: str, new: str) -> str:
+    """SQL: ``source`` with the number ``name`` of each row's run within ``by``; ``new`` tests the furthest end before, far."""
+    return (
+        f"{name}_w AS (SELECT *, max({hi}) OVER (PARTITION BY {by} ORDER BY {lo}, id, {hi} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {name}_far FROM {source}),\n"
+        f"{name}_t AS (SELECT *, CAST(sum(CASE WHEN {name}_far IS NULL OR {name}_far {new} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY {lo}, id, {hi} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {name} FROM {name}_w)"
+    )
+
+
+_FAST = f"""WITH {CALLS}, f0 AS (SELECT *, CASE WHEN svtype = 'DEL' THEN 'd' ELSE 'x' END AS kind, floor(svlen * CAST(0.9 AS DOUBLE)) AS low, s - 2000 AS lo,
+  CASE WHEN e - s >= 300 THEN s ELSE e END + 2000 AS hi, row_number() OVER (ORDER BY s, svlen DESC, id) AS rk FROM iv WHERE svlen BETWEEN 50 AND 600),
+{_islands("f0", "no", "chrom", "s", "e", "+ 2000 < s")},
+{_islands("no_t", "run", "chrom, no, kind", "low", "svlen", "< low")},
+z AS (SELECT *, count(*) OVER (PARTITION BY chrom, no, kind, run) AS held FROM run_t),
+{_islands("z", "sub", "chrom, no, kind, run", "lo", "hi", "<= lo")},
+f AS (SELECT *, chrom || ':' || no || '.' || kind || '.' || run || CASE WHEN held >= 5 THEN '/' || sub ELSE '' END AS block FROM sub_t)"""
+
+
+@query(
+    _FAST
+    + """,
+e AS (SELECT a.block, a.id AS i, b.id AS j, a.rk AS ri, b.rk AS rj FROM f a JOIN f b ON a.block = b.block AND a.svtype = b.svtype AND a.rk < b.rk AND greatest(a.s - 2000, b.s) < least(a.e + 2000, b.e)
+  AND least(a.svlen, b.svlen) / CAST(greatest(a.svlen, b.svlen) AS DOUBLE) >= 0.9),
+g AS (SELECT block, list_reduce(list({'i': i, 'j': j} ORDER BY ri, rj), lambda a, x: CASE WHEN list_contains(a.gone, x.i) OR list_contains(a.gone, x.j) THEN a
+  ELSE {'gone': list_append(a.gone, x.j), 'o': list_append(a.o, x)} END, {'gone': CAST([] AS BIGINT[]), 'o': CAST([] AS STRUCT(i BIGINT, j BIGINT)[])}).o AS o FROM e GROUP BY block),
+u AS (SELECT unnest(o) AS x FROM g) SELECT u.x.j AS id, u.x.i AS keeper FROM u"""
+)
+def collapse_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsing with large blocks cut by place first, calls of 300 and more by their start alone."""
+    return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, fast_cluster=True, least=5, giant=300)[1].select("id", "keeper")
+
+
+@query(
+    _CHUNKS
+    + f""", d0 AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS held, CASE WHEN svtype = 'DEL' THEN -svlen ELSE svlen END - svlen * (1 - CAST(0.7 AS DOUBLE)) AS lo,
+  CASE WHEN svtype = 'DEL' THEN -svlen ELSE svlen END + svlen * (1 - CAST(0.7 AS DOUBLE)) AS hi FROM c),
+{_islands("d0", "run", "chunk_id", "lo", "hi", "<= lo")},
+y AS (SELECT * REPLACE (CASE WHEN held >= 8 THEN run ELSE 0 END AS run) FROM run_t), z AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, run) AS part, s - 500 AS p, e + 500 AS q FROM y),
+{_islands("z", "sub", "chunk_id, run", "p", "q", "<= p")},
+parts AS (SELECT chunk_id, chrom, run, CASE WHEN part >= 8 THEN sub ELSE 0 END AS sub, min(s) AS s, max(e) AS e, count(*) AS n FROM sub_t GROUP BY 1, 2, 3, 4),
+sizes AS (SELECT chunk_id, run, sum(n) AS n FROM parts GROUP BY 1, 2), a AS (SELECT chunk_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS size_counts FROM sizes GROUP BY 1)
+SELECT p.chunk_id, p.chrom, min(s) AS start, max(e) AS "end", CAST(sum(n) AS BIGINT) AS n, min(size_counts) AS size_counts, string_agg(CAST(n AS VARCHAR), ',' ORDER BY run, sub) AS dist_counts FROM parts p JOIN a ON a.chunk_id = p.chunk_id GROUP BY 1, 2"""
+)
+def sub_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, and how many calls are in each part by size and by place."""
+    return an.chunk_subcounts(_bench(spark, sf_dir).chunked, BENCH, 8)
+
+
 @query(
     f"""WITH {CALLS}, g AS (SELECT side, id, chrom, s, s + 1 AS e, s + svlen * 10 AS p2, CASE WHEN id % 3 = 0 THEN 'right' ELSE 'left' END AS d FROM iv WHERE chrom IN (SELECT chrom FROM iv WHERE side = 'base')),
 w AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, side, id, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM g),

@@ -363,3 +363,18 @@ def test_blocks_that_are_too_large_count_nowhere(spark):
     for p in (Params(pctseq=0, short_circuit=True), Params(pctseq=0, max_chunk=2)):
         whole = bn.bench(df, df, p)
         assert whole.summary().first().tp_base == 5 and whole.left_out.count() == 0
+
+
+def test_fast_clustering(spark):
+    """Giant calls don't chain the small ones below them, and are found by their starts; without it nothing changes."""
+    rows = [(0, "a", 0, 900_000, 1, "DEL", 900_000), (1, "a", 100, 899_000, 101, "DEL", 898_900), (2, "a", 5000, 905_000, 5001, "DEL", 900_000)]
+    rows += [(10 + k, "a", 40_000 * k + 10, 40_000 * k + 110 + k % 2, 40_000 * k + 11, "DEL", 100 + k % 2) for k in range(1, 9)]
+    rows += [(30 + k, "a", 40_000 * k + 40, 40_000 * k + 140, 40_000 * k + 41, "DEL", 100) for k in range(1, 9)]
+    calls = spark.createDataFrame([(*r, "N", "<DEL>", 1.0, [[0, 1]]) for r in rows], "id long, chrom string, start long, end long, pos long, svtype string, svlen long, ref string, alt string, qual double, gts array<array<int>>")
+    p = co.DEFAULTS.but(pctseq=0, pctsize=0.9, sizemax=-1)
+    small = {(30 + k, 10 + k) for k in range(1, 9)}
+    for fast, giants in ((False, {(1, 0), (2, 0)}), (True, {(1, 0)})):
+        got = co.collapse(calls, p, fast_cluster=fast, least=3)[1].select("id", "keeper").collect()
+        assert {tuple(r) for r in got} == small | giants
+    ranked = co.candidates(calls, p, fast_cluster=True, least=3)
+    assert ranked.groupBy("chunk_id").count().agg(F.max("count")).first()[0] == 2
