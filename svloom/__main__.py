@@ -16,7 +16,7 @@ from .operators import haplotypes as ha
 from .operators import intervals, matching, sets, stats
 from .params import Params
 from .session import session
-from .sources import regions, sinks, vcf
+from .sources import indexed, regions, sinks, vcf
 from .storage import release, stored
 
 VERSION = "0.1.0"
@@ -95,6 +95,18 @@ def divide(spark, a) -> None:
     sinks.write_shards(sets.shards(_calls(spark, a.input), a.buffer, a.min), a.output)
 
 
+def index(spark, a) -> None:
+    """A file's records as sorted, block-compressed parts with an index."""
+    head = vcf.header_of(spark, a.input)
+    indexed.write_indexed(vcf.read_vcf(spark, a.input, head), a.output, head)
+
+
+def fetch(spark, a) -> None:
+    """Record lines that overlap a region chrom:start-end, from a folder that ``index`` wrote."""
+    r = regions.parse_regions(spark, a.region).first()
+    indexed.fetch_lines(spark, a.input, r["chrom"], r["start"], r["end"]).select("value").write.mode("overwrite").text(a.output)
+
+
 def segment(spark, a) -> None:
     sets.segments(_calls(spark, a.input).where("svtype = 'DEL'")).write.mode("overwrite").parquet(a.output)
 
@@ -212,6 +224,8 @@ def _parser() -> argparse.ArgumentParser:
     add(vcf2df, req("input"), out, flag("--info"), flag("--format"), req("--sample", nargs="*"), flag("--no_prefix"), flag("--alleles"))
     add(divide, req("input"), out, opt("--buffer", 1000), opt("--min", 50_000))
     add(segment, req("input"), out)
+    add(index, req("input"), out)
+    add(fetch, req("input"), req("region"), out)
     place = (req("-r", "--regions", required=True), req("-f", "--reference", required=True), out, opt("--buffer", 100), opt("--align", "affine"))
     add(phab, req("inputs", nargs="+"), *place, opt("--maxsize", 50_000), flag("--passonly"))
     add(refine, req("input"), *place, opt("--sizemin", 5), opt("--max_chunk", None, type=int))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Columns (chrom, start, end) and whether starts count from one.
 PRESETS = {"bed": (0, 1, 2, False), "gff": (0, 3, 4, True)}
 
@@ -74,12 +76,38 @@ def read_masker_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, tile: int = 100_000) -> DataFrame:
-    """Reference tiles (chrom, tile, start, seq)."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    first = F.substring_index("value", "\n", 1)
-    got = records.select(F.substring_index(F.trim(first), " ", 1).alias("chrom"), F.regexp_replace(F.substring(F.col("value"), F.length(first) + 1, F.length("value")), r"\s", "").alias("seq"))
-    at = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / tile).cast("int")))
-    return got.withColumn("tile", at).select("chrom", "tile", (F.col("tile").cast("long") * tile).alias("start"), F.substring(F.col("seq"), F.col("tile") * tile + 1, F.lit(tile)).alias("seq"))
+    """Reference tiles (chrom, tile, start, seq).
+
+    Lines are placed by how many bases and which contig's name come before them
+    in the file: summed up within each block that a task reads, and over the
+    blocks in a table of one row per block.  No row holds more than a line or a
+    tile.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", r"\s+$", "").alias("line"))
+    top = F.col("line").startswith(">")
+    name = F.regexp_extract("line", r"^>\s*(\S*)", 1)
+    seq = F.when(top, "").otherwise(F.regexp_replace("line", r"\s", ""))
+    rows = lines.select("file", "block", "nth", top.alias("top"), name.alias("name"), seq.alias("seq"))
+    within = Window.partitionBy("file", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    bases, last = F.length("seq"), F.struct("nth", F.col("name").alias("chrom"), F.col("past").alias("begun"))
+    # bases up to the end of each line, then the last name before it with the bases before that
+    summed = rows.withColumn("past", F.sum(bases).over(within)).withColumn("at", F.max(F.when(F.col("top"), last)).over(within))
+    summed = stored(summed, "lines")
+    blocks = summed.groupBy("file", "block").agg(F.sum(bases).alias("bases"), F.max(F.when(F.col("top"), last)).alias("last"))
+    over = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("bases").over(over), F.lit(0)))
+    # a block number orders names over blocks, as line numbers do within one
+    blocks = blocks.withColumn("carried", F.max(F.when(F.col("last").isNotNull(), F.struct("block", F.col("last.chrom").alias("chrom"), (F.col("last.begun") + F.col("before")).alias("begun")))).over(over))
+    placed = summed.where(~F.col("top") & (F.col("seq") != "")).join(blocks.select("file", "block", "before", "carried"), ["file", "block"])
+    start = F.col("past") + F.col("before") - F.length("seq") - F.coalesce(F.col("at.begun") + F.col("before"), F.col("carried.begun"))
+    placed = placed.select(F.coalesce("at.chrom", "carried.chrom").alias("chrom"), start.alias("start"), "seq").where(F.col("chrom").isNotNull())
+    tiles = F.explode(F.sequence(F.floor(F.col("start") / tile).cast("int"), F.floor((F.col("start") + F.length("seq") - 1) / tile).cast("int")))
+    cut = placed.withColumn("tile", tiles).withColumn("t0", F.col("tile").cast("long") * tile)
+    skip = F.greatest(F.col("t0") - F.col("start"), F.lit(0)).cast("int")
+    part = F.substring(F.col("seq"), skip + 1, (F.least(F.col("start") + F.length("seq"), F.col("t0") + tile) - F.col("start")).cast("int") - skip)
+    pieces = cut.groupBy("chrom", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", part.alias("part")))), lambda x: x["part"]), "").alias("seq"))
+    return pieces.select("chrom", "tile", (F.col("tile").cast("long") * tile).alias("start"), "seq")
 
 
 def fetch(spans: DataFrame, tiles: DataFrame, tile: int = 100_000, by: str = "id") -> DataFrame:

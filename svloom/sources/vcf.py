@@ -53,8 +53,29 @@ class Header:
 
 
 def header_of(spark: SparkSession, path: str) -> Header:
-    lines = spark.read.text(path).where(F.col("value").startswith("#")).collect()  # header lines only
-    return Header.parse([r["value"] for r in lines])
+    """The header lines at the front of a file, or of the files of a folder in the order of their names; nothing behind them is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    found = fs.globStatus(top)
+    if not found:
+        raise FileNotFoundError(path)
+    places = []
+    for status in found:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        places += [x.getPath() for x in inner if x.isFile() and x.getPath().getName()[0] not in "._"]
+    codecs, lines = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf), []
+    for place in sorted(places, key=lambda x: x.toString()):
+        codec, stream = codecs.getCodec(place), fs.open(place)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            while (line := reader.readLine()) is not None:
+                if not line.startswith("#"):
+                    return Header.parse(lines)
+                lines.append(line)
+        finally:
+            reader.close()
+    return Header.parse(lines)
 
 
 def read_vcf(spark: SparkSession, path: str, header: Header | None = None, drop_samples: bool = False) -> DataFrame:
@@ -179,8 +200,8 @@ def flat_table(variants: DataFrame, header: Header, info: bool = True, fmt: bool
     return variants.select(*out)
 
 
-def lines_of(variants: DataFrame, resolved: bool = False) -> DataFrame:
-    """Record lines (chrom, pos, value) of the variants schema."""
+def lines_of(variants: DataFrame, resolved: bool = False, keep: list[str] = ()) -> DataFrame:
+    """Record lines (chrom, pos, the columns of ``keep``, value) of the variants schema."""
     info = F.array_join(F.array_sort(F.transform(F.map_entries("info"), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"])))), ";")
 
     def gt(s: Column) -> Column:
@@ -200,7 +221,7 @@ def lines_of(variants: DataFrame, resolved: bool = False) -> DataFrame:
         dot(F.col("qual").cast("string")), dot(F.array_join("filters", ";")), dot(info),
     ]
     tail = F.when(F.size("samples") > 0, F.concat(F.lit("\t"), F.array_join("fmt_keys", ":"), F.lit("\t"), F.array_join(F.transform("samples", gt), "\t"))).otherwise("")
-    return variants.select("chrom", "pos", F.concat(F.concat_ws("\t", *cols), tail).alias("value"))
+    return variants.select("chrom", "pos", *keep, F.concat(F.concat_ws("\t", *cols), tail).alias("value"))
 
 
 def write_vcf(variants: DataFrame, path: str, header: Header, resolved: bool = False, compression: str | None = None) -> None:

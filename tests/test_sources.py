@@ -1,5 +1,7 @@
 """Files in and out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,86 @@ def test_written_records_are_in_order(spark, tmp_path):
     assert [tuple(x.split("\t")[:2]) for x in got[3:]] == [(c, str(p)) for c in ("chr2", "chr10", "zz") for p in (4, 30, 200)]
     assert [r.end - r.start for r in vcf.light_rows(spark, str(src)).collect()] == [1] * 9
     assert vcf.lines_within(spark, str(src), "chr2", 3, 29).count() == 1 and vcf.lines_within(spark, str(src), "chr2", 3, 30).count() == 2
+
+
+@pytest.mark.parametrize("split", ["64", "134217728"])
+def test_sequence_lines_are_placed_over_blocks(spark, tmp_path, split):
+    """Tiles of contigs that several blocks of a file hold, with empty and ragged lines, and two files."""
+    rng = random.Random(4)
+    contigs = {f"c{k}": "".join(rng.choices("ACGTN", k=n)) for k, n in enumerate((1, 700, 0, 64, 333, 128))}
+    (tmp_path / "f").mkdir()
+    for name, own in (("a.fa", list(contigs)[:4]), ("b.fa", list(contigs)[4:])):
+        text = "lost\n" if name == "a.fa" else ""
+        for c in own:
+            seq, at = contigs[c], 0
+            text += f">{c} some words\n"
+            while at < len(seq):
+                n = rng.choice([0, 3, 40, 41])
+                text += seq[at : at + n] + rng.choice(["\n", "\r\n"])
+                at += n
+        (tmp_path / "f" / name).write_text(text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {(r.chrom, r.tile): (r.start, r.seq) for r in regions.read_fasta(spark, str(tmp_path / "f"), 100).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {(c, i // 100): (i, s[i : i + 100]) for c, s in contigs.items() for i in range(0, len(s), 100)}
+
+
+def test_header_alone_is_read(spark, path, tmp_path):
+    """No job runs for it; compressed files and folders of parts too."""
+    import gzip
+
+    (tmp_path / "x.vcf.gz").write_bytes(gzip.compress(VCF.encode()[:300]) + gzip.compress(VCF.encode()[300:]))
+    (tmp_path / "parts").mkdir()
+    cut = VCF.index("##FORMAT")
+    (tmp_path / "parts" / "part-0").write_text(VCF[:cut])
+    (tmp_path / "parts" / "part-1").write_text(VCF[cut:])
+    (tmp_path / "parts" / "_SUCCESS").write_text("")
+    spark.sparkContext.setJobGroup("header", "header")
+    heads = [vcf.header_of(spark, str(tmp_path / n)) for n in ("x.vcf", "x.vcf.gz", "parts")]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("header")) == []
+    spark.sparkContext.setJobGroup("", "")
+    assert heads[0] == heads[1] == heads[2] and heads[0].samples == ["S1", "S2"]
+    with pytest.raises(FileNotFoundError):
+        vcf.header_of(spark, str(tmp_path / "none"))
+
+
+def test_indexed_records(spark, tmp_path, monkeypatch):
+    """Parts join to one valid file, and a range is read through the index from few blocks."""
+    import gzip
+
+    from svloom.sources import indexed
+
+    rng = random.Random(6)
+    lines = [f"{c}\t{rng.randint(1, 900_000)}\tv{k}\tA\t<DEL>\t.\tPASS\tEND=" for k, c in enumerate(rng.choices(["b", "a", "z"], k=3000))]
+    lines = [x + str(int(x.split("\t")[1]) + rng.choice([50, 5000])) + ";SVTYPE=DEL;NOTE=" + "x" * rng.choice([5, 200]) for x in lines]
+    lines.append("b\t5\tlong\tA\tC\t.\tPASS\tNOTE=" + "".join(rng.choices("abcdefgh", k=150_000)))
+    head = "##fileformat=VCFv4.2\n##contig=<ID=b,length=1000000>\n##contig=<ID=a,length=1000000>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    (tmp_path / "in.vcf").write_text(head + "\n".join(lines) + "\n")
+    header = vcf.header_of(spark, str(tmp_path / "in.vcf"))
+    out = str(tmp_path / "out")
+    indexed.write_indexed(vcf.read_vcf(spark, str(tmp_path / "in.vcf"), header).repartition(3), out, header)
+    indexed.joined(out, str(tmp_path / "all.vcf.gz"))
+    text = gzip.open(tmp_path / "all.vcf.gz", "rt").read()
+    body = [x for x in text.splitlines() if x[0] != "#"]
+    assert text.startswith(head) and len(body) == len(lines) and (tmp_path / "all.vcf.gz").read_bytes().endswith(indexed.END)
+    rank = {"b": 0, "a": 1, "z": 2}
+    places = [(rank[c], int(p)) for c, p in (x.split("\t")[:2] for x in body)]
+    assert places == sorted(places)
+    assert vcf.read_vcf(spark, str(tmp_path / "all.vcf.gz")).count() == len(lines)
+
+    rows = [indexed._row(x) for x in body]
+    for chrom, lo, hi in (("a", 100_000, 130_000), ("b", 0, 10), ("z", 899_000, 2_000_000), ("none", 0, 9), ("a", 5_000_000, 6_000_000)):
+        got = indexed.fetch_lines(spark, out, chrom, lo, hi).collect()
+        assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] == chrom and r[1] < hi and r[2] > lo)
+    assert indexed.read_indexed(spark, out).count() == len(lines)
+
+    reader = indexed._Reader(out)
+    every = sum(len(reader.blocks(p)) for p in reader.partitions())
+    list(reader.pushFilters([indexed.EqualTo(("chrom",), "a"), indexed.LessThan(("start",), 130_000), indexed.GreaterThan(("end",), 100_000)]))
+    asked = sum(len(reader.blocks(p)) for p in reader.partitions())
+    assert 0 < asked <= 3 < every
