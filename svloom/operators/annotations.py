@@ -82,8 +82,10 @@ def density(calls: DataFrame, windows: DataFrame, threshold: float = 3) -> DataF
     """Calls per window (chrom, start, end), and a label: dense beyond mean + threshold * std, sparse below mean - threshold * std."""
     w = windows.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
     pts = calls.select("chrom", "start", F.greatest(F.col("end"), F.col("start") + 1).alias("stop"))
-    hits = intervals.range_join(pts, w, ["chrom"], ("start", "stop"), ("w_start", "w_end")).groupBy("chrom", "w_start", "w_end").agg(F.count("*").alias("count"))
-    got = w.join(hits, ["chrom", "w_start", "w_end"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    keys = ["chrom", "w_start", "w_end"]
+    asked = w.distinct().select(F.col("chrom").alias("contig"), *keys)
+    hits = intervals.overlap_counts(pts.withColumnRenamed("chrom", "contig"), asked, ["contig"], ("start", "stop"), keys, ("w_start", "w_end"), "count")
+    got = stored(w.join(hits, keys, "left").withColumn("count", F.coalesce("count", F.lit(0))), "windows")
     stats = got.agg(F.avg("count").alias("mean"), F.stddev_samp("count").alias("std"))
     label = F.when(F.col("count") > F.col("mean") + threshold * F.col("std"), "dense").when(F.col("count") < F.col("mean") - threshold * F.col("std"), "sparse")
     return got.join(F.broadcast(stats)).select("chrom", F.col("w_start").alias("start"), F.col("w_end").alias("end"), "count", label.alias("anno"))
@@ -134,8 +136,8 @@ def hom_percent(calls: DataFrame, rows: DataFrame, buffer: int = 5000, minanno:
 def neighbors(calls: DataFrame, refdist: int = 1000, sizemin: int = 50) -> DataFrame:
     """num_neighbors: other calls whose span, widened by refdist, overlaps the call's own widened span; neigh_id: the run they form."""
     able = calls.where(F.col("svlen") >= sizemin).select("id", "chrom", (F.col("start") - refdist).alias("lo"), (F.col("end") + refdist).alias("hi"))
-    other = able.select("chrom", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("id").alias("o_id"))
-    counts = intervals.range_join(able, other, ["chrom"], ("lo", "hi"), ("o_lo", "o_hi")).where("id != o_id").groupBy("id").agg(F.count("*").alias("num_neighbors"))
+    counts = intervals.overlap_counts(able, able, ["chrom"], ("lo", "hi"), ["id"], ("lo", "hi"), "others")
+    counts = counts.select("id", (F.col("others") - 1).alias("num_neighbors"))  # less itself
     runs = intervals.with_islands(able, ["chrom"], "lo", "hi", 0, "neigh_id", touching=False, order=["id"])
     return runs.join(counts, "id", "left").select("id", "chrom", F.coalesce("num_neighbors", F.lit(0)).alias("num_neighbors"), "neigh_id")
 

@@ -18,6 +18,58 @@ PLACE_LEVELS = 4
 ISLAND_SPAN = 1_000_000
 
 
+def _with_spans(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
+    """Rows joined with the table of their spans, on the group (which may be null) and the span."""
+    keys = [*by, "__span"]
+    z = y.select(*[F.col(k).alias(f"__{k}_k") for k in keys], *[c for c in y.columns if c not in keys])
+    cond = F.col("__span") == F.col("____span_k")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}_k"))
+    return x.join(z, cond).drop(*[f"__{k}_k" for k in keys])
+
+
+def running_sums(df: DataFrame, by: list[str], at: str, sums: list[str], order: list[str] = (), after: str | None = None, span: int = ISLAND_SPAN) -> DataFrame:
+    """``sums`` as running sums along ``at`` (then ``order``) within each group, each row's own value included.
+
+    after: a new column with the next greater or equal place of the group, null for its last row.
+    Rows are windowed within spans of ``span`` places; a table of one row per
+    span carries the sums, and the first place of the span behind, over.
+    """
+    spread = stored(df.withColumn("__span", F.floor(F.col(at) / span)), "spans")
+    over = Window.partitionBy(*by).orderBy("__span")
+    totals = spread.groupBy(*by, "__span").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums], F.min(at).alias("__first"))
+    past = [F.coalesce(F.sum(f"__t_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__p_{c}") for c in sums]
+    carried = totals.select(*by, "__span", *past, F.lead("__first").over(over).alias("__behind"))
+    inner = Window.partitionBy(*by, "__span").orderBy(at, *order)
+    running = inner.rowsBetween(Window.unboundedPreceding, 0)
+    own = spread.withColumns({f"__r_{c}": F.sum(c).over(running) for c in sums} | ({after: F.lead(at).over(inner)} if after else {}))
+    out = _with_spans(own, carried, by).withColumns({c: F.col(f"__r_{c}") + F.col(f"__p_{c}") for c in sums})
+    if after:
+        out = out.withColumn(after, F.coalesce(after, "__behind"))
+    return out.drop("__span", "__behind", *[f"__{k}_{c}" for c in sums for k in "rp"])
+
+
+def overlap_counts(intervals: DataFrame, asked: DataFrame, by: list[str], bounds: tuple[str, str], keys: list[str], asked_bounds: tuple[str, str], name: str = "n") -> DataFrame:
+    """(keys, name): for each asked interval how many others it overlaps, without making a pair.
+
+    That is the starts before its end, less the ends at its start or before:
+    two ranks in one order of all places.  Empty intervals overlap nothing.
+    """
+    (s, e), (a, b) = bounds, asked_bounds
+    full, wanted = intervals.where(F.col(s) < F.col(e)), asked.where(F.col(a) < F.col(b))
+    no = [F.lit(None).cast(asked.schema[k].dataType).alias(k) for k in keys]
+
+    def rows(df: DataFrame, at: str, first: int, starts: int, ends: int, sign: int, ids: list) -> DataFrame:
+        return df.select(*by, *ids, F.col(at).alias("__at"), F.lit(first).alias("__first"), F.lit(starts).cast("long").alias("__s"), F.lit(ends).cast("long").alias("__e"), F.lit(sign).alias("__sign"))
+
+    # at one place: ends, then what asks for starts before it, then starts and what asks for ends up to it
+    places = rows(full, e, 0, 0, 1, 0, no).unionByName(rows(full, s, 1, 1, 0, 0, no))
+    places = places.unionByName(rows(wanted, b, 0, 0, 0, 1, keys)).unionByName(rows(wanted, a, 1, 0, 0, -1, keys))
+    ranked = running_sums(places, by, "__at", ["__s", "__e"], ["__first"]).where("__sign != 0")
+    n = F.sum(F.when(F.col("__sign") == 1, F.col("__s")).otherwise(-F.col("__e")))
+    return ranked.groupBy(*keys).agg(n.alias(name))
+
+
 def with_islands(
     df: DataFrame,
     by: list[str],
@@ -48,17 +100,8 @@ def with_islands(
     inner = Window.partitionBy(*by, "__span").orderBy(start, *order, end)
     over = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
 
-    def null_safe(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Joins the span table on the group (which may be null) and the span."""
-        keys = [*by, "__span"]
-        z = y.select(*[F.col(k).alias(f"__{k}_k") for k in keys], *[c for c in y.columns if c not in keys])
-        cond = F.col("__span") == F.col("____span_k")
-        for k in by:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}_k"))
-        return x.join(z, cond).drop(*[f"__{k}_k" for k in keys])
-
     far = df.groupBy(*by, "__span").agg(F.max(end).alias("__top")).withColumn("__far", F.max("__top").over(over)).drop("__top")
-    marked = null_safe(df, far)
+    marked = _with_spans(df, far, by)
     before = F.greatest(F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
     limit = before + gap
     new = F.when(before.isNull() | (limit < F.col(start) if touching else limit <= F.col(start)), 1).otherwise(0)
@@ -67,7 +110,7 @@ def with_islands(
     marked = stored(marked.withColumn("__nth", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, 0))), "islands")
     runs = marked.groupBy(*by, "__span").agg(F.sum("__new").alias("__runs"))
     runs = runs.withColumn("__past", F.coalesce(F.sum("__runs").over(over), F.lit(0))).drop("__runs")
-    out = null_safe(marked, runs).withColumn(island, F.col("__nth") + F.col("__past"))
+    out = _with_spans(marked, runs, by).withColumn(island, F.col("__nth") + F.col("__past"))
     return out.drop("__span", "__far", "__new", "__nth", "__past")
 
 
@@ -201,23 +244,28 @@ def touching_regions(a: DataFrame, b: DataFrame, by: list[str] = ("chrom",)) ->
     return range_join(aa, bb, list(by), ("start", "__ae"), ("__bs", "__be"), "left_semi").drop("__ae")
 
 
-def split_overlaps(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Disjoint segments between all boundaries of a group, each with the rows that cover it."""
-    marks = df.select(*by, F.col(start).alias("seg_start")).union(df.select(*by, F.col(end))).distinct()
-    w = Window.partitionBy(*by).orderBy("seg_start")
-    segments = marks.withColumn("seg_end", F.lead("seg_start").over(w)).where(F.col("seg_end").isNotNull())
-    return range_join(df, segments, list(by), (start, end), ("seg_start", "seg_end"))
+def boundaries(df: DataFrame, by: list[str], values: list[str], start: str = "start", end: str = "end", extra: list[str] = ()) -> DataFrame:
+    """(by, extra, at, values): what starts less what ends at each place that bounds an interval."""
+    opened = df.select(*by, *extra, F.col(start).alias("at"), *values)
+    closed = df.select(*by, *extra, F.col(end).alias("at"), *[(-F.col(c)).alias(c) for c in values])
+    return opened.unionByName(closed).groupBy(*by, *extra, "at").agg(*[F.sum(c).alias(c) for c in values])
+
+
+def covered_segments(df: DataFrame, by: list[str], values: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """(by, seg_start, seg_end, n, values): the disjoint segments between all boundaries of a group, with the number and the sums of the intervals that cover each; uncovered ones too."""
+    marks = boundaries(df.where(F.col(start) < F.col(end)).withColumn("n", F.lit(1).cast("long")), by, ["n", *values], start, end)
+    summed = running_sums(marks, by, "at", ["n", *values], after="seg_end")
+    return summed.where(F.col("seg_end").isNotNull()).withColumnRenamed("at", "seg_start")
 
 
 def subtract(df: DataFrame, masks: DataFrame, by: list[str] = ("chrom",)) -> DataFrame:
     """What is left of intervals (group, start, end) outside the masks, as disjoint pieces of the merged input."""
-    whole = merge_intervals(df.select(*by, "start", "end"), list(by)).select(*by, "start", "end")
-    cut = merge_intervals(masks.select(*by, "start", "end"), list(by)).select(*by, "start", "end")
-    both = whole.withColumn("__mask", F.lit(0)).unionByName(cut.withColumn("__mask", F.lit(1)))
-    pieces = split_overlaps(both, list(by))
-    cover = pieces.groupBy(*by, "seg_start", "seg_end").agg(F.max("__mask").alias("m"), F.min("__mask").alias("w"))
-    left = cover.where((F.col("w") == 0) & (F.col("m") == 0)).select(*by, F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
-    return merge_intervals(left, list(by)).select(*by, "start", "end")
+    by = list(by)
+    whole = df.select(*by, "start", "end").withColumns({"__whole": F.lit(1).cast("long"), "__mask": F.lit(0).cast("long")})
+    cut = masks.select(*by, "start", "end").withColumns({"__whole": F.lit(0).cast("long"), "__mask": F.lit(1).cast("long")})
+    pieces = covered_segments(whole.unionByName(cut), by, ["__whole", "__mask"])
+    left = pieces.where((F.col("__whole") > 0) & (F.col("__mask") == 0)).select(*by, F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))
+    return merge_intervals(left, by).select(*by, "start", "end")
 
 
 def tiles(contigs: DataFrame, size: int, step: int | None = None, length: str = "length") -> DataFrame:

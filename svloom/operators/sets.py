@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..storage import stored
 from . import intervals
 
 
@@ -49,29 +46,48 @@ def per_file(found: DataFrame, n_files: int, group: str = "flag") -> DataFrame:
 def shards(calls: DataFrame, buffer: int = 1000, least: int = 50_000) -> DataFrame:
     """A shard number for every call: cut at gaps of ``buffer`` or more once a shard has ``least`` calls, and at each chrom.
 
-    Only islands (runs without such a gap) are walked in order, not calls.
+    Islands are runs without such a gap.  Each island points to the one that
+    would begin the next shard if it began one: the first with ``least`` calls
+    or more between.  Which ones do follows from the first of each chrom by
+    doubling these pointers, so no task walks a contig.
     """
-    marked = intervals.with_islands(calls, ["chrom"], "start", "end", buffer, "__island", touching=False, order=["id"])
-    sizes = marked.groupBy("chrom", "__island").agg(F.count("*").cast("long").alias("n"))
-    reachable(calls.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, held, no = object(), 0, 0
-        for batch in batches:
-            out = []
-            for c, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if c != chrom:
-                    chrom, held, no = c, 0, 0
-                elif held >= least:
-                    held, no = 0, no + 1
-                held += n
-                out.append(no)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["chrom", "__island", "shard"])
-
-    # islands are walked as they come, one by one; no row holds a contig's
-    ordered = sizes.repartition("chrom").sortWithinPartitions("chrom", "__island")
-    walked = ordered.mapInArrow(run, f"chrom string, __island {dict(sizes.dtypes)['__island']}, shard int")
-    return marked.join(walked, ["chrom", "__island"]).drop("__island").withColumn("shard", F.concat_ws("_", "chrom", F.col("shard").cast("string")))
+    marked = stored(intervals.with_islands(calls, ["chrom"], "start", "end", buffer, "__island", touching=False, order=["id"]), "islands")
+    sizes = marked.groupBy("chrom", "__island").agg(F.count("*").alias("n"))
+    placed = intervals.running_sums(sizes.withColumn("past", F.col("n")), ["chrom"], "__island", ["past"], span=ISLANDS)
+    placed = stored(placed.select("chrom", "__island", (F.col("past") - F.col("n")).alias("past")), "islands")  # calls before
+    begun = _first_of_shards(placed, least)
+    starts = placed.join(begun.withColumn("begins", F.lit(1).cast("long")), ["chrom", "past"], "left").withColumn("begins", F.coalesce("begins", F.lit(0).cast("long")))
+    numbered = intervals.running_sums(starts.select("chrom", "__island", "begins"), ["chrom"], "__island", ["begins"], span=ISLANDS)
+    out = marked.join(numbered, ["chrom", "__island"]).drop("__island")
+    return out.withColumn("shard", F.concat_ws("_", "chrom", (F.col("begins") - 1).cast("string"))).drop("begins")
+
+
+#: Islands that one window holds.
+ISLANDS = 10_000
+
+
+def _first_of_shards(placed: DataFrame, least: int) -> DataFrame:
+    """(chrom, past) of the islands (chrom, past: calls before it on its chrom) that begin a shard."""
+    least = max(least, 1)
+    band = F.floor(F.col("past") / least)
+    # what an island looks for lies in the band behind its own, or is the first of a later one
+    looks = placed.select("chrom", (F.col("past") + least).alias("x"), F.col("past").alias("seeker"), (band + 1).alias("band"))
+    there = placed.select("chrom", F.col("past").alias("x"), F.lit(None).cast("long").alias("seeker"), band.alias("band"))
+    ahead = Window.partitionBy("chrom", "band").orderBy(F.desc("x"), F.asc_nulls_first("seeker")).rowsBetween(Window.unboundedPreceding, 0)
+    found = looks.unionByName(there).withColumn("goal", F.min(F.when(F.col("seeker").isNull(), F.col("x"))).over(ahead)).where("seeker IS NOT NULL")
+    firsts = there.groupBy("chrom", "band").agg(F.min("x").alias("first"))
+    asked = looks.select("chrom", "band").distinct().join(firsts, ["chrom", "band"], "full")
+    later = Window.partitionBy("chrom").orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    asked = asked.withColumn("later", F.min("first").over(later))
+    jump = found.join(asked.select("chrom", "band", "later"), ["chrom", "band"]).select("chrom", F.col("seeker").alias("past"), F.coalesce("goal", "later").alias("goal")).where("goal IS NOT NULL")
+    jump = stored(jump, "jumps")
+    reached = stored(placed.where("past = 0").select("chrom", "past"), "reached")
+    while jump.limit(1).count():
+        more = reached.join(jump, ["chrom", "past"]).select("chrom", F.col("goal").alias("past"))
+        reached = stored(reached.unionByName(more).distinct(), "reached")
+        twice = jump.withColumnRenamed("goal", "via").join(jump.select("chrom", F.col("past").alias("via"), "goal"), ["chrom", "via"])
+        jump = stored(twice.select("chrom", "past", "goal"), "jumps")
+    return reached
 
 
 def shard_sizes(sharded: DataFrame) -> DataFrame:
@@ -84,18 +100,17 @@ def shard_sizes(sharded: DataFrame) -> DataFrame:
 def segments(calls: DataFrame) -> DataFrame:
     """Disjoint segments of deletions: how many calls cover each, and per sample the alleles summed (all segments, unmerged).
 
-    calls: id, chrom, start, end and gts of deletions.
+    calls: chrom, start, end and gts of deletions.  What begins and ends at each
+    boundary is summed up along the contig, for each sample apart.
     """
     from ..functions.genotypes import genotype
 
     doses = F.transform(F.col("gts"), lambda g: F.when(genotype(g) == "HET", 1).when(genotype(g) == "HOM", 2).otherwise(0).cast("long"))
-    data = calls.select("id", "chrom", "start", "end", doses.alias("dose"))
-    pieces = intervals.split_overlaps(data, ["chrom"])
-    flat = pieces.select("chrom", "seg_start", "seg_end", "id", F.posexplode("dose").alias("sample", "dose"))
-    by_sample = flat.groupBy("chrom", "seg_start", "seg_end", "sample").agg(F.sum("dose").alias("dose"), F.count("*").alias("n"))
-    return by_sample.groupBy("chrom", "seg_start", "seg_end").agg(
-        F.max("n").alias("segcnt"), F.transform(F.array_sort(F.collect_list(F.struct("sample", "dose"))), lambda x: x["dose"]).alias("seg")
-    )
+    rows = calls.where("start < end").select("chrom", "start", "end", F.posexplode_outer(doses).alias("sample", "dose"))
+    rows = rows.withColumns({"sample": F.coalesce("sample", F.lit(-1)), "dose": F.coalesce("dose", F.lit(0).cast("long"))})
+    pieces = intervals.covered_segments(rows, ["chrom", "sample"], ["dose"]).where("n > 0")
+    cells = F.array_sort(F.collect_list(F.when(F.col("sample") >= 0, F.struct("sample", "dose"))))
+    return pieces.groupBy("chrom", "seg_start", "seg_end").agg(F.max("n").alias("segcnt"), F.transform(cells, lambda x: x["dose"]).alias("seg"))
 
 
 def stratify(states: DataFrame, regions: DataFrame, by: list[str] = ("chrom",)) -> DataFrame:

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reachable
 from ..storage import stored
 
 
@@ -46,36 +43,45 @@ def enrichment(df: DataFrame, features: list[str], ok: Column, min_obs: int = 10
     return scored.withColumn("rank", F.row_number().over(Window.orderBy("score", *features)) - 1)
 
 
-def permutation(scores: DataFrame, feature: str, n_perm: int = 10_000, tail: str = "left", seed: int = 42) -> DataFrame:
-    """For each value of a feature: mean rank difference, quantiles of it under shuffling, and the p-value.
+def drawn(scores: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """(k, m, sum): for each permutation and each number of strata the sum of the ranks that it puts first.
 
-    Runs on the table of strata, which the features' values bound, one value
-    per group.
+    Strata are ordered by a hash of the seed, the permutation's number and their
+    rank, which any engine can repeat.
     """
-    reachable(scores.sparkSession)
-    total = scores.agg(F.array_sort(F.collect_list("rank")).alias("__all"))
-    groups = scores.groupBy(feature).agg(F.collect_list("rank").alias("mine"), F.sum("obs").alias("obs"), (F.sum("hits") / F.sum("obs")).alias("acc")).join(F.broadcast(total))
+    rows = scores.select("rank", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("k"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"), F.col("rank").cast("string")))
+    w = Window.partitionBy("k").orderBy("order", "rank")
+    rows = rows.withColumn("order", order).withColumn("m", F.row_number().over(w)).withColumn("sum", F.sum("rank").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("k", F.col("m").cast("long").alias("m"), "sum")
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for v, mine, obs, acc, every in zip(frame[feature].astype(str), frame["mine"], frame["obs"], frame["acc"], frame["__all"], strict=True):
-                every, m = np.asarray(every, float), len(mine)
-                delta = float(np.mean(mine) - _rest(every.sum(), np.sum(mine), len(every), m))
-                rng = np.random.default_rng([seed, m, len(every)])
-                sums = np.array([rng.choice(every, m, replace=False).sum() for _ in range(n_perm)])
-                null = sums / m - _rest(every.sum(), sums, len(every), m)
-                left, right = (null <= delta).mean(), (null >= delta).mean()
-                p = {"left": left, "right": right, "two": min(1.0, 2 * min(left, right))}[tail]
-                q1, q50, q99 = np.quantile(null, [0.01, 0.5, 0.99])
-                out.append((feature, v, int(obs), float(acc), delta, float(q1), float(q50), float(q99), float(p)))
-            yield pd.DataFrame(out, columns=["feature", "value", "obs", "acc", "delta", "q1", "q50", "q99", "pval"])
 
-    return groups.mapInPandas(run, "feature string, value string, obs long, acc double, delta double, q1 double, q50 double, q99 double, pval double")
+def permutation(scores: DataFrame, features: list[str], n_perm: int = 10_000, tail: str = "left", seed: int = 42, min_groups: int = 1) -> DataFrame:
+    """For each value of each feature: mean rank difference to the other strata, quantiles of it under shuffling, and the p-value.
 
-
-def _rest(total, mine, n, m):
-    return (total - mine) / max(1, n - m)
+    A permutation's first strata stand for those with the value.  With two tails
+    the size of the difference counts.  Values with fewer than ``min_groups``
+    strata, or others left, aren't tested: nulls.
+    """
+    groups = None
+    for f in features:
+        one = scores.groupBy(F.col(f).cast("string").alias("value")).agg(F.count("*").alias("m"), F.sum("rank").alias("own")).withColumn("feature", F.lit(f))
+        groups = one if groups is None else groups.unionByName(one)
+    total = scores.agg(F.count("*").alias("n"), F.sum("rank").alias("all"))
+    groups = groups.join(F.broadcast(total)).withColumn("d", F.col("own") * F.col("n") - F.col("all") * F.col("m"))  # one row
+    least = max(min_groups, 1)
+    groups = stored(groups, "groups")
+    tested = groups.where((F.col("m") >= least) & (F.col("n") - F.col("m") >= least))
+    # whole numbers decide, so that equal differences are equal
+    null = tested.join(drawn(scores, n_perm, seed), "m").withColumn("x", F.col("sum") * F.col("n") - F.col("all") * F.col("m"))
+    shown = null.withColumn("y", F.col("x") / (F.col("m") * (F.col("n") - F.col("m"))))
+    extreme = {"left": F.col("x") <= F.col("d"), "right": F.col("x") >= F.col("d"), "two": F.abs("x") >= F.abs("d")}[tail]
+    q = F.percentile(F.abs("y") if tail == "two" else F.col("y"), F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    got = shown.groupBy("feature", "value").agg((F.count_if(extreme) / n_perm).alias("pval"), q.alias("q"))
+    delta = F.try_divide("d", F.col("m") * (F.col("n") - F.col("m")))
+    delta = F.abs(delta) if tail == "two" else delta
+    out = groups.withColumn("delta", delta).join(got, ["feature", "value"], "left")
+    return out.select("feature", "value", "delta", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q99"), "pval")
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "pval", alpha: float = 0.01, order: list[str] = (), bands: int = 4096) -> DataFrame:
@@ -104,10 +110,18 @@ def benjamini_hochberg(df: DataFrame, p: str = "pval", alpha: float = 0.01, orde
 
 
 def stratp(df: DataFrame, features: list[str], ok: Column, min_obs: int = 10, n_perm: int = 10_000, tail: str = "left", alpha: float = 0.01, seed: int = 42) -> DataFrame:
-    """Which feature values go with fewer (or more) hits than chance allows."""
-    scores = enrichment(df, features, ok, min_obs)
-    tests = [permutation(scores, f, n_perm, tail, seed) for f in features]
-    return benjamini_hochberg(reduce(DataFrame.unionByName, tests), "pval", alpha, ["feature", "value"])
+    """Which feature values go with fewer (or more) hits than chance allows: obs and acc of each, the permutation test over strata, and its correction.
+
+    Strata of fewer than ``min_obs`` rows aren't ranked, and values of fewer than ``min_obs`` strata aren't tested.
+    """
+    scores = stored(enrichment(df, features, ok, min_obs), "scores")
+    tests = permutation(scores, features, n_perm, tail, seed, min_obs)
+    seen = None
+    for f in features:
+        one = df.groupBy(F.col(f).cast("string").alias("value")).agg(F.count("*").alias("obs"), (F.count_if(ok) / F.count("*")).alias("acc")).withColumn("feature", F.lit(f))
+        seen = one if seen is None else seen.unionByName(one)
+    rows = tests.join(seen, ["feature", "value"]).select("feature", "value", "obs", "acc", "delta", "q1", "q50", "q99", "pval")
+    return benjamini_hochberg(rows, "pval", alpha, ["feature", "value"])
 
 
 def co_occurrence(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -636,10 +636,24 @@ def stratp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.enrichment(_strata(spark, sf_dir), ["f1", "f2"], F.col("ok")).select("f1", "f2", "obs", "hits", *r6("acc", "score"), "rank")
 
 
-@query()
+@query(
+    f"""WITH {_ENRICH.replace('obs >= 10', 'obs >= 5')}, t AS (SELECT *, row_number() OVER (ORDER BY score, f1, f2) - 1 AS rank FROM s),
+d AS (SELECT k, row_number() OVER w AS m, CAST(sum(rank) OVER w AS BIGINT) AS x FROM t, range(10000) p(k) WINDOW w AS (PARTITION BY k ORDER BY md5('42:' || k || ':' || rank), rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT 'f1' AS feature, CAST(f1 AS VARCHAR) AS value, count(*) AS m, CAST(sum(rank) AS BIGINT) AS own FROM t GROUP BY f1 UNION ALL SELECT 'f2', CAST(f2 AS VARCHAR), count(*), CAST(sum(rank) AS BIGINT) FROM t GROUP BY f2),
+h AS (SELECT g.*, n, a FROM g, (SELECT count(*) AS n, CAST(sum(rank) AS BIGINT) AS a FROM t)),
+u AS (SELECT feature, value, (own * n - a * h.m) / CAST(h.m * (n - h.m) AS DOUBLE) AS delta, (x * n - a * h.m) / CAST(h.m * (n - h.m) AS DOUBLE) AS y, x <= own AS below, h.m >= 5 AND n - h.m >= 5 AS tested FROM h JOIN d ON d.m = h.m),
+v AS (SELECT feature, value, min(delta) AS delta, CASE WHEN bool_and(tested) THEN quantile_cont(y, 0.01) END AS q1, CASE WHEN bool_and(tested) THEN quantile_cont(y, 0.5) END AS q50, CASE WHEN bool_and(tested) THEN quantile_cont(y, 0.99) END AS q99,
+  CASE WHEN bool_and(tested) THEN count_if(below) / 10000.0 END AS pval FROM u GROUP BY 1, 2),
+o AS (SELECT 'f1' AS feature, CAST(o_orderpriority AS VARCHAR) AS value, count(*) AS obs, count_if(o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) AS acc FROM orders GROUP BY 2
+  UNION ALL SELECT 'f2', CAST(o_custkey % 7 AS VARCHAR), count(*), count_if(o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2),
+r AS (SELECT *, pval * count(pval) OVER () / row_number() OVER (ORDER BY pval NULLS LAST, feature, value) AS raw FROM v),
+b AS (SELECT *, CASE WHEN pval IS NOT NULL THEN least(min(raw) OVER (ORDER BY pval DESC NULLS FIRST, feature DESC, value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) END AS adj FROM r)
+SELECT b.feature, b.value, obs, round(acc, 6) AS acc, round(delta, 6) AS delta, round(q1, 6) AS q1, round(q50, 6) AS q50, round(q99, 6) AS q99, round(pval, 6) AS pval, round(adj, 6) AS adj_pval, adj <= 0.01 AS reject FROM b JOIN o ON o.feature = b.feature AND o.value = b.value"""
+)
 def stratp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation tests of strata; the random draws have no SQL form."""
-    return stats.stratp(_strata(spark, sf_dir), ["f1", "f2"], F.col("ok"))
+    """Permutation tests of strata; draws come from hashes that SQL repeats."""
+    got = stats.stratp(_strata(spark, sf_dir), ["f1", "f2"], F.col("ok"), min_obs=5)
+    return got.select("feature", "value", "obs", *r6("acc", "delta", "q1", "q50", "q99", "pval", "adj_pval"), "reject")
 
 
 @query(

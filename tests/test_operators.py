@@ -378,3 +378,75 @@ def test_fast_clustering(spark):
         assert {tuple(r) for r in got} == small | giants
     ranked = co.candidates(calls, p, fast_cluster=True, least=3)
     assert ranked.groupBy("chunk_id").count().agg(F.max("count")).first()[0] == 2
+
+
+@pytest.mark.parametrize("span", [7, 1_000_000])
+def test_running_sums_and_overlap_counts(spark, span, monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(op, "ISLAND_SPAN", span)
+    rows = [(i, rng.choice(["a", None]), s := rng.randint(-40, 40), s + rng.choice([0, 1, 5, 60])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, chrom string, s long, e long")
+    got = op.running_sums(df.withColumn("v", F.col("id")), ["chrom"], "s", ["v"], ["id"], after="next", span=span).collect()
+    for c in ("a", None):
+        own, total = sorted((r[2], r[0]) for r in rows if r[1] == c), 0
+        found = {r.id: (r.v, r.next) for r in got if r.chrom == c}
+        for k, (_, i) in enumerate(own):
+            total += i
+            assert found[i] == (total, own[k + 1][0] if k + 1 < len(own) else None)
+    n = {r.id: r.n for r in op.overlap_counts(df, df, ["chrom"], ("s", "e"), ["id"], ("s", "e")).collect()}
+    want = {i: sum(c == d and max(s, u) < min(e, w) for _, d, u, w in rows) for i, c, s, e in rows if s < e}
+    assert n == want
+
+
+def test_no_pairs_are_made_to_count_them(spark):
+    calls = spark.createDataFrame(some_calls(random.Random(1), 20), CALLS)
+    windows = spark.createDataFrame([("a", 0, 500), ("b", 0, 500)], "chrom string, start long, end long")
+    for df in (an.neighbors(calls), an.density(calls, windows), sets.segments(calls.withColumn("gts", F.array("alleles"))), op.subtract(windows, calls)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "__bin" not in plan and "Generate explode(sequence" not in plan
+
+
+@pytest.mark.parametrize("least", [1, 4, 30, 1000])
+def test_shards_against_a_walk(spark, least):
+    rng = random.Random(least)
+    rows, at = [], 0
+    for i in range(200):
+        at += rng.choice([10, 10, 10, 900, 5000])
+        rows.append((i, rng.choice(["a", "a", "b"]), at, at + 50, at + 1, "DEL", 50, [0, 1]))
+    got = {r.id: r.shard for r in sets.shards(spark.createDataFrame(rows, CALLS), 1000, least).collect()}
+    want = {}
+    for c in "ab":
+        held, no, far = 0, 0, None
+        for r in sorted((r for r in rows if r[1] == c), key=lambda r: r[2]):
+            if far is not None and r[2] - far >= 1000 and held >= least:
+                held, no = 0, no + 1
+            held, far = held + 1, max(far or 0, r[3])
+            want[r[0]] = f"{c}_{no}"
+    assert got == want
+    assert sets.shards(spark.createDataFrame([], CALLS)).count() == 0
+
+
+@pytest.mark.parametrize("tail", ["left", "right", "two"])
+def test_permutations_against_a_loop(spark, tail):
+    import hashlib
+
+    rng = random.Random(3)
+    rows = [(rng.choice("xyz"), rng.choice("pq"), k) for k in range(14)]
+    scores = spark.createDataFrame(rows, "f string, g string, rank int")
+    got = {(r.feature, r.value): r for r in stats.permutation(scores, ["f", "g"], 60, tail, 7, 3).collect()}
+    n, total = len(rows), sum(r[2] for r in rows)
+    orders = [sorted(range(n), key=lambda i: hashlib.md5(f"7:{k}:{i}".encode()).hexdigest()) for k in range(60)]
+    assert len(got) == len({r[0] for r in rows}) + len({r[1] for r in rows})
+    for (feature, value), r in got.items():
+        own = [x[2] for x in rows if x["fg".index(feature)] == value]
+        m = len(own)
+        size = abs if tail == "two" else float
+        diffs = [sum(o[:m]) * n - total * m for o in orders]
+        d = sum(own) * n - total * m
+        assert abs(r.delta - size(sum(own) / m - (total - sum(own)) / (n - m))) < 1e-9
+        if m < 3 or n - m < 3:
+            assert r.pval is None
+            continue
+        hits = {"left": sum(x <= d for x in diffs), "right": sum(x >= d for x in diffs), "two": sum(abs(x) >= abs(d) for x in diffs)}[tail]
+        assert abs(r.pval - hits / 60) < 1e-12
+        assert abs(r.q50 - sorted(size(x) for x in diffs)[29] / (m * (n - m)) * 0.5 - sorted(size(x) for x in diffs)[30] / (m * (n - m)) * 0.5) < 1e-9
