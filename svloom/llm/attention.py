@@ -18,7 +18,7 @@ import numpy as np
 WINDOW, FRESH = 64, 48
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
 #: Windows that one batch scores (what they need stays near the core), and that one step of training takes.
-BATCH, TRAIN_BATCH = 96, 32
+BATCH, TRAIN_BATCH = 96, 128
 #: Attention scores and logits stop here, in training as in scoring, so that their exponentials stay finite.
 MOST_SCORE, MOST_LOGIT = np.float32(60), np.float32(80)
 #: Neighbours are counted by so many hashed slots on either side.

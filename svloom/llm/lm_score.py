@@ -34,12 +34,14 @@ from .words import words_of
 
 #: Windows that the weights are started from, drawn from all training texts alike, and passes over them.
 START_WINDOWS, START_PASSES = 16_000, 2
-#: One of so many windows of each training text is learned from: all of them.
-EVERY = 1
 #: Step size of what tasks learn on their own.
-RATE = 1e-3
+RATE = 8e-3
+#: Ids that a task gathers before it counts their neighbours.
+COUNTED = 1_000_000
 #: Parts that tables over the vocabulary are summed up in.
 CHUNKS = 64
+#: Groups of tasks whose tables are summed up before the groups' sums are.
+GROUPS = 16
 #: Words of a block, and words (repeats included) that a range of hashes is meant for.
 BLOCK_WORDS, RANGE_WORDS = 3_000_000, 2_000_000
 #: Bytes of text for each word, about.
@@ -105,8 +107,9 @@ def _summed(parts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             out.append((0, chunk, at.tobytes(), held[at].tobytes()))
         yield _parts_batch(out)
 
-    dealt = parts.repartition("chunk").sortWithinPartitions("chunk", "part").select("chunk", "at", "vec")
-    got = dealt.mapInArrow(run, _PARTS).collect()
+    # in two levels, so that few chunks don't gather what very many tasks send
+    some = parts.withColumn("group", F.col("part") % GROUPS).repartition("chunk", "group").sortWithinPartitions("chunk", "part").select("chunk", "at", "vec").mapInArrow(run, _PARTS)
+    got = some.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "at", "vec").mapInArrow(run, _PARTS).collect()
     return {r["chunk"]: (np.frombuffer(r["at"], np.int32), np.frombuffer(r["vec"], np.float64)) for r in got}
 
 
@@ -124,31 +127,34 @@ def neighbour_counts(learned: DataFrame, vocab: int) -> np.ndarray:
     slot, wide = attention.neighbour_slots(size), 1 + 2 * slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size * wide)
+        table, wait, held = np.zeros(size * wide), [], 0
+
+        def add() -> None:
+            if wait:
+                table[:] += np.bincount(np.concatenate(wait), minlength=len(table))
+                wait.clear()
+
         for batch in batches:
             texts = [_ids(x, vocab) for x in batch.column(0).to_pylist()]
             ids = np.concatenate(texts).astype(np.int64)
             if not len(ids):
                 continue
-            np.add.at(table, ids * wide, 1.0)
+            table[::wide] += np.bincount(ids, minlength=size)
             inner = np.ones(len(ids), bool)  # not the last of its text
             ends = np.cumsum([len(t) for t in texts]) - 1
             inner[ends[ends >= 0]] = False
             a, b = ids[:-1][inner[:-1]], ids[1:][inner[:-1]]
-            np.add.at(table, b * wide + 1 + slot[a], 1.0)
-            np.add.at(table, a * wide + 1 + slots + slot[b], 1.0)
+            wait += [b * wide + 1 + slot[a], a * wide + 1 + slots + slot[b]]
+            held += len(ids)
+            if held >= COUNTED:
+                add()
+                held = 0
+        add()
         yield _parts(TaskContext.get().partitionId(), table.reshape(size, wide))
 
     return _table(_summed(learned.select("b").mapInArrow(run, _PARTS)), size, 1 + 2 * slots)
 
 
-def _windows(ids: np.ndarray, every: int, begin: int, end: int) -> np.ndarray:
-    """One of ``every`` windows of a text, from a place that the text decides on."""
-    got = attention.windows_of(ids, begin, end)
-    first = zlib.crc32(ids.tobytes()) % every if every > 1 else 0
-    return got[first::every] if first < len(got) else got[first % len(got)][None]
-
-
 def start_windows(learned: DataFrame, vocab: int, total: float, wanted: int = START_WINDOWS) -> DataFrame:
     """About ``wanted`` windows (w, int32), each window of each training text with the same chance (about ``total`` there are)."""
     begin, end = vocab, vocab - 1
@@ -195,7 +201,7 @@ def learned_everywhere(learned: DataFrame, start: dict[str, np.ndarray], cls: np
         t = attention.Trainer(first, classes, end)
         held = np.zeros((0, attention.WINDOW + 1), np.int64)
         for batch in batches:
-            held = np.concatenate([held, *(_windows(_ids(raw, vocab), EVERY, begin, end) for raw in batch.column(0).to_pylist())])
+            held = np.concatenate([held, *(attention.windows_of(_ids(raw, vocab), begin, end) for raw in batch.column(0).to_pylist())])
             full = len(held) - len(held) % attention.TRAIN_BATCH
             for lo in range(0, full, attention.TRAIN_BATCH):
                 t.step(held[lo : lo + attention.TRAIN_BATCH], RATE * min(1.0, (t.steps + 1) / 20))
