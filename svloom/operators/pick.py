@@ -22,7 +22,8 @@ LOW = -1e18
 def walk(edges: DataFrame, order: list[Column | str], asked: list[str], start: Callable[[], Callable[..., bool]]) -> DataFrame:
     """(chunk_id, *asked, taken) for each edge: ``start()`` gives a block's function, which is asked in order for each edge's columns."""
     reachable(edges.sparkSession)
-    dealt = edges.repartition("chunk_id").sortWithinPartitions("chunk_id", *order).select("chunk_id", *[F.col(c).cast("long").alias(c) for c in asked])
+    dealt = edges.repartition("chunk_id").sortWithinPartitions("chunk_id", *order).select("chunk_id", *asked)
+    kinds = dict(dealt.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, take = object(), None
@@ -34,7 +35,7 @@ def walk(edges: DataFrame, order: list[Column | str], asked: list[str], start: C
                 taken.append(take(*row))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], ["chunk_id", *asked, "taken"])
 
-    return dealt.mapInArrow(run, f"chunk_id string, {', '.join(f'{c} long' for c in asked)}, taken boolean")
+    return dealt.mapInArrow(run, f"chunk_id string, {', '.join(f'{c} {kinds[c]}' for c in asked)}, taken boolean")
 
 
 def order_key(row: str | None = None, other: list[str] = ("bid", "cid")) -> Column:

@@ -760,10 +760,28 @@ def collapse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, chain=True)[1].select("id", "keeper")
 
 
-@query("WITH k AS (" + _collapse_sql("s, svlen DESC, id") + "), n AS (SELECT keeper, count(*) AS n FROM k GROUP BY 1) SELECT event_id AS id, coalesce(n, 0) AS num_collapsed FROM events LEFT JOIN n ON keeper = event_id WHERE event_id NOT IN (SELECT id FROM k) AND 50 + CAST(floor(value) AS BIGINT) <= 600")
+@query(
+    f"""WITH {CALLS}, f AS (SELECT *, s - CASE WHEN svtype = 'INS' THEN svlen // 2 ELSE 0 END AS lo, e + CASE WHEN svtype = 'INS' THEN svlen // 2 ELSE 0 END AS hi,
+  coalesce(a1 = 1, false) OR coalesce(a2 = 1, false) AS alt, row_number() OVER (ORDER BY s, svlen DESC, id) AS rk FROM iv WHERE svlen BETWEEN 50 AND 600),
+e AS (SELECT a.chrom, a.id AS i, b.id AS j, a.rk AS ri, a.alt AS mi, b.alt AS mj, abs(a.s - b.s) AS sd, abs(a.e - b.e) AS ed, (least(a.svlen, b.svlen) / CAST(greatest(a.svlen, b.svlen) AS DOUBLE)
+  + greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo), 0) / CAST(greatest(a.hi - a.lo, b.hi - b.lo) AS DOUBLE)) / 3 * 100 AS score
+  FROM f a JOIN f b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.rk < b.rk AND greatest(a.s - 2000, b.s) < least(a.e + 2000, b.e) AND least(a.svlen, b.svlen) / CAST(greatest(a.svlen, b.svlen) AS DOUBLE) >= 0.9),
+g AS (SELECT chrom, list_reduce(list({{'i': i, 'j': j, 'mi': mi, 'mj': mj}} ORDER BY ri, score DESC, sd, ed, j), lambda a, x: CASE WHEN list_contains(a.gone, x.i) OR list_contains(a.gone, x.j) THEN a
+  WHEN x.mj AND CASE WHEN a.now = x.i THEN a.mask ELSE x.mi END THEN {{'gone': a.gone, 'now': x.i, 'mask': true, 'o': a.o}}
+  ELSE {{'gone': list_append(a.gone, x.j), 'now': x.i, 'mask': x.mj OR CASE WHEN a.now = x.i THEN a.mask ELSE x.mi END, 'o': list_append(a.o, {{'i': x.i, 'j': x.j}})}} END,
+  {{'gone': CAST([] AS BIGINT[]), 'now': CAST(-1 AS BIGINT), 'mask': false, 'o': CAST([] AS STRUCT(i BIGINT, j BIGINT)[])}}).o AS o FROM e GROUP BY chrom),
+u AS (SELECT unnest(o) AS x FROM g) SELECT u.x.j AS id, u.x.i AS keeper FROM u"""
+)
+def collapse_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsing under the genotype rule: no two calls of a cluster have the allele in one sample."""
+    return co.collapse(_collapsing(spark, sf_dir), COLLAPSE, gt="all")[1].select("id", "keeper")
+
+
+@query("WITH k AS (" + _collapse_sql("s, svlen DESC, id") + "), n AS (SELECT keeper, count(*) AS n FROM k GROUP BY 1) SELECT event_id AS id, coalesce(n, 0) AS num_collapsed FROM events LEFT JOIN n ON keeper = event_id WHERE event_id NOT IN (SELECT id FROM k)")
 def collapse_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls that stay, those that sizes pass through too."""
     kept = co.collapse(_collapsing(spark, sf_dir), COLLAPSE)[0]
-    return kept.where("svlen <= 600").select("id", "num_collapsed")
+    return kept.select("id", F.coalesce("num_collapsed", F.lit(0)).alias("num_collapsed"))
 
 
 @query(_collapse_sql("CASE WHEN a1 = 0 THEN 1 ELSE 0 END + CASE WHEN a2 = 0 THEN 1 ELSE 0 END, CASE WHEN a1 = 1 THEN 1 ELSE 0 END + CASE WHEN a2 = 1 THEN 1 ELSE 0 END, s, svlen DESC, id"))

@@ -450,3 +450,37 @@ def test_permutations_against_a_loop(spark, tail):
         hits = {"left": sum(x <= d for x in diffs), "right": sum(x >= d for x in diffs), "two": sum(abs(x) >= abs(d) for x in diffs)}[tail]
         assert abs(r.pval - hits / 60) < 1e-12
         assert abs(r.q50 - sorted(size(x) for x in diffs)[29] / (m * (n - m)) * 0.5 - sorted(size(x) for x in diffs)[30] / (m * (n - m)) * 0.5) < 1e-9
+
+
+@pytest.mark.parametrize(("hap", "gt", "depth"), [(True, "off", 1), (False, "all", 1), (False, "het", 1), (True, "all", 1), (False, "all", 2), (False, "off", 3)])
+def test_rules_of_collapsing(spark, hap, gt, depth):
+    """Matches taken as they come give what the whole block's walk gives, block by block."""
+    rng = random.Random(f"{hap}{gt}{depth}")
+    gts = {i: [[rng.randint(0, 1), rng.randint(0, 1)] for _ in range(2)] for i in range(60)}
+    rank = {i: k for k, i in enumerate(rng.sample(range(60), 60))}
+    pairs = {tuple(sorted(rng.sample(range(m, m + 20), 2), key=rank.get)) for m in (0, 20, 40) for _ in range(45)}
+    rows = [(f"k{b // 20}", b, c, True, round(rng.random(), 1), rng.randint(0, 3), rng.randint(0, 3)) for b, c in sorted(pairs)]
+    matches = spark.createDataFrame(rows, "chunk_id string, bid long, cid long, state boolean, score double, st_dist long, ed_dist long")
+    ranked = spark.createDataFrame([(i, f"k{i // 20}", rank[i], g) for i, g in gts.items()], "id long, chunk_id string, rank int, gts array<array<int>>")
+    got = co._ruled(ranked, matches, hap, gt) if depth == 1 else co._stateful(ranked, matches, depth, hap, gt)
+    want = set()
+    for m in ("k0", "k1", "k2"):
+        edges = [{"bid": b, "cid": c, "key": (1, s, -float(st), -float(ed), -b, -c)} for k, b, c, _, s, st, ed in rows if k == m]
+        calls = [{"id": i, "rank": rank[i], "acs": [sum(x == 1 for x in a) for a in gts[i]]} for i in gts if m == f"k{i // 20}"]
+        want |= set(co.greedy(edges, calls, depth, hap, gt))
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_components(spark):
+    from svloom.operators.graph import components
+
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2050, 2000 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    label = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in label:
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
