@@ -187,6 +187,7 @@ def anno(spark, a) -> None:
         "lcr": lambda: an.low_complexity(calls.withColumn("seq", F.when(F.length("alt") > F.length("ref"), F.col("alt")).otherwise(F.col("ref")))),
         "numneigh": lambda: an.neighbors(calls),
         "svinfo": lambda: an.sv_info(calls),
+        "trfstack": lambda: an.repeat_stack(calls, regions.read_repeats(spark, a.extra).select("chrom", "r_start", "r_end", "motif", "period", "copies", "score", "entropy")),
         "trf": lambda: an.repeat_annotation(calls, regions.read_repeats(spark, a.extra)),
     }
     made[a.kind]().write.mode("overwrite").parquet(a.output)

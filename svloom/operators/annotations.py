@@ -174,6 +174,34 @@ def repeat_annotation(calls: DataFrame, repeats: DataFrame, motif_similarity: fl
     return best.select("id", "trf.*")
 
 
+def nested(spans: DataFrame, by: list[str] = ("chrom",), start: str = "r_start", end: str = "r_end") -> DataFrame:
+    """Different spans with level, how many others enclose each, and up_start and up_end of the innermost of these (null on level 0)."""
+    by = list(by)
+    own = spans.select(*by, start, end).distinct().withColumn("__stop", F.greatest(F.col(end), F.col(start) + 1))
+    outer = own.select(*by, F.col(start).alias("__os"), F.col(end).alias("__oe"), F.col("__stop").alias("__ostop"))
+    pairs = intervals.range_join(own, outer, by, (start, "__stop"), ("__os", "__ostop"))
+    around = pairs.where((F.col("__os") <= F.col(start)) & (F.col("__oe") >= F.col(end)) & ((F.col("__os") < F.col(start)) | (F.col("__oe") > F.col(end))))
+    inner = F.max_by(F.struct("__os", "__oe"), F.struct(F.col("__os") - F.col("__oe"), "__os"))
+    levels = around.groupBy(*by, start, end).agg(F.count("*").alias("level"), inner.alias("__up"))
+    out = own.drop("__stop").join(levels, [*by, start, end], "left")
+    return out.select(*by, start, end, F.coalesce("level", F.lit(0).cast("long")).alias("level"), F.col("__up.__os").alias("up_start"), F.col("__up.__oe").alias("up_end"))
+
+
+def repeat_stack(calls: DataFrame, repeats: DataFrame) -> DataFrame:
+    """The repeats around each call as a stack: a row for each, level 0 the outermost, left counting those still inside of it.
+
+    A repeat is around a call that starts in it and ends before its end.
+    Outermost are the longest, then those that start first.
+    """
+    data = [c for c in repeats.columns if c != "chrom"]
+    wide = calls.select("id", "chrom", "start", "end").withColumn("__stop", F.greatest(F.col("end"), F.col("start") + 1))
+    around = intervals.range_join(wide, repeats, ["chrom"], ("start", "__stop"), ("r_start", "r_end"))
+    around = around.where((F.col("start") >= F.col("r_start")) & (F.col("end") < F.col("r_end")))
+    w = Window.partitionBy("id")
+    order = [F.desc(F.col("r_end") - F.col("r_start")), "r_start", *[c for c in data if c not in ("r_start", "r_end")]]
+    return around.withColumn("level", F.row_number().over(w.orderBy(*order)) - 1).withColumn("left", F.count("*").over(w) - 1 - F.col("level")).select("id", "level", "left", *data)
+
+
 def repeat_hits(hits: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The best masked repeat of each call: (id, score, repeat, clsfam, span, seq_len) rows, the largest share of the sequence first."""
     rated = hits.withColumn("share", F.col("span") / F.col("seq_len")).where(F.col("share") >= threshold)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import reachable
 from . import intervals
+from .partial_order import multiple_alignment, without_shared_gaps
 
 
 def haplotype(reference: str, start: int, calls: list[tuple[int, str, str]]) -> str:
@@ -103,6 +104,16 @@ def _aligned(query: str, reference: str, match: int, mismatch: int, gap_open: in
 
 #: Aligners by name: functions of (query, reference) that return both with gaps.
 ALIGNERS: dict[str, Callable[[str, str], tuple[str, str]]] = {"affine": align}
+#: Aligners of all sequences of a locus at once: functions of a list that return its rows.
+JOINT_ALIGNERS: dict[str, Callable[[list[str]], list[str]]] = {"poa": multiple_alignment}
+
+
+def aligned_to(reference: str, haplotypes: list[str], aligner: str) -> dict[str, tuple[str, str]]:
+    """Each haplotype beside the reference, both with gaps."""
+    if aligner not in JOINT_ALIGNERS:
+        return {h: ALIGNERS[aligner](h, reference) for h in haplotypes}
+    first, *rows = JOINT_ALIGNERS[aligner]([reference, *haplotypes])
+    return {h: without_shared_gaps(row, first) for h, row in zip(haplotypes, rows, strict=True)}
 
 
 def alignment_variants(query: str, reference: str, start: int, anchor: str = "N") -> list[tuple[int, str, str]]:
@@ -154,13 +165,14 @@ def eligible(calls: DataFrame, loci_: DataFrame, maxsize: int = 50_000, passonly
     return hit.where((F.col("start") >= F.col("l_start")) & (F.col("end") <= F.col("l_end"))).drop("__stop")
 
 
-def harmonise(calls: DataFrame, loci_: DataFrame, aligner: str = "affine", dedup: bool = True) -> DataFrame:
+def harmonise(calls: DataFrame, loci_: DataFrame, aligner: str = "affine") -> DataFrame:
     """Variants of every sample's two haplotypes after alignment to the locus' reference.
 
     calls: locus, start, ref, alt, sample, alleles; loci_: locus, chrom, start,
     seq (the locus' reference).  Returns locus, chrom, start, ref, alt, sample,
     alleles; a locus that fails gives one row with its error instead.  Equal
-    haplotypes of a locus are aligned once.
+    haplotypes of a locus are aligned once.  aligner: "affine", each haplotype
+    with the reference, or "poa", all of a locus together.
     """
     reachable(calls.sparkSession)
     rows = calls.groupBy("locus").agg(F.collect_list(F.struct("start", "ref", "alt", "sample", "alleles")).alias("calls"))
@@ -177,13 +189,12 @@ def harmonise(calls: DataFrame, loci_: DataFrame, aligner: str = "affine", dedup
                             own = haps.setdefault((c["sample"], copy), [])
                             if len(c["alleles"]) > copy and c["alleles"][copy] == 1:
                                 own.append((int(c["start"]), c["ref"], c["alt"]))
-                    seen: dict[str, list] = {}
                     found: dict[tuple, dict[str, list[int]]] = {}
-                    for (sample, copy), own in sorted(haps.items()):
-                        h = haplotype(seq, int(l_start), own)
-                        if h not in seen or not dedup:
-                            seen[h] = alignment_variants(*ALIGNERS[aligner](h, seq), int(l_start), seq[:1] or "N") if h != seq else []
-                        for var in seen[h]:
+                    built = {key: haplotype(seq, int(l_start), own) for key, own in sorted(haps.items())}
+                    rows = aligned_to(seq, sorted(set(built.values()) - {seq}), aligner)
+                    seen = {h: alignment_variants(*pair, int(l_start), seq[:1] or "N") for h, pair in rows.items()}
+                    for (sample, copy), h in built.items():
+                        for var in seen.get(h, []):
                             found.setdefault(var, {}).setdefault(sample, [0, 0])[copy] = 1
                     samples = sorted({s for s, _ in haps})
                     for (start, ref, alt), have in sorted(found.items()):

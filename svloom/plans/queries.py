@@ -723,6 +723,39 @@ def trf_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.repeat_annotation(synth.calls(spark, sf_dir), reps).select("id", "r_start", "period", *r6("ovl"))
 
 
+_NESTED = f"{DAYS}, reps AS (SELECT chrom, rs, rs + (re - rs) // k AS re, k FROM days, (VALUES (1), (2), (8), (96)) t(k) UNION ALL SELECT chrom, rs + (re - rs) // 4, re, 3 FROM days)"
+
+
+def _nested(spark: SparkSession) -> DataFrame:
+    """Days as repeats, with their first half, eighth and quarter of an hour or so, and their last three quarters."""
+    d = synth.days(spark)
+    size = F.col("end") - F.col("start")
+    parts = d.select("chrom", F.col("start").alias("r_start"), "end", size.alias("size"), F.explode(F.array(*map(F.lit, (1, 2, 8, 96)))).alias("k"))
+    parts = parts.select("chrom", "r_start", (F.col("r_start") + F.floor(F.col("size") / F.col("k"))).alias("r_end"), "k")
+    return parts.unionByName(d.select("chrom", (F.col("start") + F.floor(size / 4)).alias("r_start"), F.col("end").alias("r_end"), F.lit(3).alias("k")))
+
+
+@query(
+    f"""WITH {CALLS}, {_NESTED}, j AS (SELECT id, rs, re, k FROM iv JOIN reps ON iv.chrom = reps.chrom AND s >= rs AND e < re),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY re - rs DESC, rs, k) - 1 AS level, count(*) OVER (PARTITION BY id) AS all_ FROM j)
+SELECT id, level, all_ - 1 - level AS "left", rs AS r_start, re AS r_end, k FROM n"""
+)
+def trf_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested repeats around each call, outermost first."""
+    return an.repeat_stack(synth.calls(spark, sf_dir), _nested(spark))
+
+
+@query(
+    f"""WITH {CALLS}, u AS (SELECT DISTINCT chrom, s, e FROM iv), p AS (SELECT a.chrom, a.s, a.e, b.s AS os, b.e AS oe FROM u a JOIN u b ON a.chrom = b.chrom AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e)),
+t AS (SELECT *, row_number() OVER (PARTITION BY chrom, s, e ORDER BY oe - os, os DESC) AS n, count(*) OVER (PARTITION BY chrom, s, e) AS level FROM p)
+SELECT u.chrom, u.s AS r_start, u.e AS r_end, coalesce(level, 0) AS level, os AS up_start, oe AS up_end FROM u LEFT JOIN t ON t.chrom = u.chrom AND t.s = u.s AND t.e = u.e AND n = 1"""
+)
+def interval_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls' spans with the number of spans around each and the innermost of them."""
+    c = synth.calls(spark, sf_dir)
+    return an.nested(c.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end")))
+
+
 def _collapsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = synth.calls(spark, sf_dir)
     return c.withColumns({"ref": F.lit("N"), "alt": F.concat(F.lit("<"), "svtype", F.lit(">")), "qual": (F.col("id") % 50).cast("double"), "gts": F.array("alleles")}).drop("side", "alleles")

@@ -484,3 +484,100 @@ def test_components(spark):
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
     assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def pair_score(a, b):
+    """The score of two rows under the multiple aligner's settings."""
+    from svloom.operators import partial_order as po
+
+    total, gap = 0, None
+    for x, y in zip(a, b, strict=True):
+        if x != "-" and y != "-":
+            total, gap = total + (po.MATCH if x == y else po.MISMATCH), None
+        else:
+            side = "a" if x == "-" else "b"
+            total, gap = total + po.GAP + (po.GAP_OPEN if gap != side else 0), side
+    return total
+
+
+def best_pair_score(a, b):
+    """The best score of all global alignments, by enumeration with memory."""
+    from functools import cache
+
+    from svloom.operators import partial_order as po
+
+    @cache
+    def go(i, j, gap):
+        if i == len(a) and j == len(b):
+            return 0
+        out = []
+        if i < len(a) and j < len(b):
+            out.append((po.MATCH if a[i] == b[j] else po.MISMATCH) + go(i + 1, j + 1, None))
+        if i < len(a):
+            out.append(po.GAP + (po.GAP_OPEN if gap != "b" else 0) + go(i + 1, j, "b"))
+        if j < len(b):
+            out.append(po.GAP + (po.GAP_OPEN if gap != "a" else 0) + go(i, j + 1, "a"))
+        return max(out)
+
+    return go(0, 0, None)
+
+
+def test_partial_order_alignment():
+    """Rows spell their sequences; two have the best score; a third has the best of all ways through the graph of two."""
+    from svloom.operators import partial_order as po
+
+    rng = random.Random(21)
+
+    def some(n):
+        return "".join(rng.choices("ACGT", k=n))
+
+    for _ in range(60):
+        base = some(rng.randint(1, 12))
+        seqs = [base] + ["".join(rng.choice([x, x, x, x, "", x + rng.choice("ACGT"), rng.choice("ACGT")]) for x in base) for _ in range(4)]
+        rows = po.multiple_alignment(seqs)
+        assert len({len(r) for r in rows}) == 1 and [r.replace("-", "") for r in rows] == seqs
+        assert all(any(r[k] != "-" for r in rows) for k in range(len(rows[0])))
+        a, b = sorted(seqs[:2], key=lambda s: (len(s), s), reverse=True)
+        pair = po.without_shared_gaps(*po.multiple_alignment([a, b]))
+        assert pair_score(*pair) == best_pair_score(a, b)
+        graph = po.Graph()
+        graph.add(a)
+        graph.add(b)
+        ways, todo = set(), [[n] for n in range(len(graph.base)) if not graph.before[n]]
+        while todo:
+            way = todo.pop()
+            todo += [[*way, x] for x in graph.after[way[-1]]]
+            if not graph.after[way[-1]]:
+                ways.add("".join(graph.base[x] for x in way))
+        c = seqs[2]
+        if c and ways:
+            matched = graph._aligned(c)
+            lost = [x for x in matched if x is not None]
+            assert lost == sorted(lost, key=[n for k in graph.columns() for n in graph.members[k]].index)
+            n_eq = sum(graph.base[x] == y for x, y in zip(matched, c, strict=True) if x is not None)
+            best = max(best_pair_score(c, w) for w in ways)
+            assert n_eq * po.MATCH >= best
+    assert po.multiple_alignment(["", "AC", "AC"]) == ["--", "AC", "AC"]
+    with pytest.raises(ValueError, match="too large"):
+        po.MOST_CELLS, keep = 10, po.MOST_CELLS
+        try:
+            po.multiple_alignment(["ACGTACGT", "TTTTTT"])
+        finally:
+            po.MOST_CELLS = keep
+
+
+def test_harmonised_by_partial_order(spark):
+    """Variants made of the rows spell both samples' haplotypes again."""
+    ref = "ACGTACGGTTCAGGATCCATTGCAACTG"
+    calls = spark.createDataFrame(
+        [("l", 103, "T", "TACGT", "a", [0, 1]), ("l", 107, "G", "GCCC", "a", [1, 1]), ("l", 105, "C", "T", "b", [1, 0]), ("l", 115, "TCC", "T", "b", [0, 1])],
+        "locus string, start long, ref string, alt string, sample string, alleles array<int>",
+    )
+    loci = spark.createDataFrame([("l", "c", 100, ref)], "locus string, chrom string, start long, seq string")
+    got = ha.harmonise(calls, loci, "poa").collect()
+    assert got and all(r.error is None for r in got)
+    for sample in "ab":
+        for copy in (0, 1):
+            own = [(r.start, r.ref, r.alt) for r in calls.where(F.col("sample") == sample).collect() if r.alleles[copy] == 1]
+            made = [(r.start, r.ref, r.alt) for r in got if r["sample"] == sample and r.alleles[copy] == 1]
+            assert ha.haplotype(ref, 100, made) == ha.haplotype(ref, 100, own)
