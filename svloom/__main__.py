@@ -87,8 +87,12 @@ def stratify(spark, a) -> None:
 
 
 def vcf2df(spark, a) -> None:
+    options = dict(info=a.info, fmt=a.format, sample=a.sample, no_prefix=a.no_prefix, alleles=a.alleles)
+    if a.bench_dir:
+        sinks.read_bench_table(spark, a.input, **options).write.mode("overwrite").parquet(a.output)
+        return
     head = vcf.header_of(spark, a.input)
-    vcf.flat_table(vcf.read_vcf(spark, a.input, head), head, a.info, a.format, a.sample, a.no_prefix, a.alleles).write.mode("overwrite").parquet(a.output)
+    vcf.flat_table(vcf.read_vcf(spark, a.input, head), head, **options).write.mode("overwrite").parquet(a.output)
 
 
 def divide(spark, a) -> None:
@@ -124,28 +128,50 @@ def _by_sample(calls: DataFrame, prefix: str = "") -> DataFrame:
 
 def phab(spark, a) -> None:
     loci = stored(_loci(spark, a), "loci")
-    calls = None
+    calls, samples = None, []
     for k, path in enumerate(a.inputs):
-        one = _by_sample(ha.eligible(_calls(spark, path), loci, a.maxsize, a.passonly), f"{k}:" if k else "")
+        prefix = f"{k}:" if k else ""
+        one = _by_sample(ha.eligible(_calls(spark, path), loci, a.maxsize, a.passonly), prefix)
         calls = one if calls is None else calls.unionByName(one)
-    ha.harmonise(calls, loci, a.align).write.mode("overwrite").parquet(a.output)
+        samples += [prefix + x for x in vcf.header_of(spark, path).samples]
+    made = stored(ha.harmonise(calls, loci, a.align), "harmonised")
+    _say_failed(made)
+    sinks.write_harmonised(made, a.output, vcf.header_of(spark, a.inputs[0]).contigs, samples)
+
+
+def _say_failed(made: DataFrame) -> None:
+    for r in made.where("error is not null").groupBy("error").agg(F.count_distinct("locus").alias("n")).orderBy(F.desc("n")).limit(20).collect():
+        print(f"{r['n']} loci keep their counts, as they could not be harmonised: {r['error']}", file=sys.stderr)
 
 
 def refine(spark, a) -> None:
-    """Harmonises the regions of a comparison that ask for it and compares them anew."""
+    """Harmonises the regions of a comparison that ask for it and compares them anew.
+
+    The calls are those that the comparison counted, or with --use_original_vcfs
+    those of the files themselves; with --subset only refined regions are
+    reported.
+    """
     states = sinks.read_states(spark, a.input)
     names = ("tpbase", "tp", "fn", "fp")
-    bed = regions.read_intervals(spark, a.regions).drop("fields")
-    counted = sets.stratify(states, bed)
-    before = stored(ha.needs_refinement(counted.select("region_id", "chrom", "start", "end", *[F.col(n).alias(f"in_{n}") for n in names])), "before")
-    chosen = before.where("refined").select("chrom", "start", "end")
-    loci = ha.loci(chosen, a.buffer)
+    bed, include = (regions.read_intervals(spark, x) if x else None for x in (a.regions, a.includebed))
+    chosen = stored(ha.refine_regions(bed, include, a.coords, a.buffer), "regions")
+    counted = sets.stratify(states, chosen).select("region_id", "chrom", "start", "end", *[F.col(n).alias(f"in_{n}") for n in names])
+    if a.use_original_vcfs:
+        if not (a.base and a.comp):
+            raise ValueError("the original files are needed: --base and --comp")
+        base, comp = _calls(spark, a.base, a.bsample), _calls(spark, a.comp, a.csample)
+        before = ha.needs_original_refinement(counted, base, comp)
+        calls = base.withColumn("side", F.lit("base")).unionByName(comp.withColumn("side", F.lit("comp")))
+    else:
+        before, calls = ha.needs_refinement(counted), states.withColumn("is_filtered", F.lit(False))
+    before = stored(before, "before")
+    # chosen regions are padded already
+    loci = ha.loci(before.where("refined").select("chrom", "start", "end"), 0)
     seq = regions.fetch(loci.withColumnRenamed("locus", "id"), regions.read_fasta(spark, a.reference)).withColumnRenamed("id", "locus")
     loci = stored(loci.join(seq, "locus"), "loci")
-    calls = ha.eligible(states.withColumn("is_filtered", F.lit(False)), loci).select("locus", "start", "ref", "alt", F.col("side").alias("sample"), "alleles")
-    made = stored(ha.harmonise(calls, loci, a.align), "harmonised")
-    for r in made.where("error is not null").groupBy("error").agg(F.count_distinct("locus").alias("n")).orderBy(F.desc("n")).limit(20).collect():
-        print(f"{r['n']} loci keep their counts, as they could not be harmonised: {r['error']}", file=sys.stderr)
+    picked = ha.eligible(calls, loci).select("locus", "start", "ref", "alt", F.col("side").alias("sample"), "alleles")
+    made = stored(ha.harmonise(picked, loci, a.align), "harmonised")
+    _say_failed(made)
     fresh = made.where("error is null")
     end = F.col("start") + F.length("ref")
     rows = fresh.select("chrom", "start", end.alias("end"), (F.col("start") + 1).alias("pos"), "ref", "alt", "alleles", "sample")
@@ -153,20 +179,36 @@ def refine(spark, a) -> None:
     rows = rows.withColumn("id", F.xxhash64("chrom", "start", "ref", "alt")).where("exists(alleles, x -> x = 1)")
     again = bn.bench(rows.where("sample = 'base'").drop("sample"), rows.where("sample = 'comp'").drop("sample"), Params(no_ref="a", short_circuit=True, sizemin=a.sizemin, sizefilt=a.sizemin, max_chunk=a.max_chunk))
     _say_left_out(again)
-    after = sets.stratify(again.states(), bed.select("region_id", "chrom", F.greatest(F.col("start") - a.buffer, F.lit(0)).alias("start"), (F.col("end") + a.buffer).alias("end")))
-    done = stored(ha.refined_counts(before, after), "refined")
-    sinks.write_tsv(done, f"{a.output}/regions")
-    print(json.dumps(sinks.write_json(bn.region_report(done), f"{a.output}/report"), indent=1, default=str))
+    done = stored(ha.refined_counts(before, sets.stratify(again.states(), before.select("region_id", "chrom", "start", "end"))), "refined")
+    shown = done.where("refined") if a.subset else done
+    sinks.write_tsv(shown, f"{a.output}/regions")
+    print(json.dumps(sinks.write_json(bn.region_report(shown), f"{a.output}/report"), indent=1, default=str))
 
 
 def ga4gh(spark, a) -> None:
-    ha.truth_and_query(sinks.read_states(spark, a.input)).write.mode("overwrite").partitionBy("set").parquet(a.output)
+    rows = ha.truth_and_query(sinks.read_states(spark, a.input))
+    heads = [vcf.header_of(spark, f"{a.input}/{n}.vcf") for n in ("tp-base", "tp-comp")]
+    sinks.write_truth_and_query(rows, a.output, tuple(heads))
 
 
 def stratp(spark, a) -> None:
-    states = sinks.read_states(spark, a.input).where(F.col("side") == a.states)
-    ok = F.col("verdict").isin("tpbase", "tp")
-    sinks.write_tsv(stats.stratp(stats.tandem_features(states), a.features.split(","), ok, a.min_obs, a.nperm, a.tail, a.alpha, a.seed), a.output)
+    if (a.features is None) == (a.preset is None):
+        raise ValueError("either features or a preset")
+    if a.preset:
+        rows, features = stats.PRESETS[a.preset](sinks.read_bench_table(spark, a.input, no_prefix=a.preset == "mims"))
+        rows, ok = rows.where(F.col("state").isin(*(("tpbase", "fn") if a.states == "base" else ("tp", "fp")))), F.col("state").startswith("tp")
+    else:
+        rows, features = stats.tandem_features(sinks.read_states(spark, a.input).where(F.col("side") == a.states)), a.features.split(",")
+        ok = F.col("verdict").isin("tpbase", "tp")
+    sinks.write_tsv(stats.stratp(rows, features, ok, a.min_obs, a.nperm, a.tail, a.alpha, a.seed), a.output)
+
+
+def _kmers(spark, calls: DataFrame, a) -> DataFrame:
+    """Each call's k-mers at both breakpoints, for an aligner; its alignments are then read with --mapped."""
+    spans = calls.where(~F.col("alt").rlike(r"^<|[\[\]]") & (F.col("start") >= a.kmer)).select("id", "chrom", (F.col("start") - a.kmer).alias("start"), (F.col("end") + a.kmer).alias("end"))
+    windows = regions.fetch(spans, regions.read_fasta(spark, a.extra)).withColumnRenamed("seq", "ref_window")
+    got = an.kmers(calls.join(windows, "id"), k=a.kmer)
+    return got.select("id", "chrom", "start", "end", F.inline(F.array(*[F.struct(F.lit(n).alias("kmer"), F.col(n).alias("seq")) for n in ("ref_up", "ref_dn", "alt_up", "alt_dn")])))
 
 
 def anno(spark, a) -> None:
@@ -184,6 +226,7 @@ def anno(spark, a) -> None:
         "remap": lambda: an.remapped(spark.read.parquet(a.extra), calls),
         "repmask": lambda: an.repeat_hits(regions.read_masker_output(spark, a.extra).withColumn("seq_len", F.col("span"))),
         "hompct": lambda: an.hom_percent(calls, calls),
+        "grm": lambda: an.mapping_stats(spark.read.parquet(a.mapped)) if a.mapped else _kmers(spark, calls, a),
         "lcr": lambda: an.low_complexity(calls.withColumn("seq", F.when(F.length("alt") > F.length("ref"), F.col("alt")).otherwise(F.col("ref")))),
         "numneigh": lambda: an.neighbors(calls),
         "svinfo": lambda: an.sv_info(calls),
@@ -222,17 +265,18 @@ def _parser() -> argparse.ArgumentParser:
         opt("--sizemax", 50_000), opt("--chain_depth", None, type=int), *[flag(f"--{n}") for n in ("chain", "hap", "no_consolidate", "intra", "median_info", "fast_cluster")])
     add(consistency, req("inputs", nargs="+"), out, flag("--keep_dups"))
     add(stratify, req("regions"), req("input"), out)
-    add(vcf2df, req("input"), out, flag("--info"), flag("--format"), req("--sample", nargs="*"), flag("--no_prefix"), flag("--alleles"))
+    add(vcf2df, req("input"), out, flag("--info"), flag("--format"), req("--sample", nargs="*"), flag("--no_prefix"), flag("--alleles"), flag("--bench_dir"))
     add(divide, req("input"), out, opt("--buffer", 1000), opt("--min", 50_000))
     add(segment, req("input"), out)
     add(index, req("input"), out)
     add(fetch, req("input"), req("region"), out)
-    place = (req("-r", "--regions", required=True), req("-f", "--reference", required=True), out, opt("--buffer", 100), opt("--align", "affine"))
+    place = (req("-r", "--regions", required=True), req("-f", "--reference", required=True), out, opt("--buffer", 100), opt("--align", "affine", choices=[*ha.ALIGNERS, *ha.JOINT_ALIGNERS]))
     add(phab, req("inputs", nargs="+"), *place, opt("--maxsize", 50_000), flag("--passonly"))
-    add(refine, req("input"), *place, opt("--sizemin", 5), opt("--max_chunk", None, type=int))
+    add(refine, req("input"), *place, opt("--sizemin", 5), opt("--max_chunk", None, type=int), opt("--includebed", None), opt("--coords", "R", choices=["R", "O"]),
+        opt("--base", None), opt("--comp", None), opt("--bsample", None), opt("--csample", None), flag("--use_original_vcfs"), flag("--subset"))
     add(ga4gh, req("-i", "--input", required=True), out)
-    add(stratp, req("input"), req("--features", required=True), out, opt("--states", "base"), opt("--min_obs", 10), opt("--nperm", 10_000), opt("--tail", "left"), opt("--alpha", 0.01), opt("--seed", 42))
-    add(anno, req("kind"), req("input"), out, opt("--extra", None), opt("--window", 10_000))
+    add(stratp, req("input"), opt("--features", None), opt("--preset", None, choices=list(stats.PRESETS)), out, opt("--states", "base"), opt("--min_obs", 10), opt("--nperm", 10_000), opt("--tail", "left"), opt("--alpha", 0.01), opt("--seed", 42))
+    add(anno, req("kind"), req("input"), out, opt("--extra", None), opt("--window", 10_000), opt("--kmer", 50), opt("--mapped", None))
     sub.add_parser("version").set_defaults(run=None)
     return top
 

@@ -136,16 +136,20 @@ def bench(base: DataFrame, comp: DataFrame, params: Params | None = None, region
     return Bench(calls, p, own if regions is not None and extend else None)
 
 
-def _inside(calls: DataFrame, regions: DataFrame) -> DataFrame:
-    """Calls that lie within a region."""
+def in_regions(calls: DataFrame, regions: DataFrame, keys: list[str] = ("side", "id"), inside: bool = True) -> DataFrame:
+    """Calls that lie within a region, or those that lie within none, such as all on contigs without regions.  ``keys`` identify a call."""
     from ..functions.intervals import within
 
     r = regions.select("chrom", F.col("start").alias("__rs"), F.col("end").alias("__re"))
     r = r.withColumns({"__s": F.col("__rs") - 1, "__e": F.col("__re") + 1})
-    wide = calls.select("side", "id", "chrom", "start", "end", "svtype").withColumn("__stop", F.greatest(F.col("end"), F.col("start") + 1))
+    wide = calls.select(*keys, "chrom", "start", "end", "svtype").withColumn("__stop", F.greatest(F.col("end"), F.col("start") + 1))
     pairs = intervals.range_join(wide, r, ["chrom"], ("start", "__stop"), ("__s", "__e"))
     ok = pairs.where(within(F.col("start"), F.col("end"), F.col("__rs"), F.col("__re"), F.col("svtype") != "INS"))
-    return calls.join(ok.select("side", "id").distinct(), ["side", "id"], "left_semi")
+    return calls.join(ok.select(*keys).distinct(), list(keys), "left_semi" if inside else "left_anti")
+
+
+def _inside(calls: DataFrame, regions: DataFrame) -> DataFrame:
+    return in_regions(calls, regions)
 
 
 def annotations(state_rows: DataFrame) -> DataFrame:

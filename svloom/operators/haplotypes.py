@@ -213,6 +213,34 @@ def needs_refinement(counts: DataFrame, c: str = "in_") -> DataFrame:
     return counts.withColumn("refined", ask)
 
 
+def needs_original_refinement(counts: DataFrame, base: DataFrame, comp: DataFrame, c: str = "in_") -> DataFrame:
+    """Regions (with region_id, chrom, start and end) with a missed or a spurious call in which both original call sets have calls."""
+    ends = F.col("svtype") != "INS"
+    own = counts
+    for name, calls in (("__base", base), ("__comp", comp)):
+        n = intervals.count_within(calls, counts.select("region_id", "chrom", "start", "end"), ["chrom"], ends, name).select("region_id", name)
+        own = own.join(n, "region_id")
+    ask = ((F.col(c + "fn") > 0) | (F.col(c + "fp") > 0)) & (F.col("__base") > 0) & (F.col("__comp") > 0)
+    return own.withColumn("refined", ask).drop("__base", "__comp")
+
+
+def refine_regions(regions: DataFrame | None, include: DataFrame | None, coords: str = "R", pad: int = 100) -> DataFrame:
+    """The regions that a refinement looks at, padded and merged, with a region_id.
+
+    Of regions and the comparison's own regions those of either that touch one
+    of the other stay: the former with ``coords`` R, the latter with O.
+    """
+    if regions is None and include is None:
+        raise ValueError("regions are needed where the comparison had none")
+    if regions is not None and include is not None:
+        a, b = (regions, include) if coords == "R" else (include, regions)
+        chosen = intervals.touching_regions(a.select("chrom", "start", "end"), b)
+    else:
+        chosen = regions if regions is not None else include
+    wide = intervals.extend(chosen, pad).select("chrom", "start", "end")
+    return wide.withColumn("region_id", F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
+
+
 def refined_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """Counts of refined regions from ``after`` (region_id, tpbase, tp, fn, fp), of the others as they were."""
     names = ("tpbase", "tp", "fn", "fp")

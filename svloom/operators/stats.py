@@ -169,3 +169,25 @@ def tandem_features(df: DataFrame) -> DataFrame:
     if "num_neighbors" in df.columns:
         out = out.withColumn("neigh", F.least(F.col("num_neighbors"), F.lit(4)))
     return out
+
+
+#: Upper ends and labels of the bins of an allele's share of reads; fixed values.
+VAF_BINS = ((0.05, "SomaticLow(<5%)"), (0.3, "Somatic"), (0.7, "GermlineHet"), (1.0, "GermlineHom"))
+
+
+def mims_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Strata of calls in mixed samples: type, size bin, repeat, isolation, share of reads; needs NumNeighbors and VAF_alt."""
+    vaf = F.col("VAF_alt")
+    share = reduce(lambda c, b: c.when(vaf <= b[0], b[1]), VAF_BINS, F.when(vaf.isNull() | (vaf <= 0), None))
+    return df.withColumns({"isolated": F.col("NumNeighbors") == 0, "VAF_bin": share}), ["svtype", "szbin", "TRF", "isolated", "VAF_bin"]
+
+
+def giab_features(df: DataFrame, genotype_of: str = "HG002_GT") -> tuple[DataFrame, list[str]]:
+    """Strata of germline calls: type, size bin, repeat, interspersed repeat, genotype; needs RM_clsfam and the sample's alleles."""
+    from ..functions.genotypes import genotype
+
+    return df.withColumns({"is_inter": F.col("RM_clsfam").isNotNull(), "GT": genotype(F.col(genotype_of))}), ["svtype", "szbin", "TRF", "is_inter", "GT"]
+
+
+#: Ready strata by name: functions of a flat table of a result folder that return it with features, and their names.
+PRESETS = {"mims": mims_features, "giab1.1": giab_features}

@@ -610,6 +610,38 @@ def refine_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needs_refinement(c).select("region_id", "refined")
 
 
+@query(
+    f"WITH {CALLS}, st AS (" + ORACLES["stratify"] + f"""), {DAYS}, n AS (SELECT region_id, count_if(iv.side = 'base') AS b, count_if(iv.side = 'comp') AS c FROM days JOIN iv ON iv.chrom = days.chrom AND ({_INSIDE}) GROUP BY 1)
+SELECT st.region_id, (fn > 0 OR fp > 0) AND coalesce(b, 0) > 0 AND coalesce(c, 0) > 0 AS refined FROM st LEFT JOIN n ON n.region_id = st.region_id"""
+)
+def refine_original(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions to refine where both original call sets have calls, whatever their size."""
+    from ..operators.haplotypes import needs_original_refinement
+
+    c = _regional(spark, sf_dir).select("region_id", "chrom", "start", "end", *[F.col(n).alias(f"in_{n}") for n in ("tpbase", "tp", "fn", "fp")])
+    calls = synth.calls(spark, sf_dir)
+    return needs_original_refinement(c, calls.where("side = 'base'"), calls.where("side = 'comp'")).select("region_id", "refined")
+
+
+@query(f"WITH {CALLS}, {DAYS} SELECT id, chrom, s AS start FROM iv WHERE NOT EXISTS (SELECT 1 FROM days WHERE days.chrom = iv.chrom AND region_id NOT LIKE 'view%' AND ({_INSIDE}))")
+def outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls within no region, those of contigs without regions too."""
+    regions = synth.days(spark).where("chrom NOT LIKE 'view%'")
+    return bn.in_regions(synth.calls(spark, sf_dir), regions, inside=False).select("id", "chrom", "start")
+
+
+@query(
+    """WITH t AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'DEL' ELSE 'INS' END AS svtype, CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_discount AS DOUBLE) * 10 END AS v, l_linenumber % 3 = 0 AS isolated FROM lineitem)
+SELECT svtype, isolated, CASE WHEN v IS NULL OR v <= 0 THEN NULL WHEN v <= 0.05 THEN 'SomaticLow(<5%)' WHEN v <= 0.3 THEN 'Somatic' WHEN v <= 0.7 THEN 'GermlineHet' WHEN v <= 1 THEN 'GermlineHom' END AS VAF_bin, count(*) AS n FROM t GROUP BY 1, 2, 3"""
+)
+def preset_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata of a preset, over line items as calls."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "N", "DEL").otherwise("INS")
+    flat = li.select(kind.alias("svtype"), F.lit("x").alias("szbin"), F.lit(True).alias("TRF"), (F.col("l_linenumber") % 3).alias("NumNeighbors"), F.when(F.col("l_discount") != 0, F.col("l_discount") * 10).alias("VAF_alt"))
+    return stats.mims_features(flat)[0].groupBy("svtype", "isolated", "VAF_bin").agg(F.count("*").alias("n"))
+
+
 @query(
     _VERDICTS
     + """ SELECT CASE WHEN verdict IN ('tpbase', 'tp') THEN 'TP' WHEN verdict = 'fn' THEN 'FN' ELSE 'FP' END AS BD,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bench import Bench, annotations
 from ..params import Params
-from .vcf import Header, with_figures, write_vcf
+from .vcf import Header, flat_table, header_of, read_vcf, with_figures, with_format, write_vcf
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -103,3 +103,42 @@ def concatenated(spark: SparkSession, path: str, verdicts: list[str]) -> DataFra
 def read_states(spark, path: str) -> DataFrame:
     """The states of a result folder, with the verdict as a column."""
     return spark.read.parquet(f"{path}/states")
+
+
+def read_bench_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The records of a result folder flattened as ``flat_table`` does, with a column state: tpbase, tp, fn or fp; columns that an output hasn't are null."""
+    out = None
+    for verdict, name in VERDICTS.items():
+        head = header_of(spark, f"{path}/{name}.vcf")
+        one = flat_table(read_vcf(spark, f"{path}/{name}.vcf", head), head, **options).withColumn("state", F.lit(verdict))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def write_truth_and_query(rows: DataFrame, path: str, headers: tuple[Header, Header]) -> None:
+    """Rows of ``truth_and_query`` as records, truth in base.vcf and query in comp.vcf, with BD and BK for each sample and IsRefined."""
+    for name, head, of in (("base", headers[0], "truth"), ("comp", headers[1], "query")):
+        head = head.with_info("IsRefined", "1", "String", "Whether the record comes from refinement")
+        head = head.with_format("BD", "1", "String", "Decision").with_format("BK", "1", "String", "Kind of match or mismatch")
+        own = with_format(rows.where(F.col("set") == of), {"BD": F.col("BD"), "BK": F.col("BK")})
+        own = with_figures(own.withColumn("IsRefined", F.when(F.col("is_refined"), "True").otherwise("False")), ["IsRefined"])
+        write_vcf(own, f"{path}/{name}.vcf", head)
+
+
+def write_harmonised(made: DataFrame, path: str, contigs: dict[str, int | None], samples: list[str]) -> None:
+    """Rows of ``harmonise`` as records of genotypes alone, one for each place and change, a column for each sample."""
+    lines = ["##fileformat=VCFv4.1", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+    lines += [f"##contig=<ID={c}{'' if n is None else f',length={n}'}>" for c, n in contigs.items()]
+    head = Header(lines, {}, {"GT": ("1", "String")}, contigs, samples)
+    per = made.where("error IS NULL").groupBy("chrom", "start", "ref", "alt").agg(F.map_from_entries(F.collect_list(F.struct("sample", "alleles"))).alias("own"))
+
+    def sample(name: str):
+        alleles = F.coalesce(F.try_element_at("own", F.lit(name)), F.array(F.lit(0), F.lit(0)))
+        return F.struct(F.lit(name).alias("name"), alleles.alias("alleles"), F.lit(True).alias("phased"), F.create_map(F.lit("GT"), F.lit("")).alias("fmt"))
+
+    empty = F.array().cast("array<string>")
+    rows = per.select(
+        "chrom", (F.col("start") + 1).alias("pos"), F.lit(None).cast("string").alias("vid"), "ref", F.array("alt").alias("alts"), F.lit(None).cast("float").alias("qual"), empty.alias("filters"),
+        F.map_from_arrays(empty, empty).alias("info"), F.array(F.lit("GT")).alias("fmt_keys"), F.array(*[sample(x) for x in samples]).alias("samples"),
+    )
+    write_vcf(rows, path, head)

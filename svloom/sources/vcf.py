@@ -48,6 +48,13 @@ class Header:
         lines = [*self.lines, f'##INFO=<ID={name},Number={number},Type={kind},Description="{text}">']
         return Header(lines, self.info | {name: (number, kind)}, self.format, self.contigs, self.samples)
 
+    def with_format(self, name: str, number: str, kind: str, text: str) -> Header:
+        """A header that declares one more FORMAT field; one that exists stays."""
+        if name in self.format:
+            return self
+        lines = [*self.lines, f'##FORMAT=<ID={name},Number={number},Type={kind},Description="{text}">']
+        return Header(lines, self.info, self.format | {name: (number, kind)}, self.contigs, self.samples)
+
     def contig_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, n) for k, n in self.contigs.items()], "chrom string, length long")
 
@@ -152,7 +159,7 @@ def parse_lines(lines: DataFrame, samples: list[str], value: str = "value") -> D
     return out.withColumns({k: F.when(F.col("is_bnd"), c) for k, c in bnd.items()} | {"ci": ci, "id": F.col("ordinal")})
 
 
-def flat_table(variants: DataFrame, header: Header, info: bool = True, fmt: bool = True, sample: list[str] | None = None, no_prefix: bool = False, alleles: bool = False) -> DataFrame:
+def flat_table(variants: DataFrame, header: Header, info: bool = True, fmt: bool = True, sample: list[str] | None = None, no_prefix: bool = False, alleles: bool = False, hasher: str = "sha1") -> DataFrame:
     """One flat row per variant: key, place, type, size bin, filter, and a typed column for each declared field.
 
     Fields with a value per allele become _ref and _alt columns, with a value
@@ -161,7 +168,7 @@ def flat_table(variants: DataFrame, header: Header, info: bool = True, fmt: bool
     """
     first_alt = F.coalesce("alt", F.lit(""))
     out = [
-        F.sha1(v.key(F.col("chrom"), F.col("start"), F.col("end"), first_alt)).alias("hash"),
+        v.hashed(v.key(F.col("chrom"), F.col("start"), F.col("end"), F.col("alt")), hasher).alias("hash"),
         "chrom", "start", "end", F.col("vid").alias("id"), "svtype", "svlen", v.size_bin(F.col("svlen")).alias("szbin"),
         "qual", F.col("filters").alias("filter"), (~F.col("is_filtered")).alias("is_pass"),
     ]
@@ -272,6 +279,14 @@ def with_figures(states: DataFrame, names: list[str]) -> DataFrame:
     return states.withColumn("info", F.map_concat(own, new))
 
 
+def with_format(variants: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Fields that every sample of a row gets, behind those it has; one of the same name is replaced."""
+    names = F.array(*[F.lit(n) for n in values])
+    own = F.map_from_arrays(names, F.array(*[c.cast("string") for c in values.values()]))
+    fmt = F.transform("samples", lambda s: s.withField("fmt", F.map_concat(F.map_filter(s["fmt"], lambda k, _: ~F.array_contains(names, k)), own)))
+    return variants.withColumns({"samples": fmt, "fmt_keys": F.array_union("fmt_keys", names)})
+
+
 def with_alleles(variants: DataFrame) -> DataFrame:
     """The samples' alleles as ``gts`` has them, where something changed these."""
     same = F.transform("samples", lambda s, i: s.withField("alleles", F.coalesce(F.get("gts", i), s["alleles"])))

@@ -212,3 +212,48 @@ def test_indexed_records(spark, tmp_path, monkeypatch):
     list(reader.pushFilters([indexed.EqualTo(("chrom",), "a"), indexed.LessThan(("start",), 130_000), indexed.GreaterThan(("end",), 100_000)]))
     asked = sum(len(reader.blocks(p)) for p in reader.partitions())
     assert 0 < asked <= 3 < every
+
+
+def test_commands_over_a_reference(spark, tmp_path, capsys):
+    """A comparison, its flat table, truth and query records, refinement of both kinds, harmonised records, k-mers, index and fetch."""
+    from svloom.__main__ import main
+
+    rng = random.Random(9)
+    ref = "".join(rng.choices("ACGT", k=3000))
+    fa = tmp_path / "r.fa"
+    fa.write_text(">c\n" + "\n".join(ref[i : i + 60] for i in range(0, len(ref), 60)) + "\n")
+    top = '##fileformat=VCFv4.2\n##contig=<ID=c,length=3000>\n##INFO=<ID=NumNeighbors,Number=1,Type=Integer,Description="n">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="g">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t'
+    new = "".join(rng.choices("ACGT", k=80))
+
+    def line(pos, lost, won, gt="0/1"):
+        return f"c\t{pos}\t.\t{ref[pos - 1 : pos + lost]}\t{ref[pos - 1] + won}\t.\tPASS\tNumNeighbors=0\tGT\t{gt}\n"
+
+    # one insertion of the base is two in the comparison; one deletion is shared
+    (tmp_path / "b.vcf").write_text(top + "B\n" + line(500, 0, new) + line(1500, 70, ""))
+    (tmp_path / "c.vcf").write_text(top + "C\n" + line(500, 0, new[:40]) + line(501, 0, "") .replace(f"\t{ref[500]}\t{ref[500]}\t", f"\t{ref[500]}\t{new[40:]}{ref[500]}\t") + line(1500, 70, ""))
+    base, comp, out = str(tmp_path / "b.vcf"), str(tmp_path / "c.vcf"), str(tmp_path / "o")
+    assert main(["bench", "-b", base, "-c", comp, "-o", out, "--sizemin", "20", "--sizefilt", "20"]) == 0
+    assert main(["vcf2df", out, "-o", str(tmp_path / "flat"), "--bench_dir", "--info", "--no_prefix"]) == 0
+    flat = spark.read.parquet(str(tmp_path / "flat"))
+    assert {(r.state, r.n) for r in flat.groupBy("state").agg(F.count("*").alias("n")).collect()} == {("tpbase", 1), ("tp", 1), ("fn", 1), ("fp", 2)} and "TruScore" in flat.columns
+    assert main(["ga4gh", "-i", out, "-o", str(tmp_path / "g")]) == 0
+    head = vcf.header_of(spark, str(tmp_path / "g" / "base.vcf"))
+    truth = vcf.read_vcf(spark, str(tmp_path / "g" / "base.vcf"), head).collect()
+    assert {"BD", "BK"} <= set(head.format) and {r.samples[0].fmt["BD"] for r in truth} == {"TP", "FN"} and all(r.info["IsRefined"] == "False" for r in truth)
+    bed = tmp_path / "r.bed"
+    bed.write_text("c\t450\t600\n")
+    for extra in ([], ["--use_original_vcfs", "--base", base, "--comp", comp, "--subset"]):
+        to = str(tmp_path / f"ref{len(extra)}")
+        assert main(["refine", out, "-r", str(bed), "-f", str(fa), "-o", to, "--align", "poa", *extra]) == 0
+        done = sinks.read_refined_regions(spark, to).collect()
+        assert [(r.start, r.end, r.refined, r.out_fn, r.out_fp) for r in done] == [(350, 700, True, 0, 0)] and done[0].out_tp > 0
+    assert main(["phab", base, comp, "-r", "c:450-600", "-f", str(fa), "-o", str(tmp_path / "p"), "--align", "poa"]) == 0
+    head = vcf.header_of(spark, str(tmp_path / "p"))
+    made = vcf.read_vcf(spark, str(tmp_path / "p"), head).collect()
+    assert head.samples == ["B", "1:C"] and made and all(r.gts[0] == [0, 1] for r in made)
+    assert main(["anno", "grm", base, "-o", str(tmp_path / "k"), "--extra", str(fa), "--kmer", "20"]) == 0
+    kmers = {(r.start, r.kmer): r.seq for r in spark.read.parquet(str(tmp_path / "k")).collect()}
+    assert kmers[499, "ref_up"] == ref[479:519]
+    assert main(["index", base, "-o", str(tmp_path / "i")]) == 0
+    assert main(["fetch", str(tmp_path / "i"), "c:400-600", "-o", str(tmp_path / "f")]) == 0
+    assert [r.value for r in spark.read.text(str(tmp_path / "f")).collect()] == [line(500, 0, new).rstrip("\n")]
