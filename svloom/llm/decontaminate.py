@@ -179,8 +179,9 @@ def contaminated(
     stretch counts with ``least_words`` equal words, or ``identity`` of all
     words of a shorter item: an item of one to four words must be there word
     for word.  Of several stretches of one item in one text the one with the
-    most equal words is returned, the first diagonal among equals.  Null and
-    empty texts have no rows; repeated rows have theirs each; long texts are
+    most equal words is returned, the first diagonal among equals.  Items of one
+    text are searched once and have a row each.  Each BLOCK_BYTES of items cost
+    a pass over ``docs``.  Ids are 64-bit numbers.  Null and empty texts have no rows; repeated rows have theirs each; long texts are
     read whole; an empty table, or one without test items, gives no rows.
     """
     tune(docs.sparkSession)
@@ -210,7 +211,12 @@ def contaminated(
 
         part = arrow_map(rows, run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    same = tests.select(text_of(item_text_col).alias("text"), F.col(item_col).cast("long").alias("item_id"))
+    members = same.join(same.groupBy("text").agg(F.min("item_id").alias("first")), "text").select("first", F.col("item_id").alias("own")).distinct()
+    found = out.join(members, F.col("item_id").eqNullSafe(F.col("first")))
+    return found.withColumn("item_id", F.col("own")).drop("first", "own")
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", identity: float = IDENTITY, least_words: int = LEAST_WORDS) -> DataFrame:
