@@ -23,8 +23,22 @@ def similarity(a: Column, b: Column, least: float | None = None) -> Column:
     return F.when(d < 0, 0.0).otherwise(F.try_divide(total - d, total))
 
 
+#: Length up to which all rotations are compared; beyond, two candidates race each other.
+FEW = 1000
+
+
 def smallest_rotation(seq: Column) -> Column:
-    """The first of a sequence's rotations in order; holds two of them at a time."""
+    """The first of a sequence's rotations in order.
+
+    Short sequences compare their rotations one by one.  Of long ones two
+    starts are compared letter by letter, and the loser moves behind what it
+    has been compared over, so the work grows with the length alone.
+    """
+    return F.when(F.length(seq) <= FEW, _least_of_all(seq)).otherwise(_raced(seq))
+
+
+def _least_of_all(seq: Column) -> Column:
+    """Holds two rotations at a time."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)))
     # what each step needs is in the accumulator, so that it is computed once
     begin = F.struct(seq.alias("best"), F.concat(seq, seq).alias("twice"), F.length(seq).alias("n"))
@@ -35,6 +49,31 @@ def smallest_rotation(seq: Column) -> Column:
     return F.aggregate(starts, begin, step, lambda acc: acc["best"])
 
 
+def _raced(seq: Column) -> Column:
+    n = F.length(seq)
+    begin = F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("same"), F.split(seq, "").alias("letters"), n.alias("n"))
+
+    def step(acc: Column, _: Column) -> Column:
+        a, b, same, size = acc["a"], acc["b"], acc["same"], acc["n"]
+        x, y = (F.get(acc["letters"], (i + same) % size) for i in (a, b))
+        going = (a < size) & (b < size) & (same < size)
+
+        def moved(i: Column, other: Column) -> Column:
+            behind = i + same + 1
+            return F.when(behind == other, behind + 1).otherwise(behind)
+
+        return F.struct(
+            F.when(going & (x > y), moved(a, b)).otherwise(a).alias("a"),
+            F.when(going & (x < y), moved(b, a)).otherwise(b).alias("b"),
+            F.when(going, F.when(x == y, same + 1).otherwise(0)).otherwise(same).alias("same"),
+            acc["letters"].alias("letters"),
+            size.alias("n"),
+        )
+
+    start = F.aggregate(F.sequence(F.lit(1), 3 * n), begin, step, lambda acc: F.least(acc["a"], acc["b"]))
+    return F.concat(F.substring(seq, start + 1, n), F.substring(seq, F.lit(1), start))
+
+
 def rolled_similarity(a: Column, b: Column, least: float | None = None) -> Column:
     return similarity(smallest_rotation(F.upper(a)), smallest_rotation(F.upper(b)), least)
 

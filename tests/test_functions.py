@@ -123,3 +123,14 @@ def test_params():
     with pytest.raises(ValueError):
         Params.of(nonsense=1)
     assert Params(dynthresh=(5, 30, 50, 1500)).dynamic_threshold(50) == pytest.approx(0.9)
+
+
+def test_long_rotations(spark, monkeypatch):
+    """The race of two starts finds the same rotation, also of repetitive sequences."""
+    import random
+
+    monkeypatch.setattr(sq, "FEW", 0)
+    rng = random.Random(2)
+    seqs = ["".join(rng.choices(letters, k=n)) for letters in ("AB", "ACGT", "A") for n in (1, 2, 3, 7, 30) for _ in range(4)] + ["ABAB", "BABA", "AABAAB"]
+    rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", sq.smallest_rotation(F.col("s")).alias("r")).collect()
+    assert all(r.r == min(r.s[i:] + r.s[:i] for i in range(len(r.s))) for r in rows)
