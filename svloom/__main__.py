@@ -65,6 +65,11 @@ def collapse(spark, a) -> None:
             vcf.write_vcf(vcf.with_figures(rows.withColumnsRenamed({c: n for n, c in have.items()}), list(have)), f"{a.output}/{name}.vcf", head)
     if a.intra:
         kept = co.intra_merge(kept, removed)
+        name = head.samples[0] if head.samples else "SAMPLE"
+        one = F.struct(F.lit(name).alias("name"), F.coalesce("gt", F.array(F.lit(None).cast("int"), F.lit(None).cast("int"))).alias("alleles"), F.lit(False).alias("phased"), F.create_map(F.lit("SUPP"), F.col("supp").cast("string")).alias("fmt"))
+        merged = kept.withColumns({"samples": F.array(one), "fmt_keys": F.array(F.lit("GT"), F.lit("SUPP"))})
+        single = vcf.Header(head.lines, head.info, head.format, head.contigs, [name]).with_format("SUPP", "1", "Integer", "A bit for each sample that has the call")
+        vcf.write_vcf(merged, f"{a.output}/kept.vcf", single)
     if a.median_info:
         kept = co.median_info(kept, removed)
     kept.write.mode("overwrite").parquet(f"{a.output}/kept")
@@ -281,8 +286,27 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def likely(asked: str, known: list[str], least: float = 0.8) -> str | None:
+    """The known command most like the one asked for, by edit distance over summed lengths; None if none is like enough."""
+
+    def alike(b: str) -> float:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(asked, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / (len(asked) + len(b))
+
+    found = [(alike(b), b) for b in known]
+    return max((x for x in found if x[0] >= least), default=(0.0, None))[1]
+
+
 def main(argv: list[str] | None = None) -> int:
-    a = _parser().parse_args(argv)
+    argv, parser = sys.argv[1:] if argv is None else argv, _parser()
+    known = list(next(x.choices for x in parser._subparsers._group_actions))
+    if argv and not argv[0].startswith("-") and argv[0] not in known and (best := likely(argv[0], known)):
+        print(f"no command {argv[0]}; is {best} meant?", file=sys.stderr)
+    a = parser.parse_args(argv)
     if a.run is None:
         print(VERSION)
         return 0

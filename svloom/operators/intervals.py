@@ -273,3 +273,9 @@ def tiles(contigs: DataFrame, size: int, step: int | None = None, length: str =
     step = step or size
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(length) - 1, F.lit(0)).cast("long"), F.lit(step).cast("long")))
     return contigs.withColumn("start", starts).withColumn("end", F.least(F.col("start") + size, F.col(length)))
+
+
+def region_tiles(regions: DataFrame, size: int = 10_000_000) -> DataFrame:
+    """Each region cut into pieces of ``size`` from its start on, the last one as long as what is left; empty regions stay one piece."""
+    starts = F.sequence(F.col("start"), F.greatest(F.col("end") - 1, F.col("start")), F.lit(size).cast("long"))
+    return regions.withColumn("start", F.explode(starts)).withColumn("end", F.least(F.col("start") + size, F.col("end")))

@@ -478,6 +478,13 @@ def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.subtract(contigs, c)
 
 
+@query(f'WITH {DAYS} SELECT region_id, rs + k * 30000 AS start, least(rs + (k + 1) * 30000, re) AS "end" FROM days, range(3) t(k) WHERE rs + k * 30000 < re AND chrom IN (SELECT event_type || \'_\' || CAST(user_id % 10 AS VARCHAR) FROM events)')
+def region_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that hold calls and those that don't, in pieces; every contig of the calls has them."""
+    held = synth.calls(spark, sf_dir).select("chrom").distinct()
+    return op.region_tiles(synth.days(spark).join(held, "chrom", "left_semi"), 30_000).select("region_id", "start", "end")
+
+
 # -- genotypes -----------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from svloom.plans.queries import ORACLES
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 
@@ -28,7 +30,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["bench_single", "bench_mixed", "bnd_match", "bench_ac", "stratify", "collapse_first", "numneigh", "density", "consistency", "divide", "segment", "fn_best_seqsim", "hardy_weinberg", "session_chunks", "interval_subtract"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     import __spark_entry__ as e
 

@@ -110,6 +110,13 @@ def test_commands(spark, path, tmp_path, capsys):
     assert main(["collapse", "-i", path, "-o", str(tmp_path / "k")]) == 0
     kept = vcf.read_vcf(spark, str(tmp_path / "k" / "kept.vcf"))
     assert kept.count() + spark.read.parquet(str(tmp_path / "k" / "removed")).count() == 3
+    assert main(["collapse", "-i", path, "-o", str(tmp_path / "m"), "--intra"]) == 0
+    head = vcf.header_of(spark, str(tmp_path / "m" / "kept.vcf"))
+    merged = {r.pos: (r.gts, r.samples[0].fmt["SUPP"]) for r in vcf.read_vcf(spark, str(tmp_path / "m" / "kept.vcf"), head).collect()}
+    assert head.samples == ["S1"] and merged[300] == ([[1, 1]], "1") and merged[101] == ([[0, 1]], "3")
+    with pytest.raises(SystemExit):
+        main(["colapse"])
+    assert "is collapse meant?" in capsys.readouterr().err
     labels = tmp_path / "groups.tsv"
     labels.write_text("".join(f"{x}\tg\n" for x in vcf.header_of(spark, path).samples))
     assert main(["anno", "grpaf", path, "-o", str(tmp_path / "g"), "--extra", str(labels)]) == 0
