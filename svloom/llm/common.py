@@ -106,14 +106,14 @@ def passed_through(df: DataFrame, text_col: str, decide: Callable[[list[bytes]],
 HOT_ROWS, HOT_PART = 1000, 1000
 
 
-def joined_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, hot_rows: int | None = None) -> DataFrame:
+def joined_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique and whose ``weight`` says how many rows of ``left`` have each.
 
     Keys with a thousandth of the rows, which are a thousand at most, are
     broadcast; so the shuffled join has no hot key.  ``left`` is read three
     times and best a stored table; ``weight`` is dropped.
     """
-    cut = max(hot_rows or HOT_ROWS, left.count() // HOT_PART)
+    cut = max(HOT_ROWS, left.count() // HOT_PART)
     hot, rest = F.broadcast(right.where(F.col(weight) >= cut).drop(weight)), right.where(F.col(weight) < cut).drop(weight)
     few = left.join(hot.select(key), key, "left_anti").join(rest, key)
     return left.join(hot, key).unionByName(few)

@@ -11,7 +11,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from svloom.llm import prefix_trie
+from svloom.llm import common, prefix_trie
 from svloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,7 +76,7 @@ def test_hard_conversations(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(prefix_trie, "BLOCK", 3)
         monkeypatch.setattr(prefix_trie, "PIECE", 2)
-        monkeypatch.setattr(prefix_trie, "HOT_ROWS", 4)
+        monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(5)
     rows = [(None, 0, "user", "nobody's")]
     for c in [*range(-12, 40), 5000, 2**62]:
