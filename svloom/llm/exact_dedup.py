@@ -214,7 +214,8 @@ def exact_groups(digests: DataFrame) -> DataFrame:
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty.  Of equal texts the largest id stays; a null id
+    Null text counts as empty; texts of any length are compared whole, by digest
+    and length.  Ids are 64-bit numbers.  Of equal texts the largest id stays; a null id
     never beats another, and if all ids of a group are null its rows are all
     marked as kept, since no id can name one.  Rows repeated whole all carry
     the verdict of their id.  An empty table gives no rows.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .balls import balls_of, judged, members_of, opened
 from .common import joined_by_weight, tune, written
 from .graph import components
 
@@ -97,29 +98,32 @@ class Grid:
 
 
 def learn(sample: np.ndarray, n: int, similarity: float, recall: float = RECALL, cell_rows: int = CELL_ROWS) -> Grid:
-    """A grid for ``n`` vectors from a sample of unit vectors.
-
-    The limit is such that a partner at just the least similarity, in a random
-    direction, lies in a visited cell with the target recall.
-    """
+    """A grid for ``n`` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(42)
     k = int(min(max(round((n / cell_rows) ** 0.5), 1), MOST_CODES, len(sample)))
     at = sample.shape[1] // 2
     grid = Grid((learned_codes(sample[:, :at], k, rng), learned_codes(sample[:, at:], k, rng)), sample.shape[1])
-    if k > 1:
-        x = sample[rng.permutation(len(sample))[:4096]]
-        aside = rng.standard_normal(x.shape) * (x != 0)
-        aside -= (aside * x).sum(1, keepdims=True) * x
-        size = np.sqrt((aside * aside).sum(1, keepdims=True))
-        y = similarity * x + (1 - similarity**2) ** 0.5 * np.divide(aside, size, out=np.zeros_like(x), where=size > 0)
-        one, two = grid.halves(x)
-        other = grid.cells(*grid.halves(y))
-        rows = np.arange(len(x))
-        cost = one[rows, other // k] + two[rows, other % k] - one.min(1) - two.min(1)
-        grid.limit = float(np.quantile(cost, recall))
+    grid.limit = limit_of(grid, sample, similarity, recall)
     return grid
 
 
+def limit_of(grid: Grid, sample: np.ndarray, similarity: float, recall: float) -> float:
+    """The cost up to which a vector visits cells, so that a partner at just this similarity, in a random direction, lies in one of them with the target recall."""
+    k, rng = len(grid.codes[1]), np.random.default_rng(43)
+    if k == 1:
+        return np.inf
+    x = sample[rng.permutation(len(sample))[:4096]]
+    aside = rng.standard_normal(x.shape) * (x != 0)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    size = np.sqrt((aside * aside).sum(1, keepdims=True))
+    y = similarity * x + (1 - similarity**2) ** 0.5 * np.divide(aside, size, out=np.zeros_like(x), where=size > 0)
+    one, two = grid.halves(x)
+    other = grid.cells(*grid.halves(y))
+    rows = np.arange(len(x))
+    cost = one[rows, other // k] + two[rows, other % k] - one.min(1) - two.min(1)
+    return float(np.quantile(cost, recall))
+
+
 def forward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which one of two different numbers visits the other: each number visits about half of the others."""
     return (a < b) == ((a + b) % 2 == 0)
@@ -154,13 +158,13 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return vectors.where(_usable(F.col("vec"))).groupBy("vec").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("id").alias("least"))
 
 
-def met(classes: DataFrame, grid: Grid) -> DataFrame:
-    """(size, cell, tile, visits, node, n, vec): each class in its own tile, and as a visitor in the tiles that it visits.
+def met(items: DataFrame, grid: Grid) -> DataFrame:
+    """(size, cell, tile, visits, node, n, vec, rho): each item (vec, node, n, rho) in its own tile, and as a visitor in the tiles that it visits.
 
     Of two cells, and of two tiles of a cell, one visits the other, so every
     pair meets in one place at most.
     """
-    kind = classes.schema["vec"].dataType.simpleString()
+    kind = items.schema["vec"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +198,11 @@ def met(classes: DataFrame, grid: Grid) -> DataFrame:
                     part = slice(lo, lo + SENT)
                     got = own.take(pa.array(take[part]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(got), size, np.int64)), pa.array(cell[part]), pa.array(at[part]), pa.array(visits[part]), got.column(1), got.column(2), got.column(0)],
-                        ["size", "cell", "tile", "visits", "node", "n", "vec"],
+                        [pa.array(np.full(len(got), size, np.int64)), pa.array(cell[part]), pa.array(at[part]), pa.array(visits[part]), got.column(1), got.column(2), got.column(0), got.column(3)],
+                        ["size", "cell", "tile", "visits", "node", "n", "vec", "rho"],
                     )
 
-    return classes.select("vec", "node", "n").mapInArrow(run, f"size long, cell long, tile long, visits long, node long, n long, vec {kind}")
+    return items.select("vec", "node", "n", "rho").mapInArrow(run, f"size long, cell long, tile long, visits long, node long, n long, vec {kind}, rho double")
 
 
 def _spread(nodes: np.ndarray, tiles: np.ndarray) -> np.ndarray:
@@ -208,37 +212,48 @@ def _spread(nodes: np.ndarray, tiles: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(33))) % tiles.astype(np.uint64)).astype(np.int64)
 
 
-def verified(meetings: DataFrame, similarity: float) -> DataFrame:
-    """(node, root, links): for each class with links in a tile, one that it hangs together with there, and how many vectors it is linked with.
+def verified(meetings: DataFrame, similarity: float, among: bool = True) -> DataFrame:
+    """(node, root, links, open): for each item with links in a tile, one that it hangs together with there, and how many vectors it is linked with.
 
-    A task holds one tile's members; visitors pass by.  No row is made for a pair.
+    A task holds one tile's members; visitors pass by.  No row is made for a
+    pair, but for those of which one is a ball that the angle doesn't decide:
+    node and open are theirs.  among: whether a tile's members are compared with
+    each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        members = nodes = n = None
+        key, held, own = None, [], None
 
-        def links(x, x_nodes, x_n, within: bool) -> pa.RecordBatch | None:
-            linked = x @ members.T >= similarity
+        def links(x, x_nodes, x_n, x_rho, within: bool) -> Iterator[pa.RecordBatch]:
+            members, nodes, n, rho = own
+            cosines = x @ members.T
+            linked, undecided = judged(cosines >= similarity, cosines, x_rho, rho, similarity)
             if within:
                 np.fill_diagonal(linked, False)
+                undecided = np.triu(undecided, 1)
             rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-            if not len(rows):
-                return None
-            few = linked[np.ix_(rows, cols)]
-            row_root, col_root = roots(few)
-            own = [(x_nodes[rows], nodes[cols][row_root], few @ n[cols])]
-            if not within:
-                own.append((nodes[cols], nodes[cols][col_root], x_n[rows] @ few))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*own, strict=True)], ["node", "root", "links"])
-
-        def settled():
-            nonlocal members, nodes, n
+            found = []
+            if len(rows):
+                few = linked[np.ix_(rows, cols)]
+                row_root, col_root = roots(few)
+                found.append((x_nodes[rows], nodes[cols][row_root], few @ n[cols], None))
+                if not within:
+                    found.append((nodes[cols], nodes[cols][col_root], x_n[rows] @ few, None))
+            a, b = np.nonzero(undecided)
+            if len(a):
+                found.append((x_nodes[a], None, None, nodes[b]))
+            for part in found:
+                size = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c.astype(np.int64)) for c in part], ["node", "root", "links", "open"])
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            nonlocal own
             if held:
-                members = unit(np.concatenate([x for x, _, _ in held]))
-                nodes, n = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+                vec, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+                own = (unit(vec), *rest)
                 held.clear()
-                return links(members, nodes, n, True)
+                if among:
+                    yield from links(*own, True)
 
         for batch in batches:
             where = np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1)
@@ -246,24 +261,58 @@ def verified(meetings: DataFrame, similarity: float) -> DataFrame:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 size, cell, tile, visits = where[lo].tolist()
                 if (size, cell, tile) != key:
-                    if (out := settled()) is not None:
-                        yield out
-                    key, members = (size, cell, tile), None
+                    yield from settled()
+                    key, own = (size, cell, tile), None
                 part = batch.slice(lo, hi - lo)
-                data = matrix(part.column(6)), part.column(4).to_numpy(), part.column(5).to_numpy()
+                data = matrix(part.column(6)), part.column(4).to_numpy(), part.column(5).to_numpy(), part.column(7).to_numpy()
                 if not visits:
                     held.append(data)
                     continue
-                if (out := settled()) is not None:
-                    yield out
-                if members is not None and (out := links(unit(data[0]), *data[1:], False)) is not None:
-                    yield out
-        if (out := settled()) is not None:
-            yield out
+                yield from settled()
+                if own is not None:
+                    yield from links(unit(data[0]), *data[1:], False)
+        yield from settled()
 
     place = ["size", "cell", "tile"]
     dealt = meetings.repartition(*place).sortWithinPartitions(*place, "visits")
-    return dealt.mapInArrow(run, "node long, root long, links long")
+    return dealt.mapInArrow(run, "node long, root long, links long, open long")
+
+
+def _linked(classes: DataFrame, grid: Grid, sample: np.ndarray, similarity: float, recall: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(node, others) and edges (u, v) of classes: with how many vectors of other classes each is linked, and what hangs together."""
+    grid.tiles = _crowded(classes, grid, tile)
+    plain = classes.select("vec", "node", "n", F.lit(0.0).alias("rho"))
+    inside = None
+    if grid.tiles:
+        members = written(members_of(written(_in_crowded(classes, grid), "crowded"), similarity, unit, matrix), "members")
+        balls = written(balls_of(members), "balls")
+        inside = written(joined_by_weight(members, balls.withColumn("weight", F.col("rows")), "ball", "weight").select("node", "ball", "n", "m"), "inside")
+        single = plain.join(inside.select("node"), "node", "left_anti").select("vec", "node", "n", "rho")
+        stand = balls.join(classes.select("vec", F.col("node").alias("ball")), "ball").select("vec", F.col("ball").alias("node"), F.col("m").alias("n"), "rho")
+        plain = written(single.unionByName(stand), "items")
+        grid.tiles = _crowded(plain, grid, tile)
+        # partners of a ball's members may lie further from its pivot, and those of two balls twice as far
+        widest = balls.agg(F.max("rho")).first()[0] or 0.0
+        grid.limit = limit_of(grid, sample, float(np.cos(min(np.arccos(similarity) + 2 * widest, np.pi))), recall)
+    found = written(verified(met(plain, grid), similarity), "links")
+    settled = found.where("open IS NULL")
+    links = settled.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = settled.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if inside is None:
+        return links.withColumnRenamed("links", "others"), edges
+    pairs = found.where("open IS NOT NULL").select(F.col("node").alias("x"), F.col("open").alias("y"))
+    asked = pairs.select(F.col("x").alias("item")).union(pairs.select("y")).distinct()
+    of_balls = inside.select("node", F.col("ball").alias("item")).join(asked, "item", "left_semi")
+    of_items = asked.join(inside.select(F.col("ball").alias("item")).distinct(), "item", "left_anti").select(F.col("item").alias("node"), "item")
+    parts = written(of_balls.unionByName(of_items).join(classes.select("node", "n", "vec"), "node"), "open-members")
+    more = written(verified(opened(pairs, parts, tile).withColumn("rho", F.lit(0.0)), similarity, among=False), "open-links")
+    # a ball's members have its links, and each other
+    shared = balls.join(links.withColumnRenamed("node", "ball"), "ball", "left").select("ball", F.coalesce("links", F.lit(0)).alias("links"), F.col("rows").alias("weight"))
+    within = joined_by_weight(inside, shared, "ball", "weight").select("node", (F.col("m") - F.col("n") + F.col("links")).alias("links"))
+    others = links.join(balls.select(F.col("ball").alias("node")), "node", "left_anti").unionByName(within).unionByName(more.select("node", "links"))
+    edges = edges.unionByName(more.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    edges = edges.unionByName(inside.where("node != ball").select(F.col("node").alias("u"), F.col("ball").alias("v")))
+    return others.groupBy("node").agg(F.sum("links").alias("others")), edges
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = 0.9, recall: float = RECALL, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
@@ -279,7 +328,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     vector is in the index.  Links below the least similarity are never made;
     ``recall`` is the share of pairs at just that similarity that is found at
     least, and nearer ones are found more often.  Exact copies are one vector
-    with a count.  Cells of any size are handled in tiles.
+    with a count; near copies in crowded cells, that all link with each other,
+    are balls (see ``balls``).  Cells of any size are handled in tiles.
 
     Repeated rows and ids are vectors of their own, rows with a null id link
     like others and have the smallest id of their component (null if there is
@@ -296,7 +346,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     base = written(bare, "vectors")
     classes = written(classes_of(base), "classes")
     n = classes.count()
-    links = edges = None
     if n > 1:
         width = classes.agg(F.max(F.size("vec"))).first()[0]
         drawn = classes.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
@@ -305,18 +354,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         for size in np.unique(sizes):
             sample[sizes == size, :size] = unit(matrix(drawn.filter(pa.array(sizes == size))))
         grid = learn(sample, n, similarity, recall, cell_rows)
-        grid.tiles = _crowded(classes, grid, tile)
-        found = written(verified(met(classes, grid), similarity), "links")
-        links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        edges = found.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    if links is None:
-        known = classes.withColumns({"others": F.lit(0).cast("long"), "component": F.col("least")})
-    else:
+        others, edges = _linked(classes, grid, sample, similarity, recall, tile)
         of = components(edges).withColumnRenamed("root", "top")
-        known = classes.join(links, "node", "left").join(of, "node", "left")
-        known = written(known.withColumns({"others": F.coalesce("links", F.lit(0).cast("long")), "top": F.coalesce("top", "node")}), "known")
+        known = classes.join(others, "node", "left").join(of, "node", "left")
+        known = written(known.withColumns({"others": F.coalesce("others", F.lit(0).cast("long")), "top": F.coalesce("top", "node")}), "known")
         tops = known.groupBy("top").agg(F.min("least").alias("component"), F.count("*").alias("weight"))
         known = written(joined_by_weight(known, tops, "top", "weight"), "known")
+    else:
+        known = classes.withColumns({"others": F.lit(0).cast("long"), "component": F.col("least")})
     result = known.select("vec", F.col("n").alias("weight"), (F.col("n") - 1 + F.col("others")).alias("n_links"), F.col("component").alias("component_id"))
     usable = base.where(_usable(F.col("vec")))
     some = joined_by_weight(usable, result, "vec", "weight")
@@ -338,3 +383,20 @@ def _crowded(classes: DataFrame, grid: Grid, tile: int) -> dict[tuple[int, int],
 
     counts = classes.select("vec").mapInArrow(run, "size long, cell long, n long").groupBy("size", "cell").agg(F.sum("n").alias("n"))
     return {(r["size"], r["cell"]): -(-r["n"] // tile) for r in counts.where(F.col("n") > tile).collect()}
+
+
+def _in_crowded(classes: DataFrame, grid: Grid) -> DataFrame:
+    """(key, node, n, vec) of the classes in crowded cells; key names the cell and the vectors' length."""
+    kind, width = classes.schema["vec"].dataType.simpleString(), len(grid.codes[0]) * len(grid.codes[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(0).value_lengths())
+            for size in np.unique(sizes):
+                own = batch.filter(pa.array(sizes == size))
+                cells = grid.cells(*grid.halves(unit(matrix(own.column(0)))))
+                inside = np.array([(int(size), c) in grid.tiles for c in cells.tolist()])
+                got = own.filter(pa.array(inside))
+                yield pa.RecordBatch.from_arrays([pa.array(size * width + cells[inside]), got.column(1), got.column(2), got.column(0)], ["key", "node", "n", "vec"])
+
+    return classes.select("vec", "node", "n").mapInArrow(run, f"key long, node long, n long, vec {kind}")

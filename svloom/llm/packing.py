@@ -231,7 +231,9 @@ def pack(
     One row per piece: doc_id, piece, start, length, the payload ("ids": the
     token ids; "ids_crc32": only their checksum), sequence_id, offset.  Null
     texts are empty; an empty text is its end token alone (and without an end
-    token has no piece).  Only rows longer than a sequence are cut.  Repeated
+    token has no piece).  Only rows longer than a sequence are cut, texts of any
+    length into as many pieces as they take.  Of pieces of one length any may
+    fill a gap.  Ids are 64-bit numbers.  Repeated
     rows and null ids are packed like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession

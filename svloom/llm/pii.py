@@ -222,8 +222,10 @@ def joined(spans: list[Span]) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, and ``found`` with kind, start, end (code points, end exclusive) and value of each span.
 
-    A null text is empty and has no spans; repeated rows have theirs each; an
-    empty table gives no rows.
+    A null text is empty and has no spans; texts of any length are read whole,
+    in time that grows with their length; where anchors of one kind overlap the
+    leftmost wins; ids are 64-bit numbers; repeated rows have their spans each;
+    an empty table gives no rows.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

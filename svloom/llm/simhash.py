@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, row_key, fp, component_id (the smallest doc_id reachable).
 
     Null text counts as empty; texts without words have fingerprint 0 and are
-    linked like any other.  Null ids are never a component's id unless all its
+    linked like any other, and long texts count whole.  A bit that exactly half
+    of the shingles set is 0.  Ids are 64-bit numbers; null ids are never a component's id unless all its
     ids are null.  Repeated rows share a component.  An empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

@@ -70,7 +70,12 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """The suffix sums of all rows of ``docs``; an empty table gives no rows."""
+    """The suffix sums of all rows of ``docs``.
+
+    Null texts are empty and have length 0; texts of any length are encoded
+    whole; equal lengths are one row; repeated rows count each; an empty table
+    gives no rows.
+    """
     return suffix_sums(written(histogram(token_lengths(docs, id_col, text_col, ranks)), "histogram"))
 
 
