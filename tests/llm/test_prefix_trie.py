@@ -70,13 +70,11 @@ def test_query_against_sql(spark):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_hard_conversations(spark, monkeypatch, small):
-    """Nulls, ties, repeated rows, long and turnless conversations, shared beginnings; blocks, pieces and hot keys of few rows too."""
-    if small:
-        monkeypatch.setattr(prefix_trie, "BLOCK", 3)
-        monkeypatch.setattr(prefix_trie, "PIECE", 2)
-        monkeypatch.setattr(common, "HOT_ROWS", 4)
+def test_hard_conversations(spark, monkeypatch):
+    """Nulls, ties, repeated rows, long and turnless conversations, shared beginnings, in blocks, pieces and hot keys of few rows; the queries' tests take the usual sizes."""
+    monkeypatch.setattr(prefix_trie, "BLOCK", 3)
+    monkeypatch.setattr(prefix_trie, "PIECE", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(5)
     rows = [(None, 0, "user", "nobody's")]
     for c in [*range(-12, 40), 5000, 2**62]:
