@@ -184,7 +184,7 @@ def refine(spark, a) -> None:
     rows = rows.withColumn("id", F.xxhash64("chrom", "start", "ref", "alt")).where("exists(alleles, x -> x = 1)")
     again = bn.bench(rows.where("sample = 'base'").drop("sample"), rows.where("sample = 'comp'").drop("sample"), Params(no_ref="a", short_circuit=True, sizemin=a.sizemin, sizefilt=a.sizemin, max_chunk=a.max_chunk))
     _say_left_out(again)
-    done = stored(ha.refined_counts(before, sets.stratify(again.states(), before.select("region_id", "chrom", "start", "end"))), "refined")
+    done = stored(ha.refined_counts(before, sets.stratify(again.verdicts(), before.select("region_id", "chrom", "start", "end"))), "refined")
     shown = done.where("refined") if a.subset else done
     sinks.write_tsv(shown, f"{a.output}/regions")
     print(json.dumps(sinks.write_json(bn.region_report(shown), f"{a.output}/report"), indent=1, default=str))

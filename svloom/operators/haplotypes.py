@@ -252,7 +252,7 @@ def refined_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 def truth_and_query(states: DataFrame, refined: DataFrame | None = None) -> DataFrame:
     """Calls as truth and query sets with BD (TP, FN, FP) and BK (gm genotypes agree, am alleles agree, lm only near, or a dot)."""
     bd = F.when(F.col("verdict").isin("tpbase", "tp"), "TP").when(F.col("verdict") == "fn", "FN").otherwise("FP")
-    bk = F.when(bd == "TP", F.when(F.col("gt_match") == 0, "gm").otherwise("am")).when(F.col("score").isNotNull(), "lm").otherwise(".")
+    bk = F.when(bd == "TP", F.when(F.col("gt_match") == 0, "gm").otherwise("am")).when(F.col("met") if "met" in states.columns else F.col("score").isNotNull(), "lm").otherwise(".")
     out = states.withColumns({"BD": bd, "BK": bk, "set": F.when(F.col("side") == "base", "truth").otherwise("query"), "is_refined": F.lit(False)})
     if refined is None:
         return out

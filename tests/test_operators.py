@@ -581,3 +581,33 @@ def test_harmonised_by_partial_order(spark):
             own = [(r.start, r.ref, r.alt) for r in calls.where(F.col("sample") == sample).collect() if r.alleles[copy] == 1]
             made = [(r.start, r.ref, r.alt) for r in got if r["sample"] == sample and r.alleles[copy] == 1]
             assert ha.haplotype(ref, 100, made) == ha.haplotype(ref, 100, own)
+
+
+def _crowd(spark, seed: int, n: int = 160):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start, size = rng.randrange(0, 12_000, 60), rng.choice([60, 61, 70, 75, 90, 200, 300, 301, 580])
+        rows.append((i, f"chr{i % 2}", start, start + size, rng.choice(["DEL", "INS", "DUP"]), size, rng.choice([[0, 1], [1, 1], [0, 0], [None, 1]])))
+    df = spark.createDataFrame(rows, "id long, chrom string, start long, end long, svtype string, svlen long, alleles array<int>")
+    return df.where("id % 5 < 3"), df.where("id % 5 >= 3")
+
+
+@pytest.mark.parametrize("rule", ["single", "multi", "ac"])
+@pytest.mark.parametrize("few", [0, 32])
+def test_picks_without_all_pairs(spark, monkeypatch, rule, few):
+    """Crowded blocks of unequal sides get from few pairs what all pairs give, and verdicts make no table of pairs."""
+    from svloom import storage
+    from svloom.operators import pick
+
+    monkeypatch.setattr(pick, "FEW_PAIRS", few)
+    p = Params(pctseq=0, pick=rule, sizemin=60, sizefilt=50)
+    b = bn.bench(*_crowd(spark, 5), p)
+    shown = ["side", "id", "bid", "cid", "state", "multi", F.round("score", 6), "st_dist", "ed_dist", "gt_match"]
+    want = sorted(map(tuple, pick.PICKERS[rule](b.matches).select(shown).collect()))
+    before = len(storage._written)
+    assert sorted(map(tuple, b.picked.select(shown).collect())) == want
+    summary = bn.bench(*_crowd(spark, 5), p).summary().first()
+    assert not any("/matches-" in x for x in storage._written[before:])
+    won = {(r[0], r[1]) for r in want if r[4]}
+    assert (summary.tp_base, summary.tp_comp) == tuple(sum(s == side for s, _ in won) for side in ("base", "comp"))
