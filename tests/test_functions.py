@@ -134,3 +134,21 @@ def test_long_rotations(spark, monkeypatch):
     seqs = ["".join(rng.choices(letters, k=n)) for letters in ("AB", "ACGT", "A") for n in (1, 2, 3, 7, 30) for _ in range(4)] + ["ABAB", "BABA", "AABAAB"]
     rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", sq.smallest_rotation(F.col("s")).alias("r")).collect()
     assert all(r.r == min(r.s[i:] + r.s[:i] for i in range(len(r.s))) for r in rows)
+
+
+def test_rotations_from_runs(spark):
+    """Rotations are compared from runs of the first letter; long, repetitive and single-letter sequences alike."""
+    import random
+
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices(letters, k=n)) for letters in ("AB", "ABCDEFGHIJ", "A") for n in (1, 2, 5, 40, 1500)] + ["", "AB" * 800, "BA" * 30 + "A"]
+    rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", sq.smallest_rotation(F.col("s")).alias("r")).collect()
+    assert all(r.r == min((r.s[i:] + r.s[:i] for i in range(len(r.s))), default="") for r in rows)
+
+
+def test_compared_sequences_are_dealt(spark, tmp_path):
+    """A small file's sequences go to more than one task, since each comparison is long."""
+    from svloom.plans import queries
+
+    spark.createDataFrame([(c, t, "user", "abc" * (t + 1)) for c in range(20) for t in range(5)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.QUERIES["fn_best_seqsim"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
