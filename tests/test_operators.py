@@ -611,3 +611,28 @@ def test_picks_without_all_pairs(spark, monkeypatch, rule, few):
     assert not any("/matches-" in x for x in storage._written[before:])
     won = {(r[0], r[1]) for r in want if r[4]}
     assert (summary.tp_base, summary.tp_comp) == tuple(sum(s == side for s, _ in won) for side in ("base", "comp"))
+
+
+@pytest.mark.parametrize("how", [{}, {"keep": "maxqual"}, {"chain": True}, {"gt": "all"}])
+def test_copies_collapse_as_one(spark, monkeypatch, how):
+    """Copies of calls go where all pairs would send them, and no pair of copies is made."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        s, size = rng.randrange(0, 3000, 300), rng.choice([100, 104, 200])
+        rows.append((i, "a", s, s + size, s + 1, "N", "<DEL>", "DEL", size, float(i % 7), [[rng.randint(0, 1), 0], [0, rng.randint(0, 1)]][: 1 + (i % 9 == 0)]))
+    df = spark.createDataFrame(rows, "id long, chrom string, start long, end long, pos long, ref string, alt string, svtype string, svlen long, qual double, gts array<array<int>>")
+    p = Params(pctseq=0, pctsize=0.9, short_circuit=True, skip_gt=True, sizefilt=50)
+
+    def result():
+        kept, removed = co.collapse(df, p, **how)
+        return sorted(map(tuple, removed.select("id", "keeper").collect())), sorted(map(tuple, kept.select("id", "num_collapsed", "num_consolidated").collect()))
+
+    made, real = [], co.stored
+    monkeypatch.setattr(co, "stored", lambda d, name="step": made.append((name, real(d, name))) or made[-1][1])
+    got, few = result(), made[1][1].count()
+    made.clear()
+    monkeypatch.setattr(co, "with_firsts", lambda ranked, *_: ranked.withColumn("__first", F.col("id")))
+    if "gt" in how:
+        monkeypatch.setattr(co, "_unclashing_pairs", lambda ranked, p, gt: co.matched_pairs(ranked.drop("gts"), p))
+    assert got == result() and few < made[1][1].count()
