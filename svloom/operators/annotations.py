@@ -116,6 +116,19 @@ def allele_frequencies(calls: DataFrame) -> DataFrame:
     return out.withColumn("hw", test)
 
 
+def sample_frequencies(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Allele statistics (af) of each group of samples, one genotype (alleles) a row."""
+    return samples.groupBy(*by).agg(gt.sample_frequencies(F.col("alleles")).alias("af"))
+
+
+def equilibrium(counts: DataFrame) -> DataFrame:
+    """``counts`` (with af) and hw, the exact tests, which are worked out once for calls of equal counts."""
+    counts = stored(counts, "frequencies")
+    key = {"__ref": F.get("af.AC", F.lit(0)), "__alt": F.get("af.AC", F.lit(1)), "__het": F.col("af.N_HET")}
+    tested = counts.select(*[c.alias(k) for k, c in key.items()]).distinct().withColumn("hw", gt.hardy_weinberg(F.col("__ref"), F.col("__alt"), F.col("__het")))
+    return counts.withColumns(key).join(tested, list(key)).drop(*key)
+
+
 def group_frequencies(samples: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Allele statistics per call and group: one row of samples is (id, sample, alleles), of labels (sample, group)."""
     rows = samples.join(labels, "sample") if labels is not None else samples

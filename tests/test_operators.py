@@ -1,6 +1,7 @@
 """Operators against plain loops on small random inputs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -636,3 +637,14 @@ def test_copies_collapse_as_one(spark, monkeypatch, how):
     if "gt" in how:
         monkeypatch.setattr(co, "_unclashing_pairs", lambda ranked, p, gt: co.matched_pairs(ranked.drop("gts"), p))
     assert got == result() and few < made[1][1].count()
+
+
+def test_frequencies_of_samples_and_shared_tests(spark):
+    """Counts summed up over rows are those of arrays of genotypes, odd ones too, and the exact tests of equal counts are those of each call."""
+    kinds = [[0, 0], [0, 1], [1, 1], [1, None], [None, None], [2, 1], [1], [None], [], [0, 1, 1], None]
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, rng.choice(kinds)) for i in range(60) for _ in range(rng.randint(1, 9))] + [(99, None)], "id long, alleles array<int>")
+    want = an.allele_frequencies(rows.groupBy("id").agg(F.collect_list("alleles").alias("gts")))
+    got = an.equilibrium(an.sample_frequencies(rows, ["id"]))
+    one, two = ({r.id: (r.af.asDict(), round(r.hw.ExcHet, 9), round(r.hw.HWE, 9)) for r in x.collect()} for x in (got, want))
+    assert one == two and len(one) == 61
