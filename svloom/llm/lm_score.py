@@ -34,6 +34,8 @@ from .words import words_of
 
 #: Windows that the weights are started from, drawn from all training texts alike, and passes over them.
 START_WINDOWS, START_PASSES = 16_000, 2
+#: Tasks learn from one of so many windows of a text: from all.
+EVERY = 1
 #: Step size of what tasks learn on their own.
 RATE = 8e-3
 #: Ids that a task gathers before it counts their neighbours.
@@ -155,6 +157,13 @@ def neighbour_counts(learned: DataFrame, vocab: int) -> np.ndarray:
     return _table(_summed(learned.select("b").mapInArrow(run, _PARTS)), size, 1 + 2 * slots)
 
 
+def _windows(ids: np.ndarray, every: int, begin: int, end: int) -> np.ndarray:
+    """One of ``every`` windows of a text, from a place that the text decides on."""
+    got = attention.windows_of(ids, begin, end)
+    first = zlib.crc32(ids.tobytes()) % every if every > 1 else 0
+    return got[first::every] if first < len(got) else got[first % len(got)][None]
+
+
 def start_windows(learned: DataFrame, vocab: int, total: float, wanted: int = START_WINDOWS) -> DataFrame:
     """About ``wanted`` windows (w, int32), each window of each training text with the same chance (about ``total`` there are)."""
     begin, end = vocab, vocab - 1
@@ -201,7 +210,7 @@ def learned_everywhere(learned: DataFrame, start: dict[str, np.ndarray], cls: np
         t = attention.Trainer(first, classes, end)
         held = np.zeros((0, attention.WINDOW + 1), np.int64)
         for batch in batches:
-            held = np.concatenate([held, *(attention.windows_of(_ids(raw, vocab), begin, end) for raw in batch.column(0).to_pylist())])
+            held = np.concatenate([held, *(_windows(_ids(raw, vocab), EVERY, begin, end) for raw in batch.column(0).to_pylist())])
             full = len(held) - len(held) % attention.TRAIN_BATCH
             for lo in range(0, full, attention.TRAIN_BATCH):
                 t.step(held[lo : lo + attention.TRAIN_BATCH], RATE * min(1.0, (t.steps + 1) / 20))
