@@ -686,3 +686,16 @@ def test_pairs_carry_and_probe_only_what_they_need(spark):
     right = spark.createDataFrame([("a", 5, 9)], "k string, s long, e long")
     plan = intervals.range_join(right, right.select("k", F.col("s").alias("t"), F.col("e").alias("f")), ["k"], ("s", "e"), ("t", "f"), sparse=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "[0,1,2,3,4]" not in plan
+
+
+def test_all_pairs_work_out_a_calls_own_figures_once(spark):
+    """What the match table takes from one call alone is worked out before calls are paired, with the same rows."""
+    base, comp = _crowd(spark, 5)
+    p = Params(pctseq=0, sizemin=60, sizefilt=50, sizemax=600)
+    b = bn.bench(base, comp, p)
+    above, _, _ = b.matches.select("bid", "cid", "gt_match")._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert "lambda" not in above
+    k = b.chunked
+    plain = bn.matching.compared(bn.matching.near_pairs(k.where("side = 'base'"), k.where("side = 'comp'"), p), p)
+    assert plain.count() == b.matches.count() > 0
+    assert plain.columns == b.matches.columns and not plain.exceptAll(b.matches).count()
