@@ -122,8 +122,8 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
     d, flat = WIDTH, np.flatnonzero(fresh)
     x = m["both"].take(ids, axis=0)
     x += m["place"]
-    qk, values = x @ m["qk"], x @ m["v"]  # the last column of values adds up the weights
-    keys = np.ascontiguousarray(qk[:, :, d:].transpose(0, 2, 1))
+    q, values = x @ m["q"], x @ m["v"]  # the last column of values adds up the weights
+    keys = np.ascontiguousarray(x[:, :, :d].transpose(0, 2, 1))
     mixed = np.ones_like(values)
     for lo, seen in zip(range(0, WINDOW, _STEP), _SEEN, strict=True):
         hi = lo + _STEP
@@ -132,12 +132,12 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
             continue
         most = len(rows) * 2 > len(ids)
         pick = slice(None) if most else rows
-        s = qk[pick, lo:hi, :d] @ keys[pick, :, :hi]
+        s = q[pick, lo:hi] @ keys[pick, :, :hi]
         np.exp(s, out=s)
         s *= seen
         got = np.matmul(s, values[pick, :hi], out=mixed[:, lo:hi] if most else None)
         if not _summable(got[:, :, d], MOST_SCORE):
-            s = np.minimum(qk[pick, lo:hi, :d] @ keys[pick, :, :hi], MOST_SCORE)
+            s = np.minimum(q[pick, lo:hi] @ keys[pick, :, :hi], MOST_SCORE)
             s = np.where(seen > 0, s, -np.inf)
             s -= s.max(axis=2, keepdims=True)
             got = np.exp(s, out=s) @ values[pick, :hi]
@@ -147,11 +147,12 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
     mixed = mixed.reshape(-1, d + 1).take(flat, axis=0)
     mixed *= np.repeat(1 / mixed[:, d], d + 1).reshape(mixed.shape)
     x = x.reshape(-1, d + 1).take(flat, axis=0)
+    x[:, d] = 0  # both carry a one
+    mixed += x
     got, sums = np.empty((2, len(flat)), np.float32)
     for lo in range(0, len(flat), _CHUNK):
         part = slice(lo, lo + _CHUNK)
-        y = mixed[part] @ m["o"]
-        y += x[part]
+        y = mixed[part]
         h = y @ m["up"]
         np.maximum(h, _NONE[: len(h)], out=h)  # much faster than with a single zero
         y += h @ m["down"]
@@ -188,15 +189,16 @@ def gradients(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray, target
     both = np.ones((len(rows), d + 1), kind)
     both[:, :d] = w["token"].take(rows, axis=0) + w["class"].take(cls.take(rows), axis=0)
     share = (on / max(1, int(on.sum()))).astype(kind)
-    add = {"out": np.zeros_like(m["out"]), "up": np.zeros_like(m["up"]), "down": np.zeros_like(w["down"]), "o": np.zeros_like(w["o"]), "qkv": np.zeros((d, 3 * d), kind)}
+    add = {"out": np.zeros_like(m["out"]), "up": np.zeros_like(m["up"]), "down": np.zeros_like(w["down"]), "qv": np.zeros((d, 2 * d), kind)}
     flat, loss = np.empty((ids.size, d), kind), 0.0
     for lo in range(0, len(ids), _PART):
         part, at = slice(lo, lo + _PART), slice(lo * places, (lo + _PART) * places)
         x = both.take(nth[at], axis=0)
         x.reshape(-1, places, d + 1)[...] += m["place"][:places]
         loss += _backward(m, x, target[part], share[part].ravel(), fixed, add, flat[at])
-    g = {"out": add["out"][:d], "out_b": add["out"][d], "up": add["up"][:d], "up_b": add["up"][d], "down": add["down"], "o": add["o"]}
-    g["q"], g["k"], g["v"] = add["qkv"][:, :d] * kind.type(1 / math.sqrt(d)), add["qkv"][:, d : 2 * d], add["qkv"][:, 2 * d :]
+    g = {"out": add["out"][:d], "out_b": add["out"][d], "up": add["up"][:d], "up_b": add["up"][d], "down": add["down"]}
+    qk, vo = add["qv"][:, :d] * kind.type(1 / math.sqrt(d)), add["qv"][:, d:]
+    g["q"], g["k"], g["v"], g["o"] = qk @ w["k"], qk.T @ w["q"], vo @ w["o"].T, w["v"].T @ vo
     g["place"] = np.zeros_like(w["place"])
     g["place"][:places] = flat.reshape(len(ids), -1).sum(axis=0).reshape(places, d)
     g["token"] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
@@ -213,18 +215,21 @@ def _fixed(places: int, many: int, hidden: int, kind: np.dtype) -> tuple[np.ndar
 
 
 def _joined(w: dict[str, np.ndarray], d: int, kind: np.dtype) -> dict[str, np.ndarray]:
-    """The weights for rows that carry a one behind their values: biases are a matrix' last row, and the one is handed on by a last column."""
-    m = {"qk": np.zeros((d + 1, 2 * d), kind), "v": np.zeros((d + 1, d + 1), kind)}
-    m["qk"][:d, :d], m["qk"][:d, d:] = w["q"] * kind.type(1 / math.sqrt(d)), w["k"]
-    m["v"][:d, :d], m["v"][d, d] = w["v"], 1
-    for name, size in (("place", len(w["place"])), ("o", d + 1), ("down", len(w["down"]))):
+    """The weights for rows that carry a one behind their values: biases are a matrix' last row, and the one is handed on by a last column.
+
+    Queries and keys only meet as products, and values are only read through
+    ``o``: so q takes in both of the former and leaves the rows themselves as
+    keys, and v takes in both of the latter.
+    """
+    m = {"q": np.zeros((d + 1, d), kind), "v": np.zeros((d + 1, d + 1), kind)}
+    m["q"][:d] = w["q"] @ w["k"].T * kind.type(1 / math.sqrt(d))
+    m["v"][:d, :d], m["v"][d, d] = w["v"] @ w["o"], 1
+    for name, size in (("place", len(w["place"])), ("down", len(w["down"]))):
         m[name] = np.zeros((size, d + 1), kind)
         m[name][: len(w[name]), :d] = w[name]
     m["up"], m["out"] = np.vstack([w["up"], w["up_b"]]), np.vstack([w["out"], w["out_b"]])
     m["back_out"], m["back_down"], m["back_up"] = (np.ascontiguousarray(w[k].T) for k in ("out", "down", "up"))
-    m["back_o"] = np.zeros((d, d + 1), kind)
-    m["back_o"][:, :d] = w["o"].T
-    m["back_qkv"] = np.concatenate([m["qk"][:d].T, w["v"].T])
+    m["back_qv"] = np.concatenate([m["q"][:d].T, m["v"][:d, :d].T])
     return m
 
 
@@ -235,8 +240,8 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
     """
     many, places = target.shape
     d, (seen, at_class, none) = x.shape[1] - 1, fixed
-    qk, v = (x @ m["qk"]).reshape(many, places, 2 * d), (x @ m["v"]).reshape(many, places, d + 1)
-    q, k = qk[:, :, :d], qk[:, :, d:]
+    q, v = (x @ m["q"]).reshape(many, places, d), (x @ m["v"]).reshape(many, places, d + 1)
+    k = x.reshape(many, places, d + 1)[:, :, :d]
     keys, values = (np.ascontiguousarray(t.transpose(0, 2, 1)) for t in (k, v))
     a = q @ keys
     low = None
@@ -252,8 +257,8 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
         mixed = (a @ v).reshape(-1, d + 1)
     inverse = np.repeat(1 / mixed[:, d], d + 1).reshape(mixed.shape)
     o = mixed * inverse
-    y = o @ m["o"]
-    y += x
+    y = o + x
+    y[:, d] = 1
     h = y @ m["up"]
     np.maximum(h, none[: len(h)], out=h)  # much faster than with a single zero
     z = h @ m["down"]
@@ -287,22 +292,21 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
     dh *= h > 0
     g["up"] += y.T @ dh
     dy += dh @ m["back_up"]
-    g["o"] += o[:, :d].T @ dy
-    do = dy @ m["back_o"]
-    do *= inverse
+    do = np.zeros_like(x)
+    np.multiply(dy, inverse[:, :d], out=do[:, :d])
     do[:, d] = (do * o) @ np.full(d + 1, -1, do.dtype)
     do = do.reshape(many, places, d + 1)
-    three = np.empty((many, places, 3 * d), x.dtype)
+    two = np.empty((many, places, 2 * d), x.dtype)
     ds = do @ values
     ds *= a
     if low is not None:
         ds *= low
-    np.matmul(ds, k, out=three[:, :, :d])
-    np.matmul(ds.transpose(0, 2, 1), q, out=three[:, :, d : 2 * d])
-    np.matmul(a.transpose(0, 2, 1), do[:, :, :d], out=three[:, :, 2 * d :])
-    three = three.reshape(-1, 3 * d)
-    g["qkv"] += x[:, :d].T @ three
-    np.matmul(three, m["back_qkv"], out=dx)
+    np.matmul(ds, k, out=two[:, :, :d])
+    np.matmul(a.transpose(0, 2, 1), do[:, :, :d], out=two[:, :, d:])
+    two = two.reshape(-1, 2 * d)
+    g["qv"] += x[:, :d].T @ two
+    np.matmul(two, m["back_qv"], out=dx)
+    dx += (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
     dx += dy
     return loss
 

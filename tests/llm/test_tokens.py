@@ -288,3 +288,17 @@ def test_blocks_number_words_in_the_order_of_hashes(spark, words):
     (own,) = (lm_score._from_steps(bytes(r.a)) for r in got if r.kind == lm_score._DOC)
     assert (np.diff(sent.astype(object)) > 0).all() and len(sent) == len(set(words))
     assert sorted(Counter(own.tolist()).values()) == sorted(Counter(words).values())
+
+
+def test_products_of_weights_that_only_meet_are_taken_once():
+    """Queries with keys, and values with what they go through, are one matrix each; scores are those of ``forward``."""
+    rng = np.random.default_rng(4)
+    w = {k: x + rng.normal(0, 0.1, x.shape).astype(np.float32) for k, x in at.fresh_weights(50).items()}
+    m = at._joined(w, at.WIDTH, np.dtype(np.float32))
+    assert np.allclose(m["q"][:-1], w["q"] @ w["k"].T / 4, atol=1e-6) and np.allclose(m["v"][:-1, :-1], w["v"] @ w["o"], atol=1e-6)
+    assert not {"o", "qk", "back_o"} & set(m)
+    cls, ids = rng.integers(0, at.CLASSES, 51), rng.integers(0, 51, (3, at.WINDOW))
+    want = cls[rng.integers(0, 51, (3, at.WINDOW))]
+    plain = np.take_along_axis(at.forward(w, cls, ids)[0], want[:, :, None], 2)[:, :, 0] / np.log(10)
+    got = at.class_logp(at.Model(w, cls).joined(), ids, np.ones(ids.shape, bool), want.ravel())
+    assert np.allclose(got, plain.ravel(), atol=1e-4)
