@@ -37,6 +37,7 @@ class Model:
     def joined(self) -> dict[str, np.ndarray]:
         """The weights as scoring uses them, embeddings added up, a one behind them."""
         if self.ready is None:
+            _keep_freed()
             w = self.weights
             both = np.ones((len(w["token"]), WIDTH + 1), np.float32)
             both[:, :WIDTH] = w["token"] + w["class"][self.cls]
@@ -70,6 +71,11 @@ class Model:
         return np.add.reduceat(np.concatenate(got), first).tolist()
 
 
+def _keep_freed() -> None:
+    """What a step frees stays with the process: the system's allocator returns blocks of that size until a larger one has been freed, and half of a step's time goes into getting them again."""
+    np.empty(24 << 20, np.uint8)
+
+
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
@@ -97,9 +103,9 @@ def forward(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray):
     return _log_softmax(np.minimum(logits, MOST_LOGIT)), (x, q, k, v, a, o, y, h, z, low, logits < MOST_LOGIT)
 
 
-#: Places whose queries are taken together: they look at the keys up to their own last place only.
-_STEP = 16
-_SEEN = [np.tril(np.ones((_STEP, lo + _STEP), np.float32), lo) for lo in range(0, WINDOW, _STEP)]
+#: Places whose queries are taken together, from and to: they look at the keys up to their own last place only.
+_SPANS = [(0, WINDOW - FRESH), (WINDOW - FRESH, WINDOW - FRESH // 2), (WINDOW - FRESH // 2, WINDOW)]
+_SEEN = [np.tril(np.ones((hi - lo, hi), np.float32), lo) for lo, hi in _SPANS]
 #: Rows that are taken to the classes together.
 _CHUNK = 768
 _NONE = np.zeros((_CHUNK, HIDDEN), np.float32)
@@ -122,11 +128,11 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
     d, flat = WIDTH, np.flatnonzero(fresh)
     x = m["both"].take(ids, axis=0)
     x += m["place"]
-    q, values = x @ m["q"], x @ m["v"]  # the last column of values adds up the weights
+    qv = (x.reshape(-1, d + 1) @ m["qv"]).reshape(*ids.shape, -1)
+    q, values = qv[:, :, :d], qv[:, :, d:]  # the last column of values adds up the weights
     keys = np.ascontiguousarray(x[:, :, :d].transpose(0, 2, 1))
-    mixed = np.ones_like(values)
-    for lo, seen in zip(range(0, WINDOW, _STEP), _SEEN, strict=True):
-        hi = lo + _STEP
+    mixed = np.ones_like(x)
+    for (lo, hi), seen in zip(_SPANS, _SEEN, strict=True):
         rows = np.flatnonzero(fresh[:, lo:hi].any(axis=1))
         if not len(rows):
             continue
@@ -169,7 +175,7 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
 
 
 #: Windows whose gradients are worked out together: what they need stays in a core's cache.
-_PART = 16
+_PART = 32
 
 
 @np.errstate(over="ignore", invalid="ignore")
@@ -221,7 +227,8 @@ def _joined(w: dict[str, np.ndarray], d: int, kind: np.dtype) -> dict[str, np.nd
     ``o``: so q takes in both of the former and leaves the rows themselves as
     keys, and v takes in both of the latter.
     """
-    m = {"q": np.zeros((d + 1, d), kind), "v": np.zeros((d + 1, d + 1), kind)}
+    m = {"qv": np.zeros((d + 1, 2 * d + 1), kind)}
+    m["q"], m["v"] = m["qv"][:, :d], m["qv"][:, d:]
     m["q"][:d] = w["q"] @ w["k"].T * kind.type(1 / math.sqrt(d))
     m["v"][:d, :d], m["v"][d, d] = w["v"] @ w["o"], 1
     for name, size in (("place", len(w["place"])), ("down", len(w["down"]))):
@@ -240,9 +247,9 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
     """
     many, places = target.shape
     d, (seen, at_class, none) = x.shape[1] - 1, fixed
-    q, v = (x @ m["q"]).reshape(many, places, d), (x @ m["v"]).reshape(many, places, d + 1)
-    k = x.reshape(many, places, d + 1)[:, :, :d]
-    keys, values = (np.ascontiguousarray(t.transpose(0, 2, 1)) for t in (k, v))
+    qv = (x @ m["qv"]).reshape(many, places, -1)
+    q, v, k = qv[:, :, :d], qv[:, :, d:], x.reshape(many, places, d + 1)[:, :, :d]
+    keys, values = k.transpose(0, 2, 1), v.transpose(0, 2, 1)
     a = q @ keys
     low = None
     np.exp(a, out=a)
@@ -263,8 +270,7 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
     np.maximum(h, none[: len(h)], out=h)  # much faster than with a single zero
     z = h @ m["down"]
     z += y
-    by_window = z.reshape(many, places, d + 1) @ m["out"]
-    e, free = by_window.reshape(many * places, -1), None
+    e, free = z @ m["out"], None
     at, ones = at_class[: len(e)] + target.ravel(), np.ones(e.shape[1], e.dtype)
     picked = e.take(at)
     np.exp(e, out=e)
@@ -284,16 +290,17 @@ def _backward(m, x, target, share, fixed, g, dx) -> float:
         e *= free
     weight = (share / total)[:, None]
     z *= weight
-    g["out"] += (z.reshape(many, places, d + 1).transpose(0, 2, 1) @ by_window).sum(axis=0)
-    dy = (by_window @ m["back_out"]).reshape(-1, d)
+    g["out"] += (e.T @ z).T
+    dy = e @ m["back_out"]
     dy *= weight
     g["down"] += h.T @ dy
     dh = dy @ m["back_down"]
-    dh *= h > 0
+    dh *= np.sign(h, out=h)
     g["up"] += y.T @ dh
     dy += dh @ m["back_up"]
-    do = np.zeros_like(x)
+    do = np.empty_like(x)
     np.multiply(dy, inverse[:, :d], out=do[:, :d])
+    do[:, d] = 0
     do[:, d] = (do * o) @ np.full(d + 1, -1, do.dtype)
     do = do.reshape(many, places, d + 1)
     two = np.empty((many, places, 2 * d), x.dtype)
@@ -385,6 +392,7 @@ class Trainer:
     """Adam on batches of windows; rows of tokens that a batch hasn't are left alone.  ``seen`` counts what was learned from, by token."""
 
     def __init__(self, weights: dict[str, np.ndarray], cls: np.ndarray, end: int):
+        _keep_freed()
         self.cls, self.end, self.steps = cls, end, 0
         # all but the tokens' weights lie in one row; the moments lie below
         self.dense = [k for k in weights if k != "token"]

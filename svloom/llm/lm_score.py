@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import text_of, tune, utf8, written
-from .tokens import default_ranks, encode, encoder
+from .tokens import default_ranks, encode_all, encoder
 from .words import words_of
 
 #: Windows that the weights are started from, drawn from all training texts alike, and passes over them.
@@ -38,8 +38,6 @@ START_WINDOWS, START_PASSES = 16_000, 2
 EVERY = 1
 #: Step size of what tasks learn on their own.
 RATE = 8e-3
-#: Ids that a task gathers before it counts their neighbours.
-COUNTED = 1_000_000
 #: Parts that tables over the vocabulary are summed up in.
 CHUNKS = 64
 #: Groups of tasks whose tables are summed up before the groups' sums are.
@@ -126,16 +124,12 @@ def _table(sums: dict[int, tuple[np.ndarray, np.ndarray]], rows: int, columns: i
 def neighbour_counts(learned: DataFrame, vocab: int) -> np.ndarray:
     """[vocab + 1, 1 + 2 * SLOTS] over the training rows' ids (column b): a token's count, and its neighbours' on either side by slot."""
     size, slots = vocab + 1, attention.SLOTS
-    slot, wide = attention.neighbour_slots(size), 1 + 2 * slots
+    wide = 1 + 2 * slots
+    before = 1 + attention.neighbour_slots(size)
+    after = before + slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, wait, held = np.zeros(size * wide), [], 0
-
-        def add() -> None:
-            if wait:
-                table[:] += np.bincount(np.concatenate(wait), minlength=len(table))
-                wait.clear()
-
+        table = np.zeros(size * wide)
         for batch in batches:
             texts = [_ids(x, vocab) for x in batch.column(0).to_pylist()]
             ids = np.concatenate(texts).astype(np.int64)
@@ -146,12 +140,8 @@ def neighbour_counts(learned: DataFrame, vocab: int) -> np.ndarray:
             ends = np.cumsum([len(t) for t in texts]) - 1
             inner[ends[ends >= 0]] = False
             a, b = ids[:-1][inner[:-1]], ids[1:][inner[:-1]]
-            wait += [b * wide + 1 + slot[a], a * wide + 1 + slots + slot[b]]
-            held += len(ids)
-            if held >= COUNTED:
-                add()
-                held = 0
-        add()
+            np.add.at(table, b * wide + before[a], 1.0)
+            np.add.at(table, a * wide + after[b], 1.0)
         yield _parts(TaskContext.get().partitionId(), table.reshape(size, wide))
 
     return _table(_summed(learned.select("b").mapInArrow(run, _PARTS)), size, 1 + 2 * slots)
@@ -307,11 +297,11 @@ def _blocks(rows: DataFrame, ranks: str, ranges: int) -> DataFrame:
         hashes: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            w = words_of(utf8(batch.column(1)))
+            texts = utf8(batch.column(1))
+            w, encoded = words_of(texts), encode_all(texts, ranks)
             ids, outs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, text in enumerate(texts):
-                docs.append((ids[i], outs[i], encode(text, ranks).astype(kind).tobytes()))
+            for i in range(len(texts)):
+                docs.append((ids[i], outs[i], encoded[i].astype(kind).tobytes()))
                 hashes.append(w.hash[w.of(i)])
                 held += len(hashes[-1])
                 if held >= BLOCK_WORDS:
@@ -329,9 +319,10 @@ def _answered(words: DataFrame, ranges: int) -> DataFrame:
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         hashes = [np.frombuffer(a, np.uint64) for _, _, a, _ in rows]
         size = np.cumsum([len(h) for h in hashes])[:-1]
-        words, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        found = pa.array(np.concatenate(hashes)).dictionary_encode()  # faster than sorting all
+        number = found.indices.to_numpy()
         train = np.concatenate([np.frombuffer(b, np.int32) for *_, b in rows])
-        total = np.bincount(number, train, len(words)).astype(np.int64)
+        total = np.bincount(number, train, len(found.dictionary)).astype(np.int64)
         k = rows[0][1]
         out = [(block, _WORDS, k, None, None, len(c), None, c.tobytes(), b"") for (block, *_), c in zip(rows, np.split(total[number], size), strict=True)]
         out.append((-1, _WORDS, k, None, None, int(total.sum()), float((total > 0).sum()), b"", b""))
