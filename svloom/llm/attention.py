@@ -18,7 +18,7 @@ import numpy as np
 WINDOW, FRESH = 64, 48
 WIDTH, HIDDEN, CLASSES = 16, 32, 64
 #: Windows that one batch scores (what they need stays near the core), and that one step of training takes.
-BATCH, TRAIN_BATCH = 96, 128
+BATCH, TRAIN_BATCH = 128, 128
 #: Attention scores and logits stop here, in training as in scoring, so that their exponentials stay finite.
 MOST_SCORE, MOST_LOGIT = np.float32(60), np.float32(80)
 #: Neighbours are counted by so many hashed slots on either side.
@@ -107,7 +107,7 @@ def forward(w: dict[str, np.ndarray], cls: np.ndarray, ids: np.ndarray):
 _SPANS = [(0, WINDOW - FRESH), (WINDOW - FRESH, WINDOW - FRESH // 2), (WINDOW - FRESH // 2, WINDOW)]
 _SEEN = [np.tril(np.ones((hi - lo, hi), np.float32), lo) for lo, hi in _SPANS]
 #: Rows that are taken to the classes together.
-_CHUNK = 768
+_CHUNK = 3072
 _NONE = np.zeros((_CHUNK, HIDDEN), np.float32)
 _LEAST = {x: math.exp(-x) for x in (MOST_SCORE, MOST_LOGIT)}
 
@@ -117,26 +117,18 @@ def _summable(total: np.ndarray, most: np.float32) -> bool:
     return total.min() > _LEAST[most] and total.max() < 1 / _LEAST[most]
 
 
-@np.errstate(over="ignore", invalid="ignore")
-def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """log10 probability of class ``want`` after each fresh place [windows, places], in row order.
-
-    The same as ``forward``, without what only training needs: queries of
-    places that another window scores and keys that lie ahead are left out, and
-    maxima are only taken off where exponentials get out of range.
-    """
-    d, flat = WIDTH, np.flatnonzero(fresh)
-    x = m["both"].take(ids, axis=0)
-    x += m["place"]
-    qv = (x.reshape(-1, d + 1) @ m["qv"]).reshape(*ids.shape, -1)
+def _mixed(m: dict[str, np.ndarray], x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """What each fresh place takes from those that it sees, the sum of the weights behind it."""
+    d = WIDTH
+    qv = (x.reshape(-1, d + 1) @ m["qv"]).reshape(*fresh.shape, -1)
     q, values = qv[:, :, :d], qv[:, :, d:]  # the last column of values adds up the weights
-    keys = np.ascontiguousarray(x[:, :, :d].transpose(0, 2, 1))
+    keys = x[:, :, :d].transpose(0, 2, 1)
     mixed = np.ones_like(x)
     for (lo, hi), seen in zip(_SPANS, _SEEN, strict=True):
         rows = np.flatnonzero(fresh[:, lo:hi].any(axis=1))
         if not len(rows):
             continue
-        most = len(rows) * 2 > len(ids)
+        most = len(rows) * 2 > len(fresh)
         pick = slice(None) if most else rows
         s = q[pick, lo:hi] @ keys[pick, :, :hi]
         np.exp(s, out=s)
@@ -150,6 +142,21 @@ def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, wan
             most = False
         if not most:
             mixed[pick, lo:hi] = got
+    return mixed
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def class_logp(m: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """log10 probability of class ``want`` after each fresh place [windows, places], in row order.
+
+    The same as ``forward``, without what only training needs: queries of
+    places that another window scores and keys that lie ahead are left out, and
+    maxima are only taken off where exponentials get out of range.
+    """
+    d, flat = WIDTH, np.flatnonzero(fresh)
+    x = m["both"].take(ids, axis=0)
+    x += m["place"]
+    mixed = _mixed(m, x, fresh)
     mixed = mixed.reshape(-1, d + 1).take(flat, axis=0)
     mixed *= np.repeat(1 / mixed[:, d], d + 1).reshape(mixed.shape)
     x = x.reshape(-1, d + 1).take(flat, axis=0)
