@@ -699,3 +699,27 @@ def test_all_pairs_work_out_a_calls_own_figures_once(spark):
     plain = bn.matching.compared(bn.matching.near_pairs(k.where("side = 'base'"), k.where("side = 'comp'"), p), p)
     assert plain.count() == b.matches.count() > 0
     assert plain.columns == b.matches.columns and not plain.exceptAll(b.matches).count()
+
+
+@pytest.mark.parametrize("chain", [False, True])
+@pytest.mark.parametrize("changes", [{}, {"typeignore": True}, {"dup_to_ins": True, "refdist": 0}, {"pctsize": 0}])
+def test_collapsing_makes_no_pairs(spark, monkeypatch, chain, changes):
+    """Near calls that differ, empty and giant ones too, collapse as their pairs would have it, and no table of pairs is made."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(220):
+        s, size = rng.randrange(0, 9000), rng.choice([50, 60, 66, 73, 81, 90, 100, 111, 300])
+        end = s + rng.choice([size, size, size, 0, 1, 7000])
+        rows.append((i, rng.choice("ab"), s, end, s + 1, "N", "<DEL>", rng.choice(["DEL", "INS", "DUP", None]), size, float(i % 7), [[0, 1]]))
+    df = spark.createDataFrame(rows, "id long, chrom string, start long, end long, pos long, ref string, alt string, svtype string, svlen long, qual double, gts array<array<int>>")
+    p = Params(**{"pctseq": 0, "pctsize": 0.9, "refdist": 100, "chunksize": 500, "short_circuit": True, "skip_gt": True, "sizefilt": 50} | changes)
+    made, real = [], co.stored
+    monkeypatch.setattr(co, "stored", lambda d, name="step": made.append(name) or real(d, name))
+
+    def removed():
+        return sorted(map(tuple, co.collapse(df, p, keep="maxqual", chain=chain, consolidate=False)[1].select("id", "keeper").collect()))
+
+    got = removed()
+    assert "matches" not in made
+    monkeypatch.setattr(co.sweep, "able", lambda *_: False)
+    assert got == removed() and "matches" in made and len(got) > 20
