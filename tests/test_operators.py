@@ -721,5 +721,32 @@ def test_collapsing_makes_no_pairs(spark, monkeypatch, chain, changes):
 
     got = removed()
     assert "matches" not in made
-    monkeypatch.setattr(co.sweep, "able", lambda *_: False)
+    monkeypatch.setattr(co.partners, "able", lambda *_: False)
     assert got == removed() and "matches" in made and len(got) > 20
+
+
+@pytest.mark.parametrize("rule", ["single", "multi"])
+@pytest.mark.parametrize("changes", [{}, {"typeignore": True, "pctsize": 0}, {"refdist": 0, "dup_to_ins": True}])
+def test_matches_are_assigned_without_pairs(spark, monkeypatch, rule, changes):
+    """Crowded calls, empty and giant ones too, get from their best partners what all pairs give; failed pairs also where an end is unknown."""
+    from svloom.operators import matching, pick
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(150):
+        start, size = rng.randrange(0, 9000, 30), rng.choice([60, 61, 70, 75, 90, 200, 300, 301, 580])
+        end = rng.choice([start + size] * 6 + [start, start + 1, start + 3000])
+        rows.append((i, "a", start, end, rng.choice(["DEL", "INS", "DUP", "DUP", None]), size, [0, 1]))
+    df = spark.createDataFrame(rows, "id long, chrom string, start long, end long, svtype string, svlen long, alleles array<int>")
+    p = Params(**{"pctseq": 0, "pick": rule, "sizemin": 60, "sizefilt": 50} | changes)
+    blocks = stored(df.withColumns({"side": F.when(F.col("id") % 5 < 3, "base").otherwise("comp"), "chunk_id": F.lit("a:1")}), "blocks")
+    pairs = matching.compared(matching.near_pairs(blocks.where("side = 'base'"), blocks.where("side = 'comp'"), p), p)
+    shown = ["side", "id", "bid", "cid", "state", F.round("score", 6), "st_dist", "ed_dist"]
+    want = sorted((tuple(r) for r in pick.PICKERS[rule](pairs).where("state").select(shown).collect()), key=str)
+    apart, by_type = blocks.where("id % 3 = 0").withColumn("svtype", F.col("side")), p.but(typeignore=False)
+    cases = [apart, apart.withColumn("end", F.when(F.col("id") % 4 > 0, F.col("end")))]
+    walked = [sorted(map(tuple, pick._failed_greedily(x, by_type).select("bid", "cid").collect())) for x in cases]
+    monkeypatch.setattr(pick, "FEW_PAIRS", 0)
+    assert walked == [sorted(map(tuple, pick._failed_greedily(x, by_type).select("bid", "cid").collect())) for x in cases] and len(walked[0]) > 10
+    monkeypatch.setattr(matching, "matching_pairs", lambda *_: pytest.fail("pairs of all that match were made"))
+    assert sorted((tuple(r) for r in pick.won(blocks, p).select(shown).collect()), key=str) == want and len(want) > 10
