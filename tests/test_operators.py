@@ -750,3 +750,20 @@ def test_matches_are_assigned_without_pairs(spark, monkeypatch, rule, changes):
     assert walked == [sorted(map(tuple, pick._failed_greedily(x, by_type).select("bid", "cid").collect())) for x in cases] and len(walked[0]) > 10
     monkeypatch.setattr(matching, "matching_pairs", lambda *_: pytest.fail("pairs of all that match were made"))
     assert sorted((tuple(r) for r in pick.won(blocks, p).select(shown).collect()), key=str) == want and len(want) > 10
+
+
+def test_calls_are_taken_apart_without_reading_alleles(spark):
+    """The breakends of a call are those that its spelled ones read as, and places aren't filed on levels that nothing lies on."""
+    from svloom.functions import variants as v
+
+    calls = spark.createDataFrame([("a:1", 100, 600, t) for t in ("DEL", "DUP", "INV", "INS", None)], "chrom string, pos long, end long, svtype string")
+    whole = [F.col(c) for c in calls.columns]
+    spelled = calls.select("svtype", F.explode(v.decomposed(*whole)).alias("x")).select("svtype", "x.pos", v.bnd_mate(F.col("x.alt")).alias("m"), v.bnd_direction(F.col("x.alt")).alias("d"))
+    want = spelled.select("svtype", "pos", "m.chrom2", "m.pos2", "d.direction", "d.strand")
+    got = calls.select("svtype", F.inline(v.decomposed_ends(*whole)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 8
+    ends = spark.createDataFrame([("a", 5, 9, 50, 59)], "k string, s long, e long, s2 long, e2 long")
+    places = [("s", "e"), ("s2", "e2")]
+    other = ends.toDF("k", "t", "f", "t2", "f2")
+    joined = op.two_place_join(ends, other, ["k"], places, [("t", "f"), ("t2", "f2")], sparse=True)
+    assert joined.count() == 1 and "[0,1,2,3]" not in joined._jdf.queryExecution().optimizedPlan().toString()
